@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_rules, pii
+from tidemark.llm import decontam, line_rules, minhash, packing, pii, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,28 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "n_removed_words", "base_failed", "kept")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, and what the archives then hold."""
+    out = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes, copies together."""
+    out = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP5_SQL = r"""
 WITH lowered AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -58,6 +80,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM lowered LEFT JOIN places USING (r) LEFT JOIN found USING (r)
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+same AS (SELECT body, max(page_id) AS first FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
+SELECT page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN same ON p.body = same.body
+"""
+
 OP7_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
 words AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM docs),
@@ -88,8 +119,8 @@ SELECT *, NOT base_failed AND 100 * n_removed_words <= 50 * n_words AS kept FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_decontaminate": op5_decontaminate, "op7_line_rules": op7_line_rules}
+    return {f.__name__: f for f in (op1_pii, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL}
