@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_rules, minhash, packing, pii, sharding, warc
+from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, minhash, packing, pii, quality_cnn, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,28 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in range(pii.BASE)], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels of those whose remainder isn't 1."""
+    return quality_cnn.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(3) != 1)
+
+
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share: for each document where they stand and how much of it a deduplication takes out."""
+    out = chunk_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    size = lambda later: F.aggregate(F.filter("spans", lambda s: s["later"] | F.lit(not later)), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeats"), size(False).alias("repeated_bytes"), size(True).alias("dropped_bytes"), places.alias("repeats"), (F.size("spans") > 0).alias("repeated"))
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those whose remainder isn't 2."""
+    return kneser_ney.score_texts(_table(spark, sf_dir, "documents"), _remainder(7) != 2).drop("perplexity")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the benchmark: words hit, items found."""
     out = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -119,7 +141,7 @@ SELECT *, NOT base_failed AND 100 * n_removed_words <= 50 * n_words AS kept FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
