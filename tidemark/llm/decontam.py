@@ -97,7 +97,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", bench_t
     t = text_of(text)
     read = docs.select(*doc_key(docs, t), t.alias("_t")).join(small(asked.select("_d", "_h"), 100_000), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"])
     read = read.join(asked, ["_d", "_h"]).select("_d", "_h", index_words(F.col("_t")).alias("_words"), "_asked")
-    true = read.select("_d", "_h", F.filter("_asked", lambda a: (a["p"] >= 0) & (F.slice(F.col("_words"), F.greatest(a["p"], F.lit(0)) + 1, F.size(a["b"])) == a["b"])).alias("_true")).filter(F.size("_true") > 0)
+    # Two uses of _words in one projection, and no filter on the outcome before it is written, keep the optimizer from
+    # moving the split of the text into the comparison of each candidate.
+    fits = lambda a: (a["p"] >= 0) & (a["p"] + F.size(a["b"]) <= F.size("_words"))
+    true = read.select("_d", "_h", F.filter("_asked", lambda a: fits(a) & (F.slice(F.col("_words"), F.greatest(a["p"], F.lit(0)) + 1, F.size(a["b"])) == a["b"])).alias("_true"))
+    true = written(true).filter(F.size("_true") > 0)
     spans = F.sort_array(F.array_distinct(F.transform("_true", lambda a: F.struct(a["p"].alias("start"), (a["p"] + F.size(a["b"])).alias("end")))))
     per_item = true.select("_d", "_h", F.explode(F.array_distinct(F.transform("_true", lambda a: a["_item"]))).alias("_item")).join(small(items.select("_item", "item_id")), "_item")
     per_item = per_item.groupBy("_d", "_h").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
