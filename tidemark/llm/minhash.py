@@ -2,8 +2,9 @@
 
 Every text that occurs more than once stands for its copies (a shuffle of 16-byte digests), so all later steps work on
 different texts. Candidates are never all pairs of a band's bucket: a bucket first compares its members with one of them,
-then components are found, and only members of buckets that still hold several components are compared further. The last
-round compares what is left across components in full, so no candidate pair of different components goes untested.
+then components are found, and only members of buckets that still hold several components are compared further. Of these,
+a count of the shingles that other components have too proves most unable to link; what is left is compared across
+components in full, so no candidate pair of different components goes untested.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ HASHES, BANDS = 128, 32
 MIN_PERCENT = 75
 #: Pairs with fewer equal minima (of 128) are no candidates: at a similarity of 0.75 that is six deviations off.
 LEAST_EQUAL = 64
-#: Rounds in which a mixed bucket compares its members with one more pivot, before the round across components.
-PIVOT_ROUNDS = 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(int(_P), SHINGLE - 1 - i, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
@@ -147,6 +146,50 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "n", "s"])
+
+
+def shared_shingles(held: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(sets, shared): rows (rep, n, x) of all shingles x of sets of n, and (rep, x) of those that some member of another
+    component has too. Only the latter can be in an intersection across components.
+    """
+    who = written(held.select("rep", "c").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t")).join(small(who.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").distinct()
+    sets = texts.mapInArrow(_sets, "rep long, n long, s array<long>")
+    one = written(sets.join(who, "rep").select("rep", "c", "n", F.explode("s").alias("x")))
+    common = one.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("x")
+    return one, written(one.join(common, "x").select("rep", "x").distinct())
+
+
+def centred(held: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(rep, center, p): a member that others are likely copies of, and how many shared shingles of rep it has too.
+
+    For two members of one center the intersection is at most min(p, p') inside its set and min(s - p, s' - p') outside.
+    """
+    lead = held.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("center"), F.max(F.col("s") / F.col("n")).alias("q"))
+    center = written(held.join(lead, "bucket").groupBy("rep").agg(F.max_by("center", F.struct("q", -F.col("center"))).alias("center")))
+    of = sets.join(center.select(F.col("center").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("center"), "x").distinct()
+    met = shared.join(center, "rep").join(of, ["center", "x"]).groupBy("rep").agg(F.count("*").alias("p"))
+    return written(center.join(met, "rep", "left").select("rep", "center", F.coalesce("p", F.lit(0)).alias("p")))
+
+
+def mixed_only(held: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """Of bucket members those that may still link across components: bucket, rep, c and, with sizes, n and s.
+
+    A link needs 100 |x & y| >= 75 |x | y|, which is 7 |x & y| >= 3 (|x| + |y|). The intersection is at most s of either, and
+    the partner at least as large as its bucket's smallest member.
+    """
+    if sizes is not None:
+        held = held.join(sizes, "rep")
+        least = held.groupBy("bucket").agg(F.min("n").alias("n0"))
+        held = held.join(least, "bucket").filter("7 * s >= 3 * (n + n0)").drop("n0")
+    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket")
+    return written(held.join(mixed, "bucket", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -163,25 +206,32 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tested = written(members.filter("rep <> pivot").select(*ordered("rep", "pivot")).distinct())
     edges = verified(tested, reps, docs, text)
-    for last in [False] * PIVOT_ROUNDS + [True]:
+    # A bucket of two has been tested as a whole.
+    members = members.join(full.filter("n > 2").select("bucket"), "bucket", "left_semi").select("bucket", "rep")
+    sizes = None
+    for last in (False, True):
         labels = components(edges)
-        held = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        # A bucket of two was tested as a whole; of others, those whose members are still in several components stay.
-        mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.min_by(F.struct("rep", "c"), F.xxhash64("rep")).alias("p"))
-        mixed = mixed.filter("c0 <> c1 AND n > 2").select("bucket", "p")
-        held = written(held.join(mixed, "bucket"))
+        held = mixed_only(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), None)
         if held.isEmpty():
             break
+        if sizes is None:
+            sets, shared = shared_shingles(held, docs, text)
+            sizes = written(sets.groupBy("rep").agg(F.min("n").alias("n")).join(shared.groupBy("rep").agg(F.count("*").alias("s")), "rep"))
+        held = mixed_only(held, sizes)
         if last:
-            x, y = (held.select("bucket", F.col("rep").alias(r), F.col("c").alias(f"c{r}")) for r in "ab")
-            new = x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct()
+            held = held.join(centred(held, sets, shared), "rep").join(reps.select("rep", "_bands"), "rep")
+            x, y = (held.select("bucket", *[F.col(c).alias(f"{c}{r}") for c in ("rep", "c", "n", "s", "center", "p", "_bands")]) for r in "ab")
+            most = "CASE WHEN centera = centerb THEN least(pa, pb) + least(sa - pa, sb - pb) ELSE least(sa, sb) END"
+            may = f"repa < repb AND ca <> cb AND 7 * ({most}) >= 3 * (na + nb)"
+            may += " AND array_intersect(_bandsa, _bandsb)[0] = bucket"  # once for each pair, in the first bucket that both are in
+            new = x.join(y, "bucket").filter(may).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
         else:
-            new = held.filter("c <> p.c").select(*ordered("rep", "p.rep")).distinct()
+            # The member that shares most with the others is the likeliest source of a group of edited copies.
+            best = held.groupBy("bucket").agg(F.max_by(F.struct("rep", "c"), F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("p"))
+            new = held.join(best, "bucket").filter("c <> p.c").select(*ordered("rep", "p.rep")).distinct()
         new = written(new.join(tested, ["a", "b"], "left_anti"))
         edges = written(edges.union(verified(new, reps, docs, text)))
-        tested = tested.union(new)
-        # One pivot of a bucket stands for its component only; the next round takes the components as they are then.
-        members = held.select("bucket", "rep")
+        tested, members = tested.union(new), held.select("bucket", "rep")
     labels = components(edges)
     named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("_k", F.coalesce("component", "rep").alias("component_id"))
     # Rows without a digest get one of their own, as equal join keys would meet in one task.
