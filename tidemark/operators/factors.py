@@ -100,12 +100,12 @@ def cross_sectional_z(panel: DataFrame, factors: tuple[str, ...], clip: float |
     return panel.select("*", *[z(f).alias(f"z_{f}") for f in factors])
 
 
-def composite_score(panel: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def composite_score(panel: DataFrame, weights: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """ticker, date, score: weighed sum of clipped z scores; null where one is."""
     weights = weights or COMPOSITE
     z = cross_sectional_z(panel, tuple(weights))
     total = sum((F.col(f"z_{f}") * w for f, w in weights.items()), F.lit(0.0))
-    return z.select("ticker", "date", total.alias("score"), "fwd_return", "ret_1d")
+    return z.select("ticker", "date", total.alias("score"), "fwd_return", "ret_1d", *keep)
 
 
 def coverage(panel: DataFrame, factors: tuple[str, ...] = PRICE_FACTORS, least: float = 0.30) -> DataFrame:
