@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("panel_queries", "inference_queries", "trading_queries")
+MODULES = ("panel_queries", "inference_queries", "trading_queries", "text_queries", "reporting_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
