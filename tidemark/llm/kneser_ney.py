@@ -27,7 +27,10 @@ SHARD = 1 << 21
 BLOCK = 1 << 20
 #: Tokens whose n-grams are combined in a task before they are sent.
 COMBINE = 1 << 22
+#: Tokens that are scored at once.
+SCORED = 1 << 19
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_UNMIX = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def token_hashes(text: bytes) -> np.ndarray:
@@ -43,7 +46,12 @@ def mixed(pair: np.ndarray) -> np.ndarray:
     """A one-to-one hash of 64-bit pair keys."""
     x = pair.astype(np.uint64)
     x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """The pair keys of such hashes."""
+    x = (h ^ (h >> np.uint64(32))) * _UNMIX
     return x ^ (x >> np.uint64(32))
 
 
@@ -166,15 +174,16 @@ class Arrays:
         return np.where(total > 0, np.maximum(times - less, 0) / np.maximum(total, 1), 0.0) + gamma * p1
 
 
-def _combined(pairs_of: Callable[[np.ndarray], np.ndarray], out: str):
-    """Counts of what `pairs_of` makes of each batch's tokens, combined within a task as far as COMBINE tokens go."""
+def _combined(keys_of: Callable[[list[np.ndarray]], np.ndarray], bits: int):
+    """(s, k, n): counts of the keys of tokens, combined within a task as far as COMBINE tokens go; s is a key's shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(pairs_of(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "n"])
+            keys, n = np.unique(keys_of(held), return_counts=True)
+            shard = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys.view(np.int64)), pa.array(n)], names=["s", "k", "n"])
 
         for batch in batches:
             for text in batch.column("t").to_pylist():
@@ -197,7 +206,7 @@ def _pairs_of(stored: Stored):
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])] = stored.n_words
-        return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+        return mixed((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
 
     return pairs
 
@@ -217,21 +226,60 @@ def _put(uri: str, arrays: dict[str, np.ndarray], shard: int) -> pa.Table:
 _FILES = "name string, shard long, n long"
 
 
-def _shards(rows: DataFrame, shard: Column, write: Callable[[pa.Table], pa.Table]) -> dict:
-    files = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(write, _FILES).collect()
-    return {(f.name, f.shard): f.n for f in files}
-
-
-def _top(column: str, bits: int) -> Column:
-    return F.shiftrightunsigned(F.col(column), 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+def _listed(files: DataFrame) -> dict:
+    """(name, shard) -> elements; a row for each file, so as many as shards."""
+    return {(f.name, f.shard): f.n for f in files.collect()}
 
 
 def _bits(n: int) -> int:
     return max(4, (n // SHARD).bit_length() + 1)
 
 
-def _column(t: pa.Table, name: str) -> np.ndarray:
-    return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+def _column(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    c = t.column(name)
+    return (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).to_numpy(zero_copy_only=False)
+
+
+def _store(uri: str, keys: str, counts: str, kind: str):
+    """Writes the shards of a partition, each sorted by its keys; a partition holds whole shards, of bounded size."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            s, k, n = (_column(b, c) for c in ("s", "k", "n"))
+            for i in np.unique(s):
+                mine = s == i
+                held.setdefault(int(i), []).append((k[mine].view(np.uint64), n[mine].astype(kind)))
+        for i in list(held):
+            k, n = (np.concatenate(x) for x in zip(*held.pop(i), strict=True))
+            order = np.argsort(k)
+            yield from _put(uri, {keys: k[order], counts: n[order]}, i).to_batches()
+
+    return write
+
+
+def _counted(texts: DataFrame, keys_of: Callable, bits: int) -> DataFrame:
+    """(s, k, n) with the rows of a shard in one partition: one shuffle serves the sums and the files."""
+    return texts.mapInArrow(_combined(keys_of, bits), "s int, k long, n long").repartition(1 << bits, "s").groupBy("s", "k").agg(F.sum("n").alias("n"))
+
+
+def _contexts(uri: str, sizes: dict):
+    """Of each shard of pairs: sums over its pairs by context (side 0), by word (side 1), and how many occur 1 to 4 times."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = Arrays(Stored(uri, sizes, 0, 0, 0, 0, (), (), 0, 0.0))
+        for batch in batches:
+            for i in batch.column("i").to_pylist():
+                pair, times = unmixed(np.asarray(arrays.get("pair", i, "<u8"))), np.asarray(arrays.get("times", i, "<u4")).astype(np.int64)
+                for side, ids in ((0, pair >> np.uint64(32)), (1, pair & np.uint64(0xFFFFFFFF))):
+                    order = np.argsort(ids, kind="stable")
+                    ids, t = ids[order], times[order]
+                    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                    sums = lambda x, f=first: pa.array(np.add.reduceat(x.astype(np.int64), f))
+                    cols = [pa.array(np.full(len(first), side, np.int32)), pa.array(ids[first].astype(np.int64)), sums(t), sums(np.ones(len(t))), sums(t == 1), sums(t == 2), sums(t == 3), sums(t == 4)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["side", "id", "total", "pairs", "n1", "n2", "t3", "t4"])
+
+    return read
 
 
 def train(docs: DataFrame, text: str = "text") -> Stored:
@@ -241,45 +289,29 @@ def train(docs: DataFrame, text: str = "text") -> Stored:
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     texts = docs.select(text_of(text).cast("binary").alias("t"))
 
-    words = texts.mapInArrow(_combined(np.concatenate, "word"), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    words = written(words)
-    n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Shards are numbered before words are counted: texts rarely have more than one different word in 64 bytes.
+    most = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    bits = _bits(most // 64)
+    sizes = _listed(written(_counted(texts, np.concatenate, bits).mapInArrow(_store(uri, "hash", "count", "<i8"), _FILES)))
+    n_words = sum(n for (name, _), n in sizes.items() if name == "hash")
     if n_words >= 1 << 31:
         raise ValueError("over 2^31 different words don't fit into a pair key")
-    bits = _bits(n_words)
-
-    def put_words(t: pa.Table) -> pa.Table:
-        h = _column(t, "k").view(np.uint64)
-        order = np.argsort(h)
-        return _put(uri, {"hash": h[order], "count": _column(t, "n")[order].astype("<i8")}, t.column("shard")[0].as_py())
-
-    sizes = _shards(words, _top("k", bits), put_words)
-    stored = Stored(uri, sizes, n_tokens, n_words, bits, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, 1.0)
     if not n_words:
-        return stored
-
-    pairs = written(texts.mapInArrow(_combined(_pairs_of(stored), "pair"), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
-    times = lambda c, i: F.count_if(F.col(c) == i)
-    n_pairs, *high = pairs.agg(F.count("*"), *[times("n", i) for i in (1, 2, 3, 4)]).first()
-    d = discounts(*high)
-    pair_bits = _bits(n_pairs)
+        return Stored(uri, sizes, 0, 0, bits, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, 1.0)
+    arrays = spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(_token_sums(uri, sizes), "n long")
+    n_tokens = arrays.agg(F.sum("n")).first()[0]
+    stored = Stored(uri, sizes, n_tokens, n_words, bits, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0, 1.0)
 
     # Shards by the hash of the pair, so that a word that is in a third of all pairs doesn't fill one.
-    def put_pairs(t: pa.Table) -> pa.Table:
-        h = mixed(_column(t, "k"))
-        order = np.argsort(h)
-        return _put(uri, {"pair": h[order], "times": np.minimum(_column(t, "n")[order], 0xFFFFFFFF).astype("<u4")}, t.column("shard")[0].as_py())
-
-    def hash_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column("k").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), pa.array((mixed(k) >> np.uint64(64 - pair_bits)).astype(np.int64))], names=["k", "n", "s"])
-
-    sizes |= _shards(pairs.mapInArrow(hash_top, "k long, n long, s long"), F.col("s"), put_pairs)
-
-    contexts = written(pairs.groupBy(F.shiftright("k", 32).alias("id")).agg(F.sum("n").alias("total"), times("n", 1).alias("n1"), times("n", 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3")))
-    follows = written(pairs.groupBy(F.col("k").bitwiseAND(0xFFFFFFFF).alias("id")).agg(F.count("*").alias("follows")))
-    low_total, *low = follows.agg(F.sum("follows"), *[times("follows", i) for i in (1, 2, 3, 4)], F.count_if(F.col("follows") > 2)).first()
+    pair_bits = _bits(n_tokens)
+    sizes = sizes | _listed(written(_counted(texts, _pairs_of(stored), pair_bits).mapInArrow(_store(uri, "pair", "times", "<u4"), _FILES)))
+    shards = spark.createDataFrame([(i,) for (name, i) in sizes if name == "pair"], "i int").repartition(1 << pair_bits, "i")
+    part = shards.mapInArrow(_contexts(uri, sizes), "side int, id long, total long, pairs long, n1 long, n2 long, t3 long, t4 long")
+    by_id = written(part.groupBy("side", "id").agg(*[F.sum(c).alias(c) for c in ("total", "pairs", "n1", "n2", "t3", "t4")]))
+    contexts, follows = (by_id.filter(F.col("side") == i) for i in (0, 1))
+    d = discounts(*contexts.agg(*[F.sum(c) for c in ("n1", "n2", "t3", "t4")]).first())
+    times = lambda i: F.count_if(F.col("pairs") == i)
+    low_total, *low = follows.agg(F.sum("pairs"), *map(times, (1, 2, 3, 4)), F.count_if(F.col("pairs") > 2)).first()
     d_low = discounts(*low[:4])
     low_gamma = (d_low[0] * low[0] + d_low[1] * low[1] + d_low[2] * low[4]) / low_total
 
@@ -295,37 +327,61 @@ def train(docs: DataFrame, text: str = "text") -> Stored:
         return put
 
     def of_context(t: pa.Table) -> dict[str, np.ndarray]:
-        total = _column(t, "total").astype(float)
-        return {"total": total, "gamma": (d[0] * _column(t, "n1") + d[1] * _column(t, "n2") + d[2] * _column(t, "n3")) / total}
+        total, pairs, n1, n2 = (_column(t, c).astype(float) for c in ("total", "pairs", "n1", "n2"))
+        return {"total": total, "gamma": (d[0] * n1 + d[1] * n2 + d[2] * (pairs - n1 - n2)) / total}
 
     block = F.floor(F.col("id") / BLOCK).cast("long")
-    sizes |= _shards(contexts, block, by_number(of_context))
-    sizes |= _shards(follows, block, by_number(lambda t: {"follows": _column(t, "follows").astype(float)}))
+    sizes |= _listed(contexts.withColumn("shard", block).groupBy("shard").applyInArrow(by_number(of_context), _FILES))
+    sizes |= _listed(follows.withColumn("shard", block).groupBy("shard").applyInArrow(by_number(lambda t: {"follows": _column(t, "pairs").astype(float)}), _FILES))
     return Stored(uri, sizes, n_tokens, n_words, bits, pair_bits, d, d_low, low_total, low_gamma)
 
 
+def _token_sums(uri: str, sizes: dict):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = Arrays(Stored(uri, sizes, 0, 0, 0, 0, (), (), 0, 0.0))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(arrays.get("count", i, "<i8").sum()) for i in batch.column("id").to_pylist()], pa.int64())], names=["n"])
+
+    return read
+
+
+def _slices(texts: list[bytes]) -> Iterator[list[np.ndarray]]:
+    """The texts' tokens, in lists of about SCORED tokens at most (one text at least)."""
+    docs, size = [], 0
+    for t in texts:
+        d = token_hashes(t)
+        if docs and size + len(d) > SCORED:
+            yield docs
+            docs, size = [], 0
+        docs.append(d)
+        size += len(d)
+    if docs:
+        yield docs
+
+
+def _scores(m: Arrays, docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(tokens, known tokens, base score, score) of each document."""
+    lengths = np.array([len(d) for d in docs])
+    start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    different, at = np.unique(np.concatenate(docs), return_inverse=True)
+    ids, counts = (x[at] for x in m.words(different))
+    base = np.log10((counts + 1) / (m.s.n_tokens + 1 * (m.s.n_words + 1)))
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[start] = m.s.n_words
+    # Unknown words are one word here, so a pair of numbers stands for all that the model sees of it.
+    pair, at = np.unique(((before + 1) << 32) | (ids + 1), return_inverse=True)
+    p = np.log10(m.probabilities((pair >> 32) - 1, (pair & 0xFFFFFFFF) - 1))[at]
+    return lengths, *(np.add.reduceat(x, start) for x in ((counts > 0).astype(np.int64), base, p))
+
+
 def _scorer(stored: Stored):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, docs = Arrays.of(stored), [token_hashes(t) for t in batch.column("t").to_pylist()]
-            if not docs:
-                continue
-            lengths = np.array([len(d) for d in docs])
-            start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            different, at = np.unique(np.concatenate(docs), return_inverse=True)
-            ids, counts = (x[at] for x in m.words(different))
-            base = np.log10((counts + 1) / (stored.n_tokens + 1 * (stored.n_words + 1)))
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[start] = stored.n_words
-            # Unknown words are one word here, so a pair of numbers stands for all that the model sees of it.
-            pair, at = np.unique(((before + 1) << 32) | (ids + 1), return_inverse=True)
-            p = np.log10(m.probabilities((pair >> 32) - 1, (pair & 0xFFFFFFFF) - 1))[at]
-            sums = lambda x: np.add.reduceat(x, start)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(sums((counts > 0).astype(np.int64))), pa.array(sums(base)), pa.array(sums(p))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            parts = [_scores(Arrays.of(stored), docs) for docs in _slices(batch.column("t").to_pylist())]
+            if parts:
+                columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
