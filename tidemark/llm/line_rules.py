@@ -106,7 +106,8 @@ def line_rules(docs: DataFrame, text: str = "text", host: str = "source", min_do
     table gives an empty one.
     """
     t = text_of(text)
-    stats = text_statistics(docs, [F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), *doc_key(docs, t)], text)
+    # Written, as a filter on the verdict would otherwise be pushed through the nested array expressions and copy them.
+    stats = written(text_statistics(docs, [F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), *doc_key(docs, t)], text))
     found = small(written(frequent_lines(docs, text, host, min_docs, max_percent)))
     # Repeated rows repeat their lines here, so a line counts once for each occurrence in one row.
     hits = host_lines(docs, text, host).join(found.select("_host", "_lh"), ["_host", "_lh"])
