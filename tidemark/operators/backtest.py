@@ -90,8 +90,11 @@ def daily_pnl(pos: DataFrame, costs: DataFrame, year: float) -> DataFrame:
 
 
 def run(signals: DataFrame, returns: DataFrame, liquidity: DataFrame, every: int, year: float, lag: int = 0) -> DataFrame:
-    weights = form_weights(signals)
-    pos = positions(weights, schedule(weights, returns, every, lag), returns)
+    """Daily results of all strategies. Weights and positions feed several joins each, so they are kept after first use
+    (in memory, then on disk; what a lost executor held is computed again).
+    """
+    weights, returns = form_weights(signals).persist(), returns.persist()
+    pos = positions(weights, schedule(weights, returns, every, lag), returns).persist()
     return daily_pnl(pos, rebalance_costs(pos, liquidity), year)
 
 

@@ -35,7 +35,7 @@ def _liquidity(spark, d):
 
 
 def _pnl(spark, d, lag=0):
-    return bt.run(_signals(spark, d), market.returns(spark, d), _liquidity(spark, d), EVERY, YEAR, lag)
+    return bt.run(_signals(spark, d), market.returns(spark, d), _liquidity(spark, d), EVERY, YEAR, lag).persist()
 
 
 def _weights_sql() -> str:
