@@ -40,4 +40,4 @@ def test_rows_match(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_give_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, "/root/testdata/sf0.01" if name.startswith(("oos_", "wf_", "fama", "strategy", "factor_risk")) else sf_dir).limit(5).count() > 0
+    assert QUERIES[name](spark, "/root/testdata/sf0.01" if name.startswith(("oos_", "wf_", "fama", "strategy", "factor_risk", "research", "in_sample")) else sf_dir).limit(5).count() > 0

@@ -10,7 +10,7 @@ from tidemark.functions import moments
 from tidemark.functions.windows import asof, ordered
 from tidemark.operators import backtest, factors, inference, ml, portfolio, quality, reporting, retrieval, risk, text
 from tidemark.plans import research
-from tidemark.sources import generate
+from tidemark.sources import generate, parse, sinks
 
 START = dt.date(2022, 1, 3)
 
@@ -186,6 +186,24 @@ def test_generated_universe_is_reproducible(spark):
     assert a == b and len(a) == 600 and a[0].date.year == 2024
 
 
+def test_payloads_become_rows(spark):
+    raw = spark.createDataFrame([("A", '{"facts": {"Assets": {"units": {"USD": [{"end": "2024-03-31", "filed": "2024-05-01", "val": 7.5, "form": "10-Q"}, {"end": null, "filed": "2024-05-01", "val": 1}]}}}}'), ("B", None), ("C", "{}")], "ticker string, payload string")
+    rows = parse.company_facts(raw).collect()
+    assert [(r.ticker, r.tag, r.unit, str(r.period_end), r.value, r.form) for r in rows] == [("A", "Assets", "USD", "2024-03-31", 7.5, "10-Q")]
+    s = spark.createDataFrame([("1704067200",), ("2024-01-01T00:00:00Z",), ("soon",), (None,)], "x string").select(F.unix_timestamp(parse.published(F.col("x"))).alias("s"))
+    assert [r.s for r in s.collect()] == [1704067200, 1704067200, None, None]
+    d, v = parse.series_line(F.col("x"))
+    assert [tuple(map(str, r)) for r in spark.createDataFrame([("2024-01-02,3.5",), ("2024-01-03,.",)], "x string").select(d, v).collect()] == [("2024-01-02", "3.5"), ("2024-01-03", "None")]
+
+
+def test_results_are_appended(spark, tmp_path):
+    m = sinks.metrics(spark.createDataFrame([("s", 1.5, 2)], "strategy string, sharpe double, n int"), "r1")
+    for _ in range(2):
+        sinks.append(m, str(tmp_path / "m"), ["run_id"])
+    rows = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert sorted((r.metric, r.value) for r in rows) == [("n", 2.0), ("n", 2.0), ("sharpe", 1.5), ("sharpe", 1.5)]
+
+
 def test_plans_are_bounded():
     p = research.plan_for("Does momentum of Brand#1 and Brand#2 last a quarter?")
     assert p.universe == ("Brand#1", "Brand#2") and p.families == ("momentum",) and p.horizon == 13

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import factors as fx
 from tidemark.operators import reporting
-from tidemark.plans import ctes
+from tidemark.plans import ctes, research
 from tidemark.plans.ctes import WEEKLY, rounded
 from tidemark.plans.registry import query
-from tidemark.sources import market
+from tidemark.sources import market, parse
 from tidemark.streaming import bars as stream
 
 _MODELS = "m AS (SELECT l_returnflag AS model, l_suppkey AS run_id, l_linenumber AS fold, l_discount AS accuracy, l_tax AS ic, l_orderkey AS ok FROM lineitem)"
@@ -151,6 +151,37 @@ def feature_drift(spark, d):
     return rounded(reporting.psi(rows, F.col("early")))
 
 
+@query("SELECT event_type AS agent, CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 AS band, count(*) AS n FROM events GROUP BY ALL")
+def json_bands(spark, d):
+    """A field of a JSON column in bands."""
+    k = F.from_json("props", "k int")["k"]
+    return market.table(spark, d, "events").groupBy(F.col("event_type").alias("agent"), F.floor(k / 10).cast("int").alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, count(*) FILTER (o_orderkey % 7 > 0) AS known, round(sum(CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END), 4) + 0.0::DOUBLE AS value FROM orders GROUP BY 1")
+def csv_series(spark, d):
+    """Lines `date,value` in which a dot stands for a missing value."""
+    o = market.table(spark, d, "orders")
+    line = F.concat_ws(",", F.col("o_orderdate").cast("date").cast("string"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).otherwise("."))
+    date, value = parse.series_line(line)
+    return rounded(o.select(date.alias("date"), value.alias("value")).groupBy("date").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.sum("value").alias("value")), 4)
+
+
+@query("SELECT event_id, epoch_us(CAST(date_trunc('second', ts) AS TIMESTAMP)) // 1000000 AS seconds FROM events")
+def mixed_timestamps(spark, d):
+    """Epoch seconds and ISO strings, one of each in turn."""
+    e = market.table(spark, d, "events").withColumn("at", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    stamp = F.when(F.col("event_id") % 2 == 0, F.unix_timestamp("at").cast("string")).otherwise(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return e.select("event_id", F.unix_timestamp(parse.published(stamp)).alias("seconds"))
+
+
+@query()
+def research_findings(spark, d):
+    """What the critic says to a question, as rows."""
+    r = research.run(spark, d, "Does reversal pay over a month?")
+    return spark.createDataFrame([("verdict", r.verdict, r.plan.question), *r.findings], "check string, severity string, detail string")
+
+
 @query("SELECT CAST(ts AS DATE) AS date, event_type AS ticker, count(*) AS n, round(sum(value), 4) + 0.0::DOUBLE AS volume, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2")
 def stream_daily_bars(spark, d):
     """An extension: daily bars by a stream with a watermark, run to its end."""

@@ -297,3 +297,22 @@ def alloc_optimised(spark, d):
         return pd.DataFrame({"method": method, "ticker": NAMES, "w": portfolio.allocate(pdf.sort_values("date")[NAMES].to_numpy(), method)})
 
     return rounded(jobs.groupBy("method").applyInPandas(weigh, "method string, ticker string, w double"), 4)
+
+
+@query()
+def in_sample_optimism(spark, d):
+    """Sharpe ratio of each method's weights fitted on all dates, less that of its walk forward."""
+    import pandas as pd
+
+    r = market.returns(spark, d)
+    wide = r.groupBy("date").pivot("ticker", NAMES).agg(F.max("ret")).na.fill(0.0)
+    jobs = wide.join(F.broadcast(spark.createDataFrame([(m,) for m in portfolio.METHODS], "method string")))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("date")[NAMES].to_numpy()
+        y = x @ portfolio.allocate(x, pdf["method"].iloc[0])
+        return pd.DataFrame({"method": [pdf["method"].iloc[0]], "in_sample": [y.mean() / y.std(ddof=1) * YEAR**0.5]})
+
+    walked = portfolio.walk_forward(r, NAMES, lookback=52, every=13).groupBy("method").agg(moments.sharpe(F.col("ret"), YEAR).alias("walked"))
+    both = jobs.groupBy("method").applyInPandas(whole, "method string, in_sample double").join(walked, "method")
+    return rounded(both.withColumn("optimism", F.col("in_sample") - F.col("walked")))
