@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 #: Null ids and texts, empty and blank texts, repeated rows, ties, a long text, and columns that clash with results.
 ODD = [
@@ -18,7 +19,8 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, kept string").withColumnsRenamed({"kept": "kept"})
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    return df.withColumns({c: F.lit("clash") for c in ("_d", "_h", "_t", "_k", "_w", "t", "rep", "spans", "n_words", "component_id", "size", "shard", "piece", "length", "score", "held_out", "hits", "_host", "_rows")})
 
 
 @pytest.fixture(scope="session")

@@ -57,7 +57,7 @@ def test_added_spans_and_redaction(spark):
 
 
 def test_pii_odd_rows(odd_docs, no_docs):
-    rows = pii.find_pii(odd_docs, [F.col("doc_id"), F.col("kept")]).collect()
+    rows = pii.find_pii(odd_docs, [F.col("doc_id"), F.col("kept"), F.col("score")]).collect()
     assert len(rows) == 11
     assert [[s.k for s in r.spans] for r in rows if r.doc_id in (5, 6)] == [[0, 3, 1]] * 3
     assert all(not r.spans for r in rows if r.doc_id in (1, 2, 3, 8, 9))

@@ -50,7 +50,6 @@ def test_stages(spark, documents, sf_dir):
 
 def test_odd_rows(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs, no_docs):
-        docs = docs.drop("kept")
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, sf_dir))
     assert docs.count() == 0
