@@ -22,6 +22,11 @@ def kurtosis(x: Column) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's; null where either side is constant, for which the built-in one fails under ANSI arithmetic."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def normal_cdf(z: Column) -> Column:
     """Phi by the Zelen-Severo polynomial, right to 7.5e-8."""
     t = 1 / (1 + 0.2316419 * F.abs(z))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import moments
 from tidemark.functions.windows import asof, average_rank, change, log_return, ordered, rolling
 
 YEAR = 252.0
@@ -74,7 +75,7 @@ def information_coefficients(long: DataFrame) -> DataFrame:
     pairs = long.filter("x IS NOT NULL AND fwd_return IS NOT NULL")
     by = ["factor", "date"]
     ranked = pairs.select(*by, average_rank(F.col("x"), by).alias("rx"), average_rank(F.col("fwd_return"), by).alias("ry"))
-    ic = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("ic"))
+    ic = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), moments.correlation("rx", "ry")).alias("ic"))
     return ic.filter("n >= 4 AND ic IS NOT NULL").select(*by, "ic")
 
 

@@ -43,7 +43,7 @@ def average_correlation(returns: DataFrame) -> DataFrame:
     """(avg_corr, pairs) over pairs of tickers that trade on common dates, within 0 and 0.99."""
     a = returns.select("date", F.col("ticker").alias("a"), F.col("ret").alias("x"))
     b = returns.select("date", F.col("ticker").alias("b"), F.col("ret").alias("y"))
-    pairs = a.join(b, "date").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("c")).filter("c IS NOT NULL")
+    pairs = a.join(b, "date").filter("a < b").groupBy("a", "b").agg(moments.correlation("x", "y").alias("c")).filter("c IS NOT NULL")
     return pairs.agg(F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.avg("c"))).alias("avg_corr"), F.count("*").alias("pairs"))
 
 

@@ -27,8 +27,9 @@ def market_exposure(series: DataFrame, benchmark: DataFrame, year: float) -> Dat
     """(series, n, beta, alpha, r2, information_ratio) against `b` of the common dates; twenty at least."""
     j = series.join(F.broadcast(benchmark), "date")
     active = F.col("r") - F.col("b")
+    slope = F.covar_pop("r", "b") / F.nullif(F.var_pop("b"), F.lit(0.0))
     m = j.groupBy("series").agg(
-        F.count("*").alias("n"), F.regr_slope("r", "b").alias("beta"), (F.regr_intercept("r", "b") * F.lit(year)).alias("alpha"), F.regr_r2("r", "b").alias("r2"),
+        F.count("*").alias("n"), slope.alias("beta"), ((F.avg("r") - slope * F.avg("b")) * F.lit(year)).alias("alpha"), F.pow(moments.correlation("r", "b"), F.lit(2.0)).alias("r2"),
         (F.avg(active) / F.nullif(F.stddev_samp(active), F.lit(0.0)) * F.lit(year**0.5)).alias("information_ratio"),
     )
     return m.filter("n >= 20")

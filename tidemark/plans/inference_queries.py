@@ -193,5 +193,5 @@ def oos_gbt(spark, d):
 FROM long WHERE x IS NOT NULL AND fwd_return IS NOT NULL GROUP BY factor""")
 def critic_lookahead(spark, d):
     """Factors whose pooled correlation with the label is too good to be known in time."""
-    x = fx.unpivoted(_panel(spark, d)).filter("x IS NOT NULL AND fwd_return IS NOT NULL").groupBy("factor").agg(F.count("*").alias("n"), F.corr("x", "fwd_return").alias("r"))
+    x = fx.unpivoted(_panel(spark, d)).filter("x IS NOT NULL AND fwd_return IS NOT NULL").groupBy("factor").agg(F.count("*").alias("n"), moments.correlation("x", "fwd_return").alias("r"))
     return rounded(x.withColumn("suspect", (F.col("n") > 30) & (F.abs("r") > 0.3)))

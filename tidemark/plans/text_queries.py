@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import moments
 from tidemark.operators import retrieval, text
 from tidemark.plans.ctes import rounded
 from tidemark.plans.registry import query
@@ -208,4 +209,4 @@ def compare_backends(spark, d):
     """Two sentiment engines: agreement and how often each is neutral."""
     w = text.tokens(F.col("text"))
     s = _docs(spark, d).select(text.lexicon_scores(w, POS, NEG)[0].alias("a"), text.lexicon_scores(w, POS, ("ing", "ed"))[0].alias("b"))
-    return rounded(s.agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.count_if(F.abs(F.col("a") - F.col("b")) > 0.8).alias("disagree"), F.avg((F.col("a") == 0).cast("double")).alias("neutral_a"), F.avg((F.col("b") == 0).cast("double")).alias("neutral_b")))
+    return rounded(s.agg(F.count("*").alias("n"), moments.correlation("a", "b").alias("r"), F.count_if(F.abs(F.col("a") - F.col("b")) > 0.8).alias("disagree"), F.avg((F.col("a") == 0).cast("double")).alias("neutral_a"), F.avg((F.col("b") == 0).cast("double")).alias("neutral_b")))
