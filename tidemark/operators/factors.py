@@ -31,8 +31,11 @@ class Lookbacks:
 #: For weekly bars of a few years, where a year of look-back would leave little to test on.
 WEEKLY = Lookbacks(12, 1, 4, 1, 8, 16, 16, 6, 4)
 PRICE_FACTORS = ("momentum_12_1", "momentum_3m", "volatility_20d", "volatility_60d", "mean_reversion", "liquidity", "downside_ratio")
-#: Fixed weights of the composite score.
-COMPOSITE = {"momentum_12_1": 0.25, "momentum_3m": 0.10, "volatility_60d": -0.15, "mean_reversion": -0.10, "liquidity": 0.05, "downside_ratio": -0.10}
+#: Fixed weights of the composite score; those of factors that a panel has are used.
+COMPOSITE = {
+    "momentum_12_1": 0.30, "momentum_3m": 0.15, "earnings_yield": 0.20, "book_to_price": 0.10, "return_on_equity": 0.15,
+    "operating_margin": 0.10, "mean_reversion": -0.10, "volatility_20d": -0.10, "leverage": -0.05,
+}
 
 
 def momentum(c: Column, back: int, skip: int, w) -> Column:
@@ -103,7 +106,7 @@ def cross_sectional_z(panel: DataFrame, factors: tuple[str, ...], clip: float |
 
 def composite_score(panel: DataFrame, weights: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """ticker, date, score: weighed sum of clipped z scores; null where one is."""
-    weights = weights or COMPOSITE
+    weights = {f: w for f, w in (weights or COMPOSITE).items() if f in panel.columns}
     z = cross_sectional_z(panel, tuple(weights))
     total = sum((F.col(f"z_{f}") * w for f, w in weights.items()), F.lit(0.0))
     return z.select("ticker", "date", total.alias("score"), "fwd_return", "ret_1d", *keep)

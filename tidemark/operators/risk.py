@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import moments
 
 #: Fixed market shocks of the scenario table.
-SHOCKS = {"credit_crisis_2008": -0.385, "volatility_spike_2018": -0.09, "pandemic_2020": -0.339, "rate_shock_2022": -0.245}
+SHOCKS = {"gfc_2008_q4": -0.2260, "covid_crash_2020": -0.3390, "rates_shock_2022": -0.2520, "vol_spike_2018q4": -0.1400}
 
 
 def tail_risk(series: DataFrame, p: float = 0.05) -> DataFrame:

@@ -5,13 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lexicons and patterns.
-POSITIVE = ("beat", "beats", "exceeds", "growth", "record", "strong", "upgrade", "outperform", "profit", "surge", "gain", "gains", "raises", "bullish")
-NEGATIVE = ("miss", "misses", "decline", "weak", "downgrade", "loss", "lawsuit", "probe", "recall", "cuts", "falls", "drop", "warning", "bearish")
-EVENTS = {"earnings": r"\b(?:earnings|quarter|q[1-4])\b", "guidance": r"\b(?:guidance|outlook|forecast)\b", "merger": r"\b(?:merger|acquire|acquisition)\b", "legal": r"\b(?:lawsuit|probe|settlement)\b", "product": r"\b(?:launch|unveil|release)\b", "management": r"\b(?:ceo|cfo|resign)\b", "rating": r"\b(?:upgrade|downgrade)\b"}
-HEDGES, CONFIDENT = r"\b(?:may|might|could|possibly|uncertain)\b", r"\b(?:will|confident|strong|record|expect)\b"
-RISKS = {"market": r"(?i)\b(?:market|demand|competition)\b", "credit": r"(?i)\b(?:credit|default)\b", "operational": r"(?i)\b(?:supply|disruption|outage)\b", "legal": r"(?i)\b(?:litigation|regulat\w+|licen[cs]e\w*)\b"}
-SECTIONS = (("risk_factors", r"item\s+1a"), ("business", r"item\s+1\b"), ("discussion", r"item\s+7\b"), ("market_risk", r"item\s+7a"), ("statements", r"item\s+8\b"))
+#: Lexicons, event and risk patterns, tone terms, section headings, the form of amounts.
+POSITIVE = ("beat", "beats", "raises", "raised", "growth", "outperform", "buyback", "upgrade", "upgraded", "strong", "record", "expands", "expansion", "surges", "rally", "profit", "gains", "exceeds", "accelerating")
+NEGATIVE = ("miss", "misses", "missed", "cuts", "cut", "pressure", "downgrade", "downgraded", "weak", "softens", "softer", "decline", "declines", "restructuring", "lawsuit", "probe", "investigation", "slump", "plunge", "loss", "losses", "warns", "warning", "delays", "recall")
+EVENTS = {
+    "earnings": r"\b(beat|miss|earnings|guidance|outlook|eps|revenue)\b",
+    "capital_return": r"\b(buyback|dividend|repurchase)\b",
+    "leverage_credit": r"\b(leverage|debt|downgrade|credit rating|refinanc)\w*\b",
+    "management_change": r"\b(names? new|appoints?|steps? down|resign|ceo|cfo)\b",
+    "m_and_a": r"\b(acqui\w+|merger|takeover|divest\w*|spin-?off)\b",
+    "legal_regulatory": r"\b(lawsuit|litigation|probe|investigation|antitrust|fine[sd]?|settle\w*)\b",
+    "guidance_change": r"\b(raises?|cuts?|lowers?|lifts?)\s+(its\s+)?(full-?year\s+)?(guidance|outlook|forecast)\b",
+}
+RISKS = {
+    "supply_chain": r"(?i)\b(supply chain|supplier|shortage|logistics|inventory)\b",
+    "regulatory": r"(?i)\b(regulat\w+|complian\w+|antitrust|gdpr|sanction)\b",
+    "competition": r"(?i)\b(competit\w+|market share|pricing pressure)\b",
+    "cybersecurity": r"(?i)\b(cyber\w*|data breach|ransomware|information security)\b",
+    "macro": r"(?i)\b(inflation|recession|interest rate|foreign exchange|currency)\b",
+    "concentration": r"(?i)\b(concentrat\w+|single (customer|supplier)|depend\w+ on a (limited|small))\b",
+    "litigation": r"(?i)\b(litigation|lawsuit|legal proceeding|claim)\b",
+    "talent": r"(?i)\b(key personnel|attract and retain|talent|labor shortage)\b",
+}
+HEDGES = r"\b(may|might|could|possibly|potentially|uncertain\w*|approximately|roughly|we believe|we think|we expect|somewhat|to some extent|difficult to predict|challenging|headwind)\b"
+CONFIDENT = r"\b(will|confident|strong|record|clearly|definitely|committed|robust|significant\w*|momentum|accelerat\w+)\b"
+SECTIONS = (
+    ("Item 1A - Risk Factors", r"item\s+1a\.?\s*[-:.]?\s*risk\s+factors"),
+    ("Item 7A - Market Risk", r"item\s+7a\.?\s*[-:.]?\s*quantitative\s+and\s+qualitative"),
+    ("Item 7 - MD&A", r"item\s+7\.?\s*[-:.]?\s*management.s\s+discussion"),
+    ("Item 8 - Financial Statements", r"item\s+8\.?\s*[-:.]?\s*financial\s+statements"),
+    ("Item 3 - Legal Proceedings", r"item\s+3\.?\s*[-:.]?\s*legal\s+proceedings"),
+    ("Item 1 - Business", r"item\s+1\.?\s*[-:.]?\s*business"),
+)
+AMOUNT = r"(?<![\w.])(?:\$\s?)?-?\d{1,3}(?:,\d{3})*(?:\.\d+)?(?:\s?(?:million|billion|trillion|bn|mm|%|x))?(?![\w])"
+UNITS = {"trillion": 1e12, "billion": 1e9, "bn": 1e9, "million": 1e6, "mm": 1e6}
 _BLOCKS = "p|div|br|tr|li|h[1-6]|table|section|article"
 
 
@@ -97,13 +124,14 @@ def chunk_documents(docs: DataFrame, size: int = 1200, overlap: int = 200, text:
 
 def numbers(text: Column) -> Column:
     """Canonical values of the amounts in a text: without $ , and spaces, times their unit, plain integers below 13 left out."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\w.])\$?\d{1,3}(?:,\d{3})*(?:\.\d+)?(?:\s?(?:%|million|billion|thousand))?(?!\w)"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(AMOUNT), F.lit(0))
 
     def value(x: Column) -> Column:
-        n = F.regexp_replace(x, r"[^0-9.]", "").try_cast("double")
-        unit = F.when(x.rlike("billion"), 1e9).when(x.rlike("million"), 1e6).when(x.rlike("thousand"), 1e3).otherwise(1.0)
-        plain = x.rlike(r"^\d{1,2}$") & (n < 13)
-        return F.when(~plain, F.concat(F.round(n * unit, 6).cast("string"), F.when(x.rlike("%"), "%").otherwise("")))
+        n = F.regexp_replace(x, r"[^0-9.\-]", "").try_cast("double")
+        unit = F.coalesce(*[F.when(F.endswith(x, F.lit(k)), F.lit(v)) for k, v in UNITS.items()], F.lit(1.0))
+        plain = x.rlike(r"^-?\d{1,2}$") & (F.abs(n) < 13)
+        mark = F.when(x.rlike("%$"), "%").when(x.rlike("x$"), "x").otherwise("")
+        return F.when(~plain, F.concat(F.round(n * unit, 6).cast("string"), mark))
 
     return F.array_distinct(F.array_compact(F.transform(found, value)))
 

@@ -51,7 +51,7 @@ ranked AS (
   FROM long WHERE x IS NOT NULL AND fwd_return IS NOT NULL),
 ics AS (SELECT factor, date, corr(rx, ry) AS ic FROM ranked GROUP BY factor, date HAVING count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0)"""
 )
-_WEIGHTS = {"momentum_12_1": 0.25, "momentum_3m": 0.10, "volatility_60d": -0.15, "mean_reversion": -0.10, "liquidity": 0.05, "downside_ratio": -0.10}
+_WEIGHTS = {"momentum_12_1": 0.30, "momentum_3m": 0.15, "mean_reversion": -0.10, "volatility_20d": -0.10}
 SCORE = (
     "zs AS (SELECT ticker, date, fwd_return, ret_1d, "
     + ", ".join(f"({f} - avg({f}) OVER d) / nullif(stddev_samp({f}) OVER d, 0) AS {f}" for f in _WEIGHTS)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: (annual drift, annual volatility, autocorrelation) of the regimes: fixed values.
-REGIMES = ((0.12, 0.12, 0.02), (-0.15, 0.30, -0.05), (0.05, 0.18, 0.0), (0.25, 0.22, 0.05))
+#: (daily drift, daily volatility, autocorrelation) of the regimes: fixed values.
+REGIMES = {"trend_up": (0.00035, 0.011, 0.0), "trend_down": (-0.00030, 0.013, 0.0), "mean_revert": (0.0, 0.009, -0.18), "high_vol": (0.0001, 0.028, 0.05)}
 SEGMENT = 90
 END_DATE = "2025-06-30"
 
@@ -22,8 +22,8 @@ def universe(spark: SparkSession, tickers: int, days: int, seed: int, end: str =
         noise, r, last = rng.standard_normal(days), np.empty(days), 0.0
         picks = rng.integers(0, len(REGIMES), days // SEGMENT + 1)
         for t in range(days):
-            drift, vol, rho = REGIMES[picks[t // SEGMENT]]
-            last = drift / 252 + rho * last + vol / 252**0.5 * noise[t]
+            drift, vol, rho = list(REGIMES.values())[picks[t // SEGMENT]]
+            last = drift + rho * (last if t % SEGMENT else 0.0) + vol * noise[t]
             r[t] = last
         close = (50 + 10 * i) * np.exp(np.cumsum(r))
         spread = 1 + np.abs(rng.normal(0, 0.004, days))
