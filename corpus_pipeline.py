@@ -20,7 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules keep, without the lines above the limits of their host."""
     found = line_rules.line_rules(docs).select("_d", "_h", F.col("_host"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed")).filter("_kept").dropDuplicates(["_d", "_h", "_host"])
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host")
-    kept = docs.select(*COLUMNS, *doc_key(docs, text_of("text")), host).join(small(written(found.drop("_kept"))), ["_d", "_h", "_host"])
+    # As many rows as documents, with arrays: not a side to broadcast on a count of rows.
+    kept = docs.select(*COLUMNS, *doc_key(docs, text_of("text")), host).join(written(found.drop("_kept")), ["_d", "_h", "_host"])
     new = F.when(F.size("_removed") > 0, line_rules.without_lines(F.col("text"), F.col("_removed"))).otherwise(F.col("text"))
     return kept.withColumn("text", new).withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
