@@ -63,6 +63,19 @@ def test_without_leaves_one_copy(spark):
     assert all(len(out[i].new) < len(out[i].text) - 500 and out[i].new.startswith("é" + tails[i][:50]) for i in (1, 2))
 
 
+def test_first_of_a_shared_edit_keeps_the_edit_alone(spark):
+    rng = random.Random(9)
+    head, tail, edit, new = words(rng, 200), words(rng, 200), words(rng, 12), words(rng, 120)
+    edited = f"{head} {edit} {tail}"
+    rows = [(1, f"{head} {tail}"), (2, edited), (3, edited), (4, f"{new} {head}"), (5, f"{new} {head}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = cd.repeated_passages(df).join(df, "doc_id").select("doc_id", "text", "spans", cd.without(F.col("text"), F.col("spans")).alias("new"))
+    out = {r.doc_id: r for r in found.collect()}
+    assert out[1].new == out[1].text and out[3].new == out[5].new == ""
+    assert edit in out[2].new and len(out[2].new) < len(edit) + 4 * cd.MOST and [(s.start, s.end, s.later) for s in out[2].spans] == [(0, len(edited), False)]
+    assert out[4].new.startswith(new) and len(out[4].new) < len(new) + 2 * cd.MOST
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = cd.repeated_passages(odd_docs, run=40).collect()
     assert len(rows) == 11 and all(r.n_chunks == 0 for r in rows if r.doc_id == 1)

@@ -86,30 +86,49 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*doc_key(docs, t), t.cast("binary").alias("t")).mapInArrow(_chunks, "_d long, _h long, ends array<int>, d1 array<long>, d2 array<long>")
 
 
+SPANS = "array<struct<start:int,end:int,later:boolean,dropped:array<struct<start:int,end:int>>>>"
+
+
+def _merged(places: list[dict], run: int) -> list[list[int]]:
+    """Places in a row become one, [start, end]; those of at least `run` bytes are returned."""
+    out = []
+    for x in places:
+        if out and x["s"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x["e"])
+        else:
+            out.append([x["s"], x["e"]])
+    return [x for x in out if x[1] - x[0] >= run]
+
+
 def _runs(run: int):
+    place = [("start", pa.int32()), ("end", pa.int32())]
+    kind = pa.list_(pa.struct([*place, ("later", pa.bool_()), ("dropped", pa.list_(pa.struct(place)))]))
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shared chunks in a row become a span; later says whether all of it stands in an earlier document too."""
+        """Shared chunks in a row become a span; dropped are the runs in it of chunks that an earlier document holds too."""
         for batch in batches:
             out = []
             for found in batch.column("found").to_pylist():
-                spans = []
-                for x in sorted(found, key=lambda x: x["s"]):
-                    if spans and x["s"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x["e"])
-                        spans[-1][2] = spans[-1][2] and x["later"]
-                    else:
-                        spans.append([x["s"], x["e"], x["later"]])
-                out.append([{"start": s, "end": e, "later": later} for s, e, later in spans if e - s >= run])
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("later", pa.bool_())])))], names=["_d", "_h", "spans"])
+                found.sort(key=lambda x: x["s"])
+                taken, spans, i = _merged([x for x in found if x["later"]], run), [], 0
+                for s, e in _merged(found, run):
+                    dropped = []
+                    while i < len(taken) and taken[i][0] < e:
+                        dropped.append({"start": taken[i][0], "end": taken[i][1]})
+                        i += 1
+                    spans.append({"start": s, "end": e, "later": dropped == [{"start": s, "end": e}], "dropped": dropped})
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(out, kind)], names=["_d", "_h", "spans"])
 
     return merge
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
-    """A row for each row of docs: doc_id, _d, _h, n_bytes, n_chunks, spans (start, end, later).
+    """A row for each row of docs: doc_id, _d, _h, n_bytes, n_chunks, spans (start, end, later, dropped).
 
-    A span is a passage of at least `run` bytes of which every chunk stands in another document too, in UTF-8 offsets;
-    later: in one with a smaller doc_id, so that taking out later spans leaves one copy. Rows that share a doc_id are one
+    A span is a passage of at least `run` bytes of which every chunk stands in another document too, in UTF-8 offsets.
+    dropped: the passages in it, of at least `run` bytes, of which every chunk stands in a document with a smaller doc_id,
+    so that taking them out leaves one copy; later: they are the whole span. Rows that share a doc_id are one
     document; rows with a null doc_id are one too, before all others. Repeats inside one document alone don't count.
     Null and empty texts have no chunks. Repeated rows stay; an empty table gives an empty one.
     """
@@ -121,17 +140,17 @@ def repeated_passages(docs: DataFrame, text: str = "text", run: int = RUN) -> Da
     starts = F.transform("ends", lambda e, i: F.struct(F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("s"), e.alias("e"), F.get("d1", i).alias("d1"), F.get("d2", i).alias("d2")))
     places = every.select("_d", "_h", F.explode(starts).alias("c")).select("c.*", "_d", "_h")
     met = places.join(shared, ["d1", "d2"]).select("_d", "_h", F.struct("s", "e", (F.col("_d") > F.col("first")).alias("later")).alias("x"))
-    spans = met.groupBy("_d", "_h").agg(F.collect_set("x").alias("found")).mapInArrow(_runs(run), "_d long, _h long, spans array<struct<start:int,end:int,later:boolean>>")
+    spans = met.groupBy("_d", "_h").agg(F.collect_set("x").alias("found")).mapInArrow(_runs(run), f"_d long, _h long, spans {SPANS}")
     t = text_of(text)
     sizes = every.select("_d", "_h", F.size("ends").cast("long").alias("n_chunks")).distinct()
     out = docs.select("doc_id", *doc_key(docs, t), F.octet_length(t).cast("long").alias("n_bytes"))
     out = out.join(sizes.join(spans.filter(F.size("spans") > 0), ["_d", "_h"], "left"), ["_d", "_h"], "left")
-    return out.select("doc_id", "_d", "_h", "n_bytes", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,later:boolean>>")).alias("spans"))
+    return out.select("doc_id", "_d", "_h", "n_bytes", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def without(text: Column, spans: Column) -> Column:
-    """The text without its later spans."""
-    later = F.sort_array(F.filter(spans, lambda s: s["later"]))
+    """The text without what its spans drop."""
+    later = F.sort_array(F.flatten(F.transform(spans, lambda s: s["dropped"])))
     data = text.cast("binary")
     start = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))
     step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(data, a["at"] + 1, s["start"] - a["at"])).alias("out"))

@@ -35,9 +35,10 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that documents share: for each document where they stand and how much of it a deduplication takes out."""
     out = chunk_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
-    size = lambda later: F.aggregate(F.filter("spans", lambda s: s["later"] | F.lit(not later)), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    dropped = F.flatten(F.transform("spans", lambda s: s["dropped"]))
     places = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeats"), size(False).alias("repeated_bytes"), size(True).alias("dropped_bytes"), places.alias("repeats"), (F.size("spans") > 0).alias("repeated"))
+    return out.select("doc_id", "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeats"), size(F.col("spans")).alias("repeated_bytes"), size(dropped).alias("dropped_bytes"), places.alias("repeats"), (F.size("spans") > 0).alias("repeated"))
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
