@@ -72,10 +72,26 @@ def test_first_of_a_shared_edit_keeps_the_edit_alone(spark):
     found = cd.repeated_passages(df).join(df, "doc_id").select("doc_id", "text", "spans", cd.without(F.col("text"), F.col("spans")).alias("new"))
     out = {r.doc_id: r for r in found.collect()}
     assert out[1].new == out[1].text and out[3].new == out[5].new == ""
-    assert edit in out[2].new and len(out[2].new) < len(edit) + 4 * cd.MOST and [(s.start, s.end, s.later) for s in out[2].spans] == [(0, len(edited), False)]
+    assert edit in out[2].new and len(out[2].new) < len(edit) + 4 * cd.MOST and [(s.start, s.end, s.later) for s in out[2].spans] == [(0, len(edited), True)]
     assert out[4].new.startswith(new) and len(out[4].new) < len(new) + 2 * cd.MOST
 
 
+def test_short_passages_are_all_found(spark):
+    """Passages of 51 to 60 words in two documents each, against the places where they were planted; some repeat a word."""
+    rng = random.Random(10)
+    rows, planted = [], {}
+    for i in range(600):
+        n = rng.randint(51, 60)
+        passage = words(rng, n) if i % 10 else " ".join([words(rng, 1)] * n)
+        for d in (2 * i, 2 * i + 1):
+            before = words(rng, 40)
+            rows.append((d, f"{before} {passage} {words(rng, 40)}"))
+            planted[d] = (len(before) + 1, len(before) + 1 + len(passage))
+    got = {r.doc_id: r.spans for r in cd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = {d for d, (s, e) in planted.items() if e - s > 2 * cd.RUN and not any(x.start < e and x.end > s for x in got[d])}
+    assert not missed
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = cd.repeated_passages(odd_docs, run=40).collect()
     assert len(rows) == 11 and all(r.n_chunks == 0 for r in rows if r.doc_id == 1)

@@ -1,7 +1,9 @@
 """Repeated passages by content-defined chunks: a gear rolling hash sets the cuts, digests find chunks that documents share.
 
 A cut depends on the last 16 bytes alone, so a passage is cut alike wherever it stands and an insertion moves no later
-cut. Chunks are exchanged as two 64-bit digests and a place; only digests of several documents meet documents again.
+cut. Pairs of neighbouring chunks are exchanged as two 64-bit digests and a place; only digests of several documents meet
+documents again. Chunks are short, so that little of a passage is lost in the partial ones at its ends; pairs are long
+enough that common phrases alone don't make passages.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import doc_key, text_of, written
 
-#: A cut where five bits of the hash are zero: chunks of about 32 bytes beyond the least size.
-MASK, SHIFT = np.uint32(31), np.uint32(11)
-LEAST, MOST = 12, 256
-#: Shared chunks in a row count as a repeated passage from so many bytes on: about half of a passage of 50 words.
+#: A cut where four bits of the hash are zero: chunks of about 16 bytes beyond the least size.
+MASK, SHIFT = np.uint32(15), np.uint32(11)
+LEAST, MOST = 8, 128
+#: Shared pairs in a row count as a repeated passage from so many bytes on: about half of a passage of 50 words.
 RUN = 120
-SLAB = 1 << 22
+#: Without a cut for MOST bytes, the next stands at the hash's greatest value in so many bytes beyond the least size.
+NEAR = 32
+SLAB, BLOCK = 1 << 22, 1 << 16
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -36,17 +40,26 @@ def rolling(data: np.ndarray) -> np.ndarray:
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks: where the hash says so, but at least LEAST and at most about MOST bytes after the one before.
 
-    No cut stands inside a character: hash cuts there are passed over, forced ones move on to its end.
+    Where it says so nowhere for over MOST bytes, cuts stand at its first greatest value in each NEAR bytes, so that
+    repetitive passages too are cut alike in every place. No cut stands inside a character: those places are passed over.
     """
     n, out, last = len(data), [], 0
 
     def forced(to: int) -> None:
         nonlocal last
-        while to - last > MOST:
-            last += MOST
-            while last < n and data[last] & 0xC0 == 0x80:
-                last += 1
-            out.append(last)
+        gap = to - last > MOST
+        while gap and to - last > LEAST + NEAR:
+            base, end = last, min(to, last + BLOCK)
+            back = min(base, 15)
+            raw = np.frombuffer(data, np.uint8, end - base + back + (end < n), base - back)
+            inside = (np.append(raw, 0)[back + 1 : back + 1 + end - base] & 0xC0) == 0x80
+            # The low 16 bits depend on the last 16 bytes alone.
+            rank = np.where(inside, -1, (rolling(raw)[back : back + end - base] & np.uint32(0xFFFF)).astype(np.int32))
+            while to - last > LEAST + NEAR and last + LEAST + NEAR <= end:
+                at = rank[last + LEAST - 1 - base : min(last + LEAST + NEAR, to - LEAST) - base]
+                best = int(at.argmax())
+                last += LEAST + best if at[best] >= 0 else NEAR
+                out.append(last)
 
     for s in range(0, n, SLAB):
         back = min(s, 31)
@@ -69,8 +82,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, d1, d2 = [], [], []
         for text in batch.column("t").to_pylist():
             e, s, a, b = cuts(text), 0, [], []
-            for x in e:
-                digest = xxhash.xxh3_128_intdigest(text[s:x])
+            for x, y in zip(e, e[1:] or e):
+                digest = xxhash.xxh3_128_intdigest(text[s:y])
                 a.append(digest >> 64)
                 b.append(digest & 0xFFFFFFFFFFFFFFFF)
                 s = x
@@ -81,7 +94,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_d, _h, ends (of the chunks, in bytes), d1, d2 (their digests)."""
+    """_d, _h, ends (of the chunks, in bytes), d1, d2 (digests of each chunk with the next, or of a text's only one)."""
     t = text_of(text)
     return docs.select(*doc_key(docs, t), t.cast("binary").alias("t")).mapInArrow(_chunks, "_d long, _h long, ends array<int>, d1 array<long>, d2 array<long>")
 
@@ -105,7 +118,7 @@ def _runs(run: int):
     kind = pa.list_(pa.struct([*place, ("later", pa.bool_()), ("dropped", pa.list_(pa.struct(place)))]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shared chunks in a row become a span; dropped are the runs in it of chunks that an earlier document holds too."""
+        """Shared pairs in a row become a span; dropped are the runs in it of pairs that an earlier document holds too."""
         for batch in batches:
             out = []
             for found in batch.column("found").to_pylist():
@@ -116,7 +129,7 @@ def _runs(run: int):
                     while i < len(taken) and taken[i][0] < e:
                         dropped.append({"start": taken[i][0], "end": taken[i][1]})
                         i += 1
-                    spans.append({"start": s, "end": e, "later": dropped == [{"start": s, "end": e}], "dropped": dropped})
+                    spans.append({"start": s, "end": e, "later": bool(dropped), "dropped": dropped})
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(out, kind)], names=["_d", "_h", "spans"])
 
@@ -126,18 +139,18 @@ def _runs(run: int):
 def repeated_passages(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
     """A row for each row of docs: doc_id, _d, _h, n_bytes, n_chunks, spans (start, end, later, dropped).
 
-    A span is a passage of at least `run` bytes of which every chunk stands in another document too, in UTF-8 offsets.
-    dropped: the passages in it, of at least `run` bytes, of which every chunk stands in a document with a smaller doc_id,
-    so that taking them out leaves one copy; later: they are the whole span. Rows that share a doc_id are one
+    A span is a passage of at least `run` bytes of which every pair of chunks stands in another document too, in UTF-8
+    offsets. dropped: the passages in it, of at least `run` bytes, of which every pair stands in a document with a smaller
+    doc_id, so that taking them out leaves one copy; later: there are such. Rows that share a doc_id are one
     document; rows with a null doc_id are one too, before all others. Repeats inside one document alone don't count.
     Null and empty texts have no chunks. Repeated rows stay; an empty table gives an empty one.
     """
     every = chunks(docs, text)
     one = every.select("_d", "_h", F.explode(F.arrays_zip("d1", "d2")).alias("c")).select(F.col("c.d1").alias("d1"), F.col("c.d2").alias("d2"), "_d")
-    # Of a digest only its first and last document are kept: hot chunks shrink to a row for each task before the shuffle.
+    # Of a digest only its first and last document are kept: hot pairs shrink to a row for each task before the shuffle.
     seen = one.groupBy("d1", "d2").agg(F.min("_d").alias("first"), F.max("_d").alias("last"))
     shared = written(seen.filter("first < last").select("d1", "d2", "first"))
-    starts = F.transform("ends", lambda e, i: F.struct(F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("s"), e.alias("e"), F.get("d1", i).alias("d1"), F.get("d2", i).alias("d2")))
+    starts = F.transform("d1", lambda d, i: F.struct(F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("s"), F.coalesce(F.get("ends", i + 1), F.get("ends", i)).alias("e"), d.alias("d1"), F.get("d2", i).alias("d2")))
     places = every.select("_d", "_h", F.explode(starts).alias("c")).select("c.*", "_d", "_h")
     met = places.join(shared, ["d1", "d2"]).select("_d", "_h", F.struct("s", "e", (F.col("_d") > F.col("first")).alias("later")).alias("x"))
     spans = met.groupBy("_d", "_h").agg(F.collect_set("x").alias("found")).mapInArrow(_runs(run), f"_d long, _h long, spans {SPANS}")
