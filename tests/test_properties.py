@@ -175,6 +175,34 @@ def test_retrieval_and_grounding(spark):
     assert [r[0] for r in g.select(text.grounding(F.col("a"), F.col("e"))).collect()] == [[], ["4.0E9"]]
 
 
+def test_retrieval_is_evaluated_on_every_item(spark, sf_dir):
+    """Against a plain loop over all items and documents."""
+    import math
+    import re
+    from collections import Counter
+
+    from tidemark.plans import registry
+
+    split = lambda t: re.findall(r"[a-z0-9$%.\-]+", (t or "").lower())
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: r.text[:60] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    tf = {d: Counter(split(t)) for d, t in docs.items()}
+    size, df = {d: sum(c.values()) for d, c in tf.items()}, Counter(w for c in tf.values() for w in c)
+    mean, places = sum(size.values()) / len(docs), []
+    for expected in items.values():
+        asked, score = Counter(split(expected)), {}
+        for d, c in tf.items():
+            if held := asked.keys() & c.keys():
+                weight = lambda w, c=c, d=d: c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * size[d] / mean))
+                score[d] = sum(asked[w] * math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * weight(w) for w in held)
+        best = sorted(score, key=lambda d: (-round(score[d], 9), d))[:10]
+        places.append(next((i + 1 for i, d in enumerate(best) if expected in docs[d]), None))
+    got = registry.queries()["retrieval_eval_all"](spark, sf_dir).first()
+    assert got.queries == len(items) > 20
+    assert got.hit_rate == pytest.approx(sum(p is not None for p in places) / len(items), abs=1e-6)
+    assert got.mrr == pytest.approx(sum(1 / p for p in places if p) / len(items), abs=1e-6)
+
+
 def test_chunks_hold_the_text(spark):
     d = spark.createDataFrame([(1, "\n\n".join(f"paragraph {i} " + "word " * 60 for i in range(20)))], "doc_id long, text string")
     rows = text.chunk_documents(d).orderBy("chunk").collect()

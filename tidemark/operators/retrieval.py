@@ -34,6 +34,27 @@ def bm25(chunks: DataFrame, query: list[str]) -> DataFrame:
     return j.groupBy("chunk_id").agg(F.sum(F.col("times") * idf * weight).alias("score"))
 
 
+def bm25_each(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, chunk_id, score) for every row of queries (query, text), as bm25 gives them one by one.
+
+    Chunks meet queries by equal terms; only terms of queries are counted.
+    """
+    split = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), "w")
+    corpus = F.broadcast(split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    tf = split.select("chunk_id", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    j = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term").join(corpus)
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return j.select("chunk_id", "term", (idf * weight).alias("part")).join(asked, "term").groupBy("query", "chunk_id").agg(F.sum(F.col("times") * F.col("part")).alias("score"))
+
+
+def top_each(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """(query, chunk_id, place) of the best k of each query; tasks keep k rows of a query before the exchange."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", digits)), "chunk_id"))
+    return scored.select("query", "chunk_id", place.alias("place")).filter(F.col("place") <= k)
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -68,7 +89,7 @@ def search(chunks: DataFrame, vectors: DataFrame, query: list[str], vector: list
 
 def evaluate(ranked: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(queries, hit_rate, mrr): ranked (query, chunk_id, place) against (query, expected substring)."""
-    j = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(wanted), "query").filter(F.contains("text", F.col("expected")))
+    j = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").join(wanted, "query").filter(F.contains("text", F.col("expected")))
     first = j.groupBy("query").agg(F.min("place").alias("place"))
     every = wanted.select("query").join(first, "query", "left")
     return every.agg(F.count("*").alias("queries"), F.avg(F.col("place").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))).alias("mrr"))

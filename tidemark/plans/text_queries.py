@@ -106,6 +106,15 @@ def retrieval_eval(spark, d):
     return rounded(retrieval.evaluate(ranked, market.chunks(spark, d), wanted))
 
 
+@query()
+def retrieval_eval_all(spark, d):
+    """Hit rate and mean reciprocal rank of BM25 over all documents, for the starts of all benchmark items."""
+    wanted = market.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("expected"))
+    chunks = market.chunks(spark, d)
+    ranked = retrieval.top_each(retrieval.bm25_each(chunks, wanted.select("query", F.col("expected").alias("text"))), 10)
+    return rounded(retrieval.evaluate(ranked, chunks, wanted))
+
+
 @query(f"""WITH w AS (SELECT doc_id, list_distinct({_TOKENS}) AS w FROM documents), c AS (SELECT doc_id, len(list_intersect(w, {list(POS)})) AS p, len(list_intersect(w, {list(NEG)})) AS n FROM w)
 SELECT doc_id, round(coalesce((p - n) / nullif(p + n, 0), 0), 6) + 0.0::DOUBLE AS score, round(least((p + n) / 4.0::DOUBLE, 1.0::DOUBLE), 6) + 0.0::DOUBLE AS confidence FROM c""")
 def lexicon_sentiment(spark, d):
