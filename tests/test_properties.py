@@ -50,6 +50,16 @@ def test_purge_is_as_long_as_the_horizon(bars):
         assert f.test_start - f.train_end >= 21 and f.test_start < f.test_end
 
 
+@pytest.mark.parametrize("name,model", [("oos_logistic", "logistic"), ("oos_gbt", "boosting")])
+def test_model_queries_fit_all_folds_and_factors(spark, monkeypatch, name, model):
+    from tidemark.plans import registry
+
+    asked = []
+    monkeypatch.setattr(ml, "out_of_sample", lambda panel, table, features, kind: asked.append((table.count(), tuple(features), kind)) or spark.createDataFrame([(0.5,)], "score double"))
+    registry.queries()[name](spark, "/root/testdata/sf0.01")
+    assert asked == [(4, factors.PRICE_FACTORS, model)] and ml.TREES == 200
+
+
 def test_weights_are_dollar_neutral(spark):
     sig = spark.createDataFrame([("s", f"T{i}", START, float(i % 5)) for i in range(11)], "strategy string, ticker string, date date, score double")
     w = {r.ticker: r.w for r in backtest.form_weights(sig).collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import average_rank
 
 LEAST_DATES, LEAST_TRAIN, TRAIN_SHARE, EMBARGO = 60, 20, 0.4, 5
+TREES = 200
 
 
 def folds(dates: DataFrame, k: int = 4, horizon: int = 21, embargo: int = EMBARGO) -> DataFrame:
@@ -100,9 +101,9 @@ def out_of_sample(panel: DataFrame, table: DataFrame, features: list[str], model
         z = lambda df, s=stats: VectorAssembler(inputCols=features, outputCol="x").transform(df.select("ticker", "date", "fwd_return", "label", *[((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0)).alias(c) for c in features]))
         weight = F.when(F.col("label") == 1, stats.n / (2 * stats.pos)).otherwise(stats.n / (2 * (stats.n - stats.pos)))
         if model == "logistic":
-            fit = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=1.0 / stats.n, maxIter=100).fit(z(train).withColumn("w", weight))
+            fit = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=1.0 / stats.n, maxIter=1000).fit(z(train).withColumn("w", weight))
         else:
-            fit = GBTClassifier(featuresCol="x", maxIter=20, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=7).fit(z(train))
+            fit = GBTClassifier(featuresCol="x", maxIter=TREES, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=7).fit(z(train))
         test = fit.transform(z(rows.filter((F.col("at") >= f.test_start) & (F.col("at") < f.test_end))))
         part = test.select(F.lit(f.fold).alias("fold"), "ticker", "date", F.lit(model).alias("model"), vector_to_array("probability")[1].alias("score"), "fwd_return")
         out = part if out is None else out.union(part)

@@ -179,14 +179,14 @@ def sequence_windows(spark, d):
 def oos_logistic(spark, d):
     """Out-of-sample scores of a logistic regression, fold by fold."""
     p = _panel(spark, d)
-    return rounded(ml.out_of_sample(p, ml.folds(p, k=2, horizon=4), ["momentum_12_1", "mean_reversion", "liquidity"], "logistic"))
+    return rounded(ml.out_of_sample(p, ml.folds(p, horizon=4), list(fx.PRICE_FACTORS), "logistic"))
 
 
 @query()
 def oos_gbt(spark, d):
     """The same of gradient-boosted trees."""
     p = _panel(spark, d)
-    return rounded(ml.out_of_sample(p, ml.folds(p, k=2, horizon=4), ["momentum_12_1", "mean_reversion", "liquidity"], "boosting"))
+    return rounded(ml.out_of_sample(p, ml.folds(p, horizon=4), list(fx.PRICE_FACTORS), "boosting"))
 
 
 @query(f"""WITH {WEEKLY}, {ctes.LONG} SELECT factor, count(*) AS n, round(corr(x, fwd_return), 6) + 0.0::DOUBLE AS r, count(*) > 30 AND abs(corr(x, fwd_return)) > 0.3 AS suspect
