@@ -213,6 +213,11 @@ def test_retrieval_is_evaluated_on_every_item(spark, sf_dir):
     assert got.mrr == pytest.approx(sum(1 / p for p in places if p) / len(items), abs=1e-6)
 
 
+def test_long_pages_keep_their_tail(spark):
+    html = "<p>" + "word " * 100_000 + "tail</p>"
+    assert spark.createDataFrame([(html,)], "html string").select(text.html_to_text(F.col("html"))).first()[0] == "word " * 100_000 + "tail"
+
+
 def test_chunks_hold_the_text(spark):
     d = spark.createDataFrame([(1, "\n\n".join(f"paragraph {i} " + "word " * 60 for i in range(20)))], "doc_id long, text string")
     rows = text.chunk_documents(d).orderBy("chunk").collect()

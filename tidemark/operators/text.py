@@ -46,7 +46,7 @@ def tokens(text: Column, pattern: str = r"[a-z0-9$%.\-]+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def html_to_text(html: Column, most: int = 400_000) -> Column:
+def html_to_text(html: Column, most: int | None = None) -> Column:
     """Without scripts, styles and tags; ends of blocks become line ends; five entities are decoded; blanks are squeezed."""
     t = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
     t = F.regexp_replace(t, rf"(?i)</(?:{_BLOCKS})>|<br\s*/?>", "\n")
@@ -54,7 +54,8 @@ def html_to_text(html: Column, most: int = 400_000) -> Column:
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
-    return F.substring(F.btrim(t, F.lit(" \n")), 1, most)
+    t = F.btrim(t, F.lit(" \n"))
+    return t if most is None else F.substring(t, 1, most)
 
 
 def lexicon_scores(words: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> tuple[Column, Column]:
