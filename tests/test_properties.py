@@ -107,6 +107,12 @@ def test_robust_errors_shrink_overlapping_t(spark):
     assert inference.newey_west(s.limit(5)).first().t_hac is None
 
 
+def test_bootstrap_takes_all_draws(spark, sf_dir):
+    from tidemark.plans import registry
+
+    assert {r.draws for r in registry.queries()["bootstrap_sharpe"](spark, sf_dir).collect()} == {600}
+
+
 def test_more_trials_raise_the_bar():
     assert [moments.expected_best(n) for n in (1, 2, 10, 100)] == sorted(moments.expected_best(n) for n in (1, 2, 10, 100)) and moments.expected_best(1) == 0
 

@@ -84,7 +84,7 @@ def bootstrap_sharpe(spark, d):
     def statistic(x):
         return x.mean() / x.std(ddof=1) * 52.0**0.5 if len(x) > 1 and x.std(ddof=1) > 0 else float("nan")
 
-    return rounded(inference.stationary_bootstrap(_series(spark, d), statistic, draws=200, block=8))
+    return rounded(inference.stationary_bootstrap(_series(spark, d), statistic, block=8))
 
 
 _FOLDS = """nd AS (SELECT count(DISTINCT date) AS n FROM panel), ft AS (

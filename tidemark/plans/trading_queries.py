@@ -232,7 +232,7 @@ def strategy_significance(spark, d):
         return x.mean() / x.std(ddof=1) * 52.0**0.5 if len(x) > 1 and x.std(ddof=1) > 0 else float("nan")
 
     s = _series(spark, d)
-    return rounded(inference.newey_west(s).join(inference.stationary_bootstrap(s, statistic, draws=200, block=8), "series"))
+    return rounded(inference.newey_west(s).join(inference.stationary_bootstrap(s, statistic, block=8), "series"))
 
 
 @query(f"WITH {WALK} SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, round(covar_samp(x.ret, y.ret), 9) + 0.0::DOUBLE AS cov FROM rets x JOIN rets y USING (date) GROUP BY 1, 2")
