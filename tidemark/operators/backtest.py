@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import moments
 from tidemark.functions.windows import asof
+from tidemark.storage import written
 
 #: Fixed values of the cost model and of the portfolio's shape.
 LEG, SPREAD_COST, IMPACT, AUM, BORROW = 0.30, 0.0003, 1.0, 1e7, 0.005
@@ -90,12 +91,12 @@ def daily_pnl(pos: DataFrame, costs: DataFrame, year: float) -> DataFrame:
 
 
 def run(signals: DataFrame, returns: DataFrame, liquidity: DataFrame, every: int, year: float, lag: int = 0) -> DataFrame:
-    """Daily results of all strategies. Weights and positions feed several joins each, so they are kept after first use
-    (in memory, then on disk; what a lost executor held is computed again).
+    """Daily results of all strategies. Several joins read the weights and the positions, so these are tables in the shared
+    folder, as the results are: what is built on them plans scans, not the backtest again.
     """
-    weights, returns = form_weights(signals).persist(), returns.persist()
-    pos = positions(weights, schedule(weights, returns, every, lag), returns).persist()
-    return daily_pnl(pos, rebalance_costs(pos, liquidity), year)
+    weights = written(form_weights(signals))
+    pos = written(positions(weights, schedule(weights, returns, every, lag), returns))
+    return written(daily_pnl(pos, rebalance_costs(pos, liquidity), year))
 
 
 def metrics(pnl: DataFrame, year: float) -> DataFrame:

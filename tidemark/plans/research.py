@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, factors, inference, ml, quality
 from tidemark.sources import market
+from tidemark.storage import written
 
 #: Fixed bounds of a plan.
 MOST_NAMES, LEAST_DAYS, MOST_DAYS, FOLDS = 60, 252, 3024, (2, 8)
@@ -72,17 +73,17 @@ class Research:
 
 
 def stages(spark: SparkSession, sf_dir: str, plan: Plan) -> dict[str, DataFrame]:
-    """Lazy relations: bars, panel, coverage, ic, folds, scored, metrics, pnl, metrics of the backtest, significance."""
+    """Relations, of which panel, test rows and daily results are stored tables: bars, panel, coverage, ic, folds, scored, metrics, pnl, metrics of the backtest, significance."""
     b = replace(factors.WEEKLY, horizon=plan.horizon)
     bars = market.bars_walk(spark, sf_dir)
     if plan.universe:
         bars = bars.filter(F.col("ticker").isin(*plan.universe))
-    panel = factors.price_factors(bars, b)
+    panel = written(factors.price_factors(bars, b))
     weights = {f: factors.COMPOSITE.get(f, 0.05) for f in plan.factor_names}
     scores = factors.composite_score(panel, weights).na.drop(subset=["score"])
     table = ml.folds(panel, plan.folds, plan.horizon)
     at = ml.placed(panel).select("ticker", "date", "at")
-    tested = scores.join(at, ["ticker", "date"]).join(F.broadcast(table), (F.col("at") >= F.col("test_start")) & (F.col("at") < F.col("test_end")))
+    tested = written(scores.join(at, ["ticker", "date"]).join(F.broadcast(table), (F.col("at") >= F.col("test_start")) & (F.col("at") < F.col("test_end"))))
     scored = tested.na.drop(subset=["fwd_return"]).select("fold", "ticker", "date", (1 / (1 + F.exp(-F.col("score")))).alias("score"), "fwd_return", (F.col("fwd_return") > 0).cast("int").alias("label"))
     signals = tested.select(F.lit("composite").alias("strategy"), "ticker", "date", "score")
     returns = panel.select("ticker", "date", F.col("ret_1d").alias("ret")).filter("ret IS NOT NULL")

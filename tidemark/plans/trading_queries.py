@@ -13,6 +13,7 @@ from tidemark.plans import ctes
 from tidemark.plans.ctes import WALK, WEEKLY, r6, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import market
+from tidemark.storage import written
 
 EVERY, YEAR = 4, 52.0
 NAMES = [f"Brand#{i}" for i in range(1, 26)]
@@ -22,20 +23,30 @@ def _panel(spark, d):
     return fx.price_factors(market.bars_walk(spark, d), fx.WEEKLY)
 
 
-def _signals(spark, d):
+def _signals(panel):
     """Three strategies' scores, unpivoted from one panel."""
-    s = fx.composite_score(_panel(spark, d), keep=("momentum_12_1", "mean_reversion"))
+    s = fx.composite_score(panel, keep=("momentum_12_1", "mean_reversion"))
     wide = s.select("ticker", "date", F.col("score").alias("composite"), F.col("momentum_12_1").alias("momentum"), (-F.col("mean_reversion")).alias("reversal"))
     long = wide.unpivot(["ticker", "date"], ["composite", "momentum", "reversal"], "strategy", "score")
     return long.select("strategy", "ticker", "date", F.round("score", 9).alias("score")).filter("score IS NOT NULL")
 
 
-def _liquidity(spark, d):
-    return _panel(spark, d).select("ticker", "date", F.col("volatility_20d").alias("vol"), F.exp("liquidity").alias("adv"))
+def _liquidity(panel):
+    return panel.select("ticker", "date", F.col("volatility_20d").alias("vol"), F.exp("liquidity").alias("adv"))
+
+
+def _returns(panel):
+    return panel.select("ticker", "date", F.col("ret_1d").alias("ret")).filter("ret IS NOT NULL")
+
+
+def _weights(spark, d):
+    return bt.form_weights(_signals(_panel(spark, d)))
 
 
 def _pnl(spark, d, lag=0):
-    return bt.run(_signals(spark, d), market.returns(spark, d), _liquidity(spark, d), EVERY, YEAR, lag).persist()
+    """Signals, returns and liquidity come from one stored panel."""
+    p = written(_panel(spark, d))
+    return bt.run(_signals(p), _returns(p), _liquidity(p), EVERY, YEAR, lag)
 
 
 def _weights_sql() -> str:
@@ -69,27 +80,29 @@ pnl AS (SELECT strategy, date, gross, CASE WHEN rebalanced THEN coalesce(cost, 0
 
 @query(f"WITH {_weights_sql()} SELECT strategy, date, ticker, {r6('w')} FROM wts")
 def form_weights(spark, d):
-    return rounded(bt.form_weights(_signals(spark, d)))
+    return rounded(_weights(spark, d))
 
 
 @query(f"WITH {_pnl_sql()} SELECT strategy, date, i, h, rebalanced, signal_date FROM sched")
 def rebalance_schedule(spark, d):
-    return bt.schedule(bt.form_weights(_signals(spark, d)), market.returns(spark, d), EVERY)
+    p = written(_panel(spark, d))
+    return bt.schedule(written(bt.form_weights(_signals(p))), _returns(p), EVERY)
 
 
-def _positions(spark, d):
-    w, r = bt.form_weights(_signals(spark, d)), market.returns(spark, d)
+def _positions(panel):
+    w, r = written(bt.form_weights(_signals(panel))), _returns(panel)
     return bt.positions(w, bt.schedule(w, r, EVERY), r)
 
 
 @query(f"WITH {_pnl_sql()} SELECT strategy, date, ticker, {r6('w, ret, w_end')} FROM pos")
 def drift_weights(spark, d):
-    return rounded(_positions(spark, d).select("strategy", "date", "ticker", "w", "ret", "w_end"))
+    return rounded(_positions(written(_panel(spark, d))).select("strategy", "date", "ticker", "w", "ret", "w_end"))
 
 
 @query(f"WITH {_pnl_sql()} SELECT strategy, h, {r6('turnover, cost')} FROM costs")
 def transaction_cost(spark, d):
-    return rounded(bt.rebalance_costs(_positions(spark, d), _liquidity(spark, d)))
+    p = written(_panel(spark, d))
+    return rounded(bt.rebalance_costs(written(_positions(p)), _liquidity(p)))
 
 
 @query(f"WITH {_pnl_sql()} SELECT strategy, date, {r6('gross, cost, borrow, net')} FROM pnl")
@@ -197,19 +210,20 @@ cn AS (SELECT strategy, count(*) AS names, sum(abs(w)) AS gross, sum(w) AS net,
 @query(f"""WITH {_weights_sql()}, {_BOOK} SELECT strategy, names, {r6('gross, net')}, round(ww / (gross * gross), 6) + 0.0::DOUBLE AS hhi, round(gross * gross / ww, 6) + 0.0::DOUBLE AS effective_names, round(days_to_liquidate, 4) + 0.0::DOUBLE AS days_to_liquidate,
   ww / (gross * gross) > 0.25 OR coalesce(days_to_liquidate, 0) > 3 AS flagged FROM cn""")
 def concentration(spark, d):
-    w = bt.form_weights(_signals(spark, d))
+    p = written(_panel(spark, d))
+    w = written(bt.form_weights(_signals(p)))
     last = w.groupBy("strategy").agg(F.max("date").alias("date"))
-    out = risk.concentration(w.join(last, ["strategy", "date"]).join(_last_adv(spark, d), "ticker", "left"))
+    out = risk.concentration(w.join(last, ["strategy", "date"]).join(_last_adv(p), "ticker", "left"))
     return rounded(out.withColumn("days_to_liquidate", F.round("days_to_liquidate", 4)))
 
 
-def _last_adv(spark, d):
-    return _panel(spark, d).filter("liquidity IS NOT NULL").groupBy("ticker").agg(F.max_by(F.exp("liquidity"), "date").alias("adv"))
+def _last_adv(panel):
+    return panel.filter("liquidity IS NOT NULL").groupBy("ticker").agg(F.max_by(F.exp("liquidity"), "date").alias("adv"))
 
 
 @query(f"WITH {WEEKLY} SELECT ticker, round(max_by(exp(liquidity), date), 4) + 0.0::DOUBLE AS adv FROM panel WHERE liquidity IS NOT NULL GROUP BY ticker")
 def last_adv(spark, d):
-    return rounded(_last_adv(spark, d), 4)
+    return rounded(_last_adv(_panel(spark, d)), 4)
 
 
 @query(f"""WITH {_pnl_sql()}, {_SERIES}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k, count(*) OVER (PARTITION BY series) AS n FROM series),
@@ -251,7 +265,7 @@ n AS (SELECT w.* FROM wts w JOIN dts d ON d.strategy = w.strategy AND d.date = w
 SELECT round(sum(abs(coalesce(n.w, 0) - coalesce(o.w, 0))), 6) + 0.0::DOUBLE AS turnover FROM n FULL JOIN o ON n.ticker = o.ticker""")
 def book_turnover(spark, d):
     """Change between the last composite book and that of four dates before."""
-    w = bt.form_weights(_signals(spark, d)).filter("strategy = 'composite'")
+    w = written(_weights(spark, d)).filter("strategy = 'composite'")
     dates = w.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))
     at = lambda k: w.join(F.broadcast(dates.filter(F.col("k") == k)), "date")
     return rounded(portfolio.turnover(at(5), at(1)))
