@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: cut points on shared storage, size-checked broadcasts, word splitting.
+"""What the operators of this subpackage share: texts, keys of documents, word splitting, and the storage helpers.
 
 Every operator keeps repeated rows, reads only the columns that it names (so other columns may have any name)
 and treats a null text as an empty one unless its docstring says otherwise.
@@ -6,44 +6,17 @@ and treats a null text as an empty one unless its docstring says otherwise.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most so many narrow rows (a few dozen bytes each) may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 300_000
+from tidemark.storage import shared_dir, small, written  # noqa: F401  the operators take them from here
+
 #: The white space that separates words: the space and the five ASCII controls \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "tidemark-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives any executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if a count shows at most `rows` rows. Give it narrow rows that are cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
