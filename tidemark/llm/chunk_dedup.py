@@ -1,9 +1,9 @@
-"""Repeated passages by content-defined chunks: a gear rolling hash sets the cuts, digests find chunks that documents share.
+"""Repeated passages by content-defined chunks: a gear rolling hash sets the cuts, digests find chunks that occur twice.
 
 A cut depends on the last 16 bytes alone, so a passage is cut alike wherever it stands and an insertion moves no later
-cut. Pairs of neighbouring chunks are exchanged as two 64-bit digests and a place; only digests of several documents meet
-documents again. Chunks are short, so that little of a passage is lost in the partial ones at its ends; pairs are long
-enough that common phrases alone don't make passages.
+cut. Pairs of neighbouring chunks are exchanged as two 64-bit digests and a place; repeats inside a text are found where it is
+cut. Chunks are short, so that little of a passage is lost in the partial ones at its ends; pairs are long enough that
+common phrases alone don't make passages.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import doc_key, text_of, written
+from tidemark.llm.shared import doc_key, small, text_of, written
 
 #: A cut where four bits of the hash are zero: chunks of about 16 bytes beyond the least size.
 MASK, SHIFT = np.uint32(15), np.uint32(11)
@@ -77,26 +77,36 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def _digests(text: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chunk with the next (of a text's only one alone) both halves of the digest, and whether the text holds it
+    once (0), for the first time of several (1) or again (2).
+    """
+    a, start = [], 0
+    for x, y in zip(ends, ends[1:] or ends):
+        a.append(xxhash.xxh3_128_intdigest(text[start:y]))
+        start = x
+    first, own = {}, np.zeros(len(a), np.int8)
+    for i, digest in enumerate(a):
+        if (j := first.setdefault(digest, i)) != i:
+            own[i], own[j] = 2, 1
+    halves = (np.array(x, np.uint64).view(np.int64) for x in ([d >> 64 for d in a], [d & 0xFFFFFFFFFFFFFFFF for d in a]))
+    return *halves, own
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ends, d1, d2 = [], [], []
-        for text in batch.column("t").to_pylist():
-            e, s, a, b = cuts(text), 0, [], []
-            for x, y in zip(e, e[1:] or e):
-                digest = xxhash.xxh3_128_intdigest(text[s:y])
-                a.append(digest >> 64)
-                b.append(digest & 0xFFFFFFFFFFFFFFFF)
-                s = x
-            ends.append(e)
-            d1.append(np.array(a, np.uint64).view(np.int64))
-            d2.append(np.array(b, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(ends, pa.list_(pa.int32())), pa.array(d1, pa.list_(pa.int64())), pa.array(d2, pa.list_(pa.int64()))], names=["_d", "_h", "ends", "d1", "d2"])
+        ends = [cuts(text) for text in batch.column("t").to_pylist()]
+        d1, d2, own = list(zip(*map(_digests, batch.column("t").to_pylist(), ends), strict=True)) or ([], [], [])
+        columns = [batch.column("_d"), batch.column("_h"), *(pa.array(x, pa.list_(t)) for x, t in ((ends, pa.int32()), (d1, pa.int64()), (d2, pa.int64()), (own, pa.int8())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_d", "_h", "ends", "d1", "d2", "own"])
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_d, _h, ends (of the chunks, in bytes), d1, d2 (digests of each chunk with the next, or of a text's only one)."""
+    """_d, _h, ends (of the chunks, in bytes), d1, d2 (digests of each chunk with the next, or of a text's only one), own
+    (0: the text holds that pair once, 1: for the first time of several, 2: again).
+    """
     t = text_of(text)
-    return docs.select(*doc_key(docs, t), t.cast("binary").alias("t")).mapInArrow(_chunks, "_d long, _h long, ends array<int>, d1 array<long>, d2 array<long>")
+    return docs.select(*doc_key(docs, t), t.cast("binary").alias("t")).mapInArrow(_chunks, "_d long, _h long, ends array<int>, d1 array<long>, d2 array<long>, own array<byte>")
 
 
 SPANS = "array<struct<start:int,end:int,later:boolean,dropped:array<struct<start:int,end:int>>>>"
@@ -139,21 +149,32 @@ def _runs(run: int):
 def repeated_passages(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
     """A row for each row of docs: doc_id, _d, _h, n_bytes, n_chunks, spans (start, end, later, dropped).
 
-    A span is a passage of at least `run` bytes of which every pair of chunks stands in another document too, in UTF-8
-    offsets. dropped: the passages in it, of at least `run` bytes, of which every pair stands in a document with a smaller
-    doc_id, so that taking them out leaves one copy; later: there are such. Rows that share a doc_id are one
-    document; rows with a null doc_id are one too, before all others. Repeats inside one document alone don't count.
-    Null and empty texts have no chunks. Repeated rows stay; an empty table gives an empty one.
+    A span is a passage of at least `run` bytes (0: of any size) of which every pair of chunks occurs elsewhere too, in
+    another row or in the same text, in UTF-8 offsets. Of equal pairs the first in the order of doc_id (nulls first), hash
+    of the text and offset stays; dropped: the passages in the span, of at least `run` bytes, whose pairs all come later,
+    so that taking them out leaves one copy; later: there are such. Rows that are equal in doc_id and text can't be told
+    apart: they get equal spans, which say that the rows repeat, and none of them is later than another. Null and empty
+    texts have no chunks. Repeated rows stay; an empty table gives an empty one.
     """
     every = chunks(docs, text)
-    one = every.select("_d", "_h", F.explode(F.arrays_zip("d1", "d2")).alias("c")).select(F.col("c.d1").alias("d1"), F.col("c.d2").alias("d2"), "_d")
-    # Of a digest only its first and last document are kept: hot pairs shrink to a row for each task before the shuffle.
-    seen = one.groupBy("d1", "d2").agg(F.min("_d").alias("first"), F.max("_d").alias("last"))
-    shared = written(seen.filter("first < last").select("d1", "d2", "first"))
-    starts = F.transform("d1", lambda d, i: F.struct(F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("s"), F.coalesce(F.get("ends", i + 1), F.get("ends", i)).alias("e"), d.alias("d1"), F.get("d2", i).alias("d2")))
-    places = every.select("_d", "_h", F.explode(starts).alias("c")).select("c.*", "_d", "_h")
-    met = places.join(shared, ["d1", "d2"]).select("_d", "_h", F.struct("s", "e", (F.col("_d") > F.col("first")).alias("later")).alias("x"))
-    spans = met.groupBy("_d", "_h").agg(F.collect_set("x").alias("found")).mapInArrow(_runs(run), f"_d long, _h long, spans {SPANS}")
+    pair = F.arrays_zip("d1", "d2", "own")
+    # Of a row's equal pairs one is sent; a hot pair shrinks to a row for each task before the shuffle.
+    one = every.select("_d", F.explode(F.filter(pair, lambda c: c["own"] < 2)).alias("c")).select(F.col("c.d1").alias("d1"), F.col("c.d2").alias("d2"), "_d")
+    seen = one.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("_d").alias("first"))
+    shared = written(seen.filter("n > 1").select("d1", "d2", "first"))
+    at = lambda i: F.struct(F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("s"), F.coalesce(F.get("ends", i + 1), F.get("ends", i)).alias("e"), F.get("d1", i).alias("d1"), F.get("d2", i).alias("d2"), F.get("own", i).alias("own"))
+    places = every.select("_d", "_h", F.explode(F.transform("own", lambda _, i: at(i))).alias("c")).select("c.*", "_d", "_h")
+    met = places.join(shared, ["d1", "d2"], "left").filter("first IS NOT NULL OR own > 0")
+    # The least id may have several rows; then the least hash of these decides.
+    rows = docs.select(*doc_key(docs, text_of(text)))
+    several = written(rows.groupBy("_d").agg(F.min("_h").alias("a"), F.max("_h").alias("b")).filter("a <> b").select("_d"))
+    behind = (F.col("own") == 2) | F.coalesce(F.col("_d") > F.col("first"), F.lit(False))
+    if not several.isEmpty():
+        tied = met.filter("_d = first").join(small(several), "_d", "left_semi").groupBy("d1", "d2").agg(F.min("_h").alias("h0"))
+        met = met.join(tied, ["d1", "d2"], "left")
+        behind = behind | F.coalesce((F.col("_d") == F.col("first")) & (F.col("_h") > F.col("h0")), F.lit(False))
+    found = met.select("_d", "_h", F.struct("s", "e", behind.alias("later")).alias("x"))
+    spans = found.groupBy("_d", "_h").agg(F.collect_set("x").alias("found")).mapInArrow(_runs(run), f"_d long, _h long, spans {SPANS}")
     t = text_of(text)
     sizes = every.select("_d", "_h", F.size("ends").cast("long").alias("n_chunks")).distinct()
     out = docs.select("doc_id", *doc_key(docs, t), F.octet_length(t).cast("long").alias("n_bytes"))
