@@ -33,9 +33,45 @@ def brute(texts):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-def test_components_match_all_pairs(spark, documents, texts):
+def test_components_match_all_pairs(spark):
+    """On the thousand documents of sf0.01: no link of all pairs is missed."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents).collect()}
-    assert got == brute(texts)
+    assert got == brute({r.doc_id: r.text or "" for r in documents.collect()})
+
+
+def test_every_pair_of_blocks_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(b, n, n % 3, 5, 5, 0, 0) for b, many in ((1, 50), (2, 3), (3, 1)) for n in range(many)]
+    held = spark.createDataFrame(rows, "bucket long, node long, c long, n long, s long, center long, p long")
+    want = {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3}
+    got = minhash.block_pairs(held, "true").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_unlike_members_of_one_bucket(spark, monkeypatch):
+    """Documents that share half of a template: large buckets that hold many components, one link among them."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = __import__("random").Random(3)
+    head = [f"h{j}" for j in range(40)]
+    rows = {i: " ".join(head + [f"t{rng.randrange(10**9)}" for _ in range(14 + i % 3)]) for i in range(60)}
+    rows[60] = rows[31] + " more"
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_rows_that_share_an_id_keep_the_links_of_all_texts(spark):
+    word = lambda k, n=40: " ".join(f"{k}{j}" for j in range(n))
+    rows = [(5, word("a")), (5, word("b")), (1, word("a") + " x"), (2, word("b") + " y"), (9, word("c")), (9, word("d")), (7, word("e"))]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 1), (1, 1), (2, 1), (9, 9), (7, 7)}
+
+
+def test_long_path_is_one_component(spark):
+    """More rounds than a fixed number of them would do: until nothing changes."""
+    ids = __import__("random").Random(4).sample(range(10_000), 400)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {r.component for r in minhash.components(edges).collect()} == {min(ids)}
 
 
 def test_chain_and_large_group(spark):

@@ -24,6 +24,12 @@ HASHES, BANDS = 128, 32
 MIN_PERCENT = 75
 #: Pairs with fewer equal minima (of 128) are no candidates: at a similarity of 0.75 that is six deviations off.
 LEAST_EQUAL = 64
+#: Members of a bucket that are compared with so many others in one group of the last join, about.
+BLOCK = 128
+#: Parts into which the members that share a center are dealt.
+SALTS = 16
+#: A signature's byte is the top one of the minimum times this: the minimum's own top bits are zero in large sets.
+_SPREAD = np.uint32(0x9E3779B1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(int(_P), SHINGLE - 1 - i, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
@@ -82,17 +88,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = m.astype(np.uint64).reshape(BANDS, rows)
             key = (wide * mix[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * mix[rows]
             bands.append(key.view(np.int64))
-            sigs.append((m & np.uint32(255)).astype(np.uint8).tobytes())
+            sigs.append(((m * _SPREAD) >> np.uint32(24)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["doc_id", "_k", "n_shingles", "_bands", "_sig"],
+            [batch.column("doc_id"), batch.column("_h"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+            names=["doc_id", "_h", "_k", "n_shingles", "_bands", "_sig"],
         )
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _k (digest of the words, null without words), n_shingles, _bands (bucket keys), _sig (a byte a minimum)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t"))
-    return rows.mapInArrow(_sign, "doc_id long, _k binary, n_shingles long, _bands array<long>, _sig binary")
+    """doc_id, _h (hash of the text), _k (digest of the words, null without words), n_shingles, _bands (bucket keys), _sig
+    (a byte a minimum).
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("_h"), text_of(text).cast("binary").alias("t"))
+    return rows.mapInArrow(_sign, "doc_id long, _h long, _k binary, n_shingles long, _bands array<long>, _sig binary")
+
+
+def texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, t): the texts of the given nodes, whose rows are found by doc_id and the text's hash."""
+    wanted = written(reps.select("node", F.col("rep").alias("doc_id"), "_h").join(small(nodes), "node"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("_h"), text_of(text).cast("binary").alias("t"))
+    return rows.join(small(wanted), ["doc_id", "_h"]).select("node", "t").distinct()
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,125 +130,148 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures agree and whose full shingle sets reach the similarity."""
-    sig = lambda c: reps.select(F.col("rep").alias(c), F.col("_sig").alias(f"s{c}"))
+    """Those of the pairs (a, b) of nodes whose signatures agree and whose full shingle sets reach the similarity."""
+    sig = lambda c: reps.select(F.col("node").alias(c), F.col("_sig").alias(f"s{c}"))
     likely = written(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
-    ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t")).join(small(ids), "doc_id", "left_semi").distinct())
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("t").alias(f"t{c}"))
+    texts = written(texts_of(written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), reps, docs, text))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("t").alias(f"t{c}"))
     return written(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components by alternating large-star and small-star; the least id names each.
 
-    Each step joins edges with the least neighbour of their nodes, so no node's neighbours are ever gathered.
-    Every round is written to the shared folder; it ends when a round changes nothing.
+    Each step joins edges with the least neighbour of their nodes, so no node's neighbours are ever gathered. Every round
+    is written to the shared folder. It ends when a round changes nothing; each round that changes something brings nodes
+    nearer to their least, so there is no limit on the rounds (about log^2 of the largest component are enough).
     """
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = mark(e)
-    for _ in range(rounds if before[0] else 0):
+    before, now = None, mark(e)
+    while now[0] and now != before:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         e = written(small_.filter("u <> v").distinct())
-        if (now := mark(e)) == before:
-            break
-        before = now
+        before, now = now, mark(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rep", "n", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "n", "s"])
 
 
-def shared_shingles(held: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(sets, shared): rows (rep, n, x) of all shingles x of sets of n, and (rep, x) of those that some member of another
+def shared_shingles(held: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(sets, shared): rows (node, n, x) of all shingles x of sets of n, and (node, x) of those that some member of another
     component has too. Only the latter can be in an intersection across components.
     """
-    who = written(held.select("rep", "c").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).cast("binary").alias("t")).join(small(who.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").distinct()
-    sets = texts.mapInArrow(_sets, "rep long, n long, s array<long>")
-    one = written(sets.join(who, "rep").select("rep", "c", "n", F.explode("s").alias("x")))
+    who = written(held.select("node", "c").distinct())
+    sets = texts_of(who.select("node"), reps, docs, text).mapInArrow(_sets, "node long, n long, s array<long>").dropDuplicates(["node"])
+    one = written(sets.join(who, "node").select("node", "c", "n", F.explode("s").alias("x")))
     common = one.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("x")
-    return one, written(one.join(common, "x").select("rep", "x").distinct())
+    return one, written(one.join(common, "x").select("node", "x").distinct())
 
 
 def centred(held: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
-    """(rep, center, p): a member that others are likely copies of, and how many shared shingles of rep it has too.
+    """(node, center, p): a member that others are likely copies of, and how many shared shingles of node it has too.
 
     For two members of one center the intersection is at most min(p, p') inside its set and min(s - p, s' - p') outside.
+    A center of a large group meets its members in SALTS parts.
     """
-    lead = held.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("center"), F.max(F.col("s") / F.col("n")).alias("q"))
-    center = written(held.join(lead, "bucket").groupBy("rep").agg(F.max_by("center", F.struct("q", -F.col("center"))).alias("center")))
-    of = sets.join(center.select(F.col("center").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("center"), "x").distinct()
-    met = shared.join(center, "rep").join(of, ["center", "x"]).groupBy("rep").agg(F.count("*").alias("p"))
-    return written(center.join(met, "rep", "left").select("rep", "center", F.coalesce("p", F.lit(0)).alias("p")))
+    lead = held.groupBy("bucket").agg(F.max_by("node", F.struct(F.col("s") / F.col("n"), -F.col("node"))).alias("center"), F.max(F.col("s") / F.col("n")).alias("q"))
+    center = written(held.join(small(written(lead)), "bucket").groupBy("node").agg(F.max_by("center", F.struct("q", -F.col("center"))).alias("center")))
+    of = sets.join(center.select(F.col("center").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("center"), "x").distinct()
+    of = of.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = shared.join(center, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    met = salted.join(of, ["center", "x", "salt"]).groupBy("node").agg(F.count("*").alias("p"))
+    return written(center.join(met, "node", "left").select("node", "center", F.coalesce("p", F.lit(0)).alias("p")))
 
 
 def mixed_only(held: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """Of bucket members those that may still link across components: bucket, rep, c and, with sizes, n and s.
+    """Of bucket members those that may still link across components: bucket, node, c and, with sizes, n and s.
 
     A link needs 100 |x & y| >= 75 |x | y|, which is 7 |x & y| >= 3 (|x| + |y|). The intersection is at most s of either, and
     the partner at least as large as its bucket's smallest member.
     """
     if sizes is not None:
-        held = held.join(sizes, "rep")
-        least = held.groupBy("bucket").agg(F.min("n").alias("n0"))
-        held = held.join(least, "bucket").filter("7 * s >= 3 * (n + n0)").drop("n0")
-    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket")
-    return written(held.join(mixed, "bucket", "left_semi"))
+        held = written(held.join(sizes, "node"))
+        least = written(held.groupBy("bucket").agg(F.min("n").alias("n0")))
+        held = held.join(small(least), "bucket").filter("7 * s >= 3 * (n + n0)").drop("n0")
+    mixed = written(held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket"))
+    return written(held.join(small(mixed), "bucket", "left_semi"))
+
+
+def block_pairs(held: DataFrame, may: str) -> DataFrame:
+    """(a, b), a < b: pairs of members of one bucket, in different components, for which `may` holds.
+
+    A bucket's members are dealt to blocks of about BLOCK, and each two blocks meet under a key of their own, so that no key
+    holds more than about BLOCK^2 pairs, however large the bucket is.
+    """
+    blocks = written(held.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    dealt = held.join(small(blocks), "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    names = ("node", "c", "n", "s", "center", "p")
+    x = dealt.select("bucket", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}a") for c in names])
+    y = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("_i"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}b") for c in names]).withColumnRenamed("_i", "i")
+    # Within a block every pair meets in both orders; of two blocks each pair meets once.
+    met = x.join(y, ["bucket", "i", "j"]).filter(f"ca <> cb AND (i < j OR nodea < nodeb) AND {may}")
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
-    Texts without words (null, empty, white space) link with nothing. Rows that share a doc_id are one document. A null
-    doc_id takes no part in links and has a null component_id; it is kept. An empty table gives an empty one.
+    Texts without words (null, empty, white space) link with nothing. Rows that share a doc_id are one document with all
+    their texts: what links with one of these links with the others. A null doc_id takes no part in links and has a null
+    component_id; it is kept. An empty table gives an empty one.
     """
     signed = written(signatures(docs, text))
-    groups = written(signed.filter("_k IS NOT NULL AND doc_id IS NOT NULL").groupBy("_k").agg(F.min("doc_id").alias("rep")))
-    reps = written(signed.join(groups.withColumnRenamed("rep", "doc_id"), ["_k", "doc_id"]).select(F.col("doc_id").alias("rep"), "_bands", "_sig").dropDuplicates(["rep"]))
-    rows = reps.select("rep", F.explode("_bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-    members = written(rows.join(full.select("bucket", "pivot"), "bucket").select("bucket", "rep", "pivot"))
+    taking_part = signed.filter("_k IS NOT NULL AND doc_id IS NOT NULL")
+    groups = written(taking_part.groupBy("_k").agg(F.min("doc_id").alias("rep")))
+    # A node is a different text; its number is one of a stored table.
+    one = signed.join(groups.withColumnRenamed("rep", "doc_id"), ["_k", "doc_id"]).select("_k", F.col("doc_id").alias("rep"), "_h", "_bands", "_sig").dropDuplicates(["_k"])
+    reps = written(one.withColumn("node", F.monotonically_increasing_id()))
+    rows = reps.select("node", F.explode("_bands").alias("bucket"))
+    full = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
+    members = written(rows.join(small(full.select("bucket", "pivot")), "bucket").select("bucket", "node", "pivot"))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = written(members.filter("rep <> pivot").select(*ordered("rep", "pivot")).distinct())
+    tested = written(members.filter("node <> pivot").select(*ordered("node", "pivot")).distinct())
     edges = verified(tested, reps, docs, text)
+    several = written(taking_part.groupBy("doc_id").agg(F.min(F.xxhash64("_k")).alias("a"), F.max(F.xxhash64("_k")).alias("b")).filter("a <> b").select("doc_id"))
+    if not several.isEmpty():
+        own = written(taking_part.join(small(several), "doc_id", "left_semi").select("doc_id", "_k").distinct().join(reps.select("_k", "node"), "_k").select("doc_id", "node"))
+        edges = written(edges.union(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))))
     # A bucket of two has been tested as a whole.
-    members = members.join(full.filter("n > 2").select("bucket"), "bucket", "left_semi").select("bucket", "rep")
+    members = members.join(small(written(full.filter("n > 2").select("bucket"))), "bucket", "left_semi").select("bucket", "node")
     sizes = None
     for last in (False, True):
         labels = components(edges)
-        held = mixed_only(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), None)
+        held = mixed_only(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), None)
         if held.isEmpty():
             break
         if sizes is None:
-            sets, shared = shared_shingles(held, docs, text)
-            sizes = written(sets.groupBy("rep").agg(F.min("n").alias("n")).join(shared.groupBy("rep").agg(F.count("*").alias("s")), "rep"))
+            sets, shared = shared_shingles(held, reps, docs, text)
+            sizes = written(sets.groupBy("node").agg(F.min("n").alias("n")).join(shared.groupBy("node").agg(F.count("*").alias("s")), "node"))
         held = mixed_only(held, sizes)
         if last:
-            held = held.join(centred(held, sets, shared), "rep").join(reps.select("rep", "_bands"), "rep")
-            x, y = (held.select("bucket", *[F.col(c).alias(f"{c}{r}") for c in ("rep", "c", "n", "s", "center", "p", "_bands")]) for r in "ab")
+            held = held.join(centred(held, sets, shared), "node")
             most = "CASE WHEN centera = centerb THEN least(pa, pb) + least(sa - pa, sb - pb) ELSE least(sa, sb) END"
-            may = f"repa < repb AND ca <> cb AND 7 * ({most}) >= 3 * (na + nb)"
-            may += " AND array_intersect(_bandsa, _bandsb)[0] = bucket"  # once for each pair, in the first bucket that both are in
-            new = x.join(y, "bucket").filter(may).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+            new = block_pairs(held, f"7 * ({most}) >= 3 * (na + nb)")
         else:
             # The member that shares most with the others is the likeliest source of a group of edited copies.
-            best = held.groupBy("bucket").agg(F.max_by(F.struct("rep", "c"), F.struct(F.col("s") / F.col("n"), -F.col("rep"))).alias("p"))
-            new = held.join(best, "bucket").filter("c <> p.c").select(*ordered("rep", "p.rep")).distinct()
+            best = written(held.groupBy("bucket").agg(F.max_by(F.struct("node", "c"), F.struct(F.col("s") / F.col("n"), -F.col("node"))).alias("p")))
+            new = held.join(small(best), "bucket").filter("c <> p.c").select(*ordered("node", "p.node")).distinct()
         new = written(new.join(tested, ["a", "b"], "left_anti"))
         edges = written(edges.union(verified(new, reps, docs, text)))
-        tested, members = tested.union(new), held.select("bucket", "rep")
-    labels = components(edges)
-    named = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("_k", F.coalesce("component", "rep").alias("component_id"))
+        tested, members = tested.union(new), held.select("bucket", "node")
+    labels = written(components(edges))
+    named = reps.select("_k", "rep", "node").join(labels, "node", "left").select("_k", "rep", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = written(named.join(least, "c").select("_k", "component_id"))
     # Rows without a digest get one of their own, as equal join keys would meet in one task.
     own = signed.select("doc_id", "n_shingles", F.coalesce("_k", F.concat(F.lit("-"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).cast("binary")).alias("_k"))
     out = own.join(named, "_k", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
