@@ -3,11 +3,13 @@
 import importlib
 import sys
 
-import corpus_pipeline
 from test_minhash import brute
 from test_native import base_spans, leaks, statistics
 from test_packing import check
 
+from tidemark.llm import pipeline
+from tidemark.llm.shared import written
+
 
 def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
@@ -15,8 +17,8 @@ def rows_of(df):
 
 def test_stages(spark, documents, sf_dir):
     docs, tables = documents, []
-    for name, stage in corpus_pipeline.STAGES:
-        new = corpus_pipeline.written(stage(spark, docs, sf_dir))
+    for name, stage in pipeline.STAGES:
+        new = written(stage(spark, docs, sf_dir))
         tables.append((name, docs, new))
         if name != "best_fit_packing":
             assert new.columns == documents.columns and new.dtypes == documents.dtypes
@@ -50,11 +52,19 @@ def test_stages(spark, documents, sf_dir):
 
 def test_odd_rows(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.written(stage(spark, docs, sf_dir))
+        for _, stage in pipeline.STAGES:
+            docs = written(stage(spark, docs, sf_dir))
     assert docs.count() == 0
 
 
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark, sf_dir):
+    word = lambda k: " ".join(f"{k}{j}" for j in range(60))
+    rows = [(5, word("a")), (5, word("b")), (5, word("b")), (6, word("b") + " more"), (None, word("c")), (None, word("c"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r.doc_id or 0, r.text[0]) for r in pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert left == [(0, "c"), (0, "c"), (5, "a"), (5, "b")]
+
+
 def test_entry_lists_its_queries():
     sys.modules.pop("__spark_entry__", None)
     names = importlib.import_module("__spark_entry__").queries()

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, minhash, packing, pii, quality_cnn, sharding, warc
+from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, minhash, packing, pii, pipeline, quality_cnn, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,7 +142,7 @@ SELECT *, NOT base_failed AND 100 * n_removed_words <= 50 * n_words AS kept FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding)} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
