@@ -1,71 +1,5 @@
-"""A training corpus from raw documents: rules, near-duplicates, contamination, personal data, packing.
+"""The corpus pipeline's contract: its stages, their SQL and the run over documents (see tidemark/llm/pipeline.py)."""
 
-Each stage gets what its predecessor kept, as a Parquet table written to the shared folder, and returns the columns of
-documents; the last returns the packed pieces. A stage joins verdicts to its rows by the document's key; texts are
-exchanged only where a verdict table is too large to broadcast.
-"""
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import decontam, line_rules, minhash, packing, pii
-from tidemark.llm.shared import doc_key, small, text_of, written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines above the limits of their host."""
-    found = line_rules.line_rules(docs).select("_d", "_h", F.col("_host"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed")).filter("_kept").dropDuplicates(["_d", "_h", "_host"])
-    host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host")
-    # As many rows as documents, with arrays: not a side to broadcast on a count of rows.
-    kept = docs.select(*COLUMNS, *doc_key(docs, text_of("text")), host).join(written(found.drop("_kept")), ["_d", "_h", "_host"])
-    new = F.when(F.size("_removed") > 0, line_rules.without_lines(F.col("text"), F.col("_removed"))).otherwise(F.col("text"))
-    return kept.withColumn("text", new).withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with its least id. Of rows that repeat an id one stays; null ids all stay."""
-    ids = small(written(minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()))
-    with_id = docs.select(*COLUMNS).filter("doc_id IS NOT NULL")
-    return with_id.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.select(*COLUMNS).filter("doc_id IS NULL"))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    hit = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("_d", "_h").distinct()
-    return docs.select(*COLUMNS, *doc_key(docs, text_of("text"))).join(small(written(hit)), ["_d", "_h"], "left_anti").select(*COLUMNS)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each span of personal data."""
-    found = pii.find_pii(docs, [F.col(c) for c in COLUMNS])
-    new = F.when(F.size("spans") > 0, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", new).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.best_fit_packing(docs)
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: Near-duplicate components and packed places are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
