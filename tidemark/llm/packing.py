@@ -9,21 +9,21 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_of, written
+from tidemark.llm.shared import small, text_of, written
 
 CAPACITY = 1024
 END = 2
 PIECES_PER_PART = 50_000
-ROUNDS = 4
 _SPECIAL = "<|endoftext|>"
 
 
@@ -45,8 +45,9 @@ def encoder(tokenizer: str, ranks: str):
         if _SPECIAL not in text:
             try:
                 return fast.encode_to_numpy(text)
-            except Exception:  # noqa: BLE001, S110  a text beyond the regular expression's stack
-                pass
+            except ValueError as error:  # a run of white space that is beyond the regular expression's stack
+                if "Regex error" not in str(error):
+                    raise
         return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
@@ -157,38 +158,37 @@ def _packed(rows: DataFrame, parts: int, number: int, capacity: int) -> tuple[Da
     return out.filter("bins IS NULL").drop("bins", "bound"), out.filter("bins IS NOT NULL").select("part", "bins", "bound")
 
 
-def best_fit_packing(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, per_part: int = PIECES_PER_PART, rounds: int = ROUNDS, **tokenizer: str) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def best_fit_packing(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, per_part: int = PIECES_PER_PART, **tokenizer: str) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
-    A null text is empty and so is one token, the end. Repeated rows are packed each for itself; an empty table gives an
-    empty one. Parts hold about `per_part` pieces, so a task's memory doesn't depend on the input.
+    A null text is empty and so is one token, the end. Repeated rows are packed each for itself; pieces of equal length are
+    placed in the order of doc_id and piece, so ties decide nothing but places. An empty table gives an empty one. Parts
+    hold about `per_part` pieces, so a task's memory doesn't depend on the input. Rounds of exchange go on as long as one
+    saves a sequence. certified: the sequence is full, or its part meets the lower bound on its number of sequences.
     """
     every = written(pieces(docs, text, capacity, **tokenizer))
     todo = every.filter("own IS NULL").drop("own")
-    done = [every.filter("own IS NOT NULL").select(*_PIECE[:5], F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    parts = max(1, -(-todo.count() // per_part))
     keep = [*_PIECE[:5], "sequence_id", "offset"]
-    placed, parts_of = _packed(todo, parts, 1, capacity)
-    for number in range(2, rounds + 2):
+    done = [every.filter("own IS NOT NULL").select(*_PIECE[:5], F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
+    placed, parts_of = _packed(todo, max(1, -(-todo.count() // per_part)), 1, capacity)
+    for number in itertools.count(2):
         # Certified parts stay as they are. So do full bins of the others, unless that leaves nothing to gain.
         open_parts = parts_of.filter("bins > bound").select("part")
-        gap, n_open = parts_of.agg(F.coalesce(F.sum(F.col("bins") - F.col("bound")), F.lit(0)), F.count_if(F.col("bins") > F.col("bound"))).first()
-        if not gap or (parts == 1 and number > 2):
+        n_open = open_parts.count()
+        if not n_open:
             break
-        # part lists have a row for each part, at most pieces / per_part
-        mine = placed.join(F.broadcast(open_parts), "part", "left_semi")
-        full = mine.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity).select("sequence_id")
-        loose = written(mine.join(full, "sequence_id", "left_semi"))
+        mine = placed.join(small(open_parts), "part", "left_semi")
+        gaps = mine.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity).select("sequence_id")
+        loose = written(mine.join(gaps, "sequence_id", "left_semi"))
         n, old = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        parts = max(1, min(n_open // 2, -(-n // per_part)))
-        again, certified = _packed(loose.select(*_PIECE[:5]), parts, number, capacity)
+        again, certified = _packed(loose.select(*_PIECE[:5]), max(1, min(n_open // 2, -(-n // per_part))), number, capacity)
         new = certified.agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
         if new >= old:
             break
-        done.append(placed.join(loose.select("sequence_id").distinct(), "sequence_id", "left_anti").select(*keep))
+        stays = placed.join(loose.select("sequence_id").distinct(), "sequence_id", "left_anti")
+        done.append(stays.select(*keep, F.lit(True).alias("certified")))  # full, or of a part that meets its bound
         placed, parts_of = again, certified
-    done.append(placed.select(*keep))
-    out = done[0]
-    for x in done[1:]:
-        out = out.union(x)
-    return out
+    gap = small(parts_of.filter("bins > bound").select("part", F.lit(False).alias("met")))
+    full = F.sum("length").over(Window.partitionBy("sequence_id")) == capacity
+    done.append(placed.join(gap, "part", "left").select(*keep, (F.coalesce("met", F.lit(True)) | full).alias("certified")))
+    return functools.reduce(DataFrame.union, done)
