@@ -20,8 +20,8 @@ from tidemark.llm.shared import text_of
 STEP = 16
 WIDTH = 2 * STEP
 EMBED, FILTERS = 6, 32
-#: The sample that is learned from: labelled documents, and the most bytes that one of them may have.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 16_384
+#: The sample that is learned from: at most so many labelled documents, of so many bytes together.
+TRAIN_ROWS, TRAIN_TOTAL = 4000, 64 << 20
 EPOCHS, BATCH, RATE, SEED = 10, 32, 0.01, 11
 #: Bytes that are convolved at once.
 SLAB = 1 << 20
@@ -52,36 +52,53 @@ def blocks_of(text: bytes) -> np.ndarray:
     return out.reshape(n, STEP)
 
 
+def _slabs(texts: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(numbers, pieces): the documents' blocks in lists of about SLAB bytes. Documents share lists, and long ones are cut
+    into pieces that share a block, so that no chunk is lost.
+    """
+    numbers, pieces, size, per = [], [], 0, SLAB // STEP
+    for i, b in enumerate(texts):
+        for s in range(0, len(b) - 1, per - 1):
+            numbers.append(i)
+            pieces.append(b[s : s + per])
+            size += pieces[-1].size
+            if size >= SLAB:
+                yield numbers, pieces
+                numbers, pieces, size = [], [], 0
+    if pieces:
+        yield numbers, pieces
+
+
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
-    """len(texts) x FILTERS largest responses; documents share slabs, and long ones are taken slab by slab."""
+    """len(texts) x FILTERS largest responses."""
     best = np.full((len(texts), FILTERS), -np.inf, np.float32)
-    part, size = [], 0
-
-    def flush() -> None:
-        nonlocal part, size
-        if part:
-            y = net.responses(np.concatenate([b for _, b in part]))
-            first = np.concatenate([[0], np.cumsum([len(b) for _, b in part])[:-1]])
-            # The response between two documents stands before each next start and is left out.
-            edges = np.stack([first, first + [len(b) - 1 for _, b in part]], axis=1).ravel()
-            top = np.maximum.reduceat(np.concatenate([y, y[:1]]), edges)[::2]
-            for (i, _), t in zip(part, top, strict=True):
-                np.maximum(best[i], t, out=best[i])
-            part, size = [], 0
-
-    per = SLAB // STEP
-    for i, text in enumerate(texts):
-        b = blocks_of(text)
-        for s in range(0, len(b) - 1, per - 1):  # slabs of one document share a block, so no chunk is lost
-            piece = b[s : s + per]
-            part.append((i, piece))
-            size += piece.size
-            if size >= SLAB:
-                flush()
-    flush()
+    for numbers, pieces in _slabs(list(map(blocks_of, texts))):
+        y = net.responses(np.concatenate(pieces))
+        first = np.concatenate([[0], np.cumsum([len(b) for b in pieces])[:-1]])
+        # The response between two documents stands before each next start and is left out.
+        edges = np.stack([first, first + [len(b) - 1 for b in pieces]], axis=1).ravel()
+        top = np.maximum.reduceat(np.concatenate([y, y[:1]]), edges)[::2]
+        for i, t in zip(numbers, top, strict=True):
+            np.maximum(best[i], t, out=best[i])
     return best
 
 
+def _winners(net: Network, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest responses as in pooled(), and the chunks that gave them: len(texts) x FILTERS x WIDTH bytes."""
+    best = np.full((len(texts), FILTERS), -np.inf, np.float32)
+    won = np.full((len(texts), FILTERS, WIDTH), _PAD, np.int16)
+    for numbers, pieces in _slabs(texts):
+        y, a = net.responses(np.concatenate(pieces)), 0
+        for i, b in zip(numbers, pieces, strict=True):
+            at = y[a : a + len(b) - 1].argmax(axis=0)
+            top = y[a + at, np.arange(FILTERS)]
+            new = top > best[i]
+            best[i][new] = top[new]
+            won[i][new] = np.concatenate([b[at[new]], b[at[new] + 1]], axis=1)
+            a += len(b)
+    return best, won
+
+
 def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.empty(0)
@@ -108,21 +125,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Networ
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     blocks = [blocks_of(t) for t in texts]
-    half = STEP * EMBED
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for s in range(0, len(order), BATCH):
             ids = order[s : s + BATCH]
-            net, some = Network(**p), [blocks[i] for i in ids]
-            every = np.concatenate(some)
-            r = net.responses(every)
-            first = np.concatenate([[0], np.cumsum([len(b) for b in some])])
-            won = np.stack([a + r[a : b - 1].argmax(axis=0) for a, b in zip(first[:-1], first[1:], strict=True)])
-            top = r[won, np.arange(FILTERS)] + p["bias"]
+            top, chunk = _winners(Network(**p), [blocks[i] for i in ids])
+            top = top + p["bias"]
             act = np.maximum(top, 0)
             dz = (1 / (1 + np.exp(-(act @ p["out"] + p["out_bias"]))) - y[ids]) / len(ids)
             dtop = np.where(top > 0, dz[:, None] * p["out"], 0).astype(np.float32)
-            chunk = np.concatenate([every[won], every[won + 1]], axis=2)  # documents x FILTERS x WIDTH bytes
             x = p["embedding"][chunk].reshape(len(ids), FILTERS, -1)
             dx = (dtop[:, :, None] * p["filters"].T).reshape(-1, EMBED)
             flat = chunk.ravel()
@@ -141,20 +152,35 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Networ
                 v *= 0.999
                 v += 0.001 * g[k] ** 2
                 p[k] = p[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    assert half * 2 == len(p["filters"])
     return Network(**{k: v.astype(np.float32) for k, v in p.items()})
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Network:
-    """Learns from at most `rows` labelled rows for which `training` (of doc_id) holds, those with the least id hashes.
+def sample(docs: DataFrame, labels: DataFrame, training: Column, text: str, label: str, rows: int, total: int) -> list[tuple]:
+    """(doc_id, label, text): the labelled documents with the least id hashes, as many as the two bounds allow.
 
-    Documents of over `most` bytes are not learned from (they are scored like all others); labels other than 0 and 1 and
-    null ids are passed over.
+    The bytes bound ends the sample where the next document would pass it; a long document is never passed over for its
+    size while others are taken after it. One document is taken at least. Texts are read once the sample is known.
     """
-    some = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_y")).distinct()
+    some = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)
-    found = docs.select("doc_id", text_of(text).cast("binary").alias("_t")).filter(F.octet_length("_t") <= most).join(F.broadcast(some), "doc_id")
-    got = sorted((r.doc_id, r._y, bytes(r._t)) for r in found.orderBy(F.xxhash64("doc_id"), "_t").limit(rows).collect())
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("_t"), F.col("_y")]
+    found = docs.select("doc_id", text_of(text).cast("binary").alias("_t")).join(F.broadcast(some), "doc_id")  # at most `rows` narrow rows
+    listed = found.orderBy(*order).select("doc_id", F.xxhash64("_t").alias("_h"), F.octet_length("_t").alias("_n")).limit(rows).collect()
+    size = np.cumsum([r._n for r in listed])
+    taken = {(r.doc_id, r._h) for r in listed[: max(1, int(np.searchsorted(size, total, side="right")))]}
+    if not taken:
+        return []
+    ids = sorted({d for d, _ in taken})
+    got = found.filter(F.col("doc_id").isin(ids)).withColumn("_h", F.xxhash64("_t")).collect()
+    return sorted((r.doc_id, r._y, bytes(r._t)) for r in got if (r.doc_id, r._h) in taken)
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, total: int = TRAIN_TOTAL) -> Network:
+    """Learns from at most `rows` labelled rows, of `total` bytes together, for which `training` (of doc_id) holds.
+
+    All chunks of these documents are learned from. Labels other than 0 and 1 and null ids are passed over.
+    """
+    got = sample(docs, labels, training, text, label, rows, total)
     return train([t for _, _, t in got], [y for _, y, _ in got])
 
 
