@@ -44,3 +44,38 @@ def test_a_cut_record_is_refused():
     data = warc.record(1, "u", b"abc", None)
     with pytest.raises(ValueError, match="Content-Length"):
         warc.parsed(data[:-5])
+
+
+def test_the_sample_is_spread_over_the_table(spark):
+    many = spark.range(0, 3000, 1, 3).selectExpr("id AS page_id", "concat('http://', id) AS url", "cast(repeat(cast(id AS string), 30) AS binary) AS html")
+    got = [int(warc.parsed(r)["WARC-Record-ID"].split(":")[2]) for r in warc.sampled(many, 300, 1 << 20)]
+    assert len(got) == 300 and [sum(k * 1000 <= i < k * 1000 + 1000 for i in got) > 60 for k in range(3)] == [True] * 3
+    assert got == [int(warc.parsed(r)["WARC-Record-ID"].split(":")[2]) for r in warc.sampled(many.repartition(7), 300, 1 << 20)]
+    few = warc.sampled(many, 300, 1000)
+    assert 1 <= len(few) and sum(len(warc.parsed(r)["block"]) for r in few) <= 1000
+    assert len(warc.sampled(many, 300, 1)) == 1
+
+
+def test_files_are_closed_at_their_size(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, "u", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))) for i in range(40)]
+    pages, folder = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{shared_dir(spark)}"
+    files = written(warc.write_warc(pages, folder, file_bytes=80_000))
+    assert files.count() > 1 and files.selectExpr("sum(records) AS n").first().n == 40
+    assert sorted(r.page_id for r in warc.read_warc(spark, files, folder).collect()) == list(range(40))
+
+
+def test_rows_that_repeat_a_page_id_have_ids_of_their_own():
+    a, b = (warc.parsed(warc.record(1, "u", x, None)) for x in (b"one", b"two"))
+    assert a["WARC-Record-ID"] != b["WARC-Record-ID"]
+    assert warc.parsed(warc.record(2, "u", b"one", 1))["WARC-Refers-To"] == a["WARC-Record-ID"]
+
+
+def test_extra_columns_with_clashing_names(spark, pages):
+    from pyspark.sql import functions as F
+
+    odd = pages.withColumns({c: F.lit("clash") for c in ("_k", "first", "n", "_at", "_n", "refers_to", "payload_bytes", "path", "records")})
+    rows = lambda df: sorted(map(str, warc.archive_and_read(df).collect()))
+    assert rows(odd) == rows(pages)
