@@ -67,7 +67,8 @@ def cuts(data: bytes) -> list[int]:
         starts = np.append(raw[1:] & 0xC0 != 0x80, s + SLAB >= n or data[s + SLAB] & 0xC0 != 0x80)
         hit = ((rolling(raw) >> SHIFT) & MASK == 0) & starts
         for at in (np.flatnonzero(hit[back:]) + s + 1).tolist():
-            forced(at)
+            if at - last > MOST:
+                forced(at)
             if at - last >= LEAST:
                 last = at
                 out.append(last)
@@ -81,24 +82,37 @@ def _digests(text: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.n
     """Of each chunk with the next (of a text's only one alone) both halves of the digest, and whether the text holds it
     once (0), for the first time of several (1) or again (2).
     """
-    a, start = [], 0
-    for x, y in zip(ends, ends[1:] or ends):
-        a.append(xxhash.xxh3_128_intdigest(text[start:y]))
-        start = x
-    first, own = {}, np.zeros(len(a), np.int8)
-    for i, digest in enumerate(a):
-        if (j := first.setdefault(digest, i)) != i:
-            own[i], own[j] = 2, 1
-    halves = (np.array(x, np.uint64).view(np.int64) for x in ([d >> 64 for d in a], [d & 0xFFFFFFFFFFFFFFFF for d in a]))
-    return *halves, own
+    digest = xxhash.xxh3_128_digest
+    pairs = [digest(text[s:e]) for s, e in zip([0, *ends], ends[1:] or ends)]
+    own = np.zeros(len(pairs), np.int8)
+    if len(set(pairs)) < len(pairs):
+        first: dict[bytes, int] = {}
+        for i, x in enumerate(pairs):
+            if (j := first.setdefault(x, i)) != i:
+                own[i], own[j] = 2, 1
+    halves = np.frombuffer(b"".join(pairs), ">i8").astype(np.int64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1], own
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ends = [cuts(text) for text in batch.column("t").to_pylist()]
-        d1, d2, own = list(zip(*map(_digests, batch.column("t").to_pylist(), ends), strict=True)) or ([], [], [])
-        columns = [batch.column("_d"), batch.column("_h"), *(pa.array(x, pa.list_(t)) for x, t in ((ends, pa.int32()), (d1, pa.int64()), (d2, pa.int64()), (own, pa.int8())))]
-        yield pa.RecordBatch.from_arrays(columns, names=["_d", "_h", "ends", "d1", "d2", "own"])
+        texts, start = batch.column("t"), 0
+        while start < len(texts):  # rows of about SLAB bytes at a time
+            held, size, i = [], 0, start
+            while i < len(texts) and size < SLAB:
+                text = texts[i].as_py()
+                ends = cuts(text)
+                held.append((np.array(ends, np.int32), *_digests(text, ends)))
+                size += len(text)
+                i += 1
+            lists = [_lists(list(x), t) for x, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int8()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_d").slice(start, i - start), batch.column("_h").slice(start, i - start), *lists], names=["_d", "_h", "ends", "d1", "d2", "own"])
+            start = i
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -141,7 +155,7 @@ def _runs(run: int):
                         i += 1
                     spans.append({"start": s, "end": e, "later": bool(dropped), "dropped": dropped})
                 out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(out, kind)], names=["_d", "_h", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), batch.column("n_chunks"), pa.array(out, kind)], names=["_d", "_h", "n_chunks", "spans"])
 
     return merge
 
@@ -163,7 +177,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", run: int = RUN) -> Da
     seen = one.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("_d").alias("first"))
     shared = written(seen.filter("n > 1").select("d1", "d2", "first"))
     at = lambda i: F.struct(F.coalesce(F.get("ends", i - 1), F.lit(0)).alias("s"), F.coalesce(F.get("ends", i + 1), F.get("ends", i)).alias("e"), F.get("d1", i).alias("d1"), F.get("d2", i).alias("d2"), F.get("own", i).alias("own"))
-    places = every.select("_d", "_h", F.explode(F.transform("own", lambda _, i: at(i))).alias("c")).select("c.*", "_d", "_h")
+    # A place more for each row brings its number of chunks, so that texts are cut twice only.
+    count = F.struct(F.lit(-1).alias("s"), F.size("ends").alias("e"), F.col("_h").alias("d1"), F.col("_d").alias("d2"), F.lit(3).cast("byte").alias("own"))
+    places = every.select("_d", "_h", F.explode(F.concat(F.transform("own", lambda _, i: at(i)), F.array(count))).alias("c")).select("c.*", "_d", "_h")
     met = places.join(shared, ["d1", "d2"], "left").filter("first IS NOT NULL OR own > 0")
     # The least id may have several rows; then the least hash of these decides.
     rows = docs.select(*doc_key(docs, text_of(text)))
@@ -173,12 +189,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", run: int = RUN) -> Da
         tied = met.filter("_d = first").join(small(several), "_d", "left_semi").groupBy("d1", "d2").agg(F.min("_h").alias("h0"))
         met = met.join(tied, ["d1", "d2"], "left")
         behind = behind | F.coalesce((F.col("_d") == F.col("first")) & (F.col("_h") > F.col("h0")), F.lit(False))
-    found = met.select("_d", "_h", F.struct("s", "e", behind.alias("later")).alias("x"))
-    spans = found.groupBy("_d", "_h").agg(F.collect_set("x").alias("found")).mapInArrow(_runs(run), f"_d long, _h long, spans {SPANS}")
-    t = text_of(text)
-    sizes = every.select("_d", "_h", F.size("ends").cast("long").alias("n_chunks")).distinct()
-    out = docs.select("doc_id", *doc_key(docs, t), F.octet_length(t).cast("long").alias("n_bytes"))
-    out = out.join(sizes.join(spans.filter(F.size("spans") > 0), ["_d", "_h"], "left"), ["_d", "_h"], "left")
+    place, t = F.struct("s", "e", behind.alias("later")), text_of(text)
+    found = met.groupBy("_d", "_h").agg(F.collect_set(F.when(F.col("own") < 3, place)).alias("found"), F.max(F.when(F.col("own") == 3, F.col("e"))).cast("long").alias("n_chunks"))
+    spans = found.mapInArrow(_runs(run), f"_d long, _h long, n_chunks long, spans {SPANS}")
+    out = docs.select("doc_id", *doc_key(docs, t), F.octet_length(t).cast("long").alias("n_bytes")).join(spans, ["_d", "_h"], "left")
     return out.select("doc_id", "_d", "_h", "n_bytes", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
