@@ -29,9 +29,10 @@ class Brute:
             self.low[w] += 1
         self.d = kn.discounts(*[sum(n == i for n in pairs.values()) for i in (1, 2, 3, 4)])
         self.dl = kn.discounts(*[sum(n == i for n in self.low.values()) for i in (1, 2, 3, 4)])
+        self.low_total, self.low_by = sum(self.low.values()), Counter(min(n, 3) for n in self.low.values())
 
     def p(self, u, w):
-        total, low = sum(self.low.values()), Counter(min(n, 3) for n in self.low.values())
+        total, low = self.low_total, self.low_by
         g1 = sum(self.dl[i - 1] * low[i] for i in (1, 2, 3)) / total
         n = self.low[w]
         p1 = max(n - (self.dl[min(n, 3) - 1] if n else 0), 0) / total + g1 / (len(self.words) + 1)
@@ -57,10 +58,41 @@ def test_scores_match_dictionaries(documents, texts):
         w = tokens(texts[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in b.words for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((b.words[x] + 1) / (n + v + 1)) for x in w))
-    for r in rows[:60]:
         assert r.score == pytest.approx(b.score(texts[r.doc_id]))
 
 
+def test_pair_keys_are_one_to_one():
+    rng = np.random.default_rng(5)
+    for bits, shard_bits in ((32, 4), (33, 3), (33, 6), (40, 17), (42, 25)):
+        keys = kn.PairKeys(bits, shard_bits)
+        before, word = (rng.integers(0, 1 << bits, 4000) for _ in range(2))
+        before[:2000] = before[0]
+        shard, key = keys.split(before, word)
+        assert shard.min() >= 0 and shard.max() < 1 << shard_bits
+        assert len(np.unique(shard)) > min(1 << shard_bits, 4000) / 3  # one context's pairs are in many shards
+        for s in np.unique(shard)[:50]:
+            b, w = keys.joined(int(s), key[shard == s])
+            assert np.array_equal(b, before[shard == s]) and np.array_equal(w, word[shard == s])
+
+
+def test_wider_numbers_give_the_same_scores(spark, monkeypatch):
+    """The way that is taken beyond 2^32 words, several shards in a task, and shards that aren't mapped."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = [kn.token_hashes(t.encode()) for _, t in rows]
+    want = kn._scores(kn.Arrays(kn.train(df)), docs)
+    monkeypatch.setattr(kn, "PARTITIONS", 4)
+    wide = kn.train(df, number_bits=35)
+    assert wide.pairs == kn.PairKeys(35, 7)
+    for a, b in zip(want, kn._scores(kn.Arrays(wide), docs), strict=True):
+        assert np.allclose(a, b)
+    unmapped = kn.Arrays(kn.replace(wide, uri="tested" + wide.uri), held_bytes=2000, maps=9)
+    monkeypatch.setattr(kn, "_fs", lambda uri: __import__("pyarrow.fs").fs.FileSystem.from_uri(uri.removeprefix("tested")))
+    for a, b in zip(want, kn._scores(unmapped, docs), strict=True):
+        assert np.allclose(a, b)
+    assert len(unmapped.maps) <= 9 and (unmapped.bytes <= 2000 or len(unmapped.maps) == 1)
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 30))) for i in range(40)]
     stored = kn.train(spark.createDataFrame(rows, "doc_id long, text string"))
