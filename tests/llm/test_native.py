@@ -99,6 +99,28 @@ def test_windows_match_brute_force(spark, documents, sf_dir, odd_docs):
     assert got == leaks([(r.doc_id, r.text) for r in both.collect()], items)
 
 
+def test_long_items_and_many_items(spark):
+    """An item of 20,000 words, whose common words recur all over it, and a thousand short ones."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(300)}" if rng.random() < 0.7 else f"r{rng.randrange(10**6)}"
+    long = [word() for _ in range(20_000)]
+    items = [(0, " ".join(long))] + [(1 + i, " ".join(word() for _ in range(rng.randint(3, 30)))) for i in range(1000)]
+    docs = [(1, " ".join(long)), (2, "x " + " ".join(long[5000:9000]) + " y"), (3, " ".join(long[:2000][::-1])), (4, " ".join(w for i, w in enumerate(long[:500]) if i % 9))]
+    docs += [(10 + i, f"{' '.join(word() for _ in range(20))} {items[1 + 7 * i][1]} {' '.join(word() for _ in range(20))}") for i in range(100)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r.items)) for r in decontam.decontaminate(*frames).collect()), key=str)
+    assert got == leaks(docs, items)
+
+
+def test_columns_of_the_benchmark_that_clash(spark, documents, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    odd = bench.withColumns({c: F.lit("clash") for c in ("_item", "_b", "_q", "_s", "_w", "_d", "_h", "doc_id", "hits", "n_hit")})
+    rows = lambda b: sorted(map(str, decontam.decontaminate(documents, b).collect()))
+    assert rows(bench) == rows(odd)
+
+
 def test_proximity_and_no_rows(spark, no_docs, documents):
     words = [f"rare{i}" for i in range(14)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")

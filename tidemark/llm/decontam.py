@@ -24,12 +24,17 @@ def index_words(text: Column) -> Column:
     return words_between(ascii_lower(text), _NO_WORD)
 
 
-def benchmark_windows(bench: DataFrame, text: str, item_id: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """(items, places): items(_item, item_id, _b words) and a row (_item, _q place, _term) for each of their words."""
+def benchmark_windows(bench: DataFrame, text: str, item_id: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, places, windows): items(_item, item_id), a row (_item, _len, _q place, _term) for each of their words, and a
+    row (_item, _s start, _n length, _w words) for each of their windows. All rows are narrow, however long an item is.
+    """
     words = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), index_words(text_of(text)).alias("_b"))
     # Two rows that share an id and a text are one item, and so have one number.
-    items = written(words.filter(F.size("_b") > 0).distinct().select(F.xxhash64("item_id", "_b").alias("_item"), "item_id", "_b"))
-    return items, items.select("_item", F.size("_b").alias("_len"), F.posexplode("_b").alias("_q", "_term"))
+    whole = written(words.filter(F.size("_b") > 0).distinct().select(F.xxhash64("item_id", "_b").alias("_item"), "item_id", "_b"))
+    n = F.least(F.lit(window), F.size("_b"))
+    slices = F.transform(F.sequence(F.lit(0), F.size("_b") - n), lambda s: F.slice("_b", s + 1, n))
+    windows = whole.select("_item", n.alias("_n"), F.posexplode(slices).alias("_s", "_w"))
+    return whole.select("_item", "item_id"), whole.select("_item", F.size("_b").alias("_len"), F.posexplode("_b").alias("_q", "_term")), windows
 
 
 def _term_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -38,17 +43,16 @@ def _term_counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
 
 def rarest_places(places: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(_item, windows): for each item an array of structs (s start, n length, q1, q2), the places of the rarest two terms.
+    """(_item, _s, _q1, _q2): for each window of an item the places of its rarest two terms (of its only one, twice).
 
     Ties go to the leftmost place, so that neighbouring windows mostly look up the same two terms.
     """
     ranked = places.join(small(counts), "_term").withColumn("_r", F.struct("_cf", "_q"))
     # A window that starts at s holds the places s to s + n - 1: each place goes to all windows that hold it.
     n = F.least(F.lit(window), F.col("_len"))
-    spread = ranked.select("_item", "_r", n.alias("_n"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("_q") - n + 1), F.least(F.col("_q"), F.col("_len") - n))).alias("_s"))
-    two = spread.groupBy("_item", "_s", "_n").agg(F.slice(F.sort_array(F.collect_list("_r")), 1, 2).alias("_two"))
-    one = two.select("_item", F.struct(F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_two")[0]["_q"].alias("q1"), F.element_at("_two", -1)["_q"].alias("q2")).alias("_w"))
-    return one.groupBy("_item").agg(F.collect_list("_w").alias("windows"))
+    spread = ranked.select("_item", "_r", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_q") - n + 1), F.least(F.col("_q"), F.col("_len") - n))).alias("_s"))
+    two = spread.groupBy("_item", "_s").agg(F.slice(F.sort_array(F.collect_list("_r")), 1, 2).alias("_two"))
+    return two.select("_item", "_s", F.col("_two")[0]["_q"].alias("_q1"), F.element_at("_two", -1)["_q"].alias("_q2"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -64,10 +68,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", bench_t
     Null texts have no words; an item without words has no window; a null item_id is the id ''. Repeated documents get
     equal rows. Without items or documents no document is contaminated.
     """
-    items, places = benchmark_windows(bench, bench_text, item_id, window)
+    items, places, words = benchmark_windows(bench, bench_text, item_id, window)
     counts = written(_term_counts(docs, text, places.select("_term").distinct()))
     windows = written(rarest_places(places, counts, window))
-    looked_up = windows.select("_item", F.explode("windows").alias("_w")).select("_item", F.explode(F.array("_w.q1", "_w.q2")).alias("_q")).distinct()
+    looked_up = windows.select("_item", F.explode(F.array("_q1", "_q2")).alias("_q")).distinct()
     anchors = written(places.join(looked_up, ["_item", "_q"], "left_semi").select("_term", "_item", "_q"))
     postings = build_index(docs, anchors.select("_term").distinct(), text)
 
@@ -76,26 +80,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", bench_t
     shifted = postings.join(small(anchors), "_term").select("_d", "_h", "_item", "_q", (F.col("_p") - F.col("_q")).alias("_at"))
     bucket = F.floor(F.col("_at") / step)
     met = shifted.select("*", F.explode(F.array(bucket, bucket - 1)).alias("_bucket")).groupBy("_d", "_h", "_item", "_bucket").agg(F.collect_set(F.struct(F.col("_q").alias("q"), F.col("_at").alias("at"))).alias("_hits"))
-    lone = windows.select("_item", F.exists("windows", lambda w: w["q1"] == w["q2"]).alias("_lone"), "windows")
-    met = met.join(small(lone), "_item").filter(F.col("_lone") | (F.size(F.array_distinct(F.transform("_hits", lambda h: h["q"]))) > 1))
-
-    def where(w: Column, q: str) -> Column:
-        return F.transform(F.filter("_hits", lambda h: h["q"] == w[q]), lambda h: h["at"])
+    lone = windows.filter("_q1 = _q2").select("_item", F.lit(True).alias("_lone")).distinct()
+    met = met.join(small(lone), "_item", "left").filter(F.coalesce("_lone", F.lit(False)) | (F.size(F.array_distinct(F.transform("_hits", lambda h: h["q"]))) > 1))
+    hits = written(met.select("_d", "_h", "_item", "_bucket", F.explode("_hits").alias("x")).select("_d", "_h", "_item", "_bucket", F.col("x.q").alias("_q1"), F.col("x.at").alias("_at")))
 
-    found = met.select(
-        "_d", "_h", "_item",
-        F.array_distinct(F.flatten(F.transform("windows", lambda w: F.transform(F.array_intersect(where(w, "q1"), where(w, "q2")), lambda at: F.struct((at + w["s"]).alias("p"), w["s"].alias("s"), w["n"].alias("n")))))).alias("_exact"),
-        F.exists("windows", lambda w: F.exists(where(w, "q1"), lambda a: F.exists(where(w, "q2"), lambda b: F.abs(a - b) <= slop))).alias("_near"),
-    ).filter("_near")
-    found = written(found)
+    # A list meets its windows' other list by equal keys, so the steps are as many as hits, not hits times windows.
+    pairs = written(windows.select("_item", "_q1", "_q2").distinct())
+    other = hits.select("_d", "_h", "_item", "_bucket", F.col("_q1").alias("_q2"), F.col("_at").alias("_at2"))
+    both = hits.join(small(pairs), ["_item", "_q1"]).join(other, ["_d", "_h", "_item", "_bucket", "_q2"]).filter(F.abs(F.col("_at") - F.col("_at2")) <= slop)
+    found = written(both.select("_d", "_h", "_item", "_q1", "_q2", F.when(F.col("_at") == F.col("_at2"), F.col("_at")).alias("_at")).distinct())
 
     # The two rarest terms agree; now the whole window must. A document's candidates travel with its text once.
     near = found.groupBy("_d", "_h").agg(F.count_distinct("_item").alias("n_near"))
-    exact = found.select("_d", "_h", "_item", F.explode("_exact").alias("_c")).distinct().join(small(items.select("_item", "_b")), "_item")
-    asked = exact.select("_d", "_h", F.struct("_item", F.col("_c.p").alias("p"), F.slice("_b", F.col("_c.s") + 1, F.col("_c.n")).alias("b")).alias("_a"))
+    of = written(windows.join(words, ["_item", "_s"]))
+    exact = found.filter("_at IS NOT NULL").join(small(of), ["_item", "_q1", "_q2"])
+    asked = exact.select("_d", "_h", F.struct("_item", (F.col("_at") + F.col("_s")).alias("p"), F.col("_w").alias("b")).alias("_a"))
     asked = written(asked.groupBy("_d", "_h").agg(F.collect_list("_a").alias("_asked")))
     t = text_of(text)
-    read = docs.select(*doc_key(docs, t), t.alias("_t")).join(small(asked.select("_d", "_h"), 100_000), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"])
+    read = docs.select(*doc_key(docs, t), t.alias("_t")).join(small(asked.select("_d", "_h")), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"])
     read = read.join(asked, ["_d", "_h"]).select("_d", "_h", index_words(F.col("_t")).alias("_words"), "_asked")
     # Two uses of _words in one projection, and no filter on the outcome before it is written, keep the optimizer from
     # moving the split of the text into the comparison of each candidate.
