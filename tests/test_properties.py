@@ -188,7 +188,107 @@ def test_retrieval_and_grounding(spark):
     c = spark.createDataFrame([("1", "the quick fox of revenue"), ("2", "revenue revenue grew"), ("3", "nothing here")], "chunk_id string, text string")
     assert [r.chunk_id for r in retrieval.top(retrieval.bm25(c, ["revenue"]), 5).orderBy("place").collect()] == ["2", "1"]
     g = spark.createDataFrame([("Sales rose 12.5% to $3.2 billion", "sales of $3,200 million, up 12.5%"), ("Sales were $4 billion", "sales of $3 billion")], "a string, e string")
-    assert [r[0] for r in g.select(text.grounding(F.col("a"), F.col("e"))).collect()] == [[], ["4.0E9"]]
+    assert [r[0] for r in g.select(text.grounding(F.col("a"), F.col("e"))).collect()] == [[], ["$4 billion"]]
+
+
+def plain_grounding(answer, evidence):
+    """The same in plain Python: amounts are compared by canonical form, whole ones under 13 are no claims."""
+    import re
+
+    form = re.compile(text.AMOUNT, re.I)
+
+    def canonical(token):
+        m = re.match(r"^(-?\d+(?:\.\d+)?)\s*(million|billion|trillion|bn|mm|%|x)?$", token.strip().lower().replace("$", "").replace(",", "").strip())
+        if not m:
+            return None
+        value, unit = float(m[1]) * text.UNITS.get(m[2] or "", 1), "" if m[2] in text.UNITS else m[2] or ""
+        return f"{int(value)}{unit}" if value == int(value) else f"{value:g}{unit}"
+
+    held, loose = {canonical(x) for x in form.findall(evidence)}, set()
+    for token in form.findall(answer):
+        bare = (norm := canonical(token)).rstrip("%x")
+        if not (abs(float(bare)) < 13 and "." not in bare) and norm not in held:
+            loose.add(token.strip().lower())
+    return sorted(loose)
+
+
+CLAIMS = [
+    ("Revenue was $1,234.5 million.", "we booked 1234.5 million"), ("up 5%, 3x and 12.0 in 12 quarters", ""), ("13 units, 13% and 12.5%", "12.50%"), ("EPS of $2.31", "eps 2.310"),
+    ("2.3 billion", "2,300 million"), ("$3.2bn or 3,200 mm", "3200000000"), ("lost -4.5 and -14", "-4.5"), ("a1.5 v2.0 1.5x", "1.5"), ("$ 7.25 in 2024", "7.25 2024"), ("1.23456789", "1.23457"), ("0.5%", ".5%"), ("", "1"),
+]
+
+
+def test_grounding_follows_plain_python(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").select("text").collect()
+    rows = CLAIMS + [(b.text or "", a.text or "") for a, b in zip(talk, talk[1:])]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a string, e string").select("i", text.grounding(F.col("a"), F.col("e")).alias("g")).collect()
+    assert {r.i: r.g for r in got} == {i: plain_grounding(a, e) for i, (a, e) in enumerate(rows)}
+    assert plain_grounding("up 5%, 3x and 12.0 in 12 quarters", "") == [] and plain_grounding("2.5x", "2x") == ["2.5x"]
+
+
+def test_numeric_grounding_query(spark, sf_dir):
+    from tidemark.plans import registry
+
+    before, want = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        want[r.conv_id, r.turn] = ",".join(plain_grounding(r.text or "", before.get(r.conv_id, "")))
+        before[r.conv_id] = r.text or ""
+    assert {(r.conv_id, r.turn): r.ungrounded for r in registry.queries()["numeric_grounding"](spark, sf_dir).collect()} == want
+
+
+def test_citations_may_hold_hyphens(spark):
+    rows = spark.createDataFrame([("Margins rose [acme-10k::3] and [a_b::0], not [x:1] or [no id::2].",)], "t string").select(text.citations(F.col("t"))).first()[0]
+    assert sorted(rows) == ["a_b::0", "acme-10k::3"]
+
+
+def test_sections_and_chunks(spark):
+    one = lambda t, now=None: spark.createDataFrame([(t, now)], "t string, now string").select(text.detect_section(F.col("t"), current=F.col("now"))).first()[0]
+    assert one("Item 1A. Risk Factors") == "Item 1A - Risk Factors" and one("no heading", "kept") == "kept"
+    assert one("Table of contents " + "." * 60 + " Item 1A. Risk Factors " + "." * 200, None) is None
+    filing = "Item 1A. Risk Factors\n\n" + "\n \n".join("word " * 100 + str(i) for i in range(6)) + "\n\nItem 7. Management's Discussion\n\nEnd."
+    rows = text.chunk_documents(spark.createDataFrame([("acme-10k", filing)], "doc_id string, text string")).orderBy("chunk_index").collect()
+    assert [r.chunk_id for r in rows] == [f"acme-10k::{i}" for i in range(len(rows))] and len(rows) > 2
+    assert rows[0].section == "Item 1A - Risk Factors" and rows[-1].section == "Item 7 - MD&A" and rows[-1].text.endswith("End.")
+    assert all(r.char_count == len(r.text) for r in rows) and rows[1].text.startswith(rows[0].text[-200:].strip())
+
+
+def test_ingestion_is_idempotent(spark):
+    page = "<p>" + "growth and revenue " * 200 + "</p>"
+    pages = spark.createDataFrame([(1, page, "10-K"), (2, page, "10-K"), (3, "<p>short</p>", "10-Q")], "doc_id long, html string, form string")
+    assert [(r.doc_id, r.form, len(r.content_hash)) for r in text.ingested(pages).collect()] == [(1, "10-K", 32)]
+
+
+def test_folds_leave_out_the_remainder(spark):
+    dates = spark.createDataFrame([(START + dt.timedelta(days=i),) for i in range(357)], "date date")
+    got = [(f.train_end, f.test_start, f.test_end) for f in ml.folds(dates, 4, 21).orderBy("fold").collect()]
+    assert got == [(142 + 53 * k - 21, 142 + 53 * k + 5, 142 + 53 * (k + 1)) for k in range(4)] and got[-1][2] == 354
+
+
+def test_a_candidate_beats_the_linear_model(spark):
+    rows = [("logistic", 0.55, 0.56, 0.03, 0.02), ("strong", 0.56, 0.57, 0.05, 0.02), ("weak", 0.56, 0.55, 0.025, 0.02), ("flat", 0.5, 0.5, 0.0, 0.0), ("tied", 0.5, 0.58, 0.05, 0.0), ("none", 0.5, 0.6, None, 0.0)]
+    got = {r.model: (r.place, r.verdict) for r in ml.model_summary(spark.createDataFrame(rows, "model string, accuracy double, auc double, ic double, lift double")).collect()}
+    assert got == {
+        "tied": (1, "marginal_no_usable_edge"), "strong": (2, "candidate_signal"), "logistic": (3, "marginal_no_usable_edge"), "weak": (4, "marginal_no_usable_edge"), "flat": (5, "no_edge_detected"), "none": (6, "no_edge_detected"),
+    }
+
+
+def test_rising_confidence_is_more_confident(spark):
+    words = "plain " * 120
+    rows = [("A", 1, words + "may could might"), ("A", 2, words + "will strong record"), ("A", 3, words + "will strong record"), ("A", 4, words + "possibly"), ("A", 5, "may be short")]
+    t = text.tone(F.col("text"))
+    counted = spark.createDataFrame(rows, "ticker string, filing long, text string").select("ticker", "filing", t[0].alias("words"), t[1].alias("hedges"), t[2].alias("confident"))
+    rated = text.tone_rates(counted)
+    assert {r.filing: r.status for r in rated.collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "ok", 5: "too_short"}
+    got = {r.filing: r.direction for r in text.tone_change(rated.filter("status = 'ok'")).collect()}
+    assert got == {1: None, 2: "more_confident", 3: "unchanged", 4: "more_hedged"}
+
+
+def test_nearest_rank_needs_no_group_in_one_task(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 500)] + [("b", 1.0), ("c", None)]
+    got = {r.g: (r.p50, r.p95) for r in reporting.nearest_rank(spark.createDataFrame(rows, "g string, x double"), "g", "x", {"p50": 0.5, "p95": 0.95}).collect()}
+    x = sorted(v for k, v in rows if k == "a")
+    assert got == {"a": (x[250], x[475]), "b": (1.0, 1.0)}
 
 
 def test_retrieval_is_evaluated_on_every_item(spark, sf_dir):
@@ -226,7 +326,7 @@ def test_long_pages_keep_their_tail(spark):
 
 def test_chunks_hold_the_text(spark):
     d = spark.createDataFrame([(1, "\n\n".join(f"paragraph {i} " + "word " * 60 for i in range(20)))], "doc_id long, text string")
-    rows = text.chunk_documents(d).orderBy("chunk").collect()
+    rows = text.chunk_documents(d).orderBy("chunk_index").collect()
     assert len(rows) > 4 and all(len(r.text) <= 1500 for r in rows) and all(any(f"paragraph {i} " in r.text for r in rows) for i in range(20))
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import moments
 
 
+#: Draws of a series that are made from one copy of its values.
+DRAWS = 100
+
+
 def newey_west(series: DataFrame, lags: int | None = None, by: str = "series", order: str = "date", value: str = "r") -> DataFrame:
     """(series, n, lags, mean, t_hac, p_hac, t_naive, inflation) for all series at once.
 
@@ -66,7 +70,8 @@ def deflated(table: DataFrame, periods: float, trials: int) -> DataFrame:
 def stationary_bootstrap(series: DataFrame, statistic: Callable, draws: int = 600, block: int = 21, seed: int = 7, level: float = 0.95, by: str = "series") -> DataFrame:
     """(series, draws, low, high): percentile interval of a statistic under resampled blocks of geometric length.
 
-    Draws run apart: each has a seed of its own, and a series' values go to the tasks of its draws as one array.
+    Draws run apart: each has a seed of its own, and a series' values go to tasks as one array for each DRAWS of them. A
+    series has one value a date, so an array is as long as the calendar.
     """
     import numpy as np
     import pandas as pd
@@ -74,17 +79,18 @@ def stationary_bootstrap(series: DataFrame, statistic: Callable, draws: int = 60
     def draw(batches):
         for pdf in batches:
             out = []
-            for name, k, values in zip(pdf[by], pdf["draw"], pdf["values"], strict=True):
+            for name, begin, values in zip(pdf[by], pdf["draw"], pdf["values"], strict=True):
                 x = np.asarray(values, float)
-                rng, n = np.random.default_rng([seed, int(k)]), len(x)
-                start, new = rng.integers(0, n, n), rng.random(n) < 1 / block
-                new[0] = True
-                first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-                out.append((name, float(statistic(x[(start[first] + np.arange(n) - first) % n]))))
+                for k in range(int(begin), min(int(begin) + DRAWS, draws + 1)):
+                    rng, n = np.random.default_rng([seed, k]), len(x)
+                    start, new = rng.integers(0, n, n), rng.random(n) < 1 / block
+                    new[0] = True
+                    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+                    out.append((name, float(statistic(x[(start[first] + np.arange(n) - first) % n]))))
             yield pd.DataFrame(out, columns=[by, "s"])
 
     arrays = series.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "r"))), lambda v: v["r"]).alias("values"))
-    tasks = arrays.select(by, "values", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    s = tasks.mapInPandas(draw, f"{by} string, s double").filter("s IS NOT NULL AND NOT isnan(s)")
+    tasks = arrays.select(by, "values", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAWS))).alias("draw"))
+    s = tasks.repartition(by, "draw").mapInPandas(draw, f"{by} string, s double").filter("s IS NOT NULL AND NOT isnan(s)")
     tail = (1 - level) / 2
     return s.groupBy(by).agg(F.count("*").alias("draws"), F.percentile("s", tail).alias("low"), F.percentile("s", 1 - tail).alias("high")).filter(F.col("draws") >= draws / 2)

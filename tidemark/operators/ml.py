@@ -14,14 +14,15 @@ TREES = 200
 def folds(dates: DataFrame, k: int = 4, horizon: int = 21, embargo: int = EMBARGO) -> DataFrame:
     """(fold, train_end, test_start, test_end) as places in the ordered dates, ends exclusive.
 
-    Training ends `horizon` dates before the fold, so that no label reaches into it; testing starts an embargo later.
+    Training ends `horizon` dates before the fold, so that no label reaches into it; testing starts an embargo later. Folds
+    are of equal size, so a remainder of fewer dates than folds is left out at the end.
     """
     n = dates.select("date").distinct().agg(F.count("*").cast("long").alias("n")).filter(F.col("n") >= LEAST_DATES)
     least = F.floor(F.col("n") * TRAIN_SHARE).cast("long")
-    size = F.floor((F.col("n") - least) / k).cast("long")
+    size = F.greatest(F.floor((F.col("n") - least) / k), F.lit(1)).cast("long")
     f = n.select("n", least.alias("m"), size.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
     at = F.col("m") + F.col("fold") * F.col("s")
-    out = f.select("fold", (at - horizon).alias("train_end"), (at + embargo).alias("test_start"), F.when(F.col("fold") == k - 1, F.col("n")).otherwise(at + F.col("s")).alias("test_end"))
+    out = f.select("fold", (at - horizon).alias("train_end"), (at + embargo).alias("test_start"), (at + F.col("s")).alias("test_end"))
     return out.filter((F.col("train_end") > LEAST_TRAIN) & (F.col("test_start") < F.col("test_end"))).select(F.col("fold").cast("int"), *[F.col(c).cast("long") for c in ("train_end", "test_start", "test_end")])
 
 
@@ -66,12 +67,21 @@ def evaluation(scored: DataFrame, by: list[str]) -> DataFrame:
     return m.join(auc(scored, by), by)
 
 
-def model_summary(per_fold: DataFrame) -> DataFrame:
-    """(model, folds, accuracy, accuracy_dev, ic, lift, verdict) with population deviations; ranked by ic, then accuracy."""
-    s = per_fold.groupBy("model").agg(F.count("*").alias("folds"), F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("accuracy_dev"), F.avg("ic").alias("ic"), F.avg("lift").alias("lift"))
-    bars = (F.col("ic") > 0.02).cast("int") + (F.col("lift") > 0.01).cast("int")
-    place = F.row_number().over(Window.orderBy(F.desc("ic"), F.desc("accuracy"), "model"))
-    return s.select("*", F.when(bars == 2, "promising").when(bars == 1, "mixed").otherwise("no_edge").alias("verdict"), place.alias("place"))
+def model_summary(per_fold: DataFrame, baseline: str = "logistic") -> DataFrame:
+    """(model, folds, accuracy, accuracy_dev, auc, ic, lift, beats_linear, verdict, place) with population deviations.
+
+    A model is a candidate if it ranks better than chance, lifts the accuracy over the base rate and has a greater ic than
+    the linear `baseline` (where that has one). Places go by ic, then auc; missing ones come last.
+    """
+    mean = {c: F.avg(c).alias(c) for c in ("accuracy", "auc", "ic", "lift")}
+    s = per_fold.groupBy("model").agg(F.count("*").alias("folds"), mean["accuracy"], F.stddev_pop("accuracy").alias("accuracy_dev"), mean["auc"], mean["ic"], mean["lift"])
+    # One row a model: the few models' means meet the baseline's.
+    linear = s.agg(F.max(F.when(F.col("model") == baseline, F.col("ic"))).alias("_linear"))
+    s = s.join(F.broadcast(linear)).withColumn("beats_linear", F.col("_linear").isNull() | F.coalesce(F.col("ic") > F.col("_linear"), F.lit(False))).drop("_linear")
+    ranks, lifts = F.coalesce(F.col("ic") > 0.02, F.lit(False)), F.coalesce(F.col("lift") > 0.01, F.lit(False))
+    verdict = F.when(ranks & lifts & F.col("beats_linear"), "candidate_signal").when(ranks | lifts, "marginal_no_usable_edge").otherwise("no_edge_detected")
+    place = F.row_number().over(Window.orderBy(F.desc(F.coalesce("ic", F.lit(-9.0))), F.desc(F.coalesce("auc", F.lit(0.0))), "model"))
+    return s.select("*", verdict.alias("verdict"), place.alias("place"))
 
 
 def sequences(panel: DataFrame, features: list[str], length: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
 PSI_LEVELS = (0.10, 0.25)
 
 
@@ -24,11 +26,22 @@ def agent_health(steps: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(x: Column, q: float) -> Column:
-    """The value at place min(int(n q), n - 1) of the sorted values."""
-    held = F.array_sort(F.collect_list(x))
-    n = F.count(x)
-    return F.element_at(held, (F.least(F.floor(n * q), n - 1) + 1).cast("int"))
+def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each of shares): the value at place min(int(n q), n - 1) of a group's sorted values.
+
+    Values are counted, then sorted over range partitions: what comes before a partition is a sum over partitions, so no
+    task holds a group, however large it is.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    ranged = written(counts.repartitionByRange("g", "x").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("g", "part").agg(F.sum("n").alias("m"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("g", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("g")).alias("total"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(F.broadcast(parts), ["g", "part"]).withColumn("end", end)  # a row for each group in each partition
+    at = lambda q: F.least(F.floor(F.col("total") * q), F.col("total") - 1)
+    held = lambda q: F.when((F.col("end") > at(q)) & (F.col("end") - F.col("n") <= at(q)), F.col("x"))
+    return placed.groupBy(F.col("g").alias(by)).agg(*[F.max(held(q)).alias(name) for name, q in shares.items()])
 
 
 def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -88,8 +88,8 @@ def search(chunks: DataFrame, vectors: DataFrame, query: list[str], vector: list
 
 
 def evaluate(ranked: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(queries, hit_rate, mrr): ranked (query, chunk_id, place) against (query, expected substring)."""
-    j = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").join(wanted, "query").filter(F.contains("text", F.col("expected")))
+    """(queries, hit_rate, mrr): ranked (query, chunk_id, place) against (query, expected substring, in any case)."""
+    j = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").join(wanted, "query").filter(F.contains(F.lower("text"), F.lower("expected")))
     first = j.groupBy("query").agg(F.min("place").alias("place"))
     every = wanted.select("query").join(first, "query", "left")
     return every.agg(F.count("*").alias("queries"), F.avg(F.col("place").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))).alias("mrr"))

@@ -91,12 +91,14 @@ def scenarios(series: DataFrame, exposure: DataFrame) -> DataFrame:
 
 
 def concentration(book: DataFrame, aum: float = 1e7, participation: float = 0.2) -> DataFrame:
-    """(strategy, names, gross, net, hhi, effective_names, days_to_liquidate, flagged) of weights with each name's volume."""
+    """(strategy, names, gross, net, largest, hhi, effective_names, days_to_liquidate, concentrated, illiquid) of weights with
+    each name's volume; days are those of the slowest name.
+    """
     w = F.col("w")
     g = book.groupBy("strategy").agg(
-        F.count("*").alias("names"), F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"), F.sum(w * w).alias("_ww"),
+        F.count("*").alias("names"), F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"), F.sum(w * w).alias("_ww"), F.max(F.abs(w)).alias("largest"),
         F.max(F.abs(w) * aum / F.nullif(participation * F.col("adv"), F.lit(0.0))).alias("days_to_liquidate"),
     )
     hhi = F.col("_ww") / F.nullif(F.col("gross") * F.col("gross"), F.lit(0.0))
-    out = g.select("strategy", "names", "gross", "net", hhi.alias("hhi"), (1 / F.nullif(hhi, F.lit(0.0))).alias("effective_names"), "days_to_liquidate")
-    return out.withColumn("flagged", (F.col("hhi") > 0.25) | (F.coalesce("days_to_liquidate", F.lit(0.0)) > 3))
+    out = g.select("strategy", "names", "gross", "net", "largest", hhi.alias("hhi"), (1 / F.nullif(hhi, F.lit(0.0))).alias("effective_names"), "days_to_liquidate")
+    return out.withColumns({"concentrated": F.coalesce(F.col("hhi") > 0.25, F.lit(False)), "illiquid": F.coalesce("days_to_liquidate", F.lit(0.0)) > 3})

@@ -39,7 +39,8 @@ SECTIONS = (
 )
 AMOUNT = r"(?<![\w.])(?:\$\s?)?-?\d{1,3}(?:,\d{3})*(?:\.\d+)?(?:\s?(?:million|billion|trillion|bn|mm|%|x))?(?![\w])"
 UNITS = {"trillion": 1e12, "billion": 1e9, "bn": 1e9, "million": 1e6, "mm": 1e6}
-_BLOCKS = "p|div|br|tr|li|h[1-6]|table|section|article"
+_BLOCKS = "p|div|tr|h[1-6]|li"
+_LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 
 
 def tokens(text: Column, pattern: str = r"[a-z0-9$%.\-]+") -> Column:
@@ -47,14 +48,16 @@ def tokens(text: Column, pattern: str = r"[a-z0-9$%.\-]+") -> Column:
 
 
 def html_to_text(html: Column, most: int | None = None) -> Column:
-    """Without scripts, styles and tags; ends of blocks become line ends; five entities are decoded; blanks are squeezed."""
+    """Without scripts, styles and tags; ends of blocks become line ends; five entities are decoded; blanks are squeezed, and
+    of blank lines in a row one stays, so that paragraphs can still be told apart.
+    """
     t = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
-    t = F.regexp_replace(t, rf"(?i)</(?:{_BLOCKS})>|<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    t = F.regexp_replace(t, rf"(?i)</(?:{_BLOCKS})>", "\n")
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
-    t = F.btrim(t, F.lit(" \n"))
+    t = F.regexp_replace(F.regexp_replace(t, "[ \t\u00a0]+", " "), r"\n{3,}", "\n\n")
+    t = F.btrim(F.regexp_replace(F.regexp_replace(t, _LINE_ENDS, "\n"), " ?\n ?", "\n"), F.lit(" \n"))
     return t if most is None else F.substring(t, 1, most)
 
 
@@ -72,9 +75,16 @@ def event_tags(title: Column, events: dict[str, str] | None = None) -> Column:
 
 
 def tone(text: Column, hedge: str = HEDGES, confident: str = CONFIDENT) -> tuple[Column, Column, Column]:
-    """(words, hedges, confident words) of the text; rates are per thousand words."""
+    """(words, hedges, confident words) of the text; words are runs of letters and apostrophes."""
     low = F.lower(text)
-    return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")), F.regexp_count(low, F.lit(hedge)), F.regexp_count(low, F.lit(confident))
+    return F.regexp_count(text, F.lit("[A-Za-z']+")), F.regexp_count(low, F.lit(hedge)), F.regexp_count(low, F.lit(confident))
+
+
+def tone_rates(counted: DataFrame, least: int = 100) -> DataFrame:
+    """counted (words, hedges, confident) with rates per thousand words, their balance and a status; null in short texts."""
+    per = lambda n: F.when(F.col("words") >= least, 1000.0 * n / F.col("words"))
+    rates = {"hedge_rate": per(F.col("hedges")), "confidence_rate": per(F.col("confident")), "tone_balance": per(F.col("confident") - F.col("hedges"))}
+    return counted.withColumns(rates).withColumn("status", F.when(F.col("words") < least, "too_short").otherwise("ok"))
 
 
 def sentences(text: Column) -> Column:
@@ -89,61 +99,91 @@ def risk_factors(docs: DataFrame, categories: dict[str, str] | None = None, text
     return s.select("doc_id", "pos", "sentence", F.explode(hit).alias("category")).groupBy("doc_id", "category").agg(F.count("*").alias("n"), F.min_by("sentence", "pos").alias("example"))
 
 
-def detect_section(text: Column, sections: tuple = SECTIONS) -> Column:
-    """The first section whose heading stands within the first eight characters of a long text's head, or is in a short one."""
+def detect_section(text: Column, sections: tuple = SECTIONS, current: Column | None = None) -> Column:
+    """The first section whose heading stands within the first eight characters of a long text's head, or is in a short one;
+    else `current`.
+    """
     head = F.lower(F.when(F.length(text) > 200, F.substring(text, 1, 120)).otherwise(text))
     out = F.when(F.lit(False), F.lit(""))
     for name, pattern in sections:
         out = out.when(head.rlike(rf"^[\s\S]{{0,8}}?{pattern}"), name)
-    return out
+    return out if current is None else out.otherwise(current)
 
 
 def tone_change(scored: DataFrame, band: float = 0.5) -> DataFrame:
-    """scored (ticker, filing, rate) with delta to the filing before and its direction."""
+    """scored (ticker, filing, tone_balance) with the change from the company's filing before and its direction."""
     w = Window.partitionBy("ticker").orderBy("filing")
-    out = scored.withColumn("delta", F.col("rate") - F.lag("rate").over(w))
-    return out.withColumn("direction", F.when(F.col("delta") > band, "more_hedged").when(F.col("delta") < -band, "less_hedged").when(F.col("delta").isNotNull(), "stable"))
+    out = scored.withColumn("change", F.col("tone_balance") - F.lag("tone_balance").over(w))
+    return out.withColumn("direction", F.when(F.col("change") > band, "more_confident").when(F.col("change") < -band, "more_hedged").when(F.col("change").isNotNull(), "unchanged"))
 
 
-def chunk_documents(docs: DataFrame, size: int = 1200, overlap: int = 200, text: str = "text") -> DataFrame:
-    """(doc_id, chunk, text): paragraphs packed up to `size` characters; a chunk begins with the tail of the one before.
+_BLANKS = " \t\n\r\x0b\x0c"
 
-    A fold over the paragraph array, row by row; a paragraph of over `size` characters is a chunk of its own.
+
+def chunk_documents(docs: DataFrame, size: int = 1200, overlap: int = 200, text: str = "text", sections: tuple = SECTIONS) -> DataFrame:
+    """(doc_id, chunk_id, chunk_index, text, section, char_count): paragraphs, which blank lines part, packed up to `size`
+    characters; a chunk begins with the tail of the one before.
+
+    A chunk's section is that of the last heading up to the paragraph that ended it. A fold over the paragraph array, row
+    by row; a paragraph of over `size` characters is a chunk of its own. A null text has none.
     """
-    paragraphs = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n|\n"), lambda p: F.trim(p)), lambda p: p != "")
-    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("done"))
+    strip = lambda c: F.btrim(c, F.lit(_BLANKS))
+    paragraphs = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), strip), lambda p: p != "")
+    empty = F.lit(None).cast("string")
+    chunk = lambda held, section: F.array(F.struct(strip(held).alias("text"), section.alias("section")))
+    start = F.struct(F.lit("").alias("held"), empty.alias("section"), F.array().cast("array<struct<text:string,section:string>>").alias("done"))
 
     def add(a: Column, p: Column) -> Column:
-        full = (a["held"] != "") & (F.length(a["held"]) + F.length(p) + 1 > size)
-        tail = F.concat(F.right(a["held"], F.lit(overlap)), F.lit("\n"), p)
-        more = F.when(a["held"] == "", p).otherwise(F.concat(a["held"], F.lit("\n"), p))
-        return F.struct(F.when(full, tail).otherwise(more).alias("held"), F.when(full, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"))
+        section = detect_section(p, sections, a["section"])
+        full = (a["held"] != "") & (F.length(a["held"]) + F.length(p) > size)
+        tail = F.when(F.length(a["held"]) > overlap, F.right(a["held"], F.lit(overlap))).otherwise(a["held"]) if overlap else F.lit("")
+        held = F.when(full, strip(F.concat(tail, F.lit(" "), p))).when(a["held"] == "", p).otherwise(strip(F.concat(a["held"], F.lit("\n\n"), p)))
+        return F.struct(held.alias("held"), section.alias("section"), F.when(full, F.concat(a["done"], chunk(a["held"], section))).otherwise(a["done"]).alias("done"))
 
-    folded = F.aggregate(paragraphs, start, add, lambda a: F.when(a["held"] != "", F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]))
-    return docs.select("doc_id", F.posexplode(folded).alias("chunk", "text"))
+    folded = F.aggregate(paragraphs, start, add, lambda a: F.when(strip(a["held"]) != "", F.concat(a["done"], chunk(a["held"], a["section"]))).otherwise(a["done"]))
+    one = docs.select("doc_id", F.posexplode(folded).alias("chunk_index", "c"))
+    return one.select("doc_id", F.concat_ws("::", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "c.text", "c.section", F.length("c.text").alias("char_count"))
 
 
-def numbers(text: Column) -> Column:
-    """Canonical values of the amounts in a text: without $ , and spaces, times their unit, plain integers below 13 left out."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(AMOUNT), F.lit(0))
+def ingested(filings: DataFrame, least: int = 2000) -> DataFrame:
+    """(content_hash, filing columns, text): filings (doc_id, html and others) as plain text, without those under `least`
+    characters; of equal texts that with the least doc_id stays, as a repeated ingestion adds nothing.
+    """
+    plain = filings.withColumn("text", html_to_text(F.col("html"))).drop("html").filter(F.length("text") >= least)
+    keyed = plain.withColumn("content_hash", F.substring(F.sha2("text", 256), 1, 32))
+    first = keyed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    return keyed.join(first, ["content_hash", "doc_id"], "left_semi")
+
+
+def _canonical(token: Column) -> Column:
+    """The value of an amount times its unit, as text that is equal for equal amounts: whole ones as integers, others to six
+    figures, with the mark of a percentage or a multiple.
+    """
+    value = F.regexp_replace(token, r"[^0-9.\-]", "").try_cast("double")
+    value = value * F.coalesce(*[F.when(F.endswith(token, F.lit(k)), F.lit(v)) for k, v in UNITS.items()], F.lit(1.0))
+    mark = F.when(token.rlike("%$"), "%").when(token.rlike("x$"), "x").otherwise("")
+    return F.concat(F.when(value == F.floor(value), F.format_string("%.0f", value)).otherwise(F.format_string("%.5e", value)), mark)
 
-    def value(x: Column) -> Column:
-        n = F.regexp_replace(x, r"[^0-9.\-]", "").try_cast("double")
-        unit = F.coalesce(*[F.when(F.endswith(x, F.lit(k)), F.lit(v)) for k, v in UNITS.items()], F.lit(1.0))
-        plain = x.rlike(r"^-?\d{1,2}$") & (F.abs(n) < 13)
-        mark = F.when(x.rlike("%$"), "%").when(x.rlike("x$"), "x").otherwise("")
-        return F.when(~plain, F.concat(F.round(n * unit, 6).cast("string"), mark))
 
-    return F.array_distinct(F.array_compact(F.transform(found, value)))
+def numbers(text: Column) -> Column:
+    """The amounts of a text as an array of (token, value), value being the canonical form."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(AMOUNT), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.trim(x).alias("token"), _canonical(F.trim(x)).alias("value")))
 
 
 def grounding(answer: Column, evidence: Column) -> Column:
-    """Amounts of the answer that the evidence doesn't hold."""
-    return F.array_except(numbers(answer), numbers(evidence))
+    """Sorted amounts of the answer that the evidence doesn't hold in any spelling.
+
+    Whole numbers under 13, with or without a mark, are no claims: they mostly count, or name quarters.
+    """
+    held = F.transform(numbers(evidence), lambda x: x["value"])
+    claim = lambda x: ~x["value"].rlike(r"^-?(?:[0-9]|1[0-2])[%x]?$")
+    loose = F.filter(numbers(answer), lambda x: claim(x) & ~F.array_contains(held, x["value"]))
+    return F.array_sort(F.array_distinct(F.transform(loose, lambda x: x["token"])))
 
 
 def citations(answer: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[(\w+::\d+)\]"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([A-Za-z0-9_\-]+::\d+)\]"), F.lit(1)))
 
 
 def verdict(cited: Column, valid: Column, ungrounded: Column) -> Column:

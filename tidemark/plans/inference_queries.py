@@ -88,8 +88,8 @@ def bootstrap_sharpe(spark, d):
 
 
 _FOLDS = """nd AS (SELECT count(DISTINCT date) AS n FROM panel), ft AS (
-  SELECT CAST(f AS INTEGER) AS fold, m + f * s - {h} AS train_end, m + f * s + 5 AS test_start, CASE WHEN f = 3 THEN n ELSE m + (f + 1) * s END AS test_end
-  FROM (SELECT n, CAST(floor(n * 0.4::DOUBLE) AS BIGINT) AS m, CAST(floor((n - floor(n * 0.4::DOUBLE)) / 4) AS BIGINT) AS s FROM nd WHERE n >= 60), range(4) t(f)),
+  SELECT CAST(f AS INTEGER) AS fold, m + f * s - {h} AS train_end, m + f * s + 5 AS test_start, m + (f + 1) * s AS test_end
+  FROM (SELECT n, CAST(floor(n * 0.4::DOUBLE) AS BIGINT) AS m, greatest(CAST(floor((n - floor(n * 0.4::DOUBLE)) / 4) AS BIGINT), 1) AS s FROM nd WHERE n >= 60), range(4) t(f)),
 folds AS (SELECT fold, CAST(train_end AS BIGINT) AS train_end, CAST(test_start AS BIGINT) AS test_start, CAST(test_end AS BIGINT) AS test_end FROM ft WHERE train_end > 20 AND test_start < test_end),
 placed AS (SELECT p.*, pos FROM panel p JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM panel)) USING (date))"""
 _F4 = _FOLDS.format(h=4)
@@ -157,13 +157,15 @@ def fold_stability(spark, d):
     return rounded(m.agg(F.stddev_pop("accuracy").alias("accuracy_dev"), (F.stddev_pop("accuracy") > 0.10).alias("unstable"), F.count_if("degenerate").alias("degenerate")))
 
 
-@query("""WITH m AS (SELECT l_returnflag AS model, l_linenumber AS fold, avg(l_discount) AS accuracy, avg(l_tax) AS ic FROM lineitem GROUP BY 1, 2),
-s AS (SELECT model, count(*) AS folds, avg(accuracy) AS accuracy, stddev_pop(accuracy) AS accuracy_dev, avg(ic) AS ic, avg(accuracy - 0.04) AS lift FROM m GROUP BY model)
-SELECT model, folds, round(accuracy, 6) + 0.0::DOUBLE AS accuracy, round(accuracy_dev, 6) + 0.0::DOUBLE AS accuracy_dev, round(ic, 6) + 0.0::DOUBLE AS ic, round(lift, 6) + 0.0::DOUBLE AS lift,
-       CASE WHEN ic > 0.02 AND lift > 0.01 THEN 'promising' WHEN ic > 0.02 OR lift > 0.01 THEN 'mixed' ELSE 'no_edge' END AS verdict, CAST(row_number() OVER (ORDER BY ic DESC, accuracy DESC, model) AS INTEGER) AS place FROM s""")
+@query("""WITH m AS (SELECT l_returnflag AS model, l_linenumber AS fold, avg(l_discount) AS accuracy, avg(l_quantity / 50.0::DOUBLE) AS auc, avg(l_tax) AS ic FROM lineitem GROUP BY 1, 2),
+s AS (SELECT model, count(*) AS folds, avg(accuracy) AS accuracy, stddev_pop(accuracy) AS accuracy_dev, avg(auc) AS auc, avg(ic) AS ic, avg(accuracy - 0.04) AS lift FROM m GROUP BY model),
+b AS (SELECT *, ic > (SELECT ic FROM s WHERE model = 'N') AS beats_linear FROM s)
+SELECT model, folds, round(accuracy, 6) + 0.0::DOUBLE AS accuracy, round(accuracy_dev, 6) + 0.0::DOUBLE AS accuracy_dev, round(auc, 6) + 0.0::DOUBLE AS auc, round(ic, 6) + 0.0::DOUBLE AS ic, round(lift, 6) + 0.0::DOUBLE AS lift, beats_linear,
+       CASE WHEN ic > 0.02 AND lift > 0.01 AND beats_linear THEN 'candidate_signal' WHEN ic > 0.02 OR lift > 0.01 THEN 'marginal_no_usable_edge' ELSE 'no_edge_detected' END AS verdict, CAST(row_number() OVER (ORDER BY ic DESC, auc DESC, model) AS INTEGER) AS place FROM b""")
 def model_summary(spark, d):
-    per = market.model_results(spark, d).groupBy("model", "fold").agg(F.avg("accuracy").alias("accuracy"), F.avg("ic").alias("ic"))
-    return rounded(ml.model_summary(per.withColumn("lift", F.col("accuracy") - 0.04)))
+    """Three result groups stand for models, of which N is the linear one."""
+    per = market.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("fold")).agg(F.avg("l_discount").alias("accuracy"), F.avg(F.col("l_quantity") / 50.0).alias("auc"), F.avg("l_tax").alias("ic"))
+    return rounded(ml.model_summary(per.withColumn("lift", F.col("accuracy") - 0.04), "N"))
 
 
 @query(f"""WITH {WEEKLY}, w AS (SELECT ticker, date, count(*) OVER x AS n, count(*) FILTER (momentum_12_1 IS NOT NULL AND liquidity IS NOT NULL) OVER x AS k,

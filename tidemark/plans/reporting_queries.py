@@ -39,7 +39,7 @@ def runs_summary(spark, d):
 @query(f"WITH {_RUNS}, a AS (SELECT status, list_sort(list(seconds)) AS h, count(*) AS n FROM rn GROUP BY status) SELECT status, h[CAST(least(floor(n * 0.5::DOUBLE), n - 1) AS BIGINT) + 1] AS p50, h[CAST(least(floor(n * 0.95::DOUBLE), n - 1) AS BIGINT) + 1] AS p95 FROM a")
 def run_duration_percentiles(spark, d):
     """Nearest-rank percentiles of durations."""
-    return market.runs(spark, d).groupBy("status").agg(reporting.nearest_rank(F.col("seconds"), 0.5).alias("p50"), reporting.nearest_rank(F.col("seconds"), 0.95).alias("p95"))
+    return reporting.nearest_rank(market.runs(spark, d), "status", "seconds", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH c AS (SELECT source AS ticker, count(*) AS n, count(DISTINCT lang) AS types, avg(CASE WHEN doc_id IN (SELECT vec_id FROM embeddings) THEN 1 ELSE 0 END) AS embedded FROM documents GROUP BY source)

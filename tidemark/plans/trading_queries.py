@@ -204,11 +204,11 @@ def factor_risk(spark, d):
 
 _BOOK = """lastd AS (SELECT strategy, max(date) AS m FROM wts GROUP BY strategy), adv AS (SELECT ticker, max_by(exp(liquidity), date) AS adv FROM panel WHERE liquidity IS NOT NULL GROUP BY ticker),
 book AS (SELECT w.strategy, w.ticker, w.w, adv FROM wts w JOIN lastd l ON l.strategy = w.strategy AND l.m = w.date LEFT JOIN adv ON adv.ticker = w.ticker),
-cn AS (SELECT strategy, count(*) AS names, sum(abs(w)) AS gross, sum(w) AS net, sum(w * w) AS ww, max(abs(w) * 1e7 / nullif(0.2::DOUBLE * adv, 0)) AS days_to_liquidate FROM book GROUP BY strategy)"""
+cn AS (SELECT strategy, count(*) AS names, sum(abs(w)) AS gross, sum(w) AS net, sum(w * w) AS ww, max(abs(w)) AS largest, max(abs(w) * 1e7 / nullif(0.2::DOUBLE * adv, 0)) AS days_to_liquidate FROM book GROUP BY strategy)"""
 
 
-@query(f"""WITH {_weights_sql()}, {_BOOK} SELECT strategy, names, {r6('gross, net')}, round(ww / (gross * gross), 6) + 0.0::DOUBLE AS hhi, round(gross * gross / ww, 6) + 0.0::DOUBLE AS effective_names, round(days_to_liquidate, 4) + 0.0::DOUBLE AS days_to_liquidate,
-  ww / (gross * gross) > 0.25 OR coalesce(days_to_liquidate, 0) > 3 AS flagged FROM cn""")
+@query(f"""WITH {_weights_sql()}, {_BOOK} SELECT strategy, names, {r6('gross, net, largest')}, round(ww / (gross * gross), 6) + 0.0::DOUBLE AS hhi, round(gross * gross / ww, 6) + 0.0::DOUBLE AS effective_names, round(days_to_liquidate, 4) + 0.0::DOUBLE AS days_to_liquidate,
+  ww / (gross * gross) > 0.25 AS concentrated, coalesce(days_to_liquidate, 0) > 3 AS illiquid FROM cn""")
 def concentration(spark, d):
     p = written(_panel(spark, d))
     w = written(bt.form_weights(_signals(p)))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.market import table
+from tidemark.storage import shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +29,12 @@ def first_of_day(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream over finite input gives when all of it has been read."""
-    name = f"tidemark_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream over finite input gives when all of it has been read, as a table in the shared folder.
+
+    In complete mode each batch replaces the table, else it adds to it.
+    """
+    path = shared_dir(stream.sparkSession)
+    save = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
