@@ -365,3 +365,45 @@ def test_research_runs_to_a_verdict(spark):
     r = research.run(spark, "/root/testdata/sf0.01", "Does reversal pay over a month?")
     assert r.verdict in ("reject", "material_issues", "see_flags", "no_objection")
     assert "## backtest" in research.report(r)
+
+
+def test_allocations_match_a_dense_matrix(spark):
+    """Moments summed by Spark over windows against numpy on the dates-by-names matrix, with missing returns."""
+    rng = np.random.default_rng(9)
+    dates, names = [START + dt.timedelta(days=i) for i in range(70)], ["A", "B", "C", "D", "E"]
+    x = rng.normal(0, [0.01, 0.02, 0.03, 0.015, 0.02], (70, 5)) + rng.normal(0, 0.01, (70, 1))
+    gone = rng.random((70, 5)) < 0.1
+    gone[:, 0] = False
+    x[gone] = 0.0
+    returns = spark.createDataFrame([(n, d, float(x[i, j])) for i, d in enumerate(dates) for j, n in enumerate(names) if not gone[i, j]], "ticker string, date date, ret double")
+    rows = portfolio.placed(returns)
+    means, cov = portfolio.window_moments(rows, names, 30, 8, 5)
+    got = {(r.j, r.a, r.b): r.cov for r in cov.collect()}
+    mean = {(r.j, r.ticker): r.m for r in means.collect()}
+    for j in range(5):
+        part = x[8 * j : 8 * j + 30]
+        want = portfolio.shrunk(part)
+        assert [[got[j, a, b] for b in names] for a in names] == [pytest.approx(row) for row in want.tolist()]
+        assert [mean[j, n] for n in names] == pytest.approx(part.mean(axis=0))
+    want = {}
+    for method in portfolio.METHODS:
+        w = np.zeros(5)
+        for t in range(30, 70):
+            turn = 0.0
+            if (t - 30) % 8 == 0:
+                new = portfolio.allocate(x[t - 30 : t], method)
+                turn, w = float(np.abs(new - w).sum()), new
+            want[method, dates[t]] = (float(x[t] @ w) - 0.0003 * turn, turn)
+    walk = {(r.method, r.date): (r.ret, r.turnover) for r in portfolio.walk_forward(returns, 30, 8).collect()}
+    assert walk.keys() == want.keys() and all(walk[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    held = {}
+    for r in portfolio.in_sample(returns).collect():
+        held.setdefault(r.method, {})[r.ticker] = r.w
+    assert all([held[m][n] for n in names] == pytest.approx(portfolio.allocate(x, m), abs=1e-6) for m in portfolio.METHODS)
+    assert portfolio.walk_forward(returns, 70, 8).count() == 0
+
+
+def test_a_universe_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(portfolio, "MOST_NAMES", 3)
+    with pytest.raises(ValueError, match="universe"):
+        portfolio.universe(spark.createDataFrame([(x,) for x in "ABCD"], "ticker string"))

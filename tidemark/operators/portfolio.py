@@ -1,4 +1,8 @@
-"""Allocations of a book: closed forms in DataFrame functions, constrained optima in one task for each method."""
+"""Allocations of a book: means and shrunk covariances of all windows by Spark, constrained optima of a window's matrix.
+
+Dates are never gathered: a window's moments are sums over returns and pairs of returns. What one solver gets is the names'
+matrix, which MOST_NAMES bounds; each window and method is solved apart.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
 CAP, RISK_AVERSION, STEPS = 0.40, 3.0, 400
+#: Names of a universe at most (plans ask for 2 to 60): a matrix has so many squared entries.
+MOST_NAMES = 500
 
 
 def covariances(returns: DataFrame) -> DataFrame:
@@ -32,13 +40,18 @@ def shrunk(x: np.ndarray) -> np.ndarray:
 
 
 def on_capped_simplex(v: np.ndarray, cap: float = CAP) -> np.ndarray:
-    """The nearest weights of sum 1 between 0 and the cap (at least 1/k), by bisection on the shift."""
+    """The nearest weights of sum 1 between 0 and the cap (at least 1/k): v less a shift, cut off at both ends.
+
+    The sum falls with the shift in straight lines between the places where an element meets an end, so it is computed at
+    these and the shift lies between two of them.
+    """
     cap = max(cap, 1 / len(v))
-    lo, hi = v.min() - cap, v.max()
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.clip(v - mid, 0, cap).sum() > 1 else (lo, mid)
-    w = np.clip(v - (lo + hi) / 2, 0, cap)
+    ends = np.sort(np.concatenate([v - cap, v]))
+    total = np.clip(v - ends[:, None], 0, cap).sum(axis=1)
+    i = max(1, int(np.searchsorted(-total, -1.0)))
+    fall = total[i - 1] - total[i]
+    shift = ends[i - 1] + ((total[i - 1] - 1) / fall * (ends[i] - ends[i - 1]) if fall > 0 else 0.0)
+    w = np.clip(v - shift, 0, cap)
     return w / w.sum()
 
 
@@ -88,30 +101,100 @@ METHODS: dict[str, Callable] = {
 
 def allocate(x: np.ndarray, method: str) -> np.ndarray:
     """Weights of a method from a window of returns (dates by names)."""
-    return METHODS[method](x.mean(axis=0), shrunk(x) + 1e-10 * np.eye(x.shape[1]), np.full(x.shape[1], 1 / x.shape[1]))
+    return solved(x.mean(axis=0), shrunk(x), method)
+
+
+def solved(mu: np.ndarray, c: np.ndarray, method: str) -> np.ndarray:
+    """Weights of a method from means and covariances."""
+    return METHODS[method](mu, c + 1e-10 * np.eye(len(c)), np.full(len(c), 1 / len(c)))
 
 
-def walk_forward(returns: DataFrame, tickers: list[str], lookback: int = 252, every: int = 21, cost: float = 0.0003) -> DataFrame:
+def universe(returns: DataFrame) -> list[str]:
+    """The names that returns has, in order."""
+    names = sorted(r.ticker for r in returns.select("ticker").distinct().limit(MOST_NAMES + 1).collect())
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"a universe of over {MOST_NAMES} names")
+    return names
+
+
+def placed(returns: DataFrame) -> DataFrame:
+    """(ticker, date, t, x): t numbers the dates, whose order is made from the few distinct ones."""
+    dates = returns.select("date").distinct().withColumn("t", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
+    return returns.select("ticker", "date", F.col("ret").alias("x")).join(F.broadcast(dates), "date")  # a row a date
+
+
+def window_moments(rows: DataFrame, names: list[str], lookback: int, every: int, count: int) -> tuple[DataFrame, DataFrame]:
+    """(means, covariances) as (j, ticker, m) and (j, a, b, cov) for all names of each of `count` windows: window j holds the
+    `lookback` dates from t = j * every on. A missing return is 0. Covariances are shrunk as in shrunk(), by sums alone:
+    of products of pairs, and of each date's squared distance from the means.
+    """
+    n, k = float(lookback), float(len(names))
+    first, last = F.greatest(F.ceil((F.col("t") - lookback + 1) / F.lit(float(every))), F.lit(0)), F.least(F.floor(F.col("t") / F.lit(every)), F.lit(count - 1))
+    inside = lambda df: df.filter(first <= last).withColumn("j", F.explode(F.sequence(first, last)))
+    held = inside(rows.select("ticker", "t", "x"))
+    spark = rows.sparkSession
+    grid = spark.range(count).select(F.col("id").alias("j"), F.explode(F.array(*map(F.lit, names))).alias("ticker"))
+    means = grid.join(held.groupBy("j", "ticker").agg((F.sum("x") / n).alias("m")), ["j", "ticker"], "left").select("j", "ticker", F.coalesce("m", F.lit(0.0)).alias("m"))
+    means = written(means)
+    x, y = rows.select("t", F.col("ticker").alias("a"), "x"), rows.select("t", F.col("ticker").alias("b"), F.col("x").alias("y"))
+    products = inside(x.join(y, "t").select("t", "a", "b", (F.col("x") * F.col("y")).alias("xy"))).groupBy("j", "a", "b").agg((F.sum("xy") / n).alias("xy"))
+    side = lambda c: means.select("j", F.col("ticker").alias(c), F.col("m").alias(f"m{c}"))
+    s = side("a").join(side("b"), "j").join(products, ["j", "a", "b"], "left")
+    s = written(s.select("j", "a", "b", (F.coalesce("xy", F.lit(0.0)) - F.col("ma") * F.col("mb")).alias("s")))
+    far = held.join(means, ["j", "ticker"]).groupBy("j", "t").agg(F.sum(F.col("x") * F.col("x") - 2 * F.col("x") * F.col("m")).alias("q"))
+    squares = means.groupBy("j").agg(F.sum(F.col("m") * F.col("m")).alias("mm"))
+    spread = far.join(squares, "j").groupBy("j").agg(F.sum(F.pow(F.col("q") + F.col("mm"), F.lit(2.0))).alias("qq"))
+    of = s.groupBy("j").agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))) / k).alias("mu"), F.sum(F.col("s") * F.col("s")).alias("ss")).join(spread, "j")
+    d2 = (F.col("ss") - k * F.col("mu") * F.col("mu")) / k
+    b2 = F.least(d2, (F.col("qq") / n - F.col("ss")) / (n * k))
+    of = of.select("j", "mu", F.coalesce(F.when(d2 > 0, b2 / d2), F.lit(0.0)).alias("share"))
+    cov = (1 - F.col("share")) * F.col("s") + F.when(F.col("a") == F.col("b"), F.col("share") * F.col("mu")).otherwise(0.0)
+    return means, s.join(F.broadcast(of), "j").select("j", "a", "b", cov.alias("cov"))  # of has a row a window
+
+
+def allocations(means: DataFrame, covariances_: DataFrame, names: list[str], methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """(method, j, ticker, w): each window's matrix goes to one task for each method."""
+    at = F.array(*map(F.lit, names))
+    place = lambda c: F.array_position(at, F.col(c))
+    c = covariances_.groupBy("j").agg(F.array_sort(F.collect_list(F.struct(place("a").alias("a"), place("b").alias("b"), "cov"))).alias("c"))
+    m = means.groupBy("j").agg(F.array_sort(F.collect_list(F.struct(place("ticker").alias("a"), "m"))).alias("m"))
+    jobs = c.join(m, "j").select("j", F.transform("c", lambda v: v["cov"]).alias("c"), F.transform("m", lambda v: v["m"]).alias("m"), F.explode(F.array(*map(F.lit, methods))).alias("method"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for j, c, m, method in zip(pdf["j"], pdf["c"], pdf["m"], pdf["method"], strict=True):
+                w = solved(np.asarray(m), np.asarray(c).reshape(len(names), len(names)), method)
+                out += [(method, j, name, float(x)) for name, x in zip(names, w, strict=True)]
+            yield pd.DataFrame(out, columns=["method", "j", "ticker", "w"])
+
+    return jobs.repartition("j", "method").mapInPandas(solve, "method string, j long, ticker string, w double")
+
+
+def in_sample(returns: DataFrame) -> DataFrame:
+    """(method, ticker, w): weights of each method fitted on all dates."""
+    rows, names = written(placed(returns)), universe(returns)
+    n = rows.agg(F.max("t") + 1).first()[0]
+    return allocations(*window_moments(rows, names, n, n, 1), names).drop("j")
+
+
+def walk_forward(returns: DataFrame, lookback: int = 252, every: int = 21, cost: float = 0.0003) -> DataFrame:
     """(method, date, ret, turnover): each method is refitted every `every` dates on the `lookback` before, and held.
 
-    Missing returns are 0. The matrix has a column for each of the given names, which bounds it by the dates.
+    Missing returns are 0. Without more dates than `lookback` there are no rows.
     """
-    wide = returns.groupBy("date").pivot("ticker", tickers).agg(F.max("ret")).na.fill(0.0)
-    jobs = wide.join(F.broadcast(returns.sparkSession.createDataFrame([(m,) for m in METHODS], "method string")))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, dates, method = pdf[tickers].to_numpy(), pdf["date"].to_numpy(), pdf["method"].iloc[0]
-        out, w = [], np.zeros(len(tickers))
-        for t in range(lookback, len(x)):
-            turn = 0.0
-            if (t - lookback) % every == 0:
-                new = allocate(x[t - lookback : t], method)
-                turn, w = float(np.abs(new - w).sum()), new
-            out.append((method, dates[t], float(x[t] @ w) - cost * turn, turn))
-        return pd.DataFrame(out, columns=["method", "date", "ret", "turnover"])
-
-    return jobs.groupBy("method").applyInPandas(walk, "method string, date date, ret double, turnover double")
+    rows, names = written(placed(returns)), universe(returns)
+    n = rows.agg(F.coalesce(F.max("t") + 1, F.lit(0))).first()[0]
+    count = max(0, -(-(n - lookback) // every))
+    if not count:
+        return rows.select(F.lit("").alias("method"), "date", F.col("x").alias("ret"), F.col("x").alias("turnover")).limit(0)
+    held = written(allocations(*window_moments(rows, names, lookback, every, count), names))
+    before = F.coalesce(F.lag("w").over(Window.partitionBy("method", "ticker").orderBy("j")), F.lit(0.0))
+    turn = held.select("method", "j", F.abs(F.col("w") - before).alias("change")).groupBy("method", "j").agg(F.sum("change").alias("turn"))
+    live = rows.filter(F.col("t") >= lookback).withColumn("j", F.floor((F.col("t") - lookback) / F.lit(every)).cast("long"))
+    day = live.join(held, ["j", "ticker"]).groupBy("method", "j", "date", "t").agg(F.sum(F.col("w") * F.col("x")).alias("r")).join(F.broadcast(turn), ["method", "j"])  # a row a window and method
+    turned = F.when((F.col("t") - lookback) % every == 0, F.col("turn")).otherwise(0.0)
+    return day.select("method", "date", (F.col("r") - cost * turned).alias("ret"), turned.alias("turnover"))
 
 
 def equal_weight(returns: DataFrame, lookback: int, every: int, cost: float = 0.0003) -> DataFrame:

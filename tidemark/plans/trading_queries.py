@@ -16,7 +16,6 @@ from tidemark.sources import market
 from tidemark.storage import written
 
 EVERY, YEAR = 4, 52.0
-NAMES = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def _panel(spark, d):
@@ -279,54 +278,38 @@ def wf_equal_weight(spark, d):
 
 @query()
 def wf_allocation(spark, d):
-    """Five methods walked forward, a task each, with their out-of-sample Sharpe ratios."""
-    walk = portfolio.walk_forward(market.returns(spark, d), NAMES, lookback=52, every=13)
+    """Five methods walked forward with their out-of-sample Sharpe ratios."""
+    walk = portfolio.walk_forward(market.returns(spark, d), lookback=52, every=13)
     return rounded(walk.groupBy("method").agg(F.count("*").alias("n"), moments.sharpe(F.col("ret"), YEAR).alias("sharpe"), F.sum("turnover").alias("turnover")))
 
 
-@query()
-def lw_cov(spark, d):
-    """Shrunk covariance of all names, from one task that sees a dates-by-names matrix."""
-    import pandas as pd
-
-    wide = market.returns(spark, d).groupBy("date").pivot("ticker", NAMES).agg(F.max("ret")).na.fill(0.0)
+_SHRUNK = """nd AS (SELECT CAST(count(DISTINCT date) AS DOUBLE) AS n, CAST(count(DISTINCT ticker) AS DOUBLE) AS k FROM rets), m AS (SELECT ticker, sum(ret) / (SELECT n FROM nd) AS m FROM rets GROUP BY ticker),
+xy AS (SELECT x.ticker AS a, y.ticker AS b, sum(x.ret * y.ret) / (SELECT n FROM nd) AS xy FROM rets x JOIN rets y USING (date) GROUP BY 1, 2),
+s AS (SELECT p.ticker AS a, q.ticker AS b, coalesce(xy, 0) - p.m * q.m AS s FROM m p CROSS JOIN m q LEFT JOIN xy ON xy.a = p.ticker AND xy.b = q.ticker),
+q AS (SELECT date, sum(ret * ret - 2 * ret * m) + (SELECT sum(m * m) FROM m) AS q FROM rets JOIN m USING (ticker) GROUP BY date),
+st AS (SELECT (SELECT avg(s) FROM s WHERE a = b) AS mu, (SELECT sum(s * s) FROM s) AS ss, (SELECT sum(q * q) FROM q) AS qq, n, k FROM nd),
+d AS (SELECT mu, (ss - k * mu * mu) / k AS d2, (qq / n - ss) / (n * k) AS b2 FROM st), sh AS (SELECT mu, CASE WHEN d2 > 0 THEN least(d2, b2) / d2 ELSE 0 END AS share FROM d)"""
 
-    def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = portfolio.shrunk(pdf[NAMES].to_numpy())
-        return pd.DataFrame([(a, b, c[i, j]) for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)], columns=["a", "b", "cov"])
 
-    return rounded(wide.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(shrink, "a string, b string, cov double"), 9)
+@query(f"WITH {WALK}, {_SHRUNK} SELECT a, b, round((1 - share) * s + CASE WHEN a = b THEN share * mu ELSE 0 END, 9) + 0.0::DOUBLE AS cov FROM s, sh")
+def lw_cov(spark, d):
+    """Shrunk covariances of all names over all dates."""
+    rows, names = written(portfolio.placed(market.returns(spark, d))), portfolio.universe(market.returns(spark, d))
+    n = rows.agg(F.max("t") + 1).first()[0]
+    return rounded(portfolio.window_moments(rows, names, n, n, 1)[1].drop("j"), 9)
 
 
 @query()
 def alloc_optimised(spark, d):
     """In-sample weights of every method."""
-    import pandas as pd
-
-    wide = market.returns(spark, d).groupBy("date").pivot("ticker", NAMES).agg(F.max("ret")).na.fill(0.0)
-    jobs = wide.join(F.broadcast(spark.createDataFrame([(m,) for m in portfolio.METHODS], "method string")))
-
-    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        method = pdf["method"].iloc[0]
-        return pd.DataFrame({"method": method, "ticker": NAMES, "w": portfolio.allocate(pdf.sort_values("date")[NAMES].to_numpy(), method)})
-
-    return rounded(jobs.groupBy("method").applyInPandas(weigh, "method string, ticker string, w double"), 4)
+    return rounded(portfolio.in_sample(market.returns(spark, d)), 4)
 
 
 @query()
 def in_sample_optimism(spark, d):
     """Sharpe ratio of each method's weights fitted on all dates, less that of its walk forward."""
-    import pandas as pd
-
     r = market.returns(spark, d)
-    wide = r.groupBy("date").pivot("ticker", NAMES).agg(F.max("ret")).na.fill(0.0)
-    jobs = wide.join(F.broadcast(spark.createDataFrame([(m,) for m in portfolio.METHODS], "method string")))
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")[NAMES].to_numpy()
-        y = x @ portfolio.allocate(x, pdf["method"].iloc[0])
-        return pd.DataFrame({"method": [pdf["method"].iloc[0]], "in_sample": [y.mean() / y.std(ddof=1) * YEAR**0.5]})
-
-    walked = portfolio.walk_forward(r, NAMES, lookback=52, every=13).groupBy("method").agg(moments.sharpe(F.col("ret"), YEAR).alias("walked"))
-    both = jobs.groupBy("method").applyInPandas(whole, "method string, in_sample double").join(walked, "method")
+    walked = portfolio.walk_forward(r, lookback=52, every=13).groupBy("method").agg(moments.sharpe(F.col("ret"), YEAR).alias("walked"))
+    day = r.join(portfolio.in_sample(r), "ticker").groupBy("method", "date").agg(F.sum(F.col("ret") * F.col("w")).alias("x"))
+    both = day.groupBy("method").agg(moments.sharpe(F.col("x"), YEAR).alias("in_sample")).join(walked, "method")
     return rounded(both.withColumn("optimism", F.col("in_sample") - F.col("walked")))
