@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import moments
 from tidemark.functions.windows import asof
-from tidemark.storage import written
+from tidemark.storage import small, written
 
 #: Fixed values of the cost model and of the portfolio's shape.
 LEG, SPREAD_COST, IMPACT, AUM, BORROW = 0.30, 0.0003, 1.0, 1e7, 0.005
@@ -44,7 +44,7 @@ def schedule(weights: DataFrame, dates: DataFrame, every: int, lag: int = 0) ->
     signal = weights.select("strategy", F.col("date").alias("signal_date")).distinct()
     first = signal.groupBy("strategy").agg(F.min("signal_date").alias("first"))
     late = F.col("date") >= F.col("first") if not lag else F.col("date") > F.col("first")
-    days = dates.select("date").distinct().join(F.broadcast(first), late).select("strategy", "date")
+    days = dates.select("date").distinct().join(small(written(first)), late).select("strategy", "date")
     i = F.row_number().over(Window.partitionBy("strategy").orderBy("date")) - 1
     days = days.withColumn("i", i.cast("long")).withColumn("h", F.floor(F.col("i") / every).cast("long"))
     starts = days.filter(F.col("i") % every == 0).select("strategy", "h", "date", F.date_sub("date", lag).alias("until"))

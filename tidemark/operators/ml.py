@@ -30,7 +30,7 @@ def placed(panel: DataFrame) -> DataFrame:
     """panel with `at`, the place of its date; the dates' order is made from the few distinct dates, not from the rows."""
     dates = panel.select("date").distinct()
     at = dates.select("date", (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("at"))
-    return panel.join(F.broadcast(at), "date")
+    return panel.join(at, "date")
 
 
 def scaled_by_training(panel: DataFrame, table: DataFrame, features: list[str]) -> DataFrame:

@@ -149,7 +149,7 @@ def window_moments(rows: DataFrame, names: list[str], lookback: int, every: int,
     b2 = F.least(d2, (F.col("qq") / n - F.col("ss")) / (n * k))
     of = of.select("j", "mu", F.coalesce(F.when(d2 > 0, b2 / d2), F.lit(0.0)).alias("share"))
     cov = (1 - F.col("share")) * F.col("s") + F.when(F.col("a") == F.col("b"), F.col("share") * F.col("mu")).otherwise(0.0)
-    return means, s.join(F.broadcast(of), "j").select("j", "a", "b", cov.alias("cov"))  # of has a row a window
+    return means, s.join(of, "j").select("j", "a", "b", cov.alias("cov"))
 
 
 def allocations(means: DataFrame, covariances_: DataFrame, names: list[str], methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
@@ -192,7 +192,7 @@ def walk_forward(returns: DataFrame, lookback: int = 252, every: int = 21, cost:
     before = F.coalesce(F.lag("w").over(Window.partitionBy("method", "ticker").orderBy("j")), F.lit(0.0))
     turn = held.select("method", "j", F.abs(F.col("w") - before).alias("change")).groupBy("method", "j").agg(F.sum("change").alias("turn"))
     live = rows.filter(F.col("t") >= lookback).withColumn("j", F.floor((F.col("t") - lookback) / F.lit(every)).cast("long"))
-    day = live.join(held, ["j", "ticker"]).groupBy("method", "j", "date", "t").agg(F.sum(F.col("w") * F.col("x")).alias("r")).join(F.broadcast(turn), ["method", "j"])  # a row a window and method
+    day = live.join(held, ["j", "ticker"]).groupBy("method", "j", "date", "t").agg(F.sum(F.col("w") * F.col("x")).alias("r")).join(turn, ["method", "j"])
     turned = F.when((F.col("t") - lookback) % every == 0, F.col("turn")).otherwise(0.0)
     return day.select("method", "date", (F.col("r") - cost * turned).alias("ret"), turned.alias("turnover"))
 

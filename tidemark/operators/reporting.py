@@ -38,7 +38,7 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("g", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("g")).alias("total"))
     end = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.join(F.broadcast(parts), ["g", "part"]).withColumn("end", end)  # a row for each group in each partition
+    placed = ranged.join(parts, ["g", "part"]).withColumn("end", end)
     at = lambda q: F.least(F.floor(F.col("total") * q), F.col("total") - 1)
     held = lambda q: F.when((F.col("end") > at(q)) & (F.col("end") - F.col("n") <= at(q)), F.col("x"))
     return placed.groupBy(F.col("g").alias(by)).agg(*[F.max(held(q)).alias(name) for name, q in shares.items()])
@@ -69,7 +69,7 @@ def psi(long: DataFrame, reference: Column, by: str = "factor", value: str = "x"
         F.array_distinct(F.percentile(F.when(F.col("ref"), F.col("x")), F.array(*map(F.lit, cuts)))).alias("e"),
         F.count_if("ref").alias("n_ref"), F.count_if(~F.col("ref")).alias("n_new"),
     ).filter("n_ref >= 50 AND n_new >= 20 AND size(e) >= 3").withColumn("e", F.slice("e", 2, F.size("e") - 2))
-    placed = rows.join(F.broadcast(edges), by).select(by, "ref", F.size(F.filter("e", lambda e: e <= F.col("x"))).alias("bin"))
+    placed = rows.join(edges, by).select(by, "ref", F.size(F.filter("e", lambda e: e <= F.col("x"))).alias("bin"))
     counts = placed.groupBy(by, "bin").agg(F.count_if("ref").alias("r"), F.count_if(~F.col("ref")).alias("a"))
     every = edges.select(by, "n_ref", "n_new", F.explode(F.sequence(F.lit(0), F.size("e"))).alias("bin"))
     share = lambda n, of: F.greatest(F.coalesce(F.col(n), F.lit(0)) / F.col(of), F.lit(1e-6))

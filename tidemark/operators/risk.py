@@ -18,14 +18,14 @@ def tail_risk(series: DataFrame, p: float = 0.05) -> DataFrame:
     m = series.groupBy("series").agg(F.count(r).alias("n"), F.avg(r).alias("mu"), F.stddev_samp(r).alias("sd"), moments.skewness(r).alias("s"), moments.kurtosis(r).alias("k"), F.percentile(r, F.lit(p)).alias("q"))
     s, k = F.col("s"), F.col("k")
     zc = z + (z**2 - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
-    tail = series.join(F.broadcast(m.select("series", "q")), "series").filter("r <= q").groupBy("series").agg((-F.avg("r")).alias("cvar"))
+    tail = series.join(m.select("series", "q"), "series").filter("r <= q").groupBy("series").agg((-F.avg("r")).alias("cvar"))
     out = m.select("series", "n", (-F.col("q")).alias("var_hist"), (-(F.col("mu") + z * F.col("sd"))).alias("var_normal"), (-(F.col("mu") + zc * F.col("sd"))).alias("var_cornish"))
     return out.join(tail, "series")
 
 
 def market_exposure(series: DataFrame, benchmark: DataFrame, year: float) -> DataFrame:
     """(series, n, beta, alpha, r2, information_ratio) against `b` of the common dates; twenty at least."""
-    j = series.join(F.broadcast(benchmark), "date")
+    j = series.join(benchmark, "date")
     active = F.col("r") - F.col("b")
     slope = F.covar_pop("r", "b") / F.nullif(F.var_pop("b"), F.lit(0.0))
     m = j.groupBy("series").agg(
@@ -57,7 +57,7 @@ def factor_shares(series: DataFrame, mimicking: DataFrame, factors: list[str]) -
 
     k = len(factors)
     wide = mimicking.filter(F.col("factor").isin(factors)).groupBy("date").pivot("factor", factors).agg(F.max("ret")).na.drop()
-    j = series.join(F.broadcast(wide), "date").withColumn("_1", F.lit(1.0))
+    j = series.join(wide, "date").withColumn("_1", F.lit(1.0))
     names = ["_1", *factors]
     sums = j.groupBy("series").agg(
         F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("xx"),

@@ -12,6 +12,7 @@ from tidemark.plans import ctes
 from tidemark.plans.ctes import BARS, DAILY, FACTS, MACRO, NEWS, WALK, WEEKLY, r6, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import generate, market
+from tidemark.storage import written
 
 
 @query(f"WITH {BARS} SELECT ticker, date, open, high, low, close, volume FROM bars")
@@ -189,6 +190,22 @@ def clean_bars(spark, d):
     return out.select("ticker", "date", *[(F.floor(F.col(c) * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
+_HALF_UP = ", ".join(f"floor({x} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS {c}" for c, x in (("open", "open"), ("high", "greatest(open, high, low, fixed)"), ("low", "least(open, high, low, fixed)"), ("close", "fixed"), ("volume", "volume")))
+
+
+@query(f"""WITH {_FOUND}, ub AS (SELECT * FROM bars WHERE ticker NOT IN (SELECT ticker FROM found WHERE severity = 'error' OR "check" = 'split_like' AND n > 160)),
+pos AS (SELECT ticker, date, coalesce(last_value(open IGNORE NULLS) OVER f, first_value(open IGNORE NULLS) OVER b) AS open, high, low, close, greatest(volume, 0) AS volume FROM ub
+  WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{_winsor('pos', '6.0::DOUBLE')}, j AS (SELECT pos.*, fixed FROM pos JOIN win USING (ticker, date)), cm AS (SELECT date FROM j GROUP BY date HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM j))
+SELECT ticker, date, {_HALF_UP} FROM j WHERE (SELECT count(*) FROM cm) < 120 OR date IN (SELECT date FROM cm)""")
+def load_universe(spark, d):
+    """The universe as one relation: bars checked, tickers with errors left out, prices cleaned, on the dates that all have."""
+    bars = written(market.bars_raw(spark, d))
+    found = dq.findings(bars).withColumn("severity", F.when((F.col("check") == "split_like") & (F.col("n") > 160), "error").otherwise(F.col("severity")))
+    out = dq.on_common_dates(written(dq.cleaned(dq.usable(bars, found))))
+    return out.select("ticker", "date", *[(F.floor(F.col(c) * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)).alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
 @query(f"""WITH {BARS}, dup AS (SELECT *, 0 AS seq FROM bars UNION ALL SELECT ticker, date, high, low, close * 2, volume, open, 1 FROM bars WHERE day(date) % 7 = 0)
 SELECT ticker, date, round(close, 6) + 0.0::DOUBLE AS close FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY seq DESC) AS k FROM dup) WHERE k = 1""")
 def keep_last_duplicate(spark, d):
