@@ -156,20 +156,27 @@ def fama_macbeth_univariate(long: DataFrame) -> DataFrame:
 
 
 def fama_macbeth_multivariate(panel: DataFrame, factors: tuple[str, ...]) -> DataFrame:
-    """(date, factor, beta) of a joint regression on standardised factors, date by date, in a task for each group of dates."""
+    """(date, factor, beta) of a joint regression on standardised factors, date by date.
+
+    Covariances are summed in Spark, so a date brings one row to the solver, however many names it has. Dates with fewer
+    than three names more than factors, or with a factor that doesn't vary, have no coefficients.
+    """
     import numpy as np
     import pandas as pd
 
     k = len(factors)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(factors)].to_numpy()
-        dev = x.std(axis=0)
-        if len(pdf) < k + 3 or (dev == 0).any():
-            return pd.DataFrame({"date": [], "factor": [], "beta": []})
-        z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / dev])
-        beta = np.linalg.lstsq(z, pdf["fwd_return"].to_numpy(), rcond=None)[0][1:]
-        return pd.DataFrame({"date": pdf["date"].iloc[0], "factor": factors, "beta": beta})
-
     rows = panel.select("date", "fwd_return", *factors).na.drop()
-    return rows.groupBy("date").applyInPandas(fit, "date date, factor string, beta double")
+    cov = [F.covar_pop(a, b) for a in factors for b in factors]
+    sums = rows.groupBy("date").agg(F.count("*").alias("n"), F.array(*cov).alias("xx"), F.array(*[F.covar_pop(a, "fwd_return") for a in factors]).alias("xy")).filter(F.col("n") >= k + 3)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for date, xx, xy in zip(pdf["date"], pdf["xx"], pdf["xy"], strict=True):
+                c = np.array(xx).reshape(k, k)
+                dev = np.sqrt(np.diag(c))
+                if (dev > 0).all():
+                    out += [(date, f, b) for f, b in zip(factors, np.linalg.lstsq(c / np.outer(dev, dev), np.array(xy) / dev, rcond=None)[0], strict=True)]
+            yield pd.DataFrame(out, columns=["date", "factor", "beta"])
+
+    return sums.mapInPandas(solve, "date date, factor string, beta double")

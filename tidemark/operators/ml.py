@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import average_rank
+from tidemark.storage import written
 
 LEAST_DATES, LEAST_TRAIN, TRAIN_SHARE, EMBARGO = 60, 20, 0.4, 5
 TREES = 200
@@ -92,16 +93,21 @@ def sequences(panel: DataFrame, features: list[str], length: int = 20) -> DataFr
     return held.filter((F.size("sequence") == length) & (F.col("n") == length)).select("ticker", "date", "sequence")
 
 
+def prepared(panel: DataFrame, features: list[str]) -> DataFrame:
+    """The rows of panel with all features and a label: folds and places of a model count their dates."""
+    return panel.na.drop(subset=[*features, "fwd_return"])
+
+
 def out_of_sample(panel: DataFrame, table: DataFrame, features: list[str], model: str) -> DataFrame:
     """(fold, ticker, date, model, score, fwd_return): a pyspark.ml fit for each fold on training rows before its purge.
 
-    `logistic` is L2-regularised with balanced class weights; `boosting` is Spark's first-order gradient boosting.
+    `table` holds the folds of prepared(panel). `logistic` is L2-regularised with balanced class weights; `boosting` is Spark's first-order gradient boosting.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = placed(panel.na.drop(subset=[*features, "fwd_return"])).withColumn("label", (F.col("fwd_return") > 0).cast("double"))
+    rows = written(placed(prepared(panel, features))).withColumn("label", (F.col("fwd_return") > 0).cast("double"))
     out = None
     for f in sorted(table.collect(), key=lambda r: r.fold):  # a handful of folds
         train = rows.filter(F.col("at") < f.train_end)

@@ -11,6 +11,7 @@ from tidemark.plans import ctes
 from tidemark.plans.ctes import WALK, WEEKLY, phi, r6, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import market
+from tidemark.storage import written
 
 WEEKS = 52.0
 
@@ -180,15 +181,15 @@ def sequence_windows(spark, d):
 @query()
 def oos_logistic(spark, d):
     """Out-of-sample scores of a logistic regression, fold by fold."""
-    p = _panel(spark, d)
-    return rounded(ml.out_of_sample(p, ml.folds(p, horizon=4), list(fx.PRICE_FACTORS), "logistic"))
+    p, features = written(_panel(spark, d)), list(fx.PRICE_FACTORS)
+    return rounded(ml.out_of_sample(p, ml.folds(ml.prepared(p, features), horizon=4), features, "logistic"))
 
 
 @query()
 def oos_gbt(spark, d):
     """The same of gradient-boosted trees."""
-    p = _panel(spark, d)
-    return rounded(ml.out_of_sample(p, ml.folds(p, horizon=4), list(fx.PRICE_FACTORS), "boosting"))
+    p, features = written(_panel(spark, d)), list(fx.PRICE_FACTORS)
+    return rounded(ml.out_of_sample(p, ml.folds(ml.prepared(p, features), horizon=4), features, "boosting"))
 
 
 @query(f"""WITH {WEEKLY}, {ctes.LONG} SELECT factor, count(*) AS n, round(corr(x, fwd_return), 6) + 0.0::DOUBLE AS r, count(*) > 30 AND abs(corr(x, fwd_return)) > 0.3 AS suspect
