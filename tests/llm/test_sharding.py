@@ -41,3 +41,42 @@ def test_odd_rows(odd_docs, no_docs):
         by.setdefault(r.text_crc32, set()).add(r.shard)
     assert all(len(x) == 1 for x in by.values())
     assert sharding.shard_by_bytes(no_docs, 3).count() == 0
+
+
+def plain(texts, shards):
+    """{text: shard} by the same rules without Spark, for one task: groups to bundles, then bundles and large groups to shards."""
+    import hashlib
+
+    size = Counter()
+    for t in texts:
+        size[hashlib.md5((t or "").encode()).digest()] += len((t or "").encode()) + 1
+    limit = sum(size.values()) // (sharding.BIG * shards)
+
+    def least(items, bins):
+        load, out = [(0, i) for i in range(bins)], {}
+        for n, item in items:
+            a, i = min(load)
+            load[load.index((a, i))] = (a + n, i)
+            out[item] = i
+        return out
+
+    rest = sorted(((n, k) for k, n in size.items() if n <= limit), key=lambda x: (-x[0], x[1]))
+    bundle = least(rest, sharding.BUNDLES * shards)
+    loads = Counter()
+    for n, k in rest:
+        loads[bundle[k]] += n
+    items = [(n, ("bundle", i)) for i, n in loads.items()] + [(n, ("group", k)) for k, n in size.items() if n > limit]
+    of = least(sorted(items, key=lambda x: (-x[0], x[1])), shards)
+    return {t: of["group", k] if (k := hashlib.md5((t or "").encode()).digest()) not in bundle else of["bundle", bundle[k]] for t in texts}
+
+
+def test_shards_match_plain_scheduling(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(sharding, "BUNDLES", 8)
+    rng = random.Random(5)
+    texts = ["x" * rng.choice((3, 3, 3, 40, 900)) + str(rng.randrange(120)) for _ in range(400)] + [None, "", "one group" * 200] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain(texts, 3)
+    for again in (df, df.repartition(5)):  # ties are settled by digests, not by the order of rows
+        assert {r.doc_id: r.shard for r in sharding.shard_by_bytes(again, 3).collect()} == {i: want[t] for i, t in enumerate(texts)}
