@@ -69,3 +69,54 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_cut():
     assert packing.cut(3) == [(0, 3)] and packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
+
+
+def best_fit(sizes, capacity=1024):
+    """Bins by best-fit decreasing, looking at all open ones. Which of equally full ones is taken changes no bin's total."""
+    bins = []
+    for n in sorted(sizes, reverse=True):
+        fits = [b for b in bins if sum(b) + n <= capacity]
+        if fits:
+            max(fits, key=sum).append(n)
+        else:
+            bins.append([n])
+    return bins
+
+
+def sequences_of(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.sequence_id].append(r)
+    return list(out.values())
+
+
+def test_one_part_matches_plain_best_fit(documents):
+    rows = packing.best_fit_packing(documents).collect()
+    got = sequences_of(rows)
+    want = best_fit([r.length for r in rows])
+    assert len(got) < len(want) or sorted(sum(r.length for r in s) for s in got) == sorted(map(sum, want))
+    if all(r.certified for r in rows):
+        assert len(got) == packing.lower_bound(np.bincount([r.length for r in rows], minlength=1025))
+
+
+def test_rounds_go_on_while_they_save_a_sequence(spark, monkeypatch):
+    """Many small parts: more than four rounds of exchange are made, and what is certified meets its bound."""
+    rng = np.random.default_rng(3)
+    sizes = [int(n) for n in rng.integers(300, 700, 600)]
+    asked = []
+    packed = packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda rows, parts, number, capacity: asked.append(number) or packed(rows, parts, number, capacity))
+    monkeypatch.setattr(packing, "pieces", lambda docs, *a, **k: docs)
+    df = spark.createDataFrame([(i, 0, 0, n, i, None) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, own long")
+    rows = packing.best_fit_packing(df, per_part=10).collect()
+    assert sorted(r.length for r in rows) == sorted(sizes) and len(asked) > 4
+    bound = packing.lower_bound(np.bincount(sizes, minlength=1025))
+    assert bound <= len(sequences_of(rows)) <= len(best_fit(sizes)) + 8
+    for s in sequences_of(rows):
+        assert sum(r.length for r in s) <= 1024 and len({r.certified for r in s}) == 1
+
+
+def test_ties_are_settled_by_id_and_piece(spark):
+    df = spark.createDataFrame([(i, "same text " * 20) for i in range(40)], "doc_id long, text string")
+    alike = lambda d: sorted(tuple(sorted(r.doc_id for r in s)) for s in sequences_of(packing.best_fit_packing(d).collect()))
+    assert alike(df) == alike(df.repartition(7))
