@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows of that SQL on the smallest tables; the others those of plain loops."""
 
+import functools
 import glob
 import os
 
@@ -8,8 +9,9 @@ import numpy as np
 import pytest
 
 from tidemark.operators import factors, ml, portfolio
-from tidemark.plans import registry
+from tidemark.plans import inference_queries, panel_queries, registry, trading_queries
 from tidemark.sources import market
+from tidemark.storage import written
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -22,6 +24,16 @@ def duck(sf_dir):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_tables(spark):
+    """Bars, panels and daily results, which dozens of queries start from, are made once for all tests of this file."""
+    patch = pytest.MonkeyPatch()
+    for module, name in ((market, "bars_raw"), (market, "bars_walk"), (panel_queries, "_panel"), (inference_queries, "_panel"), (trading_queries, "_panel"), (trading_queries, "_pnl")):
+        patch.setattr(module, name, functools.cache(lambda *args, make=getattr(module, name): written(make(*args))))
+    yield
+    patch.undo()
+
+
 def value(v):
     if v is None or v != v or str(v) == "NaT":
         return ""
