@@ -168,3 +168,63 @@ def test_lines_of_a_host(spark, no_docs):
 @pytest.mark.parametrize("line,same", [("  A  b\t9 ", "a b 0"), ("ÄB 12", "äb 00")])
 def test_normal_line(spark, line, same):
     assert spark.createDataFrame([(line,)], "x string").select(line_rules.normal_line(F.col("x")).alias("y")).first().y == same
+
+
+def test_em_matches_plain_loops():
+    """Two kinds of spans, true ones mostly voted for; against expectation-maximisation written out."""
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    draw = lambda p: rng.choices((0, 1, 2), p)[0]
+    rows = [tuple(draw(p) for p in (((0.2, 0.1, 0.7), (0.6, 0.0, 0.4), (0.3, 0.1, 0.6)) if i % 3 else ((0.3, 0.6, 0.1), (1.0, 0.0, 0.0), (0.4, 0.5, 0.1)))) for i in range(300)]
+    different = sorted(set(rows))
+    n = [rows.count(v) for v in different]
+    prior, odds = -1.0, [{0: 0.0, 1: -1.5, 2: 1.5} for _ in range(3)]
+    p = lambda v: 1 / (1 + math.exp(-(prior + sum(odds[i][x] for i, x in enumerate(v)))))
+    for _ in range(7):
+        q = [p(v) for v in different]
+        yes = sum(a * b for a, b in zip(n, q))
+        prior, new = math.log((yes + 1) / (sum(n) - yes + 1)), []
+        for i in range(3):
+            by = {}
+            for x in range(3):
+                on = (sum(a * b for a, b, v in zip(n, q, different) if v[i] == x) + 1) / (yes + 3)
+                off = (sum(a * (1 - b) for a, b, v in zip(n, q, different) if v[i] == x) + 1) / (sum(n) - yes + 3)
+                by[x] = math.log(on / off)
+            new.append({0: by[0], 1: min(by[1], 0), 2: max(by[2], 0)})
+        odds = new
+    got = pii.expectation_maximisation(np.array(different), np.array(n), 7)
+    assert got[0] == pytest.approx(prior) and got[2] == pytest.approx([p(v) for v in different])
+    assert [list(map(float, row)) for row in got[1]] == [pytest.approx([o[0], o[1], o[2]]) for o in odds]
+    true = [i % 3 > 0 for i in range(300)]
+    final = dict(zip(different, pii.expectation_maximisation(np.array(different), np.array(n))[2]))
+    assert sum((final[v] > 0.5) == t for v, t in zip(rows, true)) > 255
+
+
+def test_added_spans_follow_the_model(spark):
+    """Candidates, votes and choice of added spans against regular expressions and the fitted weights in plain Python."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows = [(i, f'user_name_{i} said token = "{hexes(40)}" to Dr. Anna Smith; order 1234-x{i}yzzzzzzzz. SSN 123-45-{6000 + i} and 999-45-6789.') for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.candidates(df, [F.col("doc_id")]).collect()
+    secret, number, name = (re.compile(pii._PATTERNS[k].replace(r"\p{Lu}", "[A-Z]").replace(r"\p{L}", "[A-Za-z]")) for k in ("secret", "number", "name"))
+    for r in found:
+        text, base = rows[r.doc_id][1], base_spans(rows[r.doc_id][1])
+        want = [(m.start(), k, m.end()) for k, p in ((4, secret), (5, number), (6, name)) for m in p.finditer(text)]
+        want = [s for s in want if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        assert [(s.start, s.k, s.end) for s in r._spans] == sorted(want + base)
+    model = pii.fit(spark.createDataFrame(found, pii.candidates(df, [F.col("doc_id")]).schema))
+    score = lambda s: 1 / (1 + math.exp(-(model.kind_weights[s.k] + sum(w * x for w, x in zip(model.feature_weights, s.x)))))
+    got = {r.doc_id: [(s.start, s.k, s.end) for s in r.spans] for r in pii.find_pii(df, [F.col("doc_id")]).collect()}
+    assert got == {r.doc_id: [(s.start, s.k, s.end) for s in r._spans if s.k < 4 or score(s) > 0.5] for r in found}
+    kinds = {k for s in got.values() for _, k, _ in s}
+    assert {4, 6} <= kinds
+
+

@@ -1,15 +1,17 @@
 """Personal data by weak supervision: labelers vote on spans, EM finds how far each can be trusted, a classifier decides.
 
-Only DataFrame functions. The first pass counts how often each combination of kind, votes and features occurs (a table
-whose size the code bounds); expectation-maximisation and the classifier run on those counts. The second pass marks
-spans row by row with the fitted weights as literals, so no text is ever exchanged.
+Only DataFrame functions. One pass over the texts writes all candidate spans with their votes and features. How often each
+combination of kind, votes and features occurs among the kinds that patterns alone don't decide is a table whose size the
+code bounds; expectation-maximisation and the classifier run on these counts. The stored spans are then chosen with the
+fitted weights as literals, so no text is exchanged or matched twice.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,12 @@ _LABELERS = ("regex", "gazetteer", "context")
 _FEATURES = ("long", "digits", "mixed", "quoted", "assigned", "alone")
 #: Votes: 0 abstains, 1 says it is no personal data, 2 says it is.
 _SPAN = "struct<start:int,k:int,end:int,votes:array<int>,x:array<int>>"
-EM_ROUNDS = 12
-STEPS = 30
+EM_ROUNDS = 30
+STEPS = 400
+#: Odds before any count: a span that no labeler votes for is unlikely, one vote is enough to turn that.
+_PRIOR, _ODDS = -1.0, (0.0, -1.5, 1.5)
+#: What each vote of each class counts in advance, so that few spans settle nothing.
+_SMOOTH = 1.0
 
 
 def _digits(x: Column) -> Column:
@@ -111,84 +117,102 @@ def candidates(docs: DataFrame, keep: list[Column], text: str = "text") -> DataF
     for kind, pattern in _PATTERNS.items():
         out = out.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split("_t", pattern, -1)).otherwise(F.array().cast("array<string>")))
     every = F.concat(*[_spans_of(k, "_t", f"_m_{k}", f"_g_{k}") for k in KINDS])
-    out = out.withColumn("_all", every).drop(*[f"_{a}_{k}" for a in "mg" for k in KINDS])
-    # An added span that touches a base span isn't a finding of its own.
-    base = F.filter("_all", lambda s: s["k"] < BASE)
-    apart = out.withColumn("_base", base).withColumn(
-        "_spans", F.sort_array(F.filter("_all", lambda s: (s["k"] < BASE) | ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    )
-    return apart.drop("_all", "_base")
+    base = lambda spans: F.filter(spans, lambda s: s["k"] < BASE)
+    meets = lambda s, held: F.exists(held, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    def apart(spans: Column) -> Column:
+        """Without added spans that touch a base span, which are no findings of their own."""
+        return _let(base(spans), lambda held: F.sort_array(F.filter(spans, lambda s: (s["k"] < BASE) | ~meets(s, held))))
+
+    return out.withColumn("_spans", _let(every, apart)).drop(*[f"_{a}_{k}" for a in "mg" for k in KINDS])
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once: as an element of an array it isn't copied into each of its uses."""
+    return F.transform(F.array(x), use)[0]
 
 
 @dataclass(frozen=True)
 class SpanModel:
-    """reliability[l][v]: odds that labeler l's vote v gives; weights: of the classifier, by kind and by feature."""
+    """For each kind k >= BASE: prior log odds, odds[k][labeler][vote], weights of the span classifier by kind and feature."""
 
-    prior: float = 0.0
-    reliability: tuple = ((0.0, -1.0, 1.0),) * len(_LABELERS)
-    kind_weights: tuple = (0.0,) * len(KINDS)
-    feature_weights: tuple = (0.0,) * len(_FEATURES)
-    rounds: list = field(default_factory=list, compare=False)
-
-    def posterior(self, votes: Column) -> Column:
-        odds = F.lit(self.prior)
-        for i, by_vote in enumerate(self.reliability):
-            odds = odds + F.element_at(F.array(*map(F.lit, by_vote)), votes[i] + 1)
-        return 1 / (1 + F.exp(-odds))
+    prior: dict[int, float]
+    odds: dict[int, tuple]
+    kind_weights: dict[int, float]
+    feature_weights: tuple
 
     def score(self, k: Column, x: Column) -> Column:
-        z = F.element_at(F.array(*map(F.lit, self.kind_weights)), k + 1)
+        z = F.element_at(F.array(*[F.lit(self.kind_weights.get(i, 0.0)) for i in range(len(KINDS))]), k + 1)
         for i, w in enumerate(self.feature_weights):
             z = z + w * x[i]
         return 1 / (1 + F.exp(-z))
 
 
-def fit(docs: DataFrame, text: str = "text") -> SpanModel:
-    """Votes of all candidates of all documents, counted by combination, give the labelers' odds by EM; a logistic
-    regression of EM's posteriors on kind and features, which the labelers don't see, is the span classifier.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
 
-    There are at most 7 kinds x 3^3 votes x 2^6 features = 12,096 combinations, whatever the corpus. Each round of EM and
-    each step of the regression is one aggregation of that table to a row of sums. Without candidates the defaults stay.
+def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
+    """(prior log odds, odds[labeler][vote], posteriors) of n spans with each row of votes, labelers being independent.
+
+    A vote for never counts against, nor one against for: that would swap the two classes.
+    """
+    prior, odds = _PRIOR, np.tile(_ODDS, (votes.shape[1], 1))
+    at = np.arange(votes.shape[1])
+    posterior = lambda: _sigmoid(prior + odds[at, votes].sum(axis=1))
+    for _ in range(rounds if n.sum() else 0):
+        p = posterior()
+        yes = (n * p).sum()
+        prior = float(np.log(yes + 1) - np.log(n.sum() - yes + 1))
+        share = lambda weight: np.stack([np.bincount(v, weight, 3) + _SMOOTH for v in votes.T]) / (weight.sum() + 3 * _SMOOTH)
+        odds = np.log(share(n * p)) - np.log(share(n * (1 - p)))
+        odds[:, 1], odds[:, 2] = np.minimum(odds[:, 1], 0), np.maximum(odds[:, 2], 0)
+    return prior, odds, posterior()
+
+
+def classifier(k: np.ndarray, x: np.ndarray, n: np.ndarray, p: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by kind, weights by feature): a logistic regression on soft labels p; a combination weighs log(1 + n)."""
+    m = np.log1p(n)
+    kinds, features = np.zeros(len(KINDS)), np.zeros(x.shape[1])
+    for _ in range(steps if m.sum() else 0):
+        off = m * (p - _sigmoid(kinds[k] + x @ features))
+        kinds += 4 * np.bincount(k, off, len(KINDS)) / m.sum()
+        features += 4 * (x.T @ off) / m.sum()
+    return kinds, features
+
+
+def fit(spans: DataFrame) -> SpanModel:
+    """From `spans`, an array column _spans of candidates of all documents: of each kind k >= BASE, labelers' odds by EM over
+    how often their votes combine; a logistic regression of EM's posteriors on kind and features, which the labelers don't
+    see, is the span classifier. Spans of the first kinds are certain and so teach neither.
+
+    There are at most 3 kinds x 3^3 votes x 2^6 features = 5,184 combinations, whatever the corpus; their counts are all that
+    comes to the driver. Without candidates every weight is 0.
     """
-    spans = candidates(docs, [], text).select(F.explode("_spans").alias("s"))
-    table = written(spans.groupBy("s.k", "s.votes", "s.x").agg(F.count("*").alias("n")).coalesce(1))
-    model = SpanModel()
-    classes = [(c, i, v) for c in (0, 1) for i in range(len(_LABELERS)) for v in range(3)]
-    for _ in range(EM_ROUNDS):
-        p = model.posterior(F.col("votes"))
-        sums = [F.sum(F.col("n") * (p if c else 1 - p) * (F.col("votes")[i] == v).cast("double")) for c, i, v in classes]
-        row = table.agg(F.sum("n"), F.sum(F.col("n") * p), *sums).first()
-        if not row[0]:
-            return model
-        yes = row[1]
-        part = {key: (x or 0) + 1 for key, x in zip(classes, row[2:], strict=True)}
-        odds = tuple(
-            tuple(math.log(part[1, i, v] / sum(part[1, i, u] for u in range(3))) - math.log(part[0, i, v] / sum(part[0, i, u] for u in range(3))) for v in range(3))
-            for i in range(len(_LABELERS))
-        )
-        # A vote for must not count against, nor one against for: that would swap the two classes.
-        odds = tuple((a, min(no, 0.0), max(yes_, 0.0)) for a, no, yes_ in odds)
-        model = SpanModel(math.log((yes + 1) / (row[0] - yes + 1)), odds)
-    soft = table.select("k", "x", F.log1p("n").alias("n"), model.posterior(F.col("votes")).alias("p"))
-    kinds, features = [0.0] * len(KINDS), [0.0] * len(_FEATURES)
-    for _ in range(STEPS):
-        off = F.col("n") * (F.col("p") - SpanModel(kind_weights=tuple(kinds), feature_weights=tuple(features)).score(F.col("k"), F.col("x")))
-        row = soft.agg(F.sum("n"), *[F.sum(F.when(F.col("k") == k, off).otherwise(0.0)) for k in range(len(KINDS))], *[F.sum(off * F.col("x")[i]) for i in range(len(_FEATURES))]).first()
-        gain = [4.0 * g / row[0] for g in row[1:]]
-        kinds = [w + g for w, g in zip(kinds, gain[: len(KINDS)], strict=True)]
-        features = [w + g for w, g in zip(features, gain[len(KINDS) :], strict=True)]
-    return SpanModel(model.prior, model.reliability, tuple(kinds), tuple(features))
+    one = spans.select(F.explode(F.filter("_spans", lambda s: s["k"] >= BASE)).alias("s"))
+    table = sorted((r.k, tuple(r.votes), tuple(r.x), r.n) for r in one.groupBy("s.k", "s.votes", "s.x").agg(F.count("*").alias("n")).collect())
+    k, votes, x, n = (np.array([r[i] for r in table], int) for i in range(4))
+    p, prior, odds = np.zeros(len(table)), {}, {}
+    for kind in range(BASE, len(KINDS)):
+        mine = k == kind
+        if mine.any():
+            prior[kind], by, p[mine] = expectation_maximisation(votes[mine], n[mine])
+            odds[kind] = tuple(map(tuple, by.tolist()))
+    kinds, features = classifier(k, x.reshape(-1, len(_FEATURES)), n, p)
+    return SpanModel(prior, odds, {i: float(kinds[i]) for i in range(BASE, len(KINDS))}, tuple(features.tolist()))
 
 
 def find_pii(docs: DataFrame, keep: list[Column], text: str = "text", model: SpanModel | None = None) -> DataFrame:
     """`keep` and spans, an array of (start, k, end) by start, kind and end: k indexes KINDS, offsets are code points.
 
-    Spans of the first four kinds follow from their patterns alone; the others are those that the classifier puts at one
-    half or more. Null texts are empty. Repeated rows stay. A model that is not given is fitted on docs.
+    Spans of the first four kinds follow from their patterns alone; the others are those that the classifier puts at over
+    one half. Null texts are empty. Repeated rows stay. A model that is not given is fitted on docs. `keep` and all
+    candidates are written once to the shared folder.
     """
-    model = model or fit(docs, text)
-    taken = F.filter("_spans", lambda s: (s["k"] < BASE) | (model.score(s["k"], s["x"]) >= 0.5))
-    return candidates(docs, keep, text).select("*", F.transform(taken, lambda s: F.struct(s["start"], s["k"], s["end"])).alias("spans")).drop("_t", "_spans")
+    found = written(candidates(docs, keep, text).drop("_t"))
+    model = model or fit(found)
+    taken = F.filter("_spans", lambda s: (s["k"] < BASE) | (model.score(s["k"], s["x"]) > 0.5))
+    return found.select("*", F.transform(taken, lambda s: F.struct(s["start"], s["k"], s["end"])).alias("spans")).drop("_spans")
 
 
 def joined(spans: Column) -> Column:
