@@ -446,6 +446,18 @@ def returns_pivot(spark, d):
     return wide.select("date", *[(F.round(F.col(f"`{n}`"), 6) + F.lit(0.0)).alias(n.lower().replace("#", "_")) for n in names])
 
 
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
+@query(f"WITH {WEEKLY}, {ctes.SCORE}, sq AS (SELECT ticker, date, score, 0 AS seq FROM score WHERE score IS NOT NULL UNION ALL SELECT ticker, date, -score, 1 FROM score WHERE score IS NOT NULL AND day(date) % 7 = 0) SELECT date, " + ", ".join(f"round(max_by(score, seq) FILTER (ticker = '{b}'), 6) + 0.0::DOUBLE AS {b.lower().replace('#', '_')}" for b in _BRANDS) + " FROM sq GROUP BY date")
+def scores_pivot(spark, d):
+    """Scores with a column for each ticker: of several of one date the last counts."""
+    s = fx.composite_score(_panel(spark, d, fx.WEEKLY)).filter("score IS NOT NULL").select("ticker", "date", "score", F.lit(0).alias("seq"))
+    again = s.filter(F.dayofmonth("date") % 7 == 0).withColumns({"score": -F.col("score"), "seq": F.lit(1)})
+    wide = s.union(again).groupBy("date").pivot("ticker", _BRANDS).agg(F.max_by("score", "seq"))
+    return wide.select("date", *[(F.round(F.col(f"`{b}`"), 6) + F.lit(0.0)).alias(b.lower().replace("#", "_")) for b in _BRANDS])
+
+
 @query(f"""WITH {BARS}, dates AS (SELECT date, count(DISTINCT ticker) AS n FROM bars GROUP BY date)
 SELECT count(*) AS in_any, count(*) FILTER (n = (SELECT count(DISTINCT ticker) FROM bars)) AS in_all FROM dates""")
 def date_set_ops(spark, d):
