@@ -42,8 +42,8 @@ def test_components_match_all_pairs(spark):
 
 def test_every_pair_of_blocks_meets_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    rows = [(b, n, n % 3, 5, 5, 0, 0) for b, many in ((1, 50), (2, 3), (3, 1)) for n in range(many)]
-    held = spark.createDataFrame(rows, "bucket long, node long, c long, n long, s long, center long, p long")
+    rows = [(b, n, n % 3, 5, 5, 0, 0, [b for b, many in ((1, 50), (2, 3), (3, 1)) if n < many]) for b, many in ((1, 50), (2, 3), (3, 1)) for n in range(many)]
+    held = spark.createDataFrame(rows, "bucket long, node long, c long, n long, s long, center long, p long, _bands array<long>")
     want = {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3}
     got = minhash.block_pairs(held, "true").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -206,19 +206,20 @@ def mixed_only(held: DataFrame, sizes: DataFrame | None) -> DataFrame:
 
 
 def block_pairs(held: DataFrame, may: str) -> DataFrame:
-    """(a, b), a < b: pairs of members of one bucket, in different components, for which `may` holds.
+    """(a, b), a < b: pairs of members of one bucket, in different components, for which `may` holds; each pair once, in the
+    first bucket that both are in.
 
     A bucket's members are dealt to blocks of about BLOCK, and each two blocks meet under a key of their own, so that no key
     holds more than about BLOCK^2 pairs, however large the bucket is.
     """
     blocks = written(held.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
     dealt = held.join(small(blocks), "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    names = ("node", "c", "n", "s", "center", "p")
+    names = ("node", "c", "n", "s", "center", "p", "_bands")
     x = dealt.select("bucket", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}a") for c in names])
     y = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("_i"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}b") for c in names]).withColumnRenamed("_i", "i")
     # Within a block every pair meets in both orders; of two blocks each pair meets once.
-    met = x.join(y, ["bucket", "i", "j"]).filter(f"ca <> cb AND (i < j OR nodea < nodeb) AND {may}")
-    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+    met = x.join(y, ["bucket", "i", "j"]).filter(f"ca <> cb AND (i < j OR nodea < nodeb) AND {may} AND array_intersect(_bandsa, _bandsb)[0] = bucket")
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
             sizes = written(sets.groupBy("node").agg(F.min("n").alias("n")).join(shared.groupBy("node").agg(F.count("*").alias("s")), "node"))
         held = mixed_only(held, sizes)
         if last:
-            held = held.join(centred(held, sets, shared), "node")
+            held = held.join(centred(held, sets, shared), "node").join(reps.select("node", "_bands"), "node")
             most = "CASE WHEN centera = centerb THEN least(pa, pb) + least(sa - pa, sb - pb) ELSE least(sa, sb) END"
             new = block_pairs(held, f"7 * ({most}) >= 3 * (na + nb)")
         else:
