@@ -163,28 +163,37 @@ def best_fit_packing(docs: DataFrame, text: str = "text", capacity: int = CAPACI
 
     A null text is empty and so is one token, the end. Repeated rows are packed each for itself; pieces of equal length are
     placed in the order of doc_id and piece, so ties decide nothing but places. An empty table gives an empty one. Parts
-    hold about `per_part` pieces, so a task's memory doesn't depend on the input. Rounds of exchange go on as long as one
-    saves a sequence. certified: the sequence is full, or its part meets the lower bound on its number of sequences.
+    hold about `per_part` pieces, and up to four times as many in exchanges, so a task's memory doesn't depend on the input.
+    Rounds of exchange go on as long as one saves a sequence; after one that doesn't, fewer and larger parts are tried, until
+    they are as large as they may be. certified: the sequence is full, or its part meets the lower bound on its number.
     """
     every = written(pieces(docs, text, capacity, **tokenizer))
     todo = every.filter("own IS NULL").drop("own")
     keep = [*_PIECE[:5], "sequence_id", "offset"]
     done = [every.filter("own IS NOT NULL").select(*_PIECE[:5], F.col("own").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     placed, parts_of = _packed(todo, max(1, -(-todo.count() // per_part)), 1, capacity)
+    failed, tried = 0, 0
     for number in itertools.count(2):
         # Certified parts stay as they are. So do full bins of the others, unless that leaves nothing to gain.
         open_parts = parts_of.filter("bins > bound").select("part")
         n_open = open_parts.count()
         if not n_open:
             break
-        mine = placed.join(small(open_parts), "part", "left_semi")
-        gaps = mine.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity).select("sequence_id")
-        loose = written(mine.join(gaps, "sequence_id", "left_semi"))
-        n, old = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        again, certified = _packed(loose.select(*_PIECE[:5]), max(1, min(n_open // 2, -(-n // per_part))), number, capacity)
+        if not failed:
+            mine = placed.join(small(open_parts), "part", "left_semi")
+            gaps = mine.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < capacity).select("sequence_id")
+            loose = written(mine.join(gaps, "sequence_id", "left_semi"))
+            n, old = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        parts = max(1, -(-n // (4 * per_part)), min(n_open >> (1 + failed), -(-n // per_part)))
+        if failed and parts == tried:
+            break
+        again, certified = _packed(loose.select(*_PIECE[:5]), parts, number, capacity)
         new = certified.agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
+        tried = parts
         if new >= old:
-            break
+            failed += 1
+            continue
+        failed = 0
         stays = placed.join(loose.select("sequence_id").distinct(), "sequence_id", "left_anti")
         done.append(stays.select(*keep, F.lit(True).alias("certified")))  # full, or of a part that meets its bound
         placed, parts_of = again, certified
