@@ -271,8 +271,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         tested, members = tested.union(new), held.select("bucket", "node")
     labels = written(components(edges))
     named = reps.select("_k", "rep", "node").join(labels, "node", "left").select("_k", "rep", F.coalesce("component", "node").alias("c"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = written(named.join(least, "c").select("_k", "component_id"))
+    # Only components of several nodes need a look at the others' ids.
+    least = written(named.groupBy("c").agg(F.count("*").alias("n"), F.min("rep").alias("component_id")).filter("n > 1").select("c", "component_id"))
+    named = written(named.join(small(least), "c", "left").select("_k", F.coalesce("component_id", "rep").alias("component_id")))
     # Rows without a digest get one of their own, as equal join keys would meet in one task.
     own = signed.select("doc_id", "n_shingles", F.coalesce("_k", F.concat(F.lit("-"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).cast("binary")).alias("_k"))
     out = own.join(named, "_k", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
