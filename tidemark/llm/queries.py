@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, minhash, packing, pii, pipeline, quality_cnn, sharding, warc
+from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, minhash, packing, pii, pipeline, quality_cnn, sharding, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The contract's rules.
+URL_RULES = (url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"))
+
+
+def symbol_pages(pages: DataFrame) -> DataFrame:
+    """URLs of pages that are one twentieth symbols: what a crawl would put on its list."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.filter(20 * (F.length(html) - F.length(F.translate(html, "#*$%", ""))) > F.length(html)).select("url")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for all page URLs: rules, then the list of addresses under which some page is full of symbols."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, symbol_pages(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 OP5_SQL = r"""
 WITH lowered AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -141,9 +157,29 @@ SELECT *, NOT base_failed AND 100 * n_removed_words <= 50 * n_words AS kept FROM
 """
 
 
+OP11_SQL = r"""
+WITH parts AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query FROM pages),
+forms AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') AS short,
+         array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS kept FROM parts),
+named AS (SELECT *, CASE WHEN short <> '' THEN short || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM forms),
+listed AS (SELECT DISTINCT canonical FROM named WHERE canonical IS NOT NULL AND 20 * (length(html) - length(translate(html, '#*$%', ''))) > length(html)),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM named)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN listed USING (canonical)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding)} | {"pipeline": pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding, op11_url_filter)} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL, "op11_url_filter": OP11_SQL}
