@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, minhash, packing, pii, pipeline, quality_cnn, sharding, url_filter, warc
+from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, merkle, minhash, packing, pii, pipeline, quality_cnn, sharding, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,17 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, symbol_pages(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tampered(docs: DataFrame) -> Column:
+    """The text without newlines where 2 divides the id's CRC-32 and there are some, else null."""
+    return F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n")), F.replace("text", F.lit("\n"), F.lit("")))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents by source, each document's proof, and which of them still lead to the root after tampering."""
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.verify(merkle.leaves_of(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", tampered(docs)))
+
+
 OP5_SQL = r"""
 WITH lowered AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -177,9 +188,49 @@ FROM ruled LEFT JOIN listed USING (canonical)
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE
+step AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) t(i)),
+crc AS (SELECT list(c ORDER BY i) AS c FROM step),
+shown AS (
+  SELECT doc_id, source, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda a, b: xor(a >> 8, crc.c[(xor(a, b) & 255) + 1])), 4294967295) % 2 = 0 AS even,
+         concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS front
+  FROM documents, crc),
+leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS s, sha256(front || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN even THEN sha256(front || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM shown),
+placed AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM leaves),
+nodes AS (
+  SELECT s, 0 AS level, i, leaf AS d, n FROM placed
+  UNION ALL SELECT s, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY s, level, i // 3),
+subs AS (SELECT s, level AS depth, d AS subroot, row_number() OVER (ORDER BY s) - 1 AS k, count(*) OVER () AS m FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, k AS i, subroot AS d, m AS n FROM subs
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, i // 3),
+every AS (SELECT s, level, i, d, n FROM nodes WHERE n > 1 UNION ALL SELECT s, depth + level, i, d, n FROM (SELECT DISTINCT s, depth FROM subs), tops WHERE n > 1),
+steps AS (
+  SELECT r, doc_id, leaf, changed, s, 0 AS level, i AS spot FROM placed
+  UNION ALL SELECT r, doc_id, leaf, changed, steps.s, level + 1, CASE WHEN level + 1 = depth THEN k ELSE spot // 3 END FROM steps JOIN subs USING (s)
+  WHERE level + 1 < depth + (SELECT max(level) FROM tops)),
+sides AS (
+  SELECT r, steps.level, coalesce(string_agg(d, '' ORDER BY i) FILTER (i < spot), '') AS lo, coalesce(string_agg(d, '' ORDER BY i) FILTER (i > spot), '') AS hi
+  FROM steps JOIN every ON steps.s = every.s AND steps.level = every.level AND every.i // 3 = spot // 3 GROUP BY r, steps.level),
+proofs AS (SELECT r, list({'lo': lo, 'hi': hi} ORDER BY level) AS path FROM sides GROUP BY r),
+folds AS (
+  SELECT r, 1 AS spot, coalesce(changed, leaf) AS d FROM placed
+  UNION ALL SELECT r, spot + 1, sha256(path[spot].lo || d || path[spot].hi) FROM folds JOIN proofs USING (r) WHERE spot <= len(path))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.lo || x.hi), ''), '')) AS proof_sha256, last.d AS folded_root, last.d = root AS verified
+FROM placed JOIN subs USING (s) LEFT JOIN proofs USING (r) JOIN (SELECT r, arg_max(d, spot) AS d FROM folds GROUP BY r) last USING (r), (SELECT d AS root FROM tops WHERE n = 1)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding, op11_url_filter)} | {"pipeline": pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding, op11_url_filter, op12_merkle)} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL, "op11_url_filter": OP11_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL, "op11_url_filter": OP11_SQL, "op12_merkle": OP12_SQL}
