@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, merkle, minhash, packing, pii, pipeline, quality_cnn, sharding, url_filter, warc
+from tidemark.llm import chunk_dedup, decontam, kneser_ney, line_rules, merkle, minhash, packing, pii, pipeline, quality_cnn, sharding, tiered_search, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.leaves_of(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", tampered(docs)))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return tiered_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tiers")
+
+
 OP5_SQL = r"""
 WITH lowered AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -228,9 +233,27 @@ FROM placed JOIN subs USING (s) LEFT JOIN proofs USING (r) JOIN (SELECT r, arg_m
 """
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+asked AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(w) AS t FROM items) GROUP BY q, t),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM docs WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), size),
+parts AS (SELECT tf.r, doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(docs.w) * n) // l)) AS part FROM tf JOIN docs USING (r), size),
+scores AS (SELECT q, r, doc_id, CAST(sum(times * w * part) AS BIGINT) AS score FROM asked JOIN weight USING (t) JOIN parts USING (t) GROUP BY q, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding, op11_url_filter, op12_merkle)} | {"pipeline": pipeline.run}
+    return {f.__name__: f for f in (op1_pii, op2_quality_cnn, op3_chunk_dedup, op4_kneser_ney, op5_decontaminate, op6_minhash, op7_line_rules, op8_warc, op9_packing, op10_sharding, op11_url_filter, op12_merkle, op13_ranked_search)} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL, "op11_url_filter": OP11_SQL, "op12_merkle": OP12_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op7_line_rules": OP7_SQL, "op8_warc": OP8_SQL, "op11_url_filter": OP11_SQL, "op12_merkle": OP12_SQL, "op13_ranked_search": OP13_SQL}
