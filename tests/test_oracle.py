@@ -135,36 +135,43 @@ def test_joint_regressions_match_least_squares(spark, sf_dir):
 
 
 def test_logistic_scores_match_a_direct_fit(spark, sf_dir):
-    """The first fold against Newton's method on the same penalised, class-weighted loss."""
+    """Every fold against Newton's method on the same penalised, class-weighted loss."""
     names = list(factors.PRICE_FACTORS)
-    panel = factors.price_factors(market.bars_walk(spark, sf_dir), factors.WEEKLY)
-    panel = ml.prepared(panel, names)
-    fold = ml.folds(panel, horizon=4).orderBy("fold").first()
+    panel = ml.prepared(factors.price_factors(market.bars_walk(spark, sf_dir), factors.WEEKLY), names)
+    folds = ml.folds(panel, horizon=4).collect()
     rows = ml.placed(panel).collect()
     x, y, at = np.array([[r[f] for f in names] for r in rows]), np.array([float(r.fwd_return > 0) for r in rows]), np.array([r["at"] for r in rows])
-    train, test = at < fold.train_end, (at >= fold.test_start) & (at < fold.test_end)
-    z = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
-    a, n, pos = np.column_stack([np.ones(train.sum()), z[train]]), train.sum(), y[train].sum()
-    weight = np.where(y[train] == 1, n / (2 * pos), n / (2 * (n - pos)))
-    beta, ridge = np.zeros(len(names) + 1), np.diag([0.0] + [1.0 / n] * len(names))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-a @ beta))
-        gradient = a.T @ (weight * (p - y[train])) / weight.sum() + ridge @ beta
-        beta -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a / weight.sum() + ridge, gradient)
-    want = {(r.ticker, r.date): s for r, s, t in zip(rows, 1 / (1 + np.exp(-(beta[0] + z @ beta[1:]))), test) if t}
-    got = {(r.ticker, r.date): r.score for r in of(spark, sf_dir, "oos_logistic") if r.fold == fold.fold}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
+    want = {}
+    for fold in folds:
+        train, test = at < fold.train_end, (at >= fold.test_start) & (at < fold.test_end)
+        z = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+        a, n, pos = np.column_stack([np.ones(train.sum()), z[train]]), train.sum(), y[train].sum()
+        weight = np.where(y[train] == 1, n / (2 * pos), n / (2 * (n - pos)))
+        beta, ridge = np.zeros(len(names) + 1), np.diag([0.0] + [1.0] * len(names))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ beta))
+            beta -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (p - y[train])) + ridge @ beta)
+        want |= {(fold.fold, r.ticker, r.date): s for r, s, t in zip(rows, 1 / (1 + np.exp(-(beta[0] + z @ beta[1:]))), test) if t}
+    got = {(r.fold, r.ticker, r.date): r.score for r in of(spark, sf_dir, "oos_logistic")}
+    assert len(folds) == 4 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
 def test_boosting_learns_and_is_scored_out_of_sample(spark, sf_dir, monkeypatch):
+    """The values of trees are held against plain numpy in test_boosting."""
     monkeypatch.setattr(ml, "TREES", 5)
     rows = of(spark, sf_dir, "oos_gbt")
     assert {r.fold for r in rows} == {0, 1, 2, 3} and all(0 < r.score < 1 for r in rows) and len({round(r.score, 3) for r in rows}) > 20
-    assert len(rows) == len(of(spark, sf_dir, "oos_logistic"))
+    top = of(spark, sf_dir, "model_importances")
+    for f in range(4):
+        own = sorted((r for r in top if r.fold == f), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, 8)) and sum(r.importance for r in own) == pytest.approx(1, abs=1e-5)
+        assert [r.importance for r in own] == sorted((r.importance for r in own), reverse=True) and sum(r.splits for r in own) <= 5 * 7
 
 
 def test_allocations_are_weights(spark, sf_dir):
-    """Their values are held against a dense matrix in test_properties."""
+    """Their values are held against a dense matrix in test_properties. In-sample books ask for over thirty dates with all names."""
+    assert of(spark, sf_dir, "alloc_optimised") == []
+    sf_dir = "/root/testdata/sf0.01"
     total = {}
     for r in of(spark, sf_dir, "alloc_optimised"):
         total[r.method] = total.get(r.method, 0) + r.w
@@ -173,12 +180,17 @@ def test_allocations_are_weights(spark, sf_dir):
     assert {r.method for r in out} == total.keys() and all(r.optimism == pytest.approx(r.in_sample - r.walked, abs=2e-6) for r in out)
     walked = {r.method: r for r in of(spark, sf_dir, "wf_allocation")}
     equal = np.array([r.ret for r in of(spark, sf_dir, "wf_equal_weight")])
-    assert walked["equal_weight"].sharpe == pytest.approx(sharpe(equal), rel=1e-3) and walked["equal_weight"].n == len(equal)
-    assert all(r.walked == pytest.approx(walked[r.method].sharpe, abs=2e-6) for r in out)
+    same, level = walked["equal_weight"], np.cumprod(1 + equal)
+    assert same.sharpe == pytest.approx(sharpe(equal), rel=1e-3) and same.n == len(equal) and same.avg_turnover == 0
+    assert same.total_return == pytest.approx(level[-1] - 1, abs=1e-4) and same.max_drawdown == pytest.approx((level / np.maximum.accumulate(level) - 1).min(), abs=1e-4)
+    assert all(r.walked == pytest.approx(walked[r.method].sharpe, abs=2e-6) and r.place == walked[r.method].place for r in out)
+    books = of(spark, sf_dir, "wf_books")
+    mean = lambda m: np.mean([r.turnover for r in books if r.method == m and r.turnover is not None])
+    assert all(mean(m) == pytest.approx(walked[m].avg_turnover, abs=1e-4) for m in walked)
 
 
 #: Held against plain loops above and in test_properties.
-ELSEWHERE = {"alloc_optimised", "bootstrap_sharpe", "factor_risk", "fama_macbeth_multi", "in_sample_optimism", "numeric_grounding", "oos_gbt", "oos_logistic", "retrieval_eval_all", "strategy_significance", "synthetic_universe", "wf_allocation", "research_findings"}
+ELSEWHERE = {"alloc_optimised", "bootstrap_sharpe", "factor_risk", "fama_macbeth_multi", "in_sample_optimism", "model_importances", "numeric_grounding", "oos_gbt", "oos_logistic", "retrieval_eval_all", "strategy_significance", "synthetic_universe", "wf_allocation", "wf_books", "research_findings"}
 
 
 def test_every_query_has_sql_or_a_test():

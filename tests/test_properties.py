@@ -136,18 +136,6 @@ def test_tail_order(spark):
     assert 0 < five.var_hist < five.cvar < one.cvar and five.var_hist < one.var_hist and five.var_normal == pytest.approx(0.0329, abs=0.002)
 
 
-def test_allocations():
-    x = np.random.default_rng(6).normal(0, [0.01, 0.02, 0.03, 0.015], (300, 4))
-    c = portfolio.shrunk(x)
-    for m in portfolio.METHODS:
-        w = portfolio.allocate(x, m)
-        assert w.sum() == pytest.approx(1) and (w >= -1e-9).all() and (w <= portfolio.CAP + 0.2).all()
-    w = portfolio.allocate(x, "risk_parity")
-    parts = w * (c @ w)
-    assert parts == pytest.approx([parts.mean()] * 4, rel=0.02)
-    assert portfolio.allocate(x, "min_variance") @ c @ portfolio.allocate(x, "min_variance") <= portfolio.allocate(x, "equal_weight") @ c @ portfolio.allocate(x, "equal_weight") + 1e-12
-
-
 def test_findings_flag_faults(spark, bars):
     bad = bars.filter("ticker = 'T0'").withColumn("close", F.when(F.col("date") > START + dt.timedelta(days=80), F.col("close") / 2).otherwise(F.col("close")))
     bad = bad.withColumn("close", F.when(F.col("date").between(START + dt.timedelta(days=20), START + dt.timedelta(days=30)), 77.0).otherwise(F.col("close")))
@@ -367,40 +355,118 @@ def test_research_runs_to_a_verdict(spark):
     assert "## backtest" in research.report(r)
 
 
-def test_allocations_match_a_dense_matrix(spark):
-    """Moments summed by Spark over windows against numpy on the dates-by-names matrix, with missing returns."""
+def _loss(method, mu, c, w, penalty=0.0, previous=None):
+    """What each method minimises, by the definitions."""
+    v, k = w @ c @ w, len(w)
+    x = w * (c @ w)
+    base = {"min_variance": v, "mean_variance": -(w @ mu - 0.5 * 3.0 * v), "risk_parity": 1e4 * ((x - v / k) ** 2).sum(), "max_diversification": -(w @ np.sqrt(np.diag(c))) / np.sqrt(v)}[method]
+    return base + (penalty * np.abs(w - previous).sum() if previous is not None else 0.0)
+
+
+@pytest.mark.parametrize("method", ["min_variance", "mean_variance", "risk_parity", "max_diversification"])
+@pytest.mark.parametrize("penalty", [0.0, 1e-5, 0.001])
+def test_no_shift_of_weight_lowers_the_loss(method, penalty):
+    """An independent optimum: moving any weight between two names within the bounds doesn't help."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        k = 4 + seed * 2
+        x = rng.normal(0.001, rng.uniform(0.005, 0.04, k), (60, k)) + rng.normal(0, 0.01, (60, 1))
+        mu, c = x.mean(axis=0), portfolio.shrunk(x)
+        previous = portfolio.nearest_book(rng.random(k) / 3, 0.4) if penalty else None
+        w = portfolio.solved(mu, c, method, previous, penalty)
+        assert w.sum() == pytest.approx(1) and (w >= -1e-12).all() and (w <= 0.4 + 1e-9).all()
+        loss = _loss(method, mu, c, w, penalty, previous)
+        scale = max(abs(_loss(method, mu, c, np.full(k, 1 / k), penalty, previous)), 1e-9)
+        for step in (0.03, 0.003):
+            for i in range(k):
+                for j in range(k):
+                    other = w.copy()
+                    other[i] -= step
+                    other[j] += step
+                    if i != j and other[i] >= 0 and other[j] <= 0.4:
+                        assert _loss(method, mu, c, other, penalty, previous) >= loss - 1e-6 * scale
+
+
+def test_mean_variance_has_half_the_aversion():
+    """Variances 1, 1, 4, 2 and one mean: without bounds w is proportional to the means over the variances, less a level."""
+    c, mu = np.diag([0.04, 0.05, 0.16, 0.08]), np.array([0.06, 0.05, 0.02, 0.04])
+    w = portfolio.solved(mu, c, "mean_variance", cap=1.0)
+    slope = mu - 3.0 * c @ w
+    held = w > 1e-6
+    assert slope[held] == pytest.approx(slope[held][0], abs=1e-6) and (slope[~held] <= slope[held][0] + 1e-6).all()
+
+
+def test_risk_parity_meets_the_cap():
+    c = np.diag([0.0001, 0.01, 0.01, 0.01])
+    w = portfolio.solved(np.zeros(4), c, "risk_parity")
+    assert w.max() <= 0.4 + 1e-9 and w[0] == pytest.approx(0.4, abs=1e-6) and w[1:] == pytest.approx([0.2] * 3, abs=1e-6)
+    free = portfolio.solved(np.zeros(4), c, "risk_parity", cap=1.0)
+    assert free * (c @ free) == pytest.approx(np.full(4, free @ c @ free / 4), rel=1e-4)
+
+
+def test_nearest_book_is_nearest():
+    rng = np.random.default_rng(3)
+    for pull in (0.0, 0.05, 2.0):
+        for k in (2, 3, 7):
+            v, p = rng.normal(0.3, 0.5, k), portfolio.nearest_book(rng.random(k), 0.5)
+            w = portfolio.nearest_book(v, 0.5, pull, p)
+            loss = lambda x, v=v, p=p, pull=pull: ((x - v) ** 2).sum() / 2 + pull * np.abs(x - p).sum()
+            others = [portfolio.nearest_book(w + rng.normal(0, s, k), 0.5) for s in (0.001, 0.03, 0.5) for _ in range(200)]
+            assert w.sum() == pytest.approx(1) and w.max() <= 0.5 + 1e-12 and min(map(loss, others)) >= loss(w) - 1e-12
+    assert portfolio.nearest_book(np.array([5.0, 0.0]), 0.1) == pytest.approx([0.5, 0.5])
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.001])
+@pytest.mark.parametrize(("lookback", "every"), [(30, 8), (32, 8)])
+def test_allocations_match_a_dense_matrix(spark, penalty, lookback, every):
+    """Moments of windows from sums of blocks, and a sequential walk, against numpy on the dates-by-names matrix, with missing returns."""
     rng = np.random.default_rng(9)
-    dates, names = [START + dt.timedelta(days=i) for i in range(70)], ["A", "B", "C", "D", "E"]
-    x = rng.normal(0, [0.01, 0.02, 0.03, 0.015, 0.02], (70, 5)) + rng.normal(0, 0.01, (70, 1))
-    gone = rng.random((70, 5)) < 0.1
+    dates, names = [START + dt.timedelta(days=i) for i in range(80)], ["A", "B", "C", "D", "E"]
+    x = rng.normal(0, [0.01, 0.02, 0.03, 0.015, 0.02], (80, 5)) + rng.normal(0, 0.01, (80, 1))
+    gone = rng.random((80, 5)) < 0.1
     gone[:, 0] = False
     x[gone] = 0.0
     returns = spark.createDataFrame([(n, d, float(x[i, j])) for i, d in enumerate(dates) for j, n in enumerate(names) if not gone[i, j]], "ticker string, date date, ret double")
-    rows = portfolio.placed(returns)
-    means, cov = portfolio.window_moments(rows, names, 30, 8, 5)
+    means, cov, shares = portfolio.window_moments(portfolio.placed(returns), lookback, every, 5)
     got = {(r.j, r.a, r.b): r.cov for r in cov.collect()}
     mean = {(r.j, r.ticker): r.m for r in means.collect()}
+    share = {r.j: r.share for r in shares.collect()}
     for j in range(5):
-        part = x[8 * j : 8 * j + 30]
+        part = x[every * j : every * j + lookback]
         want = portfolio.shrunk(part)
         assert [[got[j, a, b] for b in names] for a in names] == [pytest.approx(row) for row in want.tolist()]
         assert [mean[j, n] for n in names] == pytest.approx(part.mean(axis=0))
+        plain = np.cov(part.T, bias=True)
+        assert share[j] == pytest.approx(1 - want[0, 1] / plain[0, 1])
     want = {}
     for method in portfolio.METHODS:
-        w = np.zeros(5)
-        for t in range(30, 70):
-            turn = 0.0
-            if (t - 30) % 8 == 0:
-                new = portfolio.allocate(x[t - 30 : t], method)
-                turn, w = float(np.abs(new - w).sum()), new
-            want[method, dates[t]] = (float(x[t] @ w) - 0.0003 * turn, turn)
-    walk = {(r.method, r.date): (r.ret, r.turnover) for r in portfolio.walk_forward(returns, 30, 8).collect()}
-    assert walk.keys() == want.keys() and all(walk[k] == pytest.approx(want[k], abs=1e-6) for k in want)
-    held = {}
-    for r in portfolio.in_sample(returns).collect():
-        held.setdefault(r.method, {})[r.ticker] = r.w
-    assert all([held[m][n] for n in names] == pytest.approx(portfolio.allocate(x, m), abs=1e-6) for m in portfolio.METHODS)
-    assert portfolio.walk_forward(returns, 70, 8).count() == 0
+        w = None
+        for t in range(lookback, 80):
+            turn = None
+            if (t - lookback) % every == 0:
+                new = portfolio.allocate(x[t - lookback : t], method, w, penalty)
+                turn, w = None if w is None else float(np.abs(new - w).sum()), new
+                assert (w <= 0.4 + 1e-9).all()
+            want[method, dates[t]] = (float(x[t] @ w), turn)
+    walk = {(r.method, r.date): (r.ret, r.turnover) for r in portfolio.walk_forward(returns, lookback, every, penalty).collect()}
+    assert walk.keys() == want.keys() and all(walk[k][0] == pytest.approx(want[k][0], abs=1e-6) and (walk[k][1] is None) == (want[k][1] is None) for k in want)
+    assert all(walk[k][1] == pytest.approx(want[k][1], abs=1e-4) for k in want if want[k][1] is not None)
+    assert portfolio.walk_forward(returns, 70, 8).count() == 0 and portfolio.walk_forward(returns, 45, 8).count() == 0
+
+
+def test_in_sample_books_take_whole_dates(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0.001, [0.01, 0.02, 0.03], (60, 3))
+    gone = rng.random((60, 3)) < 0.05
+    names = ["A", "B", "C"]
+    returns = spark.createDataFrame([(n, START + dt.timedelta(days=i), float(x[i, j])) for i in range(60) for j, n in enumerate(names) if not gone[i, j]], "ticker string, date date, ret double")
+    whole = x[~gone.any(axis=1)]
+    rows = {(r.method, r.ticker): r for r in portfolio.in_sample(returns).collect()}
+    for method in portfolio.METHODS:
+        w = portfolio.allocate(whole, method)
+        assert [rows[method, n].w for n in names] == pytest.approx(w, abs=1e-6)
+        assert sum(rows[method, n].m for n in names) == pytest.approx(w @ whole.mean(axis=0)) and sum(rows[method, n].v for n in names) == pytest.approx(w @ portfolio.shrunk(whole) @ w)
+    assert portfolio.in_sample(returns.filter(F.col("date") < START + dt.timedelta(days=30))).count() == 0
 
 
 def test_a_universe_has_a_bound(spark, monkeypatch):

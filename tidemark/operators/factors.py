@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import moments
-from tidemark.functions.windows import asof, average_rank, change, log_return, ordered, rolling
+from tidemark.functions.windows import asof, average_rank, change, ffill, log_return, ordered, rolling
+from tidemark.operators.inference import newey_west
+from tidemark.storage import small, written
 
 YEAR = 252.0
 
@@ -26,11 +28,20 @@ class Lookbacks:
     tail: int = 63
     tail_least: int = 21
     horizon: int = 21
+    year: int = 252
+    two_years: int = 504
+    least_surprise: int = 120
 
 
 #: For weekly bars of a few years, where a year of look-back would leave little to test on.
-WEEKLY = Lookbacks(12, 1, 4, 1, 8, 16, 16, 6, 4)
+WEEKLY = Lookbacks(12, 1, 4, 1, 8, 16, 16, 6, 4, 52, 104, 26)
 PRICE_FACTORS = ("momentum_12_1", "momentum_3m", "volatility_20d", "volatility_60d", "mean_reversion", "liquidity", "downside_ratio")
+#: Reported quantities: flows add up over four quarters, levels are as last reported.
+FLOWS = ("eps_diluted", "net_income", "revenue", "operating_income")
+LEVELS = ("stockholders_equity", "total_assets", "total_liabilities", "shares_diluted")
+FUNDAMENTAL_FACTORS = ("earnings_yield", "book_to_price", "return_on_equity", "operating_margin", "leverage", "asset_growth", "earnings_surprise")
+MACRO_FACTORS = ("vix_percentile", "term_spread", "credit_spread")
+ALL_FACTORS = (*PRICE_FACTORS, *FUNDAMENTAL_FACTORS, "sentiment_score", *MACRO_FACTORS)
 #: Fixed weights of the composite score; those of factors that a panel has are used.
 COMPOSITE = {
     "momentum_12_1": 0.30, "momentum_3m": 0.15, "earnings_yield": 0.20, "book_to_price": 0.10, "return_on_equity": 0.15,
@@ -148,10 +159,72 @@ def trailing_four(facts: DataFrame) -> DataFrame:
     return facts.select("ticker", "metric", "filed_date", "accession", F.when(F.count("value").over(w) == 4, F.sum("value").over(w)).alias("ttm"))
 
 
+def reported(facts: DataFrame) -> DataFrame:
+    """(ticker, metric, period_end, filed_date, accession, value, form) of the first annual or quarterly report of each period."""
+    first = F.min(F.struct("filed_date", "accession", "value", "form")).alias("f")
+    return facts.filter(F.col("form").rlike("^10-[KQ]")).groupBy("ticker", "metric", "period_end").agg(first).select("ticker", "metric", "period_end", "f.*")
+
+
+def known_quantities(facts: DataFrame) -> DataFrame:
+    """(ticker, filed_date, the FLOWS and LEVELS known from that date on), from facts (ticker, metric, period_end, filed_date,
+    accession, value, form).
+
+    A flow is the sum of its last four quarterly reports, null before the fourth; one with fewer quarterly reports in all
+    is its latest report's value. A level is that of the latest period among a filing date's reports.
+    """
+    rows = reported(facts).withColumn("quarterly", F.col("form").startswith("10-Q") & F.col("metric").isin(*FLOWS))
+    order = F.struct("period_end", "accession")
+    by_kind = Window.partitionBy("ticker", "metric", "quarterly")
+    four = by_kind.orderBy("filed_date", "period_end", "accession").rowsBetween(-3, 0)
+    rows = rows.withColumn("sum", F.when(F.count("value").over(four) == 4, F.sum("value").over(four))).withColumn("kind_rows", F.count("*").over(by_kind))
+    quarters = F.max(F.when(F.col("quarterly"), F.col("kind_rows")).otherwise(0)).over(Window.partitionBy("ticker", "metric"))
+    rows = rows.withColumn("quarters", quarters).filter("quarters < 4 OR quarterly")
+    step = F.max_by(F.struct(F.when(F.col("quarters") < 4, F.col("value")).otherwise(F.col("sum")).alias("v")), order)
+    steps = rows.groupBy("ticker", "metric", "filed_date").agg(step.alias("s"))
+    names = (*FLOWS, *LEVELS)
+    wide = steps.groupBy("ticker", "filed_date").agg(*[F.max(F.when(F.col("metric") == m, F.col("s.v"))).alias(m) for m in names])
+    w = ordered("ticker", "filed_date")
+    return wide.select("ticker", "filed_date", *[ffill(F.col(m), w).alias(m) for m in names])
+
+
+def with_fundamentals(panel: DataFrame, facts: DataFrame, b: Lookbacks = Lookbacks()) -> DataFrame:
+    """panel (ticker, date, close and others) with FUNDAMENTAL_FACTORS from what had been filed by each date; null where a divisor is 0."""
+    names = (*FLOWS, *LEVELS)
+    known = asof(panel, known_quantities(facts), ["ticker"], "date", "filed_date", list(names))
+    w = ordered()
+    over = lambda a, b: F.col(a) / F.nullif(b if isinstance(b, Column) else F.col(b), F.lit(0.0))
+    yearly = F.col("eps_diluted") - F.lag("eps_diluted", b.year).over(w)
+    spread = rolling(F.stddev_samp, F.col("eps_diluted"), b.two_years, w, b.least_surprise)
+    return known.select(
+        *panel.columns,
+        over("eps_diluted", "close").alias("earnings_yield"),
+        over("stockholders_equity", F.col("shares_diluted") * F.col("close")).alias("book_to_price"),
+        over("net_income", "stockholders_equity").alias("return_on_equity"),
+        over("operating_income", "revenue").alias("operating_margin"),
+        over("total_liabilities", "total_assets").alias("leverage"),
+        change(F.col("total_assets"), w, b.year).alias("asset_growth"),
+        # A deviation of values that are all equal may differ from 0 by rounding.
+        (yearly / F.when(spread > 1e-9 * F.abs("eps_diluted"), spread)).alias("earnings_surprise"),
+    )
+
+
+def full_panel(bars: DataFrame, facts: DataFrame, sentiment: DataFrame, macro: DataFrame, b: Lookbacks = Lookbacks()) -> DataFrame:
+    """Price factors, fundamentals, sentiment and macro state of each ticker and date, with label and daily return.
+
+    sentiment (ticker, known, sentiment_score) and macro (known, MACRO_FACTORS) hold from `known` on. Macro is one value for all
+    names of a date, so it meets the few distinct dates. What isn't known yet is null.
+    """
+    rows = with_fundamentals(price_factors(bars, b), facts, b)
+    rows = asof(rows, sentiment, ["ticker"], "date", "known", ["sentiment_score"])
+    dates = bars.select("date").distinct().withColumn("_one", F.lit(1))  # the calendar and the series: a row a date
+    state = asof(dates, macro.withColumn("_one", F.lit(1)), ["_one"], "date", "known", list(MACRO_FACTORS))
+    return rows.join(small(state.drop("_one")), "date", "left").select("ticker", "date", "close", "ret_1d", *ALL_FACTORS, "fwd_return")
+
+
 def fama_macbeth_univariate(long: DataFrame) -> DataFrame:
     """(factor, date, beta): slope of the later return on the standardised factor, date by date."""
     pairs = long.filter("x IS NOT NULL AND fwd_return IS NOT NULL")
-    beta = F.covar_pop("x", "fwd_return") / F.nullif(F.stddev_pop("x"), F.lit(0.0))
+    beta = F.when(F.min("x") < F.max("x"), F.covar_pop("x", "fwd_return") / F.nullif(F.stddev_pop("x"), F.lit(0.0)))
     return pairs.groupBy("factor", "date").agg(F.count("*").alias("n"), beta.alias("beta")).filter("n >= 4 AND beta IS NOT NULL").select("factor", "date", "beta")
 
 
@@ -159,7 +232,7 @@ def fama_macbeth_multivariate(panel: DataFrame, factors: tuple[str, ...]) -> Dat
     """(date, factor, beta) of a joint regression on standardised factors, date by date.
 
     Covariances are summed in Spark, so a date brings one row to the solver, however many names it has. Dates with fewer
-    than three names more than factors, or with a factor that doesn't vary, have no coefficients.
+    than three names more than factors have no coefficients, nor has a factor on dates where all names have one value.
     """
     import numpy as np
     import pandas as pd
@@ -167,16 +240,43 @@ def fama_macbeth_multivariate(panel: DataFrame, factors: tuple[str, ...]) -> Dat
     k = len(factors)
     rows = panel.select("date", "fwd_return", *factors).na.drop()
     cov = [F.covar_pop(a, b) for a in factors for b in factors]
-    sums = rows.groupBy("date").agg(F.count("*").alias("n"), F.array(*cov).alias("xx"), F.array(*[F.covar_pop(a, "fwd_return") for a in factors]).alias("xy")).filter(F.col("n") >= k + 3)
+    varies = F.array(*[F.min(f) < F.max(f) for f in factors])
+    sums = rows.groupBy("date").agg(F.count("*").alias("n"), F.array(*cov).alias("xx"), F.array(*[F.covar_pop(a, "fwd_return") for a in factors]).alias("xy"), varies.alias("varies")).filter(F.col("n") >= k + 3)
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for date, xx, xy in zip(pdf["date"], pdf["xx"], pdf["xy"], strict=True):
-                c = np.array(xx).reshape(k, k)
-                dev = np.sqrt(np.diag(c))
-                if (dev > 0).all():
-                    out += [(date, f, b) for f, b in zip(factors, np.linalg.lstsq(c / np.outer(dev, dev), np.array(xy) / dev, rcond=None)[0], strict=True)]
+            for date, xx, xy, varies in zip(pdf["date"], pdf["xx"], pdf["xy"], pdf["varies"], strict=True):
+                keep = np.flatnonzero(np.asarray(varies, bool))
+                if len(keep):
+                    c = np.array(xx).reshape(k, k)[np.ix_(keep, keep)]
+                    dev = np.sqrt(np.diag(c))
+                    beta = np.linalg.lstsq(c / np.outer(dev, dev), np.array(xy)[keep] / dev, rcond=None)[0]
+                    out += [(date, factors[i], b) for i, b in zip(keep, beta, strict=True)]
             yield pd.DataFrame(out, columns=["date", "factor", "beta"])
 
     return sums.mapInPandas(solve, "date date, factor string, beta double")
+
+
+def priced(betas: DataFrame, lags: int) -> DataFrame:
+    """(factor, periods, premium, t_hac, p_hac, t_naive, inflation, significant, status) from (factor, date, beta): is a slope's mean
+    over time other than zero? Standard errors allow for `lags` dates of overlap; factors with fewer than eight dates are not tested.
+    """
+    t = newey_west(betas.withColumnRenamed("beta", "r"), lags, by="factor")
+    status = F.when(F.col("n") >= 8, "ok").otherwise("insufficient_periods")
+    return t.select("factor", F.col("n").alias("periods"), F.col("mean").alias("premium"), "t_hac", "p_hac", "t_naive", "inflation", (F.col("p_hac") < 0.05).alias("significant"), status.alias("status"))
+
+
+def fama_macbeth(panel: DataFrame, factors: tuple[str, ...], lags: int) -> DataFrame:
+    """priced() for all factors, with mode, names and cross_sections: jointly where the panel has three names more than factors, else
+    one by one, which doesn't control for the others. A factor without any coefficient has periods 0.
+    """
+    names = panel.agg(F.count_distinct("ticker")).first()[0]
+    joint = names >= len(factors) + 3
+    betas = fama_macbeth_multivariate(panel, factors) if joint else fama_macbeth_univariate(unpivoted(panel, factors))
+    betas = written(betas.select("factor", "date", "beta"))
+    dates = betas.agg(F.count_distinct("date").alias("cross_sections"))
+    every = panel.sparkSession.createDataFrame([(f,) for f in factors], "factor string").join(F.broadcast(dates))
+    out = every.join(priced(betas, lags), "factor", "left")
+    filled = {"periods": F.coalesce("periods", F.lit(0)), "status": F.coalesce("status", F.lit("insufficient_periods")), "mode": F.lit("multivariate" if joint else "univariate"), "names": F.lit(names)}
+    return out.withColumns(filled)

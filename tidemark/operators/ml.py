@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import average_rank
+from tidemark.operators import boosting
 from tidemark.storage import written
 
 LEAST_DATES, LEAST_TRAIN, TRAIN_SHARE, EMBARGO = 60, 20, 0.4, 5
 TREES = 200
+#: Complete rows of a panel, and rows of a fold to learn from and to test on, that a model asks for.
+LEAST_ROWS, LEAST_TRAIN_ROWS, LEAST_TEST_ROWS = 250, 100, 20
 
 
 def folds(dates: DataFrame, k: int = 4, horizon: int = 21, embargo: int = EMBARGO) -> DataFrame:
@@ -98,29 +102,108 @@ def prepared(panel: DataFrame, features: list[str]) -> DataFrame:
     return panel.na.drop(subset=[*features, "fwd_return"])
 
 
+def in_folds(panel: DataFrame, table: DataFrame, features: list[str]) -> DataFrame:
+    """(fold, train, ticker, date, label, fwd_return, features): the prepared rows of each fold, once for training or for testing.
+
+    A panel of fewer than LEAST_ROWS complete rows has no folds. Folds of fewer than LEAST_TRAIN_ROWS rows to learn from, fewer
+    than LEAST_TEST_ROWS to test on, or with one class only, are left out. `table` holds the folds of prepared(panel).
+    """
+    rows = written(placed(prepared(panel, features)))
+    train = F.col("at") < F.col("train_end")
+    test = (F.col("at") >= F.col("test_start")) & (F.col("at") < F.col("test_end"))
+    dealt = rows.join(F.broadcast(table), train | test)  # a handful of folds
+    dealt = written(dealt.select("fold", train.alias("train"), "ticker", "date", (F.col("fwd_return") > 0).cast("double").alias("label"), "fwd_return", *features))
+    total = rows.agg(F.count("*").alias("all"))
+    n = dealt.groupBy("fold").agg(F.count_if("train").alias("n"), F.count_if(~F.col("train")).alias("m"), F.sum(F.when(F.col("train"), F.col("label"))).alias("pos")).join(F.broadcast(total))
+    good = n.filter(f"all >= {LEAST_ROWS} AND n >= {LEAST_TRAIN_ROWS} AND m >= {LEAST_TEST_ROWS} AND pos > 0 AND pos < n").select("fold")
+    return dealt.join(F.broadcast(good), "fold", "left_semi")
+
+
+def scaled_in_folds(rows: DataFrame, features: list[str]) -> DataFrame:
+    """rows of in_folds with features in units of their fold's training rows; features that don't vary there stay 0."""
+    stats = rows.filter("train").groupBy("fold").agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
+    z = {f: (F.col(f) - F.col(f"m_{f}")) / F.when(F.col(f"s_{f}") > 0, F.col(f"s_{f}")).otherwise(1.0) for f in features}
+    return rows.join(F.broadcast(stats), "fold").withColumns(z).select(*rows.columns)  # a row a fold
+
+
+def _coefficients(spark, of: dict[int, np.ndarray], n: int) -> DataFrame:
+    names = [f"b_{i}" for i in range(n + 1)]
+    return F.broadcast(spark.createDataFrame([(f, *map(float, b)) for f, b in of.items()], "fold int, " + ", ".join(f"{c} double" for c in names)))
+
+
+def _margin(features: list[str]) -> Column:
+    return sum((F.col(f"b_{i + 1}") * F.col(f) for i, f in enumerate(features)), F.col("b_0"))
+
+
+def newton_logistic(train: DataFrame, features: list[str], ridge: float = 1.0, steps: int = 100) -> dict[int, np.ndarray]:
+    """Intercept and coefficients of each fold's logistic regression with balanced class weights and an L2 penalty on the coefficients.
+
+    Reweighted least squares for all folds at once: each step sums loss, slopes and weighted cross products of all folds in one
+    aggregation. A step that raises a fold's loss is halved.
+    """
+    spark, k = train.sparkSession, len(features)
+    y, x = F.col("label"), [F.lit(1.0), *map(F.col, features)]
+    counts = train.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    weight = F.when(y == 1, F.col("n") / (2 * F.col("pos"))).otherwise(F.col("n") / (2 * (F.col("n") - F.col("pos"))))
+    rows = written(train.join(F.broadcast(counts), "fold").select("fold", "label", weight.alias("weight"), *features))
+    folds = [r["fold"] for r in counts.select("fold").collect()]
+    now = {f: np.zeros(k + 1) for f in folds}
+    held: dict[int, tuple[np.ndarray, float]] = {}
+    last = {f: np.inf for f in folds}
+    penalty = np.diag([0.0] + [ridge] * k)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for _ in range(steps if folds else 0):
+        m = rows.join(_coefficients(spark, now, k), "fold").withColumn("_z", _margin(features)).withColumn("_p", 1 / (1 + F.exp(-F.col("_z"))))
+        loss = F.sum(F.col("weight") * (F.greatest(F.col("_z"), F.lit(0.0)) - y * F.col("_z") + F.log1p(F.exp(-F.abs("_z")))))
+        slope = F.array(*[F.sum(F.col("weight") * (F.col("_p") - y) * v) for v in x])
+        curve = F.array(*[F.sum(F.col("weight") * F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]) for i, j in pairs])
+        for r in m.groupBy("fold").agg(loss.alias("loss"), slope.alias("slope"), curve.alias("curve")).collect():
+            f, b = r["fold"], now[r["fold"]]
+            total = r["loss"] + b @ penalty @ b / 2
+            if f in held and total > held[f][1] + 1e-12 * abs(held[f][1]):
+                now[f], last[f] = (b + held[f][0]) / 2, np.abs(b - held[f][0]).max() / 2
+                continue
+            h = np.zeros((k + 1, k + 1))
+            for (i, j), v in zip(pairs, r["curve"], strict=True):
+                h[i, j] = h[j, i] = v
+            step = np.linalg.solve(h + penalty + 1e-12 * np.eye(k + 1), np.array(r["slope"]) + penalty @ b)
+            held[f], now[f], last[f] = (b, total), b - step, np.abs(step).max()
+        if max(last.values()) < 1e-9:
+            break
+    return now
+
+
+SCORED = ("fold", "ticker", "date", "model", "score", "fwd_return")
+
+
 def out_of_sample(panel: DataFrame, table: DataFrame, features: list[str], model: str) -> DataFrame:
-    """(fold, ticker, date, model, score, fwd_return): a pyspark.ml fit for each fold on training rows before its purge.
+    """(fold, ticker, date, model, score, fwd_return): fits on each fold's training rows before its purge, all folds in one job a step.
 
-    `table` holds the folds of prepared(panel). `logistic` is L2-regularised with balanced class weights; `boosting` is Spark's first-order gradient boosting.
+    `logistic` is L2-regularised with balanced class weights; `boosting` is second-order on histograms (operators/boosting.py).
+    `table` holds the folds of prepared(panel); folds that in_folds leaves out have no rows.
     """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = written(placed(prepared(panel, features))).withColumn("label", (F.col("fwd_return") > 0).cast("double"))
-    out = None
-    for f in sorted(table.collect(), key=lambda r: r.fold):  # a handful of folds
-        train = rows.filter(F.col("at") < f.train_end)
-        stats = train.agg(F.count("*").alias("n"), F.sum("label").alias("pos"), *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-        if not stats.n or not 0 < stats.pos < stats.n:
-            continue
-        z = lambda df, s=stats: VectorAssembler(inputCols=features, outputCol="x").transform(df.select("ticker", "date", "fwd_return", "label", *[((F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0)).alias(c) for c in features]))
-        weight = F.when(F.col("label") == 1, stats.n / (2 * stats.pos)).otherwise(stats.n / (2 * (stats.n - stats.pos)))
-        if model == "logistic":
-            fit = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=1.0 / stats.n, maxIter=1000).fit(z(train).withColumn("w", weight))
-        else:
-            fit = GBTClassifier(featuresCol="x", maxIter=TREES, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=7).fit(z(train))
-        test = fit.transform(z(rows.filter((F.col("at") >= f.test_start) & (F.col("at") < f.test_end))))
-        part = test.select(F.lit(f.fold).alias("fold"), "ticker", "date", F.lit(model).alias("model"), vector_to_array("probability")[1].alias("score"), "fwd_return")
-        out = part if out is None else out.union(part)
-    return out if out is not None else rows.select(F.lit(0).alias("fold"), "ticker", "date", F.lit(model).alias("model"), F.lit(0.0).alias("score"), "fwd_return").limit(0)
+    rows = written(in_folds(panel, table, features))
+    if model == "logistic":
+        scaled = scaled_in_folds(rows, features)
+        fitted = newton_logistic(scaled.filter("train"), features)
+        score = (1 / (1 + F.exp(-_margin(features)))).alias("score")
+        return scaled.filter("NOT train").join(_coefficients(panel.sparkSession, fitted, len(features)), "fold").select("fold", "ticker", "date", F.lit(model).alias("model"), score, "fwd_return")
+    trees, edges = boosted(rows, features)
+    scored = boosting.predict(rows.filter("NOT train"), features, edges, trees, ["fold", "ticker", "date", "fwd_return"])
+    return scored.withColumn("model", F.lit(model)).select(*SCORED)
+
+
+def boosted(rows: DataFrame, features: list[str]) -> tuple[dict, dict]:
+    """(trees, bin edges) of each fold, from the training rows of in_folds."""
+    train = rows.filter("train").withColumn("key", F.xxhash64("ticker", "date"))
+    edges = boosting.bin_edges(train, features, boosting.Settings().bins)
+    return boosting.fit(train, features, edges, boosting.Settings(trees=TREES)), edges
+
+
+def top_importances(panel: DataFrame, table: DataFrame, features: list[str], top: int = 8) -> DataFrame:
+    """(fold, place, feature, importance, splits): the features with the greatest mean gain in each fold's boosted trees."""
+    rows = written(in_folds(panel, table, features))
+    found = boosting.importances(boosted(rows, features)[0], features)  # a row a fold and feature
+    out = panel.sparkSession.createDataFrame(found, "fold int, feature string, importance double, splits long")
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("importance"), "feature"))
+    return out.select("fold", place.alias("place"), "feature", "importance", "splits").filter(F.col("place") <= top)

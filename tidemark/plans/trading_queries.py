@@ -270,17 +270,26 @@ def book_turnover(spark, d):
     return rounded(portfolio.turnover(at(5), at(1)))
 
 
+LOOKBACK, REFIT = 52, 13
+
+
 @query(f"""WITH {WALK}, dy AS (SELECT date, sum(ret) AS s, row_number() OVER (ORDER BY date) - 1 AS t FROM rets GROUP BY date)
-SELECT date, round(s / (SELECT count(DISTINCT ticker) FROM rets) - 0.0003::DOUBLE * CASE WHEN t = 52 THEN 1 ELSE 0 END, 6) + 0.0::DOUBLE AS ret, CASE WHEN t = 52 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS turnover FROM dy WHERE t >= 52""")
+SELECT date, round(s / (SELECT count(DISTINCT ticker) FROM rets), 6) + 0.0::DOUBLE AS ret FROM dy WHERE t >= {LOOKBACK}""")
 def wf_equal_weight(spark, d):
-    return rounded(portfolio.equal_weight(market.returns(spark, d), 52, EVERY))
+    return rounded(portfolio.equal_weight(market.returns(spark, d), LOOKBACK))
 
 
 @query()
 def wf_allocation(spark, d):
-    """Five methods walked forward with their out-of-sample Sharpe ratios."""
-    walk = portfolio.walk_forward(market.returns(spark, d), lookback=52, every=13)
-    return rounded(walk.groupBy("method").agg(F.count("*").alias("n"), moments.sharpe(F.col("ret"), YEAR).alias("sharpe"), F.sum("turnover").alias("turnover")))
+    """Five methods walked forward under the turnover penalty: what they gave out of sample, best first."""
+    return rounded(portfolio.walk_summary(portfolio.walk_forward(market.returns(spark, d), LOOKBACK, REFIT), YEAR))
+
+
+@query()
+def wf_books(spark, d):
+    """The turnover of every refit of the walk, and the share by which its covariances were shrunk."""
+    walk = portfolio.walk_forward(market.returns(spark, d), LOOKBACK, REFIT)
+    return rounded(walk.filter("share IS NOT NULL").select("method", "date", "turnover", "share"), 4)
 
 
 _SHRUNK = """nd AS (SELECT CAST(count(DISTINCT date) AS DOUBLE) AS n, CAST(count(DISTINCT ticker) AS DOUBLE) AS k FROM rets), m AS (SELECT ticker, sum(ret) / (SELECT n FROM nd) AS m FROM rets GROUP BY ticker),
@@ -294,22 +303,22 @@ d AS (SELECT mu, (ss - k * mu * mu) / k AS d2, (qq / n - ss) / (n * k) AS b2 FRO
 @query(f"WITH {WALK}, {_SHRUNK} SELECT a, b, round((1 - share) * s + CASE WHEN a = b THEN share * mu ELSE 0 END, 9) + 0.0::DOUBLE AS cov FROM s, sh")
 def lw_cov(spark, d):
     """Shrunk covariances of all names over all dates."""
-    rows, names = written(portfolio.placed(market.returns(spark, d))), portfolio.universe(market.returns(spark, d))
+    rows = written(portfolio.placed(market.returns(spark, d)))
     n = rows.agg(F.max("t") + 1).first()[0]
-    return rounded(portfolio.window_moments(rows, names, n, n, 1)[1].drop("j"), 9)
+    return rounded(portfolio.window_moments(rows, n, n, 1)[1].drop("j"), 9)
 
 
 @query()
 def alloc_optimised(spark, d):
     """In-sample weights of every method."""
-    return rounded(portfolio.in_sample(market.returns(spark, d)), 4)
+    return rounded(portfolio.in_sample(market.returns(spark, d)).select("method", "ticker", "w"), 4)
 
 
 @query()
 def in_sample_optimism(spark, d):
-    """Sharpe ratio of each method's weights fitted on all dates, less that of its walk forward."""
+    """Sharpe ratio that each method's weights fitted on all dates claim, less that of its walk forward; place 1 is the best walk."""
     r = market.returns(spark, d)
-    walked = portfolio.walk_forward(r, lookback=52, every=13).groupBy("method").agg(moments.sharpe(F.col("ret"), YEAR).alias("walked"))
-    day = r.join(portfolio.in_sample(r), "ticker").groupBy("method", "date").agg(F.sum(F.col("ret") * F.col("w")).alias("x"))
-    both = day.groupBy("method").agg(moments.sharpe(F.col("x"), YEAR).alias("in_sample")).join(walked, "method")
-    return rounded(both.withColumn("optimism", F.col("in_sample") - F.col("walked")))
+    walked = portfolio.walk_summary(portfolio.walk_forward(r, LOOKBACK, REFIT), YEAR).select("method", F.col("sharpe").alias("walked"), "place")
+    mean, risk = F.sum("m") * YEAR, F.sqrt(F.sum("v") * YEAR)
+    fitted = portfolio.in_sample(r).groupBy("method").agg(mean.alias("annual_return"), risk.alias("annual_volatility"), F.when(risk > 0, mean / risk).alias("in_sample"))
+    return rounded(fitted.join(walked, "method").withColumn("optimism", F.col("in_sample") - F.col("walked")))

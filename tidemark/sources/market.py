@@ -57,6 +57,22 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("n_name").alias("ticker"), F.col("o_orderpriority").alias("metric"), F.col("o_totalprice").alias("value"), end.alias("period_end"), filed.alias("filed_date"), F.col("o_orderkey").alias("accession"))
 
 
+#: What orders stand for as reports, by customer.
+REPORTED = ("eps_diluted", "net_income", "revenue", "operating_income", "stockholders_equity", "total_assets", "total_liabilities", "shares_diluted")
+
+
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported quantities of the tickers of bars, with the form of each report: nation n stands for the brand n + 1."""
+    o, c = (table(spark, sf_dir, t) for t in ("orders", "customer"))
+    filed = F.col("o_orderdate").cast("date")
+    quarter = F.date_trunc("quarter", filed).cast("date")
+    end = F.when(F.col("o_orderkey") % 2 == 0, F.date_sub(quarter, 1)).otherwise(F.date_sub(F.add_months(quarter, -3), 1))
+    metric = F.element_at(F.array(*map(F.lit, REPORTED)), (F.col("o_custkey") % 8 + 1).cast("int"))
+    form = F.element_at(F.array(*map(F.lit, ("10-K", "10-Q", "10-Q", "10-Q/A", "8-K"))), (F.floor(F.col("o_custkey") / 8) % 5 + 1).cast("int"))
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select(F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string")).alias("ticker"), metric.alias("metric"), F.col("o_totalprice").alias("value"), end.alias("period_end"), filed.alias("filed_date"), F.col("o_orderkey").alias("accession"), form.alias("form"))
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly series of each region with the day from which each value was published."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
