@@ -3,6 +3,7 @@
 import functools
 import glob
 import os
+from statistics import NormalDist
 
 import duckdb
 import numpy as np
@@ -120,18 +121,49 @@ def test_factor_risk_matches_least_squares(spark, sf_dir, net):
             assert got[name, f].share == pytest.approx(beta[i] * np.cov(x[:, i], y, ddof=0)[0, 1] / y.var(), rel=2e-3, abs=2e-3)
 
 
+def _joint_slopes(rows, names):
+    """{factor: slopes by date} of regressions on the factors that vary on each date."""
+    dates, slopes = {}, {f: [] for f in names}
+    for r in rows:
+        dates.setdefault(r.date, []).append([r.fwd_return, *[r[f] for f in names]])
+    for date in sorted(dates):
+        a = np.array(dates[date])
+        if len(a) >= len(names) + 3:
+            keep = [i for i in range(len(names)) if a[:, i + 1].min() < a[:, i + 1].max()]
+            x = a[:, [i + 1 for i in keep]]
+            z = (x - x.mean(axis=0)) / x.std(axis=0)
+            for i, b in zip(keep, np.linalg.lstsq(np.column_stack([np.ones(len(z)), z]), a[:, 0], rcond=None)[0][1:]):
+                slopes[names[i]].append(b)
+    return slopes
+
+
 def test_joint_regressions_match_least_squares(spark, sf_dir):
     names = ["momentum_12_1", "volatility_20d", "mean_reversion", "liquidity"]
-    dates, slopes = {}, []
-    for r in factors.price_factors(market.bars_walk(spark, sf_dir), factors.WEEKLY).na.drop(subset=["fwd_return", *names]).collect():
-        dates.setdefault(r.date, []).append([r.fwd_return, *[r[f] for f in names]])
-    for rows in dates.values():
-        a = np.array(rows)
-        if len(a) >= 7 and (a[:, 1:].std(axis=0) > 0).all():
-            z = (a[:, 1:] - a[:, 1:].mean(axis=0)) / a[:, 1:].std(axis=0)
-            slopes.append(np.linalg.lstsq(np.column_stack([np.ones(len(z)), z]), a[:, 0], rcond=None)[0][1:])
+    rows = factors.price_factors(market.bars_walk(spark, sf_dir), factors.WEEKLY).na.drop(subset=["fwd_return", *names]).collect()
+    want = _joint_slopes(rows, names)
     got = {r.factor: (r.periods, r.premium) for r in of(spark, sf_dir, "fama_macbeth_multi")}
-    assert got == {f: (len(slopes), pytest.approx(np.mean(slopes, axis=0)[i], abs=2e-6)) for i, f in enumerate(names)}
+    assert got == {f: (len(want[f]), pytest.approx(np.mean(want[f]), abs=2e-6)) for f in names}
+
+
+def test_panel_premiums_and_their_tests(spark):
+    """All admitted factors of the whole panel, jointly; macro series, equal for all names, get no slope."""
+    d = "/root/testdata/sf0.01"
+    got = {r.factor: r for r in of(spark, d, "fama_macbeth_panel")}
+    rows = QUERIES["whole_panel"](spark, d)
+    names = sorted(got)
+    want = _joint_slopes(panel_queries._whole(spark, d).na.drop(subset=["fwd_return", *names]).collect(), names)
+    assert set(rows.columns) >= set(names) and {"earnings_yield", "sentiment_score", "vix_percentile"} <= set(names)
+    for f in names:
+        r, b = got[f], np.array(want[f])
+        assert (r.mode, r.names, r.periods) == ("multivariate", 25, len(b)) and r.cross_sections == max(map(len, want.values()))
+        if len(b) < 8:
+            assert r.status == "insufficient_periods" and r.t_hac is None
+            continue
+        e, n = b - b.mean(), len(b)
+        v = e @ e / n + sum(2 * (1 - k / 4) * (e[k:] @ e[:-k]) / n for k in range(1, 4))
+        t = b.mean() / np.sqrt((v if v > 0 else e @ e / n) / n)
+        assert (r.premium, r.t_hac, r.t_naive) == pytest.approx((b.mean(), t, b.mean() / (b.std(ddof=1) / np.sqrt(n))), rel=1e-3, abs=2e-6)
+        assert r.significant == (2 * (1 - NormalDist().cdf(abs(t))) < 0.05)
 
 
 def test_logistic_scores_match_a_direct_fit(spark, sf_dir):
@@ -190,7 +222,7 @@ def test_allocations_are_weights(spark, sf_dir):
 
 
 #: Held against plain loops above and in test_properties.
-ELSEWHERE = {"alloc_optimised", "bootstrap_sharpe", "factor_risk", "fama_macbeth_multi", "in_sample_optimism", "model_importances", "numeric_grounding", "oos_gbt", "oos_logistic", "retrieval_eval_all", "strategy_significance", "synthetic_universe", "wf_allocation", "wf_books", "research_findings"}
+ELSEWHERE = {"alloc_optimised", "bootstrap_sharpe", "factor_risk", "fama_macbeth_multi", "fama_macbeth_panel", "in_sample_optimism", "model_importances", "numeric_grounding", "oos_gbt", "oos_logistic", "retrieval_eval_all", "strategy_significance", "synthetic_universe", "wf_allocation", "wf_books", "research_findings"}
 
 
 def test_every_query_has_sql_or_a_test():

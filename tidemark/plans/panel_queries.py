@@ -265,6 +265,41 @@ def composite_score(spark, d):
     return rounded(fx.composite_score(_panel(spark, d, fx.WEEKLY)).select("ticker", "date", "score"))
 
 
+def _whole(spark, d):
+    days = market.news_of_names(spark, d).groupBy("ticker", "date").agg(F.avg("score").alias("s"))
+    t = F.datediff("date", F.min("date").over(Window.partitionBy("ticker")))
+    moods = days.withColumn("t", t).select("ticker", F.col("date").alias("known"), decayed_mean(F.col("s"), F.col("t"), ordered(), 5.0).alias("sentiment_score"))
+    seen = market.macro(spark, d).withColumn("p", rolling_rank(F.col("value"), 52, ordered("series", "obs_date"), 10))
+    of = lambda name, c: F.max(F.when(F.col("series") == name, F.col(c)))
+    beside = seen.groupBy(F.col("avail_date").alias("known")).agg(of("AFRICA", "p").alias("a"), of("AMERICA", "value").alias("b"), of("ASIA", "value").alias("c"), of("EUROPE", "value").alias("d"))
+    w = Window.orderBy("known")  # the calendar of a few series: a row a date; logarithms stand for rates
+    filled = [ffill(F.col(x), w) for x in "abcd"]
+    state = beside.select("known", filled[0].alias("vix_percentile"), F.ln(filled[1] / filled[2]).alias("term_spread"), F.ln(filled[3]).alias("credit_spread"))
+    return fx.full_panel(market.bars_walk(spark, d), market.filings(spark, d), moods, state, fx.WEEKLY)
+
+
+@query(f"WITH {ctes.WHOLE} SELECT ticker, date, {r6('close, ret_1d, ' + ', '.join(ctes.ALL_FACTORS) + ', fwd_return', 4)} FROM whole")
+def whole_panel(spark, d):
+    """All factors of each name and date: prices, what was filed, told and published by then."""
+    return rounded(_whole(spark, d), 4)
+
+
+@query(f"WITH {ctes.WHOLE}, {ctes.WHOLE_SCORE} SELECT ticker, date, {r6('score')} FROM score")
+def whole_composite(spark, d):
+    """The composite of all nine weighed factors."""
+    return rounded(fx.composite_score(_whole(spark, d)).select("ticker", "date", "score"))
+
+
+@query(
+    f"WITH {ctes.WHOLE}, cov AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS factor, count({f}) / count(*) AS coverage, (SELECT max(k) FROM (SELECT count(DISTINCT {f}) AS k FROM whole GROUP BY ticker)) AS varied FROM whole" for f in ctes.ALL_FACTORS)
+    + ") SELECT factor, round(coverage, 6) + 0.0::DOUBLE AS coverage, coverage >= 0.3 AND varied > 1 AS admitted FROM cov"
+)
+def whole_coverage(spark, d):
+    """Which of all factors may be used."""
+    return rounded(fx.coverage(_whole(spark, d), fx.ALL_FACTORS).drop("varied"))
+
+
 @query(f"WITH {DAILY}, {ctes.IC} SELECT factor, date, {r6('ic')} FROM ics")
 def factor_ic(spark, d):
     return rounded(fx.information_coefficients(fx.unpivoted(_panel(spark, d))))
@@ -286,6 +321,27 @@ def fama_macbeth_uni(spark, d):
     return rounded(b.groupBy("factor").agg(F.count("*").alias("periods"), F.avg("beta").alias("premium"), F.round(t, 4).alias("t_naive")))
 
 
+_SLOPES = f"""{WEEKLY}, {ctes.LONG}, b AS (SELECT factor AS series, date, covar_pop(x, fwd_return) / nullif(stddev_pop(x), 0) AS r FROM long WHERE x IS NOT NULL AND fwd_return IS NOT NULL GROUP BY factor, date HAVING count(*) >= 4 AND min(x) < max(x)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM b), {ctes.hac("numbered", 3)}"""
+
+
+@query(f"""WITH {_SLOPES} SELECT series AS factor, n AS periods, {r6("mean")}, CASE WHEN n >= 8 THEN round(t_hac, 4) + 0.0::DOUBLE END AS t_hac, CASE WHEN n >= 8 THEN round(t_naive, 4) + 0.0::DOUBLE END AS t_naive,
+       CASE WHEN n >= 8 THEN round(2 * (1 - {ctes.phi("za")}), 4) + 0.0::DOUBLE END AS p_hac, 2 * (1 - {ctes.phi("za")}) < 0.05 AS significant FROM tested WHERE n >= 8""")
+def fama_macbeth_hac(spark, d):
+    """Is each factor priced by itself? Tests of its slopes that allow for the overlap of the later returns."""
+    b = fx.fama_macbeth_univariate(fx.unpivoted(_panel(spark, d, fx.WEEKLY)))
+    t = fx.priced(b, fx.WEEKLY.horizon - 1).filter("status = 'ok'")
+    return rounded(t.select("factor", "periods", F.round("premium", 6).alias("mean"), F.round("t_hac", 4).alias("t_hac"), F.round("t_naive", 4).alias("t_naive"), F.round("p_hac", 4).alias("p_hac"), "significant"))
+
+
+@query()
+def fama_macbeth_panel(spark, d):
+    """Premiums of all factors that the whole panel covers, jointly if its names identify them, with robust tests."""
+    p = written(_whole(spark, d))
+    admitted = tuple(sorted(r.factor for r in fx.coverage(p, fx.ALL_FACTORS).filter("admitted").collect()))  # a row a factor
+    return rounded(fx.fama_macbeth(p, admitted, fx.WEEKLY.horizon - 1))
+
+
 @query()
 def fama_macbeth_multi(spark, d):
     """Joint regressions on four factors, date by date."""

@@ -88,6 +88,13 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 20).cast("string").alias("ticker"), F.col("event_id"), F.col("ts").alias("published_at"), (F.col("value") / 100 - 1).alias("score"), F.col("event_type").alias("title"))
 
 
+def news_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News of the tickers of bars: an hour of the events' month stands for three and a half days of the bars' years."""
+    e = table(spark, sf_dir, "events")
+    days = F.floor(F.expr("timestampdiff(SECOND, timestamp'2024-01-01', ts)") * 7 / 7200).cast("int")
+    return e.select(F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("ticker"), F.date_add(F.lit("1995-01-02").cast("date"), days).alias("date"), (F.col("value") / 100 - 1).alias("score"))
+
+
 def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.when(k < 5, "failed").when(k < 15, "degraded").otherwise("ok")
