@@ -222,7 +222,7 @@ def test_allocations_are_weights(spark, sf_dir):
 
 
 #: Held against plain loops above and in test_properties.
-ELSEWHERE = {"alloc_optimised", "bootstrap_sharpe", "factor_risk", "fama_macbeth_multi", "fama_macbeth_panel", "in_sample_optimism", "model_importances", "numeric_grounding", "oos_gbt", "oos_logistic", "retrieval_eval_all", "strategy_significance", "synthetic_universe", "wf_allocation", "wf_books", "research_findings"}
+ELSEWHERE = {"alloc_optimised", "bootstrap_sharpe", "factor_risk", "fama_macbeth_multi", "fama_macbeth_panel", "in_sample_optimism", "model_importances", "numeric_grounding", "oos_gbt", "oos_logistic", "oos_sequences", "retrieval_eval_all", "strategy_significance", "synthetic_universe", "wf_allocation", "wf_books", "research_findings"}
 
 
 def test_every_query_has_sql_or_a_test():

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import average_rank
-from tidemark.operators import boosting
+from tidemark.operators import boosting, sequence_models
 from tidemark.storage import written
 
 LEAST_DATES, LEAST_TRAIN, TRAIN_SHARE, EMBARGO = 60, 20, 0.4, 5
@@ -207,3 +207,17 @@ def top_importances(panel: DataFrame, table: DataFrame, features: list[str], top
     out = panel.sparkSession.createDataFrame(found, "fold int, feature string, importance double, splits long")
     place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("importance"), "feature"))
     return out.select("fold", place.alias("place"), "feature", "importance", "splits").filter(F.col("place") <= top)
+
+
+def sequence_training(panel: DataFrame, table: DataFrame, features: list[str], kinds: tuple[str, ...] = sequence_models.KINDS, settings: sequence_models.Settings | None = None) -> tuple[DataFrame, list[dict]]:
+    """(out-of-sample scores as of out_of_sample, history of losses) of the sequence networks; see operators/sequence_models.py.
+
+    A panel of fewer than LEAST_ROWS complete rows, and folds with too few sequences, have no rows.
+    """
+    whole = prepared(panel, features)
+    rows = written(placed(whole))
+    history = sequences(whole, features, sequence_models.LENGTH)
+    enough = rows.filter("false") if rows.limit(LEAST_ROWS).count() < LEAST_ROWS else rows
+    samples = written(sequence_models.standardised(sequence_models.samples_in_folds(enough, table, history), len(features)))
+    params, losses = sequence_models.fit(samples, len(features), kinds, settings or sequence_models.Settings())
+    return sequence_models.scores(samples.filter("NOT train"), params), losses

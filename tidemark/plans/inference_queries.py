@@ -192,6 +192,13 @@ def oos_gbt(spark, d):
     return rounded(ml.out_of_sample(p, ml.folds(ml.prepared(p, features), horizon=4), features, "boosting"))
 
 
+@query()
+def oos_sequences(spark, d):
+    """The same of a recurrent and an attention network over the last twenty rows of each name."""
+    p, features = written(_panel(spark, d)), list(fx.PRICE_FACTORS)
+    return rounded(ml.sequence_training(p, ml.folds(ml.prepared(p, features), horizon=4), features)[0])
+
+
 @query()
 def model_importances(spark, d):
     """The eight features with the greatest mean gain in each fold's boosted trees."""
