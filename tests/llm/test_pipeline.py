@@ -57,6 +57,22 @@ def test_odd_rows(spark, odd_docs, no_docs, sf_dir):
     assert docs.count() == 0
 
 
+def test_odd_rows_in_each_stage_alone(spark, odd_docs, sf_dir):
+    """The first stage rejects all odd rows, so the others get them here by themselves."""
+    before = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    left = {name: [(r.doc_id, r.text) for r in stage(spark, odd_docs, sf_dir).select("doc_id", "text").collect()] for name, stage in pipeline.STAGES[:-1]}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert left["quality_rules"] == []
+    # 6 and its repetition equal 5; the empty ones stand for themselves.
+    assert sorted(left["near_duplicates"], key=key) == sorted((r for r in before if r[0] != 6), key=key)
+    assert sorted(left["decontamination"], key=key) == sorted(before, key=key)
+    marked = {d: t for d, t in left["personal_data"] if d in (5, 6)}
+    assert len(left["personal_data"]) == len(before) and all("[EMAIL]" in t and "[PHONE]" in t and "[IP]" in t for t in marked.values())
+    assert [r for r in sorted(left["personal_data"], key=key) if r[0] not in (5, 6)] == [r for r in sorted(before, key=key) if r[0] not in (5, 6)]
+    pieces = pipeline.STAGES[-1][1](spark, odd_docs, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == {d for d, _ in before} and sum(r.piece == 0 for r in pieces) == len(before)
+
+
 def test_rows_that_repeat_an_id_with_other_texts_stay(spark, sf_dir):
     word = lambda k: " ".join(f"{k}{j}" for j in range(60))
     rows = [(5, word("a")), (5, word("b")), (5, word("b")), (6, word("b") + " more"), (None, word("c")), (None, word("c"))]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_of, written
+from tidemark.llm.shared import _BLOCK, let, scan, text_of, written
 
 #: Listed order is the order of spans with one start. The first four are found for certain by their patterns.
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "name")
@@ -93,17 +93,15 @@ def _features(x: Column, before: Column, after: Column) -> list[Column]:
 def _spans_of(kind: str, text: str, found: str, gaps: str) -> Column:
     """The kind's spans: `found` holds the matches and `gaps` what lies between; a running sum of lengths places them."""
     k = KINDS.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(a: Column, i: Column) -> Column:
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
         x, gap, after = F.get(found, i), F.get(gaps, i), F.substring(F.get(gaps, i + 1), F.lit(1), F.lit(1))
-        s = a["at"] + F.length(gap)
+        s = at + F.length(gap)
         before = F.right(gap, F.lit(32))
         span = F.struct(s.alias("start"), F.lit(k).alias("k"), (s + F.length(x)).alias("end"), F.array(*_votes(kind, x, before)).alias("votes"), F.array(*_features(x, before, after)).alias("x"))
-        return F.struct((s + F.length(x)).alias("at"), F.when(_valid(kind, x), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        return s + F.length(x), F.when(_valid(kind, x), F.array(span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    empty = F.array().cast(f"array<{_SPAN}>")
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])).otherwise(empty)
+    return scan(F.size(found), F.lit(0), _SPAN, step)
 
 
 def candidates(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
@@ -117,19 +115,29 @@ def candidates(docs: DataFrame, keep: list[Column], text: str = "text") -> DataF
     for kind, pattern in _PATTERNS.items():
         out = out.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split("_t", pattern, -1)).otherwise(F.array().cast("array<string>")))
     every = F.concat(*[_spans_of(k, "_t", f"_m_{k}", f"_g_{k}") for k in KINDS])
-    base = lambda spans: F.filter(spans, lambda s: s["k"] < BASE)
-    meets = lambda s, held: F.exists(held, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     def apart(spans: Column) -> Column:
-        """Without added spans that touch a base span, which are no findings of their own."""
-        return _let(base(spans), lambda held: F.sort_array(F.filter(spans, lambda s: (s["k"] < BASE) | ~meets(s, held))))
+        """Without added spans that touch a base span, which are no findings of their own. In the order of starts, a base span before
+        meets those that start before its end, and one after those that end beyond its start.
+        """
 
-    return out.withColumn("_spans", _let(every, apart)).drop(*[f"_{a}_{k}" for a in "mg" for k in KINDS])
+        def forward(reach: Column, i: Column) -> tuple[Column, Column]:
+            s = F.get(spans, i)
+            own = s["k"] < BASE
+            return F.when(own, F.greatest(reach, s["end"])).otherwise(reach), F.when(own | (s["start"] >= reach), F.array(s)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
+        def backward(held: Column) -> Column:
+            def step(ahead: Column, i: Column) -> tuple[Column, Column]:
+                s = F.get(held, F.size(held) - 1 - i)
+                own = s["k"] < BASE
+                return F.when(own, s["start"]).otherwise(ahead), F.when(own | (s["end"] <= ahead), F.array(s)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-def _let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x), with x computed once: as an element of an array it isn't copied into each of its uses."""
-    return F.transform(F.array(x), use)[0]
+            return F.reverse(scan(F.size(held), F.lit(2**31 - 1), _SPAN, step))
+
+        return let(scan(F.size(spans), F.lit(0), _SPAN, forward), backward)
+
+    every = F.sort_array(every)
+    return out.withColumn("_spans", let(every, apart)).drop(*[f"_{a}_{k}" for a in "mg" for k in KINDS])
 
 
 @dataclass(frozen=True)
@@ -222,12 +230,37 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with [KIND] in place of each span; spans that overlap an earlier one extend what it takes out."""
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with [KIND] in place of each span; spans that overlap an earlier one extend what it takes out.
 
-    def step(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(marks, s["k"] + 1))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    What stands between the taken parts is cut from pieces of the text that _BLOCK of them share: finding a place in a text means
+    counting from its start.
+    """
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    part = "start int, k int, end int".replace(" int", ":int")
+
+    def merged(last: Column, i: Column) -> tuple[Column, Column]:
+        """Parts to take out: when one begins, that before it is done."""
+        s = F.get(spans, i)
+        joins = (s["start"] < last["end"]) & (last["k"] >= 0)
+        new = F.struct(F.when(joins, last["start"]).otherwise(s["start"]).alias("start"), F.when(joins, last["k"]).otherwise(s["k"]).alias("k"), F.when(joins, F.greatest(last["end"], s["end"])).otherwise(s["end"]).alias("end"))
+        done = F.when(~joins & (last["k"] >= 0), F.array(last)).otherwise(F.array().cast(f"array<struct<{part}>>"))
+        return new, F.when(i == F.size(spans) - 1, F.concat(done, F.array(new))).otherwise(done)
+
+    none = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("k"), F.lit(0).alias("end"))
+    out = scan(F.size(spans), none, f"struct<{part}>", merged)
+
+    def cut(parts: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(parts, i)["end"], F.lit(0))
+        n = F.size(parts)
+
+        def block(b: Column) -> Column:
+            last = F.least(b + _BLOCK, n) - 1
+            first = end(b - 1)
+            piece = F.substring(text, first + 1, F.get(parts, last)["start"] - first)
+            inside = lambda t: F.transform(F.sequence(b, last), lambda i: F.concat(F.substring(t, end(i - 1) - first + 1, F.get(parts, i)["start"] - end(i - 1)), F.element_at(marks, F.get(parts, i)["k"] + 1)))
+            return let(piece, lambda t: F.array_join(inside(t), ""))
+
+        blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(_BLOCK)), block)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, end(n - 1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(out, cut)).otherwise(text)

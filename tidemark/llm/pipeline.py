@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines above the limits of their host."""
+    """Documents that the rules keep, without the lines above the limits of their host.
+
+    Null and empty texts have under fifty words and go. Repeated rows share a verdict. Long texts are read whole. No rows give none.
+    """
     found = line_rules.line_rules(docs).filter("NOT kept OR size(removed) > 0")
     found = written(found.select("_d", "_h", "_host", F.col("kept").alias("_kept"), F.col("removed").alias("_removed")).dropDuplicates(["_d", "_h", "_host"]))
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host")
@@ -28,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with its least id. Rows of it stay unless they repeat id and text; rows with a
-    null id all stay.
+    null id all stay. Null and empty texts are linked with nothing and stay, as do ties: of equal texts the least id remains.
     """
     dropped = written(minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
     kept = docs.select(*COLUMNS).join(small(dropped), "doc_id", "left_anti").select(*COLUMNS)
@@ -42,20 +45,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts hold none; repeated rows share a verdict; long texts are
+    read whole. No documents give none, and without items all stay.
+    """
     hit = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("_d", "_h").distinct()
     return docs.select(*COLUMNS, *doc_key(docs, text_of("text"))).join(small(written(hit)), ["_d", "_h"], "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each span of personal data."""
+    """All documents, with a mark in place of each span of personal data; spans that overlap get one. Null texts stay null, empty ones
+    empty; repeated rows stay; the work grows with a text's length and spans, not with their product.
+    """
     found = pii.find_pii(docs, [F.col(c) for c in COLUMNS])
     new = F.when(F.size("spans") > 0, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     return found.withColumn("text", new).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens. Null and empty texts are one token; repeated rows are packed each;
+    only documents of more tokens are cut. No rows give none.
+    """
     return packing.best_fit_packing(docs)
 
 

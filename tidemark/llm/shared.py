@@ -45,3 +45,33 @@ def words_between(text: Column, separators: str, strip: str | None = None) -> Co
 def space_words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text."""
     return words_between(text, SPACE, _SPACES)
+
+
+#: Steps of a scan whose results are gathered before they join the others.
+_BLOCK = 256
+
+
+def let(x: Column, use) -> Column:
+    """use(x), with x computed once: as an element of an array it isn't copied into each of its uses."""
+    return F.transform(F.array(x), use)[0]
+
+
+def scan(n: Column, state: Column, kind: str, step) -> Column:
+    """The results of step(state, i) -> (new state, array of results) for i from 0 to n - 1, as one array<kind>.
+
+    Appending to an array copies it, so results gather in blocks: n steps copy about n * (_BLOCK / 2 + n / _BLOCK ** 2 / 2)
+    references, next to nothing against the work of a step for any text that fits in a row.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(a: Column, i: Column) -> Column:
+        new, out = step(a["state"], i)
+        return F.struct(new.alias("state"), F.concat(a["out"], out).alias("out"))
+
+    def block(a: Column, b: Column) -> Column:
+        own = F.sequence(b, F.least(b + _BLOCK, n) - 1)
+        inner = F.aggregate(own, F.struct(a["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(_BLOCK)), start, block, lambda a: F.flatten(a["out"]))).otherwise(none)
