@@ -200,7 +200,8 @@ def without(text: Column, spans: Column) -> Column:
     """The text without what its spans drop."""
     later = F.sort_array(F.flatten(F.transform(spans, lambda s: s["dropped"])))
     data = text.cast("binary")
-    start = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))
-    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(data, a["at"] + 1, s["start"] - a["at"])).alias("out"))
-    kept = F.aggregate(later, start, step, lambda a: F.concat(a["out"], F.substring(data, a["at"] + 1, F.octet_length(data))))
-    return F.when(F.size(later) == 0, text).otherwise(F.decode(kept, "UTF-8"))
+    # Bytes between the dropped parts, which may cut characters, join as hex.
+    end = lambda i: F.coalesce(F.get(later, i)["end"], F.lit(0))
+    upto = lambda i: F.coalesce(F.get(later, i)["start"], F.octet_length(data))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(later)), lambda i: F.hex(F.substring(data, end(i - 1) + 1, upto(i) - end(i - 1))))
+    return F.when(F.size(later) == 0, text).otherwise(F.decode(F.unhex(F.array_join(pieces, "")), "UTF-8"))
