@@ -165,6 +165,11 @@ class Arrays:
             self.bytes -= self.maps.popitem(last=False)[1][1]
         return array
 
+    def times(self, shard: int) -> np.ndarray:
+        """Counts of a shard's pairs, as wide as their bytes say."""
+        raw, n = self.get("times", shard, "<u1"), len(self.get("pair", shard, "<u8"))
+        return raw.view(f"<u{len(raw) // n}") if n else raw
+
     def _sharded(self, keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         """Of sorted keys, the slice of each shard by their top bits."""
         edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
@@ -195,7 +200,7 @@ class Arrays:
             have = self.get("pair", int(shard[a]), "<u8")
             if len(have):
                 place = np.minimum(np.searchsorted(have, key[a:b]), len(have) - 1)
-                out[a:b] = np.where(have[place] == key[a:b], self.get("times", int(shard[a]), "<u4")[place], 0)
+                out[a:b] = np.where(have[place] == key[a:b], self.times(int(shard[a]))[place], 0)
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -302,8 +307,8 @@ def _column(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).to_numpy(zero_copy_only=False)
 
 
-def _store(uri: str, keys: str, counts: str, kind: str):
-    """Writes the shards of a partition, whose rows come shard by shard; each is sorted by its keys. One is held at a time."""
+def _store(uri: str, keys: str, counts: str, kind: str = ""):
+    """Counts without a kind take four bytes each, eight in shards that hold one of over 32 bits (see Arrays.times). Writes the shards of a partition, whose rows come shard by shard; each is sorted by its keys. One is held at a time."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -311,6 +316,7 @@ def _store(uri: str, keys: str, counts: str, kind: str):
         def put() -> Iterator[pa.RecordBatch]:
             k, n = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(k)
+            n = n.astype(kind or ("<u4" if n.max() < 1 << 32 else "<u8"))
             yield from _put(uri, {keys: k[order], counts: n[order]}, shard).to_batches()
 
         for b in batches:
@@ -321,7 +327,7 @@ def _store(uri: str, keys: str, counts: str, kind: str):
                     yield from put()
                     held = []
                 shard = int(s[x])
-                held.append((k[x:y].view(np.uint64).copy(), n[x:y].astype(kind)))
+                held.append((k[x:y].view(np.uint64).copy(), n[x:y].copy()))
         if held:
             yield from put()
 
@@ -341,7 +347,7 @@ def _contexts(stored: Stored):
         arrays = Arrays(stored)
         for batch in batches:
             for i in batch.column("id").to_pylist():
-                key, times = np.asarray(arrays.get("pair", i, "<u8")), np.asarray(arrays.get("times", i, "<u4")).astype(np.int64)
+                key, times = np.asarray(arrays.get("pair", i, "<u8")), np.asarray(arrays.times(i)).astype(np.int64)
                 for side, ids in enumerate(stored.pairs.joined(i, key) if len(key) else ()):
                     order = np.argsort(ids, kind="stable")
                     ids, t = ids[order], times[order]
@@ -383,7 +389,7 @@ def train(docs: DataFrame, text: str = "text", number_bits: int = 32) -> Stored:
     stored = replace(stored, pairs=pairs, n_tokens=n_tokens, n_words=n_words)
 
     # Shards by the hash of the pair, so that a word that is in a third of all pairs doesn't fill one.
-    written(_counted(texts, _pairs_of(stored), pairs.shard_bits).mapInArrow(_store(uri, "pair", "times", "<u4"), _FILES))
+    written(_counted(texts, _pairs_of(stored), pairs.shard_bits).mapInArrow(_store(uri, "pair", "times"), _FILES))
     shards = spark.range(0, 1 << pairs.shard_bits, 1, min(PARTITIONS, 1 << pairs.shard_bits))
     part = shards.mapInArrow(_contexts(stored), "side int, id long, total long, pairs long, n1 long, n2 long, t3 long, t4 long")
     by_id = written(part.groupBy("side", "id").agg(*[F.sum(c).alias(c) for c in ("total", "pairs", "n1", "n2", "t3", "t4")]))
