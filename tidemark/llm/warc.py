@@ -108,8 +108,9 @@ def _writer(folder: str, dictionary: bytes, kind: int, most: int):
         def closed() -> pa.RecordBatch:
             nonlocal f, number, n
             f.close()
-            path = f"{top}/part-{context.partitionId():06d}-{number:04d}.warc.zst"
-            fs.move(f"{top}/_{context.taskAttemptId()}", path)  # an attempt's file shows only when it is whole; a repeated one replaces it
+            # A file shows only when it is whole. Each attempt has names of its own, as rows may come in another order then.
+            path = f"{top}/part-{context.partitionId():06d}-{number:04d}-{context.taskAttemptId()}.warc.zst"
+            fs.move(f"{top}/_{context.taskAttemptId()}", path)
             done = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
             f, number, n = None, number + 1, 0
             return done
