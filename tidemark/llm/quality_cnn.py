@@ -163,16 +163,17 @@ def sample(docs: DataFrame, labels: DataFrame, training: Column, text: str, labe
     """
     some = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("_t"), F.col("_y")]
-    found = docs.select("doc_id", text_of(text).cast("binary").alias("_t")).join(F.broadcast(some), "doc_id")  # at most `rows` narrow rows
-    listed = found.orderBy(*order).select("doc_id", F.xxhash64("_t").alias("_h"), F.octet_length("_t").alias("_n")).limit(rows).collect()
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.select("doc_id", text_of(text).cast("binary").alias("_t")).join(F.broadcast(some), "doc_id").withColumn("_h", F.xxhash64("_t"))  # at most `rows` narrow rows
+    # Rows that repeat id, text and label count once, however many they are.
+    listed = found.select("doc_id", "_h", "_y", F.octet_length("_t").alias("_n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h", "_y").limit(rows).collect()
     size = np.cumsum([r._n for r in listed])
     taken = {(r.doc_id, r._h) for r in listed[: max(1, int(np.searchsorted(size, total, side="right")))]}
     if not taken:
         return []
-    ids = sorted({d for d, _ in taken})
-    got = found.filter(F.col("doc_id").isin(ids)).withColumn("_h", F.xxhash64("_t")).collect()
-    return sorted((r.doc_id, r._y, bytes(r._t)) for r in got if (r.doc_id, r._h) in taken)
+    wanted = docs.sparkSession.createDataFrame(sorted(taken), f"doc_id {kind}, _h long")
+    got = found.join(F.broadcast(wanted), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h", "_y"]).select("doc_id", "_y", "_t").collect()
+    return sorted((r.doc_id, r._y, bytes(r._t)) for r in got)
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, total: int = TRAIN_TOTAL) -> Network:
