@@ -169,7 +169,7 @@ def test_drift_sees_a_shift(spark):
     rows = [("a", float(v), True) for v in rng.normal(0, 1, 2000)] + [("a", float(v), False) for v in rng.normal(1, 1, 500)]
     rows += [("b", float(v), i < 2000) for i, v in enumerate(rng.normal(0, 1, 2500))]
     got = {r.factor: r.level for r in reporting.psi(spark.createDataFrame(rows, "factor string, x double, ref boolean"), F.col("ref")).collect()}
-    assert got == {"a": "major", "b": "stable"}
+    assert got == {"a": "material", "b": "stable"}
 
 
 def test_retrieval_and_grounding(spark):

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import average_rank
-from tidemark.operators import boosting, sequence_models
+from tidemark.functions.ranges import counted, mid_rank
+from tidemark.operators import boosting, factors, sequence_models
+from tidemark.operators.inference import newey_west
 from tidemark.storage import written
 
 LEAST_DATES, LEAST_TRAIN, TRAIN_SHARE, EMBARGO = 60, 20, 0.4, 5
@@ -49,10 +50,14 @@ def scaled_by_training(panel: DataFrame, table: DataFrame, features: list[str])
 
 
 def auc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by, auc): the share of positive-negative pairs that the score orders rightly, from rank sums; ties count half."""
-    r = scored.select(*by, F.col("label").cast("long").alias("y"), average_rank(F.col("score"), by).alias("r"))
-    pos, neg = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
-    return r.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), (F.sum(F.when(F.col("y") == 1, F.col("r"))) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+    """(by, auc): the share of positive-negative pairs that the score orders rightly, from rank sums; ties count half.
+
+    Ranks belong to distinct scores, which are counted and sorted over range partitions: a fold may hold all rows.
+    """
+    r = counted(scored, by, "score", {"pos": F.sum(F.col("label").cast("long"))})
+    pos, n = F.sum("pos").cast("double"), F.sum("n").cast("double")
+    ranks = F.sum(F.col("pos") * mid_rank())
+    return r.groupBy(*by).agg(F.when((pos > 0) & (pos < n), (ranks - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("auc"))
 
 
 def spread(scored: DataFrame, by: list[str], top: float = 0.67, bottom: float = 0.33) -> DataFrame:
@@ -72,6 +77,20 @@ def evaluation(scored: DataFrame, by: list[str]) -> DataFrame:
     return m.join(auc(scored, by), by)
 
 
+def signal_tests(scored: DataFrame, by: list[str], lags: int) -> DataFrame:
+    """(by, ic, ic_dates, signal, periods, t_hac, p_hac, t_naive, inflation): the mean over dates of the rank correlation of score and later
+    return (four names at least), and of the spread between top and bottom names, tested with allowance for the returns' overlap.
+    """
+    long = scored.select(F.concat_ws("|", *by).alias("factor"), "date", F.col("score").alias("x"), "fwd_return")
+    ic = factors.information_coefficients(long).groupBy("factor").agg(F.avg("ic").alias("ic"), F.count("*").alias("ic_dates"))
+    legs = spread(scored, by).select(F.concat_ws("|", *by).alias("factor"), "date", F.col("spread").alias("r"))
+    t = newey_west(legs, lags, by="factor").withColumnRenamed("n", "periods")
+    mean = legs.groupBy("factor").agg(F.avg("r").alias("signal"))
+    keys = scored.select(*by, F.concat_ws("|", *by).alias("factor")).distinct()
+    out = keys.join(ic, "factor", "left").join(mean, "factor", "left").join(t, "factor", "left")
+    return out.select(*by, "ic", F.coalesce("ic_dates", F.lit(0)).alias("ic_dates"), "signal", F.coalesce("periods", F.lit(0)).alias("periods"), "t_hac", "p_hac", "t_naive", "inflation")
+
+
 def model_summary(per_fold: DataFrame, baseline: str = "logistic") -> DataFrame:
     """(model, folds, accuracy, accuracy_dev, auc, ic, lift, beats_linear, verdict, place) with population deviations.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.storage import written
+from tidemark.functions.ranges import counted, quantiles
+from tidemark.storage import small, written
 
 PSI_LEVELS = (0.10, 0.25)
 
@@ -27,21 +28,11 @@ def agent_health(steps: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(by, a column for each of shares): the value at place min(int(n q), n - 1) of a group's sorted values.
-
-    Values are counted, then sorted over range partitions: what comes before a partition is a sum over partitions, so no
-    task holds a group, however large it is.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    ranged = written(counts.repartitionByRange("g", "x").withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("g", "part").agg(F.sum("n").alias("m"))
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("g", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("g")).alias("total"))
-    end = F.col("before") + F.sum("n").over(Window.partitionBy("g", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.join(parts, ["g", "part"]).withColumn("end", end)
+    """(by, a column for each of shares): the value at place min(int(n q), n - 1) of a group's sorted values, however large a group is."""
+    placed = counted(df, [by], value)
     at = lambda q: F.least(F.floor(F.col("total") * q), F.col("total") - 1)
     held = lambda q: F.when((F.col("end") > at(q)) & (F.col("end") - F.col("n") <= at(q)), F.col("x"))
-    return placed.groupBy(F.col("g").alias(by)).agg(*[F.max(held(q)).alias(name) for name, q in shares.items()])
+    return placed.groupBy(by).agg(*[F.max(held(q)).alias(name) for name, q in shares.items()])
 
 
 def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,21 +52,21 @@ def latest(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
 def psi(long: DataFrame, reference: Column, by: str = "factor", value: str = "x", bins: int = 10) -> DataFrame:
     """(factor, n_ref, n_new, psi, level): population stability of rows outside `reference` against those inside.
 
-    Edges are the distinct deciles of the reference, with open ends; bins without rows count as one millionth.
+    Edges are the distinct deciles of the reference, with open ends; bins without rows count as one millionth. Deciles come from
+    range partitions, so one factor may hold all rows.
     """
     rows = long.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("x"), reference.alias("ref"))
-    cuts = [i / bins for i in range(bins + 1)]
-    edges = rows.groupBy(by).agg(
-        F.array_distinct(F.percentile(F.when(F.col("ref"), F.col("x")), F.array(*map(F.lit, cuts)))).alias("e"),
-        F.count_if("ref").alias("n_ref"), F.count_if(~F.col("ref")).alias("n_new"),
-    ).filter("n_ref >= 50 AND n_new >= 20 AND size(e) >= 3").withColumn("e", F.slice("e", 2, F.size("e") - 2))
+    deciles = quantiles(rows.filter("ref"), [by], "x", [i / bins for i in range(bins + 1)])
+    sizes = rows.groupBy(by).agg(F.count_if("ref").alias("n_ref"), F.count_if(~F.col("ref")).alias("n_new"))
+    edges = deciles.join(sizes, by).withColumn("e", F.array_distinct("q")).drop("q").filter("n_ref >= 50 AND n_new >= 20 AND size(e) >= 3")
+    edges = small(written(edges.withColumn("e", F.slice("e", 2, F.size("e") - 2))))
     placed = rows.join(edges, by).select(by, "ref", F.size(F.filter("e", lambda e: e <= F.col("x"))).alias("bin"))
     counts = placed.groupBy(by, "bin").agg(F.count_if("ref").alias("r"), F.count_if(~F.col("ref")).alias("a"))
     every = edges.select(by, "n_ref", "n_new", F.explode(F.sequence(F.lit(0), F.size("e"))).alias("bin"))
     share = lambda n, of: F.greatest(F.coalesce(F.col(n), F.lit(0)) / F.col(of), F.lit(1e-6))
     s = every.join(counts, [by, "bin"], "left").select(by, "n_ref", "n_new", share("r", "n_ref").alias("p"), share("a", "n_new").alias("q"))
     out = s.groupBy(by, "n_ref", "n_new").agg(F.sum((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))).alias("psi"))
-    return out.withColumn("level", F.when(F.col("psi") >= PSI_LEVELS[1], "major").when(F.col("psi") >= PSI_LEVELS[0], "moderate").otherwise("stable"))
+    return out.withColumn("level", F.when(F.col("psi") > PSI_LEVELS[1], "material").when(F.col("psi") > PSI_LEVELS[0], "moderate").otherwise("stable"))
 
 
 def exposure(positions: DataFrame) -> DataFrame:

@@ -152,6 +152,19 @@ def fold_metrics(spark, d):
     return rounded(ml.evaluation(_scored(spark, d), ["fold"]))
 
 
+_SIGNALS = f"""{_SCORED}, {_SPREAD}, numbered AS (SELECT fold AS series, spread AS r, row_number() OVER (PARTITION BY fold ORDER BY date) AS k FROM sp WHERE spread IS NOT NULL), {ctes.hac("numbered", 3)},
+twain AS (SELECT fold, date, rank() OVER (PARTITION BY fold, date ORDER BY score) + (count(*) OVER (PARTITION BY fold, date, score) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY fold, date ORDER BY fwd_return) + (count(*) OVER (PARTITION BY fold, date, fwd_return) - 1) / 2.0::DOUBLE AS ry FROM scored),
+ics AS (SELECT fold, corr(rx, ry) AS ic FROM twain GROUP BY fold, date HAVING count(*) >= 4 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0), ic AS (SELECT fold, avg(ic) AS ic, count(*) AS ic_dates FROM ics GROUP BY fold)"""
+
+
+@query(f"""WITH {_SIGNALS} SELECT fold, {r6("ic")}, ic_dates, round(mean, 6) + 0.0::DOUBLE AS signal, n AS periods, round(t_hac, 4) + 0.0::DOUBLE AS t_hac, round(t_naive, 4) + 0.0::DOUBLE AS t_naive, round(2 * (1 - {phi("za")}), 4) + 0.0::DOUBLE AS p_hac
+FROM ic JOIN tested ON series = fold WHERE n >= 8""")
+def fold_signals(spark, d):
+    """Does the score rank names in each fold, and does the spread it picks pay?"""
+    t = ml.signal_tests(_scored(spark, d), ["fold"], 3).filter("periods >= 8")
+    return rounded(t.select("fold", "ic", "ic_dates", "signal", "periods", *[F.round(c, 4).alias(c) for c in ("t_hac", "t_naive", "p_hac")]))
+
+
 @query(f"WITH {_SCORED}, {_METRICS} SELECT round(stddev_pop(accuracy), 6) + 0.0::DOUBLE AS accuracy_dev, stddev_pop(accuracy) > 0.10 AS unstable, count(*) FILTER (positive_rate > 0.95 OR positive_rate < 0.05) AS degenerate FROM ev")
 def fold_stability(spark, d):
     m = ml.evaluation(_scored(spark, d), ["fold"])

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors as fx
-from tidemark.operators import reporting
+from tidemark.operators import lifecycle, reporting
 from tidemark.plans import ctes, research
 from tidemark.plans.ctes import WEEKLY, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import market, parse
+from tidemark.storage import small, written
 from tidemark.streaming import bars as stream
 
 _MODELS = "m AS (SELECT l_returnflag AS model, l_suppkey AS run_id, l_linenumber AS fold, l_discount AS accuracy, l_tax AS ic, l_orderkey AS ok FROM lineitem)"
@@ -81,9 +82,21 @@ def latest_approval(spark, d):
 @query(f"WITH {_RUNS} SELECT rn.run_id, c_name AS owner, verdict, created, count(*) OVER (PARTITION BY verdict) AS waiting FROM rn JOIN customer ON user_id = c_custkey WHERE status = 'queued' AND verdict = '1-URGENT'")
 def approval_queue(spark, d):
     """Runs that wait for a decision, with their owners."""
-    r = market.runs(spark, d).filter("status = 'queued' AND verdict = '1-URGENT'")
+    return _waiting(spark, d, "verdict = '1-URGENT'")
+
+
+def _waiting(spark, d, which):
+    """Queued runs with their owners and the number of those that share their verdict, which is counted apart: one verdict may hold most runs."""
+    r = market.runs(spark, d).filter("status = 'queued'").filter(which)
     j = r.join(market.table(spark, d, "customer"), F.col("user_id") == F.col("c_custkey"))
-    return j.select("run_id", F.col("c_name").alias("owner"), "verdict", "created", F.count("*").over(Window.partitionBy("verdict")).alias("waiting"))
+    n = small(j.groupBy("verdict").agg(F.count("*").alias("waiting")))
+    return j.join(n, "verdict").select("run_id", F.col("c_name").alias("owner"), "verdict", "created", "waiting")
+
+
+@query(f"WITH {_RUNS} SELECT rn.run_id, c_name AS owner, verdict, created, count(*) OVER (PARTITION BY verdict) AS waiting FROM rn JOIN customer ON user_id = c_custkey WHERE status = 'queued'")
+def approval_queues(spark, d):
+    """Runs of all verdicts that wait for a decision."""
+    return _waiting(spark, d, "true")
 
 
 @query(f"WITH {_STEPS} SELECT run_id, count(*) AS steps, round(sum(seconds), 4) + 0.0::DOUBLE AS seconds, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'degraded') AS degraded FROM st GROUP BY run_id")
@@ -124,6 +137,56 @@ def topk_importances(spark, d):
     return rounded(g.withColumn("k", k).filter("k <= 3").drop("k"))
 
 
+_NUMBER = "list_reduce(list_transform(string_split(substr(md5({x}), 1, 12), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, b: a * 16 + b)"
+_PART = "coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _snapshot_sql(dataset: str, source: str, columns: list[str], kinds: str, date: str) -> str:
+    text = " || ".join(_PART.format(c=c) for c in columns)
+    return f"""SELECT run_id, '{dataset}' AS dataset, count(*) AS n_rows, CAST(min({date}) AS DATE) AS start_date, CAST(max({date}) AS DATE) AS end_date, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS row_sum, bit_xor(h) AS row_xor, md5('{kinds}') AS schema
+  FROM (SELECT *, {_NUMBER.format(x=text)} AS h FROM {source}) GROUP BY run_id"""
+
+
+@query("WITH " + "ev AS (SELECT user_id % 50 AS run_id, event_id, event_type, ts FROM events), bk AS (SELECT l_suppkey AS run_id, l_orderkey, l_partkey, l_linenumber, l_returnflag, l_shipdate FROM lineitem) "
+       + _snapshot_sql("steps", "ev", ["event_id", "event_type"], "event_id:bigint,event_type:string", "ts") + " UNION ALL "
+       + _snapshot_sql("positions", "bk", ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"], "l_orderkey:bigint,l_partkey:bigint,l_linenumber:bigint,l_returnflag:string", "l_shipdate"))
+def run_lineage(spark, d):
+    """What each run read of steps and positions: rows, dates, and fingerprints that no order of rows changes."""
+    steps = market.table(spark, d, "events").withColumn("run", F.col("user_id") % 50)
+    of = market.table(spark, d, "lineitem")
+    whole = [(c, "bigint") for c in ("l_orderkey", "l_partkey", "l_linenumber")]
+    of = of.select(F.col("l_suppkey").alias("run"), *[F.col(c).cast(k).alias(c) for c, k in whole], "l_returnflag", "l_shipdate")
+    return lifecycle.snapshots(steps, "steps", "run", ["event_id", "event_type"], "ts").union(lifecycle.snapshots(of, "positions", "run", [c for c, _ in whole] + ["l_returnflag"], "l_shipdate"))
+
+
+_ACTIONS = "acts AS (SELECT user_id % 50 AS run_id, event_id, ts AS at_, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'click' THEN 'approve' WHEN 'view' THEN 'reject' ELSE 'fail' END AS action FROM events)"
+_MOVE = "CASE " + " ".join(f"WHEN s = '{s}' AND a = '{a}' THEN '{to}'" for (s, a), to in lifecycle.TRANSITIONS.items()) + " ELSE s END"
+_DECIDED = f"""{_ACTIONS}, so AS (SELECT *, coalesce(list(action) OVER (PARTITION BY run_id ORDER BY at_, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS past FROM acts),
+met AS (SELECT *, list_reduce(list_prepend('queued', past), lambda s, a: {_MOVE}) AS state FROM so),
+moved AS (SELECT run_id, event_id, at_, action, state, list_reduce([state, action], lambda s, a: {_MOVE}) AS new_state FROM met),
+decided AS (SELECT *, (state, action) IN ({", ".join(f"('{s}', '{a}')" for s, a in lifecycle.TRANSITIONS)}) AS accepted FROM moved)"""
+
+
+def _actions(spark, d):
+    e = market.table(spark, d, "events")
+    kind = F.col("event_type")
+    action = F.when(kind == "signup", "start").when(kind == "purchase", "finish").when(kind == "click", "approve").when(kind == "view", "reject").otherwise("fail")
+    return e.select((F.col("user_id") % 50).cast("long").alias("run_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").alias("at"), action.alias("action"))
+
+
+@query(f"WITH {_DECIDED} SELECT run_id, event_id, action, state, accepted, new_state FROM decided")
+def approval_decisions(spark, d):
+    """Every action on a run: the state that it met, and whether it was allowed."""
+    return lifecycle.decisions(_actions(spark, d))
+
+
+@query(f"WITH {_DECIDED} SELECT run_id, arg_max(new_state, (at_, event_id)) AS status, count(*) AS events, count(*) FILTER (NOT accepted) AS refused FROM decided GROUP BY run_id")
+def approval_outcomes(spark, d):
+    """Each run's state after all actions, and how many were refused."""
+    events = _actions(spark, d)
+    return lifecycle.outcome(lifecycle.decisions(events), events)
+
+
 def _psi_sql(source: str) -> str:
     cuts = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"
     return f"""{source}, eg AS (SELECT factor, list_sort(list_distinct(quantile_cont(x, {cuts}) FILTER (ref))) AS e, count(*) FILTER (ref) AS n_ref, count(*) FILTER (NOT ref) AS n_new FROM ob GROUP BY factor),
@@ -131,7 +194,7 @@ ed AS (SELECT factor, n_ref, n_new, e[2:len(e) - 1] AS e FROM eg WHERE n_ref >=
 pl AS (SELECT ob.factor, ref, len(list_filter(e, lambda v: v <= x)) AS bin FROM ob JOIN ed USING (factor)), ct AS (SELECT factor, bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS a FROM pl GROUP BY ALL),
 al AS (SELECT factor, n_ref, n_new, unnest(range(0, len(e) + 1)) AS bin FROM ed), sh AS (SELECT factor, n_ref, n_new, greatest(coalesce(r, 0) / n_ref, 1e-6) AS p, greatest(coalesce(a, 0) / n_new, 1e-6) AS q FROM al LEFT JOIN ct USING (factor, bin)),
 ps AS (SELECT factor, n_ref, n_new, sum((q - p) * ln(q / p)) AS psi FROM sh GROUP BY ALL)
-SELECT factor, n_ref, n_new, round(psi, 6) + 0.0::DOUBLE AS psi, CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.10 THEN 'moderate' ELSE 'stable' END AS level FROM ps"""
+SELECT factor, n_ref, n_new, round(psi, 6) + 0.0::DOUBLE AS psi, CASE WHEN psi > 0.25 THEN 'material' WHEN psi > 0.10 THEN 'moderate' ELSE 'stable' END AS level FROM ps"""
 
 
 @query("WITH " + _psi_sql("ob AS (SELECT 'price' AS factor, o_totalprice AS x, o_orderdate < TIMESTAMP '1998-06-01' AS ref FROM orders)"))
