@@ -346,13 +346,13 @@ def test_plans_are_bounded():
     assert p.universe == ("Brand#1", "Brand#2") and p.families == ("momentum",) and p.horizon == 13
     with pytest.raises(ValueError):
         research.Plan("q", n_days=10)
-    assert research.revised(p).n_days == 1512
-
-
-def test_research_runs_to_a_verdict(spark):
-    r = research.run(spark, "/root/testdata/sf0.01", "Does reversal pay over a month?")
-    assert r.verdict in ("reject", "material_issues", "see_flags", "no_objection")
-    assert "## backtest" in research.report(r)
+    assert research.revised(p, ("lengthen_history", "widen_universe"))[0].n_days == 1512 and research.revised(p, ("widen_universe",))[0].universe == ()
+    assert research.revised(p, ())[0] == research.replace(p, revisions=1) and research.revised(p, ("reduce_strategy_count", "drop_leaking_factors"))[1] == []
+    deep = research.plan_for("Does deep boosting on sentiment and value pay over 6 years?")
+    assert deep.models == research.MODELS and deep.n_days == 1512 and deep.families == ("value", "sentiment")
+    assert research.revised(deep, ("drop_leaking_factors", "reduce_strategy_count"))[0].models == ("logistic", "boosting")
+    with pytest.raises(ValueError, match="bounds"):
+        research.plan_for(" ".join(f"Brand#{i}" for i in range(61)))
 
 
 def _loss(method, mu, c, w, penalty=0.0, previous=None):

@@ -263,17 +263,25 @@ def composite_score(spark, d):
     return rounded(fx.composite_score(_panel(spark, d, fx.WEEKLY)).select("ticker", "date", "score"))
 
 
-def _whole(spark, d):
+def moods(spark, d):
+    """(ticker, known, sentiment_score): decayed means of each name's news."""
     days = market.news_of_names(spark, d).groupBy("ticker", "date").agg(F.avg("score").alias("s"))
     t = F.datediff("date", F.min("date").over(Window.partitionBy("ticker")))
-    moods = days.withColumn("t", t).select("ticker", F.col("date").alias("known"), decayed_mean(F.col("s"), F.col("t"), ordered(), 5.0).alias("sentiment_score"))
+    return days.withColumn("t", t).select("ticker", F.col("date").alias("known"), decayed_mean(F.col("s"), F.col("t"), ordered(), 5.0).alias("sentiment_score"))
+
+
+def macro_state(spark, d):
+    """(known, MACRO_FACTORS) from the day on which each value was published; logarithms stand for rates."""
     seen = market.macro(spark, d).withColumn("p", rolling_rank(F.col("value"), 52, ordered("series", "obs_date"), 10))
     of = lambda name, c: F.max(F.when(F.col("series") == name, F.col(c)))
     beside = seen.groupBy(F.col("avail_date").alias("known")).agg(of("AFRICA", "p").alias("a"), of("AMERICA", "value").alias("b"), of("ASIA", "value").alias("c"), of("EUROPE", "value").alias("d"))
-    w = Window.orderBy("known")  # the calendar of a few series: a row a date; logarithms stand for rates
+    w = Window.orderBy("known")  # the calendar of a few series: a row a date
     filled = [ffill(F.col(x), w) for x in "abcd"]
-    state = beside.select("known", filled[0].alias("vix_percentile"), F.ln(filled[1] / filled[2]).alias("term_spread"), F.ln(filled[3]).alias("credit_spread"))
-    return fx.full_panel(market.bars_walk(spark, d), market.filings(spark, d), moods, state, fx.WEEKLY)
+    return beside.select("known", filled[0].alias("vix_percentile"), F.ln(filled[1] / filled[2]).alias("term_spread"), F.ln(filled[3]).alias("credit_spread"))
+
+
+def _whole(spark, d):
+    return fx.full_panel(market.bars_walk(spark, d), market.filings(spark, d), moods(spark, d), macro_state(spark, d), fx.WEEKLY)
 
 
 @query(f"WITH {ctes.WHOLE} SELECT ticker, date, {r6('close, ret_1d, ' + ', '.join(ctes.ALL_FACTORS) + ', fwd_return', 4)} FROM whole")
