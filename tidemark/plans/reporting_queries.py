@@ -13,6 +13,7 @@ from tidemark.plans.registry import query
 from tidemark.sources import market, parse
 from tidemark.storage import small, written
 from tidemark.streaming import bars as stream
+from tidemark.streaming import stateful
 
 _MODELS = "m AS (SELECT l_returnflag AS model, l_suppkey AS run_id, l_linenumber AS fold, l_discount AS accuracy, l_tax AS ic, l_orderkey AS ok FROM lineitem)"
 _STEPS = """st AS (SELECT user_id % 50 AS run_id, event_id, event_type AS agent, value AS seconds, ts,
@@ -255,3 +256,27 @@ def stream_daily_bars(spark, d):
 def stream_first_reported(spark, d):
     """An extension: the first report of each type and day, as a stream's aggregate."""
     return stream.run_to_end(stream.first_of_day(stream.events(spark, d)), "complete")
+
+
+_CLOSED = "CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+
+
+@query(f"SELECT CAST(ts AS DATE) AS date, event_type AS ticker, count(*) AS n, round(sum(value), 4) + 0.0::DOUBLE AS volume, max(value) AS high, min(value) AS low FROM events WHERE {_CLOSED} GROUP BY 1, 2")
+def stream_closed_bars(spark, d):
+    """Daily bars in append mode: each day is written once, when the watermark has passed it, and leaves the state."""
+    return rounded(stateful.appended(stateful.closed_bars(stream.events(spark, d)))[0], 4)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, d):
+    """Users' first event of each type: repetitions within the delay are dropped as they come."""
+    return stateful.appended(stateful.first_seen(stream.events(spark, d), ["user_id", "event_type"]))[0].select("user_id", "event_type")
+
+
+@query(f"""WITH days AS (SELECT CAST(user_id % 20 AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, avg(value / 100 - 1) AS s FROM events WHERE {_CLOSED} GROUP BY 1, 2), n AS (SELECT *, date_diff('day', min(date) OVER (PARTITION BY ticker), date) AS t FROM days)
+SELECT ticker, date, round(sum(s * pow(2.0::DOUBLE, t / 5.0::DOUBLE)) OVER w / sum(pow(2.0::DOUBLE, t / 5.0::DOUBLE)) OVER w, 6) + 0.0::DOUBLE AS sentiment FROM n WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)""")
+def stream_decayed_mean(spark, d):
+    """The decayed mean of news as a stream with timers: closed days only."""
+    e = stream.events(spark, d)
+    news = e.select((F.col("user_id") % 20).cast("string").alias("ticker"), "at", (F.col("value") / 100 - 1).alias("score"))
+    return rounded(stateful.appended(stateful.decayed_means(news))[0])
