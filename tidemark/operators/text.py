@@ -182,6 +182,14 @@ def grounding(answer: Column, evidence: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(loose, lambda x: x["token"])))
 
 
+def evidence(hits: DataFrame, amount: str = AMOUNT, characters: int = 900, most: int = 10, text: str = "text") -> DataFrame:
+    """hits with what an answer may quote, where no model writes one: the start of the text and the first `most` of its sorted amounts, which
+    come from the whole text.
+    """
+    found = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(amount), F.lit(0)), F.trim)
+    return hits.withColumns({"numbers": F.slice(F.array_sort(F.array_distinct(found)), 1, most), text: F.substring(text, 1, characters)})
+
+
 def citations(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([A-Za-z0-9_\-]+::\d+)\]"), F.lit(1)))
 

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import moments
-from tidemark.operators import retrieval, text
+from tidemark.operators import corpus, retrieval, text
 from tidemark.plans.ctes import r6, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import market
-from tidemark.storage import written
+from tidemark.storage import shared_dir, written
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9$%.\\-]+')"
 TERMS = ["license", "work", "under", "the", "the"]
@@ -104,8 +104,9 @@ rk AS (SELECT query, chunk_id, row_number() OVER (PARTITION BY query ORDER BY ro
 hit AS (SELECT query, min(place) AS place FROM rk JOIN qs USING (query) JOIN documents d ON d.doc_id = chunk_id AND contains(lower(d.text), lower(expected)) WHERE place <= 6 GROUP BY query)"""
 
 
-def _evaluated(spark, d, k):
-    wanted = market.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("expected"))
+def _evaluated(spark, d, k, expected=None):
+    expected = F.substring("text", 1, 60) if expected is None else expected
+    wanted = market.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), expected.alias("expected"))
     chunks = market.chunks(spark, d)
     ranked = retrieval.top_each(retrieval.bm25_each(chunks, wanted.select("query", F.col("expected").alias("text"))), k)
     return rounded(retrieval.evaluate(ranked, chunks, wanted))
@@ -119,6 +120,12 @@ def retrieval_eval(spark, d):
     return _evaluated(spark, d, 6)
 
 
+@query("WITH " + _EACH.replace("substring(text, 1, 60) AS expected", "text AS expected") + " SELECT count(*) AS queries, round(avg(CASE WHEN place IS NULL THEN 0 ELSE 1 END), 6) + 0.0::DOUBLE AS hit_rate, round(avg(coalesce(1.0::DOUBLE / place, 0)), 6) + 0.0::DOUBLE AS mrr FROM qs LEFT JOIN hit USING (query)")
+def retrieval_eval_whole(spark, d):
+    """The same for the whole texts of all benchmark items: is a document that holds the passage among the six best?"""
+    return _evaluated(spark, d, 6, F.col("text"))
+
+
 @query()
 def retrieval_eval_all(spark, d):
     """The same of the ten best."""
@@ -213,6 +220,23 @@ def ingest_filings(spark, d):
     return text.chunk_documents(kept).drop("text").join(kept.select("doc_id", "form", "content_hash"), "doc_id")
 
 
+@query("""WITH h AS (SELECT doc_id, substring(sha256(coalesce(text, '')), 1, 32) AS content_hash FROM documents), a AS (SELECT content_hash, min(doc_id) AS known FROM h WHERE doc_id % 2 = 0 GROUP BY 1), f AS (SELECT content_hash, min(doc_id) AS first_id FROM h GROUP BY 1)
+SELECT doc_id, content_hash, CASE WHEN known IS NOT NULL THEN 'already_ingested' WHEN doc_id = first_id THEN 'ingested' ELSE 'repeated' END AS status, coalesce(known, CASE WHEN doc_id <> first_id THEN first_id END) AS held_by FROM h JOIN f USING (content_hash) LEFT JOIN a USING (content_hash)""")
+def ingest_again(spark, d):
+    """All documents ingested into a corpus that has taken those of even ids before: which were new, repeated or there."""
+    stored = corpus.Corpus(spark, shared_dir(spark))
+    docs = _docs(spark, d).select("doc_id", "text", "lang", "source")
+    stored.ingest(docs.filter("doc_id % 2 = 0"))
+    return stored.ingest(docs)
+
+
+@query(r"""WITH e AS (SELECT doc_id, source, lang, substring(text, 1, 900) AS text, list_distinct(list_transform(regexp_extract_all(lower(text), '\$\d{1,3}(?:,\d{3})+(?:\.\d+)?'), lambda x: trim(x))) AS found FROM documents)
+SELECT doc_id, source, lang, text, array_to_string(list_slice(list_sort(found), 1, 10), ';') AS numbers FROM e""")
+def evidence_rows(spark, d):
+    """Evidence in place of an answer: each document's start and the first ten of its sorted dollar amounts, from the whole text."""
+    return text.evidence(_docs(spark, d).select("doc_id", "source", "lang", "text"), r"\$\d{1,3}(?:,\d{3})+(?:\.\d+)?").withColumn("numbers", F.array_join("numbers", ";"))
+
+
 @query()
 def numeric_grounding(spark, d):
     """Amounts of a turn that the turn before doesn't hold."""

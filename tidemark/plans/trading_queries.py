@@ -140,17 +140,29 @@ def _series(spark, d):
     return _pnl(spark, d).select(F.col("strategy").alias("series"), "date", F.col("net").alias("r"))
 
 
-_Z = moments.normal_ppf(0.05)
-_TAIL = f"""tm AS (SELECT series, count(r) AS n, avg(r) AS mu, stddev_samp(r) AS sd, skewness(r) AS s, kurtosis(r) AS k, quantile_cont(r, 0.05) AS q FROM series GROUP BY series),
-tz AS (SELECT *, {_Z!r}::DOUBLE + {_Z**2 - 1!r}::DOUBLE * s / 6 + {_Z**3 - 3 * _Z!r}::DOUBLE * k / 24 - {2 * _Z**3 - 5 * _Z!r}::DOUBLE * s * s / 36 AS zc FROM tm),
+_Z, _Z99 = moments.normal_ppf(0.05), moments.normal_ppf(0.01)
+
+
+def _tail_sql(z: float, p: float) -> str:
+    return f"""tm AS (SELECT series, count(r) AS n, avg(r) AS mu, stddev_samp(r) AS sd, skewness(r) AS s, kurtosis(r) AS k, quantile_cont(r, {p}) AS q FROM series GROUP BY series),
+tz AS (SELECT *, {z!r}::DOUBLE + {z**2 - 1!r}::DOUBLE * s / 6 + {z**3 - 3 * z!r}::DOUBLE * k / 24 - {2 * z**3 - 5 * z!r}::DOUBLE * s * s / 36 AS zc FROM tm),
 cv AS (SELECT series.series, -avg(r) AS cvar FROM series JOIN tm ON series.series = tm.series AND r <= q GROUP BY 1)"""
 
 
+_TAIL = _tail_sql(_Z, 0.05)
+
+
 @query(f"WITH {_pnl_sql()}, {_SERIES}, {_TAIL} SELECT series, n, round(-q, 6) + 0.0::DOUBLE AS var_hist, round(-(mu + {_Z!r}::DOUBLE * sd), 6) + 0.0::DOUBLE AS var_normal, {r6('cvar')} FROM tz JOIN cv USING (series)")
 def var_cvar(spark, d):
     return rounded(risk.tail_risk(_series(spark, d)).drop("var_cornish"))
 
 
+@query(f"WITH {_pnl_sql()}, {_SERIES}, {_tail_sql(_Z99, 0.01)} SELECT series, n, round(-q, 6) + 0.0::DOUBLE AS var_hist, round(-(mu + {_Z99!r}::DOUBLE * sd), 6) + 0.0::DOUBLE AS var_normal, round(-(mu + zc * sd), 6) + 0.0::DOUBLE AS var_cornish, {r6('cvar')} FROM tz JOIN cv USING (series)")
+def tail_99(spark, d):
+    """Losses at 99 % by all four measures."""
+    return rounded(risk.tail_risk(_series(spark, d), 0.01))
+
+
 @query(f"WITH {_pnl_sql()}, {_SERIES}, {_TAIL} SELECT series, round(-(mu + zc * sd), 6) + 0.0::DOUBLE AS var_cornish FROM tz")
 def cornish_fisher_var(spark, d):
     return rounded(risk.tail_risk(_series(spark, d)).select("series", "var_cornish"))
