@@ -186,7 +186,7 @@ def evidence(hits: DataFrame, amount: str = AMOUNT, characters: int = 900, most:
     """hits with what an answer may quote, where no model writes one: the start of the text and the first `most` of its sorted amounts, which
     come from the whole text.
     """
-    found = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(amount), F.lit(0)), F.trim)
+    found = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(amount), F.lit(0)), lambda x: F.trim(x))
     return hits.withColumns({"numbers": F.slice(F.array_sort(F.array_distinct(found)), 1, most), text: F.substring(text, 1, characters)})
 
 
