@@ -84,4 +84,4 @@ def test_rows_that_repeat_an_id_with_other_texts_stay(spark, sf_dir):
 def test_entry_lists_its_queries():
     sys.modules.pop("__spark_entry__", None)
     names = importlib.import_module("__spark_entry__").queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
