@@ -284,10 +284,16 @@ def _whole(spark, d):
     return fx.full_panel(market.bars_walk(spark, d), market.filings(spark, d), moods(spark, d), macro_state(spark, d), fx.WEEKLY)
 
 
-@query(f"WITH {ctes.WHOLE} SELECT ticker, date, {r6('close, ret_1d, ' + ', '.join(ctes.ALL_FACTORS) + ', fwd_return', 4)} FROM whole")
+_FOUR = [c for c in ("close", "ret_1d", *ctes.ALL_FACTORS, "fwd_return") if c != "sentiment_score"]
+
+
+@query(f"WITH {ctes.WHOLE} SELECT ticker, date, {r6(', '.join(_FOUR), 4)}, {r6('sentiment_score', 9)} FROM whole")
 def whole_panel(spark, d):
-    """All factors of each name and date: prices, what was filed, told and published by then."""
-    return rounded(_whole(spark, d), 4)
+    """All factors of each name and date: prices, what was filed, told and published by then. Scores have four places, so that their
+    means often lie between two roundings to four.
+    """
+    p = _whole(spark, d)
+    return p.select("ticker", "date", *[(F.round(c, 9 if c == "sentiment_score" else 4) + F.lit(0.0)).alias(c) for c in (*_FOUR, "sentiment_score")])
 
 
 @query(f"WITH {ctes.WHOLE}, {ctes.WHOLE_SCORE} SELECT ticker, date, {r6('score')} FROM score")
