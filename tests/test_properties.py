@@ -454,6 +454,14 @@ def test_allocations_match_a_dense_matrix(spark, penalty, lookback, every):
     assert portfolio.walk_forward(returns, 70, 8).count() == 0 and portfolio.walk_forward(returns, 45, 8).count() == 0
 
 
+def test_equal_weight_tells_turnover_and_costs(spark):
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    returns = spark.createDataFrame([(t, day(i), 0.01 * i) for t in ("A", "B") for i in range(6) if (t, i) != ("B", 4)], "ticker string, date date, ret double")
+    got = sorted(portfolio.equal_weight(returns, 3).collect(), key=lambda r: r.date)
+    assert [(r.date, r.turnover) for r in got] == [(day(3), 1.0), (day(4), 0.0), (day(5), 0.0)]
+    assert [r.ret for r in got] == pytest.approx([0.03, 0.02, 0.05]) and [r.net for r in got] == pytest.approx([0.0297, 0.02, 0.05])
+
+
 def test_in_sample_books_take_whole_dates(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0.001, [0.01, 0.02, 0.03], (60, 3))

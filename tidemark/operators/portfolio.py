@@ -19,6 +19,8 @@ from tidemark.functions import moments
 from tidemark.storage import small, written
 
 CAP, RISK_AVERSION, TURNOVER_PENALTY, STEPS = 0.40, 3.0, 0.001, 2000
+#: Costs of a unit of turnover.
+COST = 0.0003
 #: Dates that a walk needs beyond its look-back and one period, and dates out of sample that it must give.
 SPARE_DATES, LEAST_LIVE, LEAST_COMPLETE = 10, 40, 30
 #: Names that a solver takes at most (plans ask for 2 to 60): a task holds one matrix of so many squared entries.
@@ -293,12 +295,15 @@ def walk_summary(walk: DataFrame, year: float) -> DataFrame:
     return m.join(fall, "method").withColumn("place", place)
 
 
-def equal_weight(returns: DataFrame, lookback: int) -> DataFrame:
-    """The equal-weight walk in windows alone, of any number of names: all at 1/n from the date after the look-back on."""
+def equal_weight(returns: DataFrame, lookback: int, cost: float = COST) -> DataFrame:
+    """(date, ret, net, turnover): the equal-weight walk in windows alone, of any number of names: all at 1/n from the date after the
+    look-back on. ret is before costs; turnover is 1 at the first purchase and 0 later, and net is ret less its costs.
+    """
     n = F.broadcast(returns.agg(F.count_distinct("ticker").alias("n")))
     day = returns.groupBy("date").agg(F.sum("ret").alias("s")).join(n)
     t = day.withColumn("t", F.row_number().over(Window.orderBy("date")) - 1).filter(F.col("t") >= lookback)
-    return t.select("date", (F.col("s") / F.col("n")).alias("ret"))
+    turn, ret = F.when(F.col("t") == lookback, 1.0).otherwise(0.0), F.col("s") / F.col("n")
+    return t.select("date", ret.alias("ret"), (ret - cost * turn).alias("net"), turn.alias("turnover"))
 
 
 def turnover(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -286,8 +286,10 @@ LOOKBACK, REFIT = 52, 13
 
 
 @query(f"""WITH {WALK}, dy AS (SELECT date, sum(ret) AS s, row_number() OVER (ORDER BY date) - 1 AS t FROM rets GROUP BY date)
-SELECT date, round(s / (SELECT count(DISTINCT ticker) FROM rets), 6) + 0.0::DOUBLE AS ret FROM dy WHERE t >= {LOOKBACK}""")
+SELECT date, round(s / (SELECT count(DISTINCT ticker) FROM rets), 6) + 0.0::DOUBLE AS ret, round(s / (SELECT count(DISTINCT ticker) FROM rets) - 0.0003::DOUBLE * CASE WHEN t = {LOOKBACK} THEN 1 ELSE 0 END, 6) + 0.0::DOUBLE AS net,
+  CASE WHEN t = {LOOKBACK} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS turnover FROM dy WHERE t >= {LOOKBACK}""")
 def wf_equal_weight(spark, d):
+    """What equal weights return before (`ret`) and after costs, with the turnover of each date."""
     return rounded(portfolio.equal_weight(market.returns(spark, d), LOOKBACK))
 
 
