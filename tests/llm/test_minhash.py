@@ -88,6 +88,22 @@ def test_chain_and_large_group(spark):
     assert got == brute(rows)
 
 
+def test_small_components_take_few_tasks(spark, monkeypatch):
+    """However many partitions shuffles have, and without a further round once all components are stars."""
+    parts = []
+    monkeypatch.setattr(minhash, "written", lambda df, write=minhash.written: parts.append(df.rdd.getNumPartitions()) or write(df))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 60)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(100, 100 + i) for i in range(1, 30)], "a long, b long")
+        assert len(minhash.components(edges).collect()) == 58
+        assert len(parts) == 2 and parts[1] <= minhash.LEAST_TASKS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_of_path_and_star(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)], "a long, b long")
     got = {r.node: r.component for r in minhash.components(edges).collect()}

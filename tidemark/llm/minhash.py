@@ -28,12 +28,19 @@ LEAST_EQUAL = 64
 BLOCK = 128
 #: Parts into which the members that share a center are dealt.
 SALTS = 16
+#: Rows for which a table takes a task more, and tasks that it takes at least.
+ROWS_PER_TASK, LEAST_TASKS = 20_000, 8
 #: A signature's byte is the top one of the minimum times this: the minimum's own top bits are zero in large sets.
 _SPREAD = np.uint32(0x9E3779B1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(int(_P), SHINGLE - 1 - i, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most so many rows, stored: small tables don't take a task and a file for each shuffle partition."""
+    return written(df.coalesce(max(LEAST_TASKS, rows // ROWS_PER_TASK)))
+
+
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct 5-word shingles (of its whole sequence, if it has fewer words)."""
     return _shingles(text.lower().split())
@@ -130,33 +137,35 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose signatures agree and whose full shingle sets reach the similarity."""
+    """Those of the pairs (a, b) of nodes, a stored table, whose signatures agree and whose full shingle sets reach the similarity."""
     sig = lambda c: reps.select(F.col("node").alias(c), F.col("_sig").alias(f"s{c}"))
-    likely = written(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
-    texts = written(texts_of(written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), reps, docs, text))
+    likely = written(sig("a").join(small(pairs), "a").join(sig("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"))
+    nodes = packed(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * likely.count())
+    texts = written(texts_of(nodes, reps, docs, text))
     side = lambda c: texts.select(F.col("node").alias(c), F.col("t").alias(f"t{c}"))
-    return written(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct())
+    return written(side("a").join(small(likely), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components by alternating large-star and small-star; the least id names each.
 
     Each step joins edges with the least neighbour of their nodes, so no node's neighbours are ever gathered. Every round
-    is written to the shared folder. It ends when a round changes nothing; each round that changes something brings nodes
-    nearer to their least, so there is no limit on the rounds (about log^2 of the largest component are enough).
+    is written to the shared folder. It ends when all components are stars around their least nodes; each round brings nodes
+    nearer to these, so there is no limit on the rounds (about log^2 of the largest component are enough).
     """
-    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before, now = None, mark(e)
-    while now[0] and now != before:
+    n = e.count()  # later rounds have no more
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = packed(both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")), 2 * n)
+        # In stars a node has either one neighbour, its component's least node, or greater ones only.
+        if near.filter("least < u AND n > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        large = both.join(small(near.select("u", F.least("u", "least").alias("m"))), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = packed(large.filter("u <> v"), 2 * n)
+        least = small(packed(large.groupBy("u").agg(F.min("v").alias("m")), n))
         small_ = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        e = written(small_.filter("u <> v").distinct())
-        before, now = now, mark(e)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        e = packed(small_.filter("u <> v").distinct(), n)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +178,11 @@ def shared_shingles(held: DataFrame, reps: DataFrame, docs: DataFrame, text: str
     """(sets, shared): rows (node, n, x) of all shingles x of sets of n, and (node, x) of those that some member of another
     component has too. Only the latter can be in an intersection across components.
     """
-    who = written(held.select("node", "c").distinct())
+    who = packed(held.select("node", "c").distinct(), held.count())
     sets = texts_of(who.select("node"), reps, docs, text).mapInArrow(_sets, "node long, n long, s array<long>").dropDuplicates(["node"])
-    one = written(sets.join(who, "node").select("node", "c", "n", F.explode("s").alias("x")))
+    one = written(sets.join(small(who), "node").select("node", "c", "n", F.explode("s").alias("x")))
     common = one.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("x")
-    return one, written(one.join(common, "x").select("node", "x").distinct())
+    return one, packed(one.join(common, "x").select("node", "x").distinct(), one.count())
 
 
 def centred(held: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
@@ -182,27 +191,28 @@ def centred(held: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
     For two members of one center the intersection is at most min(p, p') inside its set and min(s - p, s' - p') outside.
     A center of a large group meets its members in SALTS parts.
     """
+    n = held.count()
     lead = held.groupBy("bucket").agg(F.max_by("node", F.struct(F.col("s") / F.col("n"), -F.col("node"))).alias("center"), F.max(F.col("s") / F.col("n")).alias("q"))
-    center = written(held.join(small(written(lead)), "bucket").groupBy("node").agg(F.max_by("center", F.struct("q", -F.col("center"))).alias("center")))
+    center = packed(held.join(small(packed(lead, n)), "bucket").groupBy("node").agg(F.max_by("center", F.struct("q", -F.col("center"))).alias("center")), n)
     of = sets.join(center.select(F.col("center").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("center"), "x").distinct()
     of = of.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = shared.join(center, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    salted = shared.join(small(center), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     met = salted.join(of, ["center", "x", "salt"]).groupBy("node").agg(F.count("*").alias("p"))
-    return written(center.join(met, "node", "left").select("node", "center", F.coalesce("p", F.lit(0)).alias("p")))
+    return packed(center.join(met, "node", "left").select("node", "center", F.coalesce("p", F.lit(0)).alias("p")), n)
 
 
-def mixed_only(held: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """Of bucket members those that may still link across components: bucket, node, c and, with sizes, n and s.
+def mixed_only(held: DataFrame, sizes: DataFrame | None, rows: int) -> DataFrame:
+    """Of at most `rows` bucket members those that may still link across components: bucket, node, c and, with sizes, n and s.
 
     A link needs 100 |x & y| >= 75 |x | y|, which is 7 |x & y| >= 3 (|x| + |y|). The intersection is at most s of either, and
     the partner at least as large as its bucket's smallest member.
     """
     if sizes is not None:
-        held = written(held.join(sizes, "node"))
-        least = written(held.groupBy("bucket").agg(F.min("n").alias("n0")))
+        held = packed(held.join(small(sizes), "node"), rows)
+        least = packed(held.groupBy("bucket").agg(F.min("n").alias("n0")), rows)
         held = held.join(small(least), "bucket").filter("7 * s >= 3 * (n + n0)").drop("n0")
-    mixed = written(held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket"))
-    return written(held.join(small(mixed), "bucket", "left_semi"))
+    mixed = packed(held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket"), rows)
+    return packed(held.join(small(mixed), "bucket", "left_semi"), rows)
 
 
 def block_pairs(held: DataFrame, may: str) -> DataFrame:
@@ -212,7 +222,7 @@ def block_pairs(held: DataFrame, may: str) -> DataFrame:
     A bucket's members are dealt to blocks of about BLOCK, and each two blocks meet under a key of their own, so that no key
     holds more than about BLOCK^2 pairs, however large the bucket is.
     """
-    blocks = written(held.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    blocks = packed(held.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), held.count())
     dealt = held.join(small(blocks), "bucket").withColumn("i", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     names = ("node", "c", "n", "s", "center", "p", "_bands")
     x = dealt.select("bucket", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}a") for c in names])
@@ -231,16 +241,16 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     signed = written(signatures(docs, text))
     taking_part = signed.filter("_k IS NOT NULL AND doc_id IS NOT NULL")
-    groups = written(taking_part.groupBy("_k").agg(F.min("doc_id").alias("rep")))
-    # A node is a different text; its number is one of a stored table.
-    one = signed.join(groups.withColumnRenamed("rep", "doc_id"), ["_k", "doc_id"]).select("_k", F.col("doc_id").alias("rep"), "_h", "_bands", "_sig").dropDuplicates(["_k"])
-    reps = written(one.withColumn("node", F.monotonically_increasing_id()))
+    # A node is a different text; its number is one of a stored table. Rows of one digest have equal bands and signatures.
+    one = taking_part.groupBy("_k").agg(F.min(F.struct("doc_id", "_h")).alias("r"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig"))
+    reps = written(one.select("_k", F.col("r.doc_id").alias("rep"), "r._h", "_bands", "_sig", F.monotonically_increasing_id().alias("node")))
     rows = reps.select("node", F.explode("_bands").alias("bucket"))
     full = written(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
     members = written(rows.join(small(full.select("bucket", "pivot")), "bucket").select("bucket", "node", "pivot"))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = written(members.filter("node <> pivot").select(*ordered("node", "pivot")).distinct())
+    most = members.count()
+    tested = packed(members.filter("node <> pivot").select(*ordered("node", "pivot")).distinct(), most)
     edges = verified(tested, reps, docs, text)
     several = written(taking_part.groupBy("doc_id").agg(F.min(F.xxhash64("_k")).alias("a"), F.max(F.xxhash64("_k")).alias("b")).filter("a <> b").select("doc_id"))
     if not several.isEmpty():
@@ -248,29 +258,30 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         edges = written(edges.union(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))))
     # A bucket of two has been tested as a whole.
     members = members.join(small(written(full.filter("n > 2").select("bucket"))), "bucket", "left_semi").select("bucket", "node")
-    sizes = None
+    sizes, labels = None, components(edges)
     for last in (False, True):
-        labels = components(edges)
-        held = mixed_only(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), None)
+        held = mixed_only(members.join(small(labels), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), None, most)
         if held.isEmpty():
             break
+        most = held.count()
         if sizes is None:
             sets, shared = shared_shingles(held, reps, docs, text)
-            sizes = written(sets.groupBy("node").agg(F.min("n").alias("n")).join(shared.groupBy("node").agg(F.count("*").alias("s")), "node"))
-        held = mixed_only(held, sizes)
+            sizes = packed(sets.groupBy("node").agg(F.min("n").alias("n")).join(shared.groupBy("node").agg(F.count("*").alias("s")), "node"), most)
+        held = mixed_only(held, sizes, most)
         if last:
-            held = held.join(centred(held, sets, shared), "node").join(reps.select("node", "_bands"), "node")
-            most = "CASE WHEN centera = centerb THEN least(pa, pb) + least(sa - pa, sb - pb) ELSE least(sa, sb) END"
-            new = block_pairs(held, f"7 * ({most}) >= 3 * (na + nb)")
+            held = packed(held.join(small(centred(held, sets, shared)), "node").join(reps.select("node", "_bands"), "node"), most)
+            both = "CASE WHEN centera = centerb THEN least(pa, pb) + least(sa - pa, sb - pb) ELSE least(sa, sb) END"
+            new = block_pairs(held, f"7 * ({both}) >= 3 * (na + nb)")
         else:
             # The member that shares most with the others is the likeliest source of a group of edited copies.
-            best = written(held.groupBy("bucket").agg(F.max_by(F.struct("node", "c"), F.struct(F.col("s") / F.col("n"), -F.col("node"))).alias("p")))
-            new = held.join(small(best), "bucket").filter("c <> p.c").select(*ordered("node", "p.node")).distinct()
-        new = written(new.join(tested, ["a", "b"], "left_anti"))
-        edges = written(edges.union(verified(new, reps, docs, text)))
+            best = packed(held.groupBy("bucket").agg(F.max_by(F.struct("node", "c"), F.struct(F.col("s") / F.col("n"), -F.col("node"))).alias("p")), most)
+            new = packed(held.join(small(best), "bucket").filter("c <> p.c").select(*ordered("node", "p.node")).distinct(), most)
+        new = written(new.join(small(tested), ["a", "b"], "left_anti"))
+        found = verified(new, reps, docs, text)
+        if not found.isEmpty():  # a component's star stands for its edges
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
         tested, members = tested.union(new), held.select("bucket", "node")
-    labels = written(components(edges))
-    named = reps.select("_k", "rep", "node").join(labels, "node", "left").select("_k", "rep", F.coalesce("component", "node").alias("c"))
+    named = reps.select("_k", "rep", "node").join(small(labels), "node", "left").select("_k", "rep", F.coalesce("component", "node").alias("c"))
     # Only components of several nodes need a look at the others' ids.
     least = written(named.groupBy("c").agg(F.count("*").alias("n"), F.min("rep").alias("component_id")).filter("n > 1").select("c", "component_id"))
     named = written(named.join(small(least), "c", "left").select("_k", F.coalesce("component_id", "rep").alias("component_id")))
