@@ -307,6 +307,22 @@ def test_retrieval_is_evaluated_on_every_item(spark, sf_dir):
     assert got.mrr == pytest.approx(sum(1 / p for p in places if p) / len(items), abs=1e-6)
 
 
+@pytest.mark.parametrize("cells", [2_000_000, 40])
+def test_best_of_each_query_need_no_scores_of_all_chunks(spark, monkeypatch, cells):
+    """The same places as from joins, with many copies of a text and an empty, a null and an unmatched one; nothing is exploded by query."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), " ".join(rng.choice([f"w{j}" for j in range(12)], 9))) for i in rng.permutation(60)] + [(100 - i, "w1 w2 w3") for i in range(12)] + [(200, ""), (201, None), (202, "zz")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame([("a", "w1 w2 w1"), ("b", "W3 w4 none"), ("c", "none"), ("d", " ".join(f"w{j}" for j in range(12)))], "query string, text string")
+    want = sorted(map(tuple, retrieval.top_each(retrieval.bm25_each(chunks, queries), 4).collect()))
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    twice = chunks.union(chunks.filter("chunk_id = 7"))
+    again = sorted(map(tuple, retrieval.top_each(retrieval.bm25_each(twice, queries), 4).collect()))
+    assert sorted(map(tuple, retrieval.best_each(twice, queries, 4).collect())) == again
+    monkeypatch.setattr(retrieval, "bm25_each", None)
+    assert sorted(map(tuple, retrieval.best_each(chunks, queries, 4).collect())) == want and len(want) == 12
+
+
 def test_long_pages_keep_their_tail(spark):
     html = "<p>" + "word " * 100_000 + "tail</p>"
     assert spark.createDataFrame([(html,)], "html string").select(text.html_to_text(F.col("html"))).first()[0] == "word " * 100_000 + "tail"

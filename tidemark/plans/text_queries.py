@@ -108,7 +108,7 @@ def _evaluated(spark, d, k, expected=None):
     expected = F.substring("text", 1, 60) if expected is None else expected
     wanted = market.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), expected.alias("expected"))
     chunks = market.chunks(spark, d)
-    ranked = retrieval.top_each(retrieval.bm25_each(chunks, wanted.select("query", F.col("expected").alias("text"))), k)
+    ranked = retrieval.best_each(chunks, wanted.select("query", F.col("expected").alias("text")), k)
     return rounded(retrieval.evaluate(ranked, chunks, wanted))
 
 

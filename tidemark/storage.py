@@ -31,10 +31,10 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast only if it has at most `rows` rows of about `size` bytes together.
+def packed_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """Rows of df, counted up to rows + 1, and about the bytes that these have.
 
-    Give it a table that is cheap to count. Texts and bytes are measured; arrays and structs count as their JSON.
+    Texts and bytes are measured; arrays and structs count as their JSON.
     """
     width = F.lit(8 * len(df.columns)).cast("long")
     for name, kind in df.dtypes:
@@ -43,5 +43,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
             width = width + F.coalesce(F.octet_length(column), F.lit(0))
         elif kind.startswith(("array", "map", "struct")):
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(column.alias("x")))), F.lit(0))
-    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return tuple(df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first())
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast only if it has at most `rows` rows of about `size` bytes together. Give it a table that is cheap to count."""
+    n, total = packed_size(df, rows)
     return F.broadcast(df) if n <= rows and total <= size else df
