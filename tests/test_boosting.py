@@ -78,6 +78,35 @@ def test_trees_equal_plain_loops(spark, monkeypatch, s):
         assert sum(i for i, _ in shares.values()) == pytest.approx(1) and shares["d"] == (0.0, 0) and max(shares, key=lambda f: shares[f][1]) in ("a", "b")
 
 
+@pytest.mark.parametrize("rows_per_task", [100_000, 100])
+def test_levels_take_no_more_tasks_for_more_shuffle_partitions(spark, monkeypatch, rows_per_task):
+    """600 rows in one task and in six; the trees are the same, and each of the six jobs of two trees has few tasks."""
+    df = spark.createDataFrame(rows_of(300), "fold int, key long, label double, a double, b double, c double, d double").repartition(3)
+    s = Settings(trees=2, bins=16)
+    edges = boosting.bin_edges(df, FEATURES, s.bins)
+    want = boosting.fit(df, FEATURES, edges, s)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", rows_per_task)
+    plans, summed = [], boosting._summed
+    monkeypatch.setattr(boosting, "_summed", lambda rows, *a: plans.append(rows.rdd.getNumPartitions()) or summed(rows, *a))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 90)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("levels", "")
+        got = boosting.fit(df, FEATURES, edges, s)
+        stages = {i for j in tracker.getJobIdsForGroup("levels") for i in tracker.getJobInfo(j).stageIds}
+        assert max(tracker.getStageInfo(i).numTasks for i in stages if tracker.getStageInfo(i)) <= boosting.ADDERS
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(plans) == 6 and max(plans) <= max(1, 600 // rows_per_task)
+    for f in want:
+        for x, y in zip(want[f], got[f], strict=True):
+            assert x.feature.tolist() == y.feature.tolist() and x.bin.tolist() == y.bin.tolist() and x.value == pytest.approx(y.value)
+
+
 def test_bins_are_even_ranks(spark):
     x = np.random.default_rng(0).normal(size=999)
     df = spark.createDataFrame([(0, float(v), float(i % 3)) for i, v in enumerate(x)] + [(1, 1.0, None)], "fold int, a double, b double")

@@ -20,6 +20,8 @@ from tidemark.storage import written
 
 REFRESH = 20
 ROWS_PER_TASK = 100_000
+#: Tasks that add up the cells of several tasks: cells are bounded, so these don't follow the shuffle partitions of the session.
+ADDERS = 8
 
 
 class Settings(NamedTuple):
@@ -137,26 +139,26 @@ def best_split(g: np.ndarray, h: np.ndarray, columns: np.ndarray, s: Settings) -
     return (int(columns[i]), int(b), float(gain[i, b])) if gain[i, b] > LEAST_GAIN else (-1, 0, 0.0)
 
 
-def _summed(rows: DataFrame, fresh: dict[int, list[Tree]], growing: dict[int, Tree], level: int, tree: int, n: int, s: Settings) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Gradient and Hessian sums (node of the level, feature, bin) of each fold over the tree's sampled rows."""
+def _summed(rows: DataFrame, fresh: dict[int, list[Tree]], growing: dict[int, Tree], level: int, tree: int, n: int, s: Settings, tasks: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Gradient and Hessian sums (node of the level, feature, bin) of each fold over the tree's sampled rows. What one task sums is
+    whole; the sums of several are added up by a shuffle.
+    """
     first, nodes = 2**level - 1, 2**level
-    held = rows.sparkSession.sparkContext.broadcast((fresh, growing))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        newest, grown = held.value
         for batch in batches:
             folds, key = batch.column("fold").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
             bins, y, margin = _matrix(batch, n), batch.column("label").to_numpy(zero_copy_only=False), batch.column("margin").to_numpy(zero_copy_only=False)
             for fold in np.unique(folds):
                 f = int(fold)
-                if f not in grown:
+                if f not in growing:
                     continue
                 own = np.flatnonzero(folds == fold)
                 own = own[sampled_rows(key[own], f, tree, s)]
-                node = leaf_of(grown[f], bins[own]) - first
+                node = leaf_of(growing[f], bins[own]) - first
                 own, node = own[node >= 0], node[node >= 0]  # rows of earlier leaves are done
-                p = 1 / (1 + np.exp(-margin[own] - margins(newest[f], bins[own])))
+                p = 1 / (1 + np.exp(-margin[own] - margins(fresh[f], bins[own])))
                 cell = ((node[:, None] * n + np.arange(n)) * s.bins + bins[own]).ravel()
                 out = total.setdefault(f, np.zeros((2, nodes * n * s.bins)))
                 out[0] += np.bincount(cell, np.repeat(p - y[own], n), out.shape[1])
@@ -165,14 +167,15 @@ def _summed(rows: DataFrame, fresh: dict[int, list[Tree]], growing: dict[int, Tr
             used = np.flatnonzero(out[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), f), pa.int32()), pa.array(used, pa.int32()), pa.array(out[0][used]), pa.array(out[1][used])], names=["fold", "cell", "g", "h"])
 
-    cells = rows.select("fold", "key", "label", "margin", "bins").mapInArrow(sums, "fold int, cell int, g double, h double").groupBy("fold", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    cells = rows.select("fold", "key", "label", "margin", "bins").mapInArrow(sums, "fold int, cell int, g double, h double")
+    if tasks > 1:
+        cells = cells.repartition(min(ADDERS, tasks), "fold", "cell").groupBy("fold", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     found = {f: (np.zeros((nodes, n, s.bins)), np.zeros((nodes, n, s.bins))) for f in growing}
     for r in cells.toArrow().to_batches():
         fold, cell, g, h = (r.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "cell", "g", "h"))
         for f in found:
             own = fold == f
             found[f][0].ravel()[cell[own]], found[f][1].ravel()[cell[own]] = g[own], h[own]
-    held.unpersist()
     return found
 
 
@@ -186,14 +189,15 @@ def fit(train: DataFrame, features: list[str], edges: dict[int, list[np.ndarray]
     trees: dict[int, list[Tree]] = {f: [] for f in folds}
     fresh: dict[int, list[Tree]] = {f: [] for f in folds}
     rows = written(binned(train, features, edges, ["fold", "key", "label"]).withColumn("margin", F.lit(0.0)))
-    rows = written(rows.repartition(max(1, rows.count() // ROWS_PER_TASK)))  # few rows take one task a level, not one for each core
+    tasks = max(1, rows.count() // ROWS_PER_TASK)  # few rows take one task a level, not one for each core
+    rows = written(rows.repartition(tasks)).coalesce(tasks)
     for tree in range(s.trees):
         growing = {f: Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)) for f in folds}
         columns = {f: sampled_columns(n, f, tree, s) for f in folds}
         open_ = {f: [0] for f in folds}
         for level in range(s.depth + 1):
             if level == 0:
-                sums = _summed(rows, fresh, growing, 0, tree, n, s)
+                sums = _summed(rows, fresh, growing, 0, tree, n, s, tasks)
             else:
                 sums = {f: below[f] for f in folds}
             first, below = 2**level - 1, {}
@@ -211,14 +215,14 @@ def fit(train: DataFrame, features: list[str], edges: dict[int, list[np.ndarray]
             if level == s.depth or not splits:
                 break
             if level + 1 < s.depth:
-                below = _summed(rows, fresh, growing, level + 1, tree, n, s)
+                below = _summed(rows, fresh, growing, level + 1, tree, n, s, tasks)
             else:  # the last level needs its nodes' sums only, which lie in the cells of the level before
                 below = {f: _halves(sums[f], growing[f], first, n, s) for f in folds}
         for f in folds:
             trees[f].append(growing[f])
             fresh[f].append(growing[f])
         if (tree + 1) % REFRESH == 0 and tree + 1 < s.trees:
-            rows = written(_moved(rows, fresh, n))
+            rows = written(_moved(rows, fresh, n)).coalesce(tasks)
             fresh = {f: [] for f in folds}
     return trees
 
