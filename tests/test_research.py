@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import quality
 from tidemark.plans import graph, research
 from tidemark.plans.graph import Node, Store, digest, execute, files_digest
+from tidemark.sources import market
 from tidemark.storage import shared_dir
 
 
@@ -99,6 +101,34 @@ def test_the_same_plan_reads_everything(spark, run):
     assert {x.status for x in research.steps(spark, root).collect()} == {"ok", "reused"}
 
 
+def test_bars_are_added_up_once_for_all_revisions(spark, sf_dir):
+    """One table of one node reads lineitem, for a plan and its longer revision; bars and findings are those of the whole relations."""
+    reads = []
+
+    def watched(node):
+        def make(plan, tables):
+            made = node.make(plan, tables)
+            reads.extend((node.name, name) for name, df in made.items() if any("lineitem.parquet" in f for f in df.inputFiles()))
+            return made
+
+        return Node(node.name, node.needs, make, node.fields, node.critical)
+
+    graph_ = research.nodes(spark, sf_dir)
+    graph_ = [watched(n) for n in graph_[: [n.name for n in graph_].index("market_data") + 1]]
+    store, short = Store(spark, shared_dir(spark)), research.Plan("q", ("Brand#1", "Brand#2"), n_days=504)
+    first = execute(store, graph_, short, "s", "one")
+    again = execute(store, graph_, research.Plan("q"), "s", "two")
+    assert len(reads) == 1 and statuses(again) == {"weekly_bars": "reused", "market_data": "ok"} and set(statuses(first).values()) == {"ok"}
+    for out, plan in ((first, short), (again, research.Plan("q"))):
+        raw, walk = (df.filter(F.col("ticker").isin(*plan.universe)) if plan.universe else df for df in (market.bars_raw(spark, sf_dir), market.bars_walk(spark, sf_dir)))
+        dates = sorted({r.date for r in walk.select("date").distinct().collect()})[-(plan.n_days // 5):]
+        found = quality.findings(raw.filter(F.col("date").isin(dates)))
+        bad = {r.ticker for r in found.collect() if r.severity == "error"}
+        want = {(r.ticker, r.date): r.close for r in walk.filter(F.col("date").isin(dates)).collect() if r.ticker not in bad}
+        assert {(r.ticker, r.date): r.close for r in out.tables["bars"].collect()} == pytest.approx(want) and len(want) > 100
+        assert sorted(out.tables["quality"].collect()) == sorted(found.collect())
+
+
 def findings(spark, **rows):
     """The critic's findings on hand-made summaries."""
     good = {

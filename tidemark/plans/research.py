@@ -96,9 +96,13 @@ def _lookbacks(plan: Plan) -> factors.Lookbacks:
 def nodes(spark: SparkSession, sf_dir: str) -> list[Node]:
     """The graph over the tables of sf_dir. Names of tables are those of the report's sections."""
 
+    def weekly_bars(plan: Plan, t: Tables) -> Tables:
+        return {"weekly": market.bars_raw(spark, sf_dir)}
+
     def market_data(plan: Plan, t: Tables) -> Tables:
-        chosen = lambda df: df.filter(F.col("ticker").isin(*plan.universe)) if plan.universe else df
-        raw, walk = chosen(market.bars_raw(spark, sf_dir)), chosen(market.bars_walk(spark, sf_dir))
+        """From the stored bars of all names and dates, which it needs several times: a revised plan doesn't add them up again either."""
+        raw = t["weekly"].filter(F.col("ticker").isin(*plan.universe)) if plan.universe else t["weekly"]
+        walk = market.walked(raw)
         dates = walk.select("date").distinct().withColumn("back", F.row_number().over(Window.orderBy(F.desc("date"))))  # a row a date
         kept = F.broadcast(dates.filter(F.col("back") <= plan.n_days // DAYS_PER_BAR).select("date"))
         found = quality.findings(raw.join(kept, "date", "left_semi"))
@@ -187,7 +191,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> list[Node]:
         return {"portfolio": portfolio.walk_summary(portfolio.walk_forward(r, 52, 13), YEAR)}
 
     return [
-        Node("market_data", (), market_data, ("universe", "n_days"), critical=True), Node("macro", (), macro), Node("fundamentals", (), fundamentals), Node("sentiment", (), sentiment),
+        Node("weekly_bars", (), weekly_bars, critical=True), Node("market_data", ("weekly_bars",), market_data, ("universe", "n_days"), critical=True), Node("macro", (), macro), Node("fundamentals", (), fundamentals), Node("sentiment", (), sentiment),
         Node("factors", ("market_data", "macro", "fundamentals", "sentiment"), factor_panel, ("horizon",), critical=True), Node("diagnostics", ("factors",), diagnostics, ("families", "horizon")),
         Node("ml", ("factors", "diagnostics"), models, ("folds", "horizon", "models")), Node("evaluation", ("market_data", "factors", "diagnostics", "ml"), model_metrics, ("horizon",)),
         Node("backtest", ("factors", "diagnostics", "ml"), strategies, ("rebalance", "signal_lag")), Node("risk", ("backtest",), tails), Node("portfolio", ("factors",), books),

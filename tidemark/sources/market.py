@@ -32,15 +32,19 @@ def bars_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.withColumn("open", F.lag("close").over(ordered())).select("ticker", "date", "open", "high", "low", "close", "volume")
 
 
-def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A price path of each brand: log returns are a tenth of the distance to the mean of its earlier log prices."""
+def walked(raw: DataFrame) -> DataFrame:
+    """A price path of each ticker of raw bars: log returns are a tenth of the distance to the mean of its earlier log prices."""
     w = ordered()
     v = F.ln("close")
     lr = F.coalesce(F.lit(0.1) * (v - F.avg(v).over(w.rowsBetween(Window.unboundedPreceding, -1))), F.lit(0.0))
-    bars = bars_raw(spark, sf_dir).select("ticker", "date", lr.alias("lr"), "volume")
+    bars = raw.select("ticker", "date", lr.alias("lr"), "volume")
     return bars.select("ticker", "date", (F.lit(100.0) * F.exp(F.sum("lr").over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("close"), "volume")
 
 
+def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walked(bars_raw(spark, sf_dir))
+
+
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = ordered()
     out = bars_walk(spark, sf_dir).select("ticker", "date", (F.col("close") / F.lag("close").over(w) - 1).alias("ret"))
